@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from cohortlab.plans import q_stats, q_tables  # noqa: F401
+from cohortlab.plans import q_eval, q_prep, q_stats, q_tables  # noqa: F401
 from cohortlab.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

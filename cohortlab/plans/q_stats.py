@@ -286,15 +286,15 @@ def composition_expression(spark, sf):
 
 
 @query("best_probe", "W1", f"""{then('probe')} m AS (SELECT gene, probe, avg(value) AS mv FROM probe GROUP BY 1, 2),
-b AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY mv DESC, probe) AS rn FROM m) SELECT gene, probe, {r('mv', 4)} AS mean_value FROM b WHERE rn = 1""")
+b AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY mv DESC, probe) AS rn FROM m) SELECT gene, probe, {r('mv')} AS mean_value FROM b WHERE rn = 1""")
 def best_probe(spark, sf):
-    return shape(rollup.best_probe(views.probe(spark, sf)), ["gene", "probe"], ["mean_value"], 4)
+    return shape(rollup.best_probe(views.probe(spark, sf)), ["gene", "probe"], ["mean_value"])
 
 
 @query("collapsed_matrix", "W1 G6 J3", f"""{then('probe')} m AS (SELECT gene, probe, avg(value) AS mv FROM probe GROUP BY 1, 2),
 b AS (SELECT gene, probe FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY mv DESC, probe) AS rn FROM m) WHERE rn = 1)
-SELECT p.gene, p.sample_id, {r('avg(value)', 4)} AS value FROM probe p JOIN b ON p.gene = b.gene AND p.probe = b.probe GROUP BY 1, 2""")
+SELECT p.gene, p.sample_id, {r('avg(value)')} AS value FROM probe p JOIN b ON p.gene = b.gene AND p.probe = b.probe GROUP BY 1, 2""")
 def collapsed_matrix(spark, sf):
     p = views.probe(spark, sf)
     kept = tables.keep_keys(p, rollup.best_probe(p).select("gene", "probe"), ["gene", "probe"])
-    return shape(tables.mean_collapse(kept, ["gene", "sample_id"]), ["gene", "sample_id"], ["value"], 4)
+    return shape(tables.mean_collapse(kept, ["gene", "sample_id"]), ["gene", "sample_id"], ["value"])

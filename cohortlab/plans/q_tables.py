@@ -43,11 +43,11 @@ def keyword_category(spark, sf):
 
 
 @query("map_labels", "C4", """SELECT o_orderpriority, o_orderstatus, CASE lower(trim(o_orderstatus)) WHEN 'f' THEN 0 WHEN 'p' THEN 1 WHEN 'o' THEN 2 END AS stage,
- CASE lower(trim(o_orderpriority)) WHEN '1-urgent' THEN 1 WHEN '2-high' THEN 1 WHEN '5-low' THEN 0 END AS urgent, count(*) AS n FROM orders GROUP BY ALL""")
+ coalesce(CASE lower(trim(o_orderpriority)) WHEN '1-urgent' THEN 1 WHEN '2-high' THEN 1 WHEN '5-low' THEN 0 END, -1) AS urgent, count(*) AS n FROM orders GROUP BY ALL""")
 def map_labels(spark, sf):
     o = views.table(spark, sf, "orders").select(
         "o_orderpriority", "o_orderstatus", sc.map_label("o_orderstatus", {"F": 0, "P": 1, "O": 2}, strict=True).alias("stage"),
-        sc.map_label("o_orderpriority", {"1-URGENT": 1, "2-HIGH": 1, "5-LOW": 0}).alias("urgent"))
+        F.coalesce(sc.map_label("o_orderpriority", {"1-URGENT": 1, "2-HIGH": 1, "5-LOW": 0}), F.lit(-1)).alias("urgent"))
     return o.groupBy(*o.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -66,11 +66,11 @@ def parse_covariates(spark, sf):
 
 
 @query("parse_stamps", "C13", """WITH t AS (SELECT event_id, strftime(ts, '%m/%d/%y %H:%M:%S') AS stamp FROM events)
-SELECT event_id, strptime(stamp, '%m/%d/%y %H:%M:%S') AS at, CAST(strptime(stamp, '%m/%d/%y %H:%M:%S') AS DATE) AS day, CAST(year(strptime(stamp, '%m/%d/%y %H:%M:%S')) AS INTEGER) AS year FROM t""")
+SELECT event_id, strftime(strptime(stamp, '%m/%d/%y %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS at, CAST(CAST(strptime(stamp, '%m/%d/%y %H:%M:%S') AS DATE) AS VARCHAR) AS day, CAST(year(strptime(stamp, '%m/%d/%y %H:%M:%S')) AS INTEGER) AS year FROM t""")
 def parse_stamps(spark, sf):
     e = views.table(spark, sf, "events").select("event_id", F.date_format("ts", "MM/dd/yy HH:mm:ss").alias("stamp"))
-    at = sc.parse_stamp("stamp").cast("timestamp_ntz")
-    return e.select("event_id", at.alias("at")).select("event_id", "at", F.to_date("at").alias("day"), F.year("at").alias("year"))
+    e = e.select("event_id", sc.parse_stamp("stamp").alias("at"))
+    return e.select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), F.to_date("at").cast("string").alias("day"), F.year("at").alias("year"))
 
 
 @query("bounded_transforms", "C20", f"""WITH {views.SQL['doc']}, p AS (SELECT doc_id, 1e0 / (1e0 + exp(-(ln(chars) - 6e0))) AS p FROM doc)
@@ -175,10 +175,10 @@ def common_features(spark, sf):
     return tables.common_features([li.filter(F.col("l_returnflag") == f).select("feature") for f in "ARN"])
 
 
-@query("set_subtract", "S2", """SELECT DISTINCT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'""")
+@query("set_subtract", "S2", """SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def set_subtract(spark, sf):
-    li = views.table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "A").select(F.col("l_partkey").alias("p_partkey"))
-    return views.table(spark, sf, "part").select("p_partkey").subtract(li)
+    o = views.table(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("c_custkey"))
+    return views.table(spark, sf, "customer").select("c_custkey").subtract(o)
 
 
 @query("stacked_cohorts", "S1 W6", """WITH u AS (SELECT 'customer' AS dataset, c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal, NULL FROM supplier)
@@ -190,9 +190,9 @@ def stacked_cohorts(spark, sf):
     return row_numbers(u, ["dataset"], "_o", "row_id").select("dataset", "id", "balance", "segment", "row_id")
 
 
-@query("date_stacking", "W6 C13", """SELECT event_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS level FROM events""")
+@query("date_stacking", "W6 C13", """SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS level FROM events""")
 def date_stacking(spark, sf):
-    e = views.table(spark, sf, "events").select("event_id", F.to_date("ts").alias("day"), F.struct("ts", "event_id").alias("_o"))
+    e = views.table(spark, sf, "events").select("event_id", F.to_date("ts").cast("string").alias("day"), F.struct("ts", "event_id").alias("_o"))
     return row_numbers(e, ["day"], "_o", "level").select("event_id", "day", "level")
 
 
@@ -239,10 +239,10 @@ def joined_values(spark, sf):
     return tables.joined_values(views.table(spark, sf, "part"), ["p_type"], "p_brand", "brands")
 
 
-@query("mean_collapse", "G6", f"""SELECT l_partkey, l_suppkey, {r('avg(l_extendedprice)', 3)} AS value FROM lineitem GROUP BY 1, 2""")
+@query("mean_collapse", "G6", f"""SELECT l_partkey, l_suppkey, {r('avg(l_extendedprice)')} AS value FROM lineitem GROUP BY 1, 2""")
 def mean_collapse(spark, sf):
     li = views.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", F.col("l_extendedprice").alias("value"))
-    return shape(tables.mean_collapse(li, ["l_partkey", "l_suppkey"]), ["l_partkey", "l_suppkey"], ["value"], 3)
+    return shape(tables.mean_collapse(li, ["l_partkey", "l_suppkey"]), ["l_partkey", "l_suppkey"], ["value"])
 
 
 @query("subject_profile", "G11 Q11", f"""{with_views('sample')} SELECT subject, count(*) AS n_samples, count(DISTINCT batch_mixed) AS n_regions, count(DISTINCT y) AS n_classes, count(DISTINCT y) > 1 AS contradicted, count(DISTINCT batch_mixed) > 2 AS too_many_regions FROM sample GROUP BY 1""")
