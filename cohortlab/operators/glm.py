@@ -46,6 +46,9 @@ def _solve(h: pd.Series, g: pd.Series) -> pd.DataFrame:
         full = np.zeros((k, k))
         full[np.triu_indices(k)] = flat
         full = full + np.triu(full, 1).T
+        # a column that is zero throughout stays at zero
+        idle = np.flatnonzero(np.diag(full) == 0)
+        full[idle, idle] = 1.0
         bad = not np.isfinite(full).all() or np.linalg.cond(full) > 1e14
         if bad:
             full = np.nan_to_num(full)

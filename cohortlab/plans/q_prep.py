@@ -12,6 +12,7 @@ from cohortlab.plans.q_stats import LABELLED
 from cohortlab.plans.registry import query
 from cohortlab.plans.sqltext import r, shape
 from cohortlab.plans.views import then, with_views
+from cohortlab.session import settle
 
 _TR = "cohort = 'train'"
 
@@ -76,7 +77,7 @@ pr AS (SELECT sample_id, score, 1e0 / (1e0 + exp(-score)) AS probability FROM li
 def _linear(spark, sf):
     lab = views.labelled(spark, sf, ["cohort", "y"])
     mean_of = lambda g: F.avg(F.when(F.col("y") == g, F.col("value")))
-    co = prep.settle(_train(lab).groupBy("feature").agg((mean_of(1) - mean_of(0)).alias("coefficient")))
+    co = settle(_train(lab).groupBy("feature").agg((mean_of(1) - mean_of(0)).alias("coefficient")))
     return prep.linear_score(prep.apply_scaler(lab, prep.fit_scaler(_train(lab))), co, 0.1)
 
 

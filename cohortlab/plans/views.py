@@ -31,6 +31,8 @@ _SAMPLE_COLS = f"""
   CASE WHEN {phash_sql('vec_id', '5')} % 4 = 0 THEN 'transfer' ELSE 'train' END AS cohort
 """
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
 SQL = {
     "measure": """measure AS (
   SELECT vec_id AS sample_id, 'f' || lpad(CAST(generate_subscripts(embedding, 1) - 1 AS VARCHAR), 2, '0') AS feature,
@@ -40,6 +42,9 @@ SQL = {
   SELECT d.doc_id, l.quality AS y, l.toxic, d.lang, d.source, d.n_chars, CAST(d.n_chars AS DOUBLE) AS chars,
          CAST(length(d.text) - length(replace(d.text, ' ', '')) + 1 AS DOUBLE) AS words
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)""",
+    "letters": f"""letters AS (
+  SELECT doc_id AS sample_id, f AS feature, CAST(length(lower(text)) - length(replace(lower(text), f, '')) AS DOUBLE) AS value
+  FROM documents CROSS JOIN (SELECT unnest([{', '.join(repr(c) for c in LETTERS)}]) AS f))""",
     "cells": """cells AS (
   SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, 's' || CAST(l.l_suppkey % 6 AS VARCHAR) AS library,
          CASE WHEN l.l_suppkey % 6 < 3 THEN 'case' ELSE 'control' END AS condition, p.p_type AS cell_type,
@@ -108,6 +113,14 @@ def doc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Letter counts of whole texts as measurements: (sample_id, feature, value)."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), F.lower("text").alias("_t"))
+    count = lambda c: (F.length("_t") - F.length(F.replace("_t", F.lit(c), F.lit("")))).cast("double")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), count(c).alias("value")) for c in LETTERS]))
+    return d.select("sample_id", pairs.alias("_s")).select("sample_id", "_s.feature", "_s.value")
+
+
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     l, p = table(spark, sf, "lineitem"), table(spark, sf, "part").select("p_partkey", "p_type")
     lib = F.col("l_suppkey") % 6
