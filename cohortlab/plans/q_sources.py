@@ -121,10 +121,15 @@ def read_table_block(spark, sf):
     return shape(text.read_table_block(spark, _series(spark, sf)), ["sample_id", "feature"], ["value"], 3)
 
 
-@query("read_wanted_rows", "A5 A6", _BLOCK_SQL + " WHERE k.l_partkey IN (1, 2, 3)")
+@query("read_wanted_rows", "A5 A6", f"""SELECT l_returnflag AS sample_id, p_type AS feature, {r('sum(l_quantity)', 3)} AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type IN ('ECONOMY', 'PROMO') GROUP BY 1, 2""")
 def read_wanted_rows(spark, sf):
     """Wanted keys are the feature: other lines are dropped before they are split."""
-    return shape(text.read_table_block(spark, _series(spark, sf), keys=["p1", "p2", "p3", "p_absent"]), ["sample_id", "feature"], ["value"], 3)
+    li = views.table(spark, sf, "lineitem").join(views.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    wide = li.groupBy("p_type").agg(*[F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).alias(f) for f in FLAGS])
+    body = wide.select(F.concat_ws(",", "p_type", *[F.col(f).cast("string") for f in FLAGS]).alias("value"))
+    lines = spark.range(1).select(F.lit(',"A","N","R"').alias("value")).union(body)
+    long = text.read_matrix_long(spark, _written(spark, lines, "types"), keys=["ECONOMY", "PROMO", "ABSENT"])
+    return shape(long, ["sample_id", "feature"], ["value"], 3)
 
 
 @query("written_tables", "A7", f"""WITH {views.SQL['effect']} SELECT f AS fmt, dataset, feature, n1, n0, {r('d')} AS d FROM effect CROSS JOIN (SELECT unnest(['csv', 'json', 'parquet']) AS f)""")
