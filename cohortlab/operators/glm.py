@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortlab.functions import tails
 from cohortlab.functions.scalars import logit
-from cohortlab.session import cut, small
+from cohortlab.session import BROADCAST_ROWS, cut, small
 
 
 def design(df: DataFrame, columns: Sequence[str], model: Column | str, y: str = "y", weight: Column | str | None = None, offset: Column | str | None = None, intercept: bool = True) -> DataFrame:
@@ -70,44 +70,40 @@ def fit_logistic(rows: DataFrame, k: int, l2: float = 0.0, penalise_first: bool
     say so.
     """
     rows = cut(rows)
-    eta = F.col("o") + sum((F.col("x")[i] * F.col("beta")[i] for i in range(k)), F.lit(0.0))
-    p = 1.0 / (1.0 + F.exp(-F.col("_eta")))
+    # the expressions are built once; only the joined coefficients change per step
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    free = [0.0 if (i == 0 and not penalise_first) else float(l2) for i in range(k)]
+    eta = F.expr(" + ".join(["o"] + [f"x[{i}] * beta[{i}]" for i in range(k)]))
+    prob = F.expr("1.0D / (1.0D + exp(-_eta))")
+    sums = [F.expr("first(beta) AS beta"), F.expr("sum(w) AS n"), F.expr("sum(w * y) AS _wy")]
     # log(1 + exp(eta)) without overflow
-    soft = F.greatest(F.col("_eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_eta")))
-    free = [0.0 if (i == 0 and not penalise_first) else l2 for i in range(k)]
-
-    def summary(beta: DataFrame) -> DataFrame:
-        seen = rows.join(beta, "model").withColumn("_eta", eta).withColumn("_p", p)
-        v = F.col("w") * F.col("_p") * (1.0 - F.col("_p"))
-        resid = F.col("w") * (F.col("y") - F.col("_p"))
-        grad = [F.sum(resid * F.col("x")[i]).alias(f"g{i}") for i in range(k)]
-        hess = [F.sum(v * F.col("x")[i] * F.col("x")[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-        keep = [F.first("beta").alias("beta")] if k else []
-        agg = seen.groupBy("model").agg(
-            *keep, *grad, *hess, F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("_wy"),
-            F.sum(F.col("w") * (F.col("y") * F.col("_eta") - soft)).alias("log_lik"),
-        )
-        g = F.array(*[F.col(f"g{i}") - F.lit(free[i]) * F.col("beta")[i] for i in range(k)])
-        h = F.array(*[F.col(f"h{i}_{j}") + F.lit(free[i] if i == j else 0.0) for i in range(k) for j in range(i, k)])
-        return agg.select("model", "beta", "n", "_wy", "log_lik", _solve(h, g).alias("_r"))
-
-    zero = F.array(*[F.lit(0.0)] * k)
-    beta = small(cut(rows.select("model").distinct().withColumn("beta", zero)))
+    sums.append(F.expr("sum(w * (y * _eta - greatest(_eta, 0.0D) - log1p(exp(-abs(_eta))))) AS log_lik"))
+    sums += [F.expr(f"sum(w * (y - _p) * x[{i}]) AS g{i}") for i in range(k)]
+    sums += [F.expr(f"sum(w * _p * (1.0D - _p) * x[{i}] * x[{j}]) AS h{i}_{j}") for i, j in pairs]
+    g = F.expr("array(" + ", ".join(f"g{i} - {free[i]}D * beta[{i}]" for i in range(k)) + ")")
+    h = F.expr("array(" + ", ".join(f"h{i}_{j}" + (f" + {free[i]}D" if i == j else "") for i, j in pairs) + ")")
+    solved = _solve(h, g).alias("_r")
+    moved = F.expr("aggregate(_r.step, 0.0D, (a, s) -> greatest(a, abs(s)))")
+    # long steps are shortened so that separable models stay finite
+    shorten = "least(1.0D, 5.0D / greatest(_moved, 1e-12D))"
+    advance = F.expr(f"zip_with(beta, _r.step, (b, s) -> b + s * {shorten}) AS beta")
+
+    models = cut(rows.select("model").distinct().withColumn("beta", F.array(*[F.lit(0.0)] * k)))
+    hint = F.broadcast if models.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda t: t)
+    beta = models
     for it in range(1, max_iter + 1):
-        state = cut(summary(beta))
-        moved = F.aggregate("_r.step", F.lit(0.0), lambda a, s: F.greatest(a, F.abs(s)))
-        largest = state.agg(F.max(moved)).first()[0]
+        seen = rows.join(hint(beta), "model").withColumn("_eta", eta).withColumn("_p", prob)
+        state = cut(seen.groupBy("model").agg(*sums).select("model", "beta", "n", "_wy", "log_lik", solved).withColumn("_moved", moved))
+        largest = state.agg(F.max("_moved")).first()[0]
         if largest is None or largest < tol or it == max_iter:
             break
-        # long steps are shortened so that separable models stay finite
-        scale = F.least(F.lit(1.0), 5.0 / F.greatest(moved, F.lit(1e-12)))
-        beta = small(state.select("model", F.zip_with("beta", "_r.step", lambda b, s: b + s * scale).alias("beta")))
+        beta = state.select("model", advance)
     rate = F.col("_wy") / F.col("n")
     null_ll = F.when((rate > 0) & (rate < 1), F.col("n") * (rate * F.log(rate) + (1 - rate) * F.log(1 - rate))).otherwise(0.0)
     return state.select(
         "model", "beta", F.col("_r.se").alias("se"), "n", "log_lik", null_ll.alias("null_log_lik"),
         (2.0 * k - 2.0 * F.col("log_lik")).alias("aic"), F.lit(it).alias("iterations"),
-        ((moved < 1e-6) & ~F.col("_r.singular")).alias("converged"),
+        ((F.col("_moved") < 1e-6) & ~F.col("_r.singular")).alias("converged"),
     )
 
 
