@@ -144,7 +144,7 @@ def trigamma_inverse(y: float) -> float:
 
 def digamma(x: float) -> float:
     total = 0.0
-    while x < 15.0:
+    while x < 30.0:
         total -= 1.0 / x
         x += 1.0
     return total + math.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
