@@ -26,16 +26,15 @@ def curve(df: DataFrame, keys: Sequence[str], score: str = "score", label: str =
     spread = wide(known, keys)
     y = F.col(label).cast("bigint")
     base = tally(known, keys, score, n1=y, n0=1 - y)
-    steps = running(base, keys, score, sums=["n1", "n0"], descending=True, spread=spread)
-    total = base.groupBy(*keys).agg(F.struct(F.sum("n1").alias("p"), F.sum("n0").alias("n")).alias("_t"))
-    steps = steps.join(total, keys) if keys else steps.withColumn("_t", total.scalar())
+    steps = running(base, keys, score, sums=["n1", "n0"], descending=True, spread=spread, totals=["n1", "n0"])
     tp, fp = F.col("cum_n1"), F.col("cum_n0")
-    pos, neg = F.nullif(F.col("_t.p"), F.lit(0)), F.nullif(F.col("_t.n"), F.lit(0))
+    pos, neg = F.nullif(F.col("tot_n1"), F.lit(0)), F.nullif(F.col("tot_n0"), F.lit(0))
     return steps.select(
         *keys, F.col(score).alias("threshold"), F.col("n1"), F.col("n0"), tp.alias("tp"), fp.alias("fp"),
         (tp / pos).alias("tpr"), (fp / neg).alias("fpr"), (tp / (tp + fp)).alias("precision"),
-        (tp * F.col("_t.n") - fp * F.col("_t.p")).alias("j_scaled"),
-        F.col("_t.p").alias("positives"), F.col("_t.n").alias("negatives"),
+        # exact for any counts: a product of two bigints can exceed 64 bits
+        (tp.cast("decimal(19,0)") * F.col("tot_n0") - fp.cast("decimal(19,0)") * F.col("tot_n1")).alias("j_scaled"),
+        F.col("tot_n1").alias("positives"), F.col("tot_n0").alias("negatives"),
     )
 
 

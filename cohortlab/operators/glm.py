@@ -89,7 +89,7 @@ def fit_logistic(rows: DataFrame, k: int, l2: float = 0.0, penalise_first: bool
     advance = F.expr(f"zip_with(beta, _r.step, (b, s) -> b + s * {shorten}) AS beta")
 
     models = cut(rows.select("model").distinct().withColumn("beta", F.array(*[F.lit(0.0)] * k)))
-    hint = F.broadcast if models.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda t: t)
+    hint = F.broadcast if models.count() <= BROADCAST_ROWS else (lambda t: t)
     beta = models
     for it in range(1, max_iter + 1):
         seen = rows.join(hint(beta), "model").withColumn("_eta", eta).withColumn("_p", prob)

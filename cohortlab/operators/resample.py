@@ -57,7 +57,7 @@ def bootstrap_auc(df: DataFrame, key: str, scores: Sequence[str], replicates: in
     rows = df.select(key, label, *scores)
     weights = bootstrap_weights(rows, key, replicates, seed=seed, method=method)
     long = weights.unpivot(["rep", label, "weight"], list(scores), "model", "score")
-    spread = rows.limit(run.WIDE_ROWS + 1).count() > run.WIDE_ROWS
+    spread = rows.count() > run.WIDE_ROWS
     r = rank_sums(long, ["rep", "model"], "score", label, weight="weight", spread=spread)
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     return r.select("rep", "model", F.when(n1 * n0 > 0, F.col("u1") / (n1 * n0)).alias("auc"))
@@ -97,7 +97,7 @@ def permutation_auc(df: DataFrame, key: str, replicates: int, score: str = "scor
     ranked = cut(with_rank(rows, [], score, "_rank"))
     sizes = ranked.agg(F.struct(F.sum(F.col(label).cast("bigint")).alias("n1"), F.count(F.lit(1)).alias("n")))
     order = _reps(ranked, replicates).withColumn("_o", F.struct(phash(key, "rep", seed), F.col(key)))
-    spread = ranked.limit(run.WIDE_ROWS + 1).count() > run.WIDE_ROWS
+    spread = ranked.count() > run.WIDE_ROWS
     placed = row_numbers(order, ["rep"], "_o", "_pos", spread=spread).withColumn("_s", sizes.scalar())
     case_ranks = placed.filter(F.col("_pos") < F.col("_s.n1")).groupBy("rep", "_s").agg(F.sum("_rank").alias("_r"))
     n1, n0 = F.col("_s.n1").cast("double"), (F.col("_s.n") - F.col("_s.n1")).cast("double")

@@ -5,15 +5,14 @@ one task. That plan is kept only when a count proves every key short
 (:func:`wide`). Otherwise rows are collapsed to distinct (key, value), then cut
 into value ranges. Range limits are a deterministic sample of the values: per hash
 bin the smallest hash wins, so re-running a lost task gives the same limits.
-Running totals are taken inside each (key, range) and shifted by the totals of
-the ranges before it. A key with a third of all rows is spread over about a
+Running totals are taken inside each (key, range), starting from a carry row with
+the totals of the ranges before it. A key with a third of all rows is spread over about a
 third of the ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -76,44 +75,41 @@ def running(
     mins: Sequence[str] = (),
     descending: bool = False,
     spread: bool | None = None,
+    totals: Sequence[str] = (),
 ) -> DataFrame:
     """Add inclusive ``cum_<c>`` per key along ``order``; (keys, order) must be unique.
 
+    ``totals`` (a subset of ``sums``) also adds ``tot_<c>``, the sum over the key.
     ``spread=None`` lets :func:`wide` decide; ``spread=False`` is for keys whose
     length is bounded by construction: a single window per key.
     """
     keys = list(keys)
     spread = wide(df, keys) if spread is None else spread
     fns = [(c, F.sum) for c in sums] + [(c, F.min) for c in mins]
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    along = F.col(order).desc() if descending else F.col(order).asc()
     rows = (Window.unboundedPreceding, Window.currentRow)
     if not spread:
-        w = Window.partitionBy(*keys).orderBy(direction(order)).rowsBetween(*rows)
-        return df.select("*", *[fn(c).over(w).alias(f"cum_{c}") for c, fn in fns])
+        w = Window.partitionBy(*keys).orderBy(along).rowsBetween(*rows)
+        all_of = Window.partitionBy(*keys)
+        return df.select("*", *[fn(c).over(w).alias(f"cum_{c}") for c, fn in fns], *[F.sum(c).over(all_of).alias(f"tot_{c}") for c in totals])
 
-    cols = df.columns
     ranged = _with_range(df, _limits(df, keys, order), order)
-    inside = Window.partitionBy(*keys, "_range").orderBy(direction(order)).rowsBetween(*rows)
-    body = ranged.select("*", *[fn(c).over(inside).alias(f"_in_{c}") for c, fn in fns])
-    before = Window.partitionBy(*keys).orderBy(direction("_range")).rowsBetween(
-        Window.unboundedPreceding, -1
+    # one carry row per (key, range), at most FAN * FAN per key, holds what the ranges before it add up to
+    toward = F.col("_range").desc() if descending else F.col("_range").asc()
+    before = Window.partitionBy(*keys).orderBy(toward).rowsBetween(Window.unboundedPreceding, -1)
+    per_range = ranged.groupBy(*keys, "_range").agg(*[fn(c).alias(c) for c, fn in fns])
+    carry = per_range.select(
+        *keys, "_range", F.lit(0).alias("_real"), *[fn(c).over(before).alias(f"_w_{c}") for c, fn in fns],
+        *[F.sum(c).over(Window.partitionBy(*keys)).alias(f"_t_{c}") for c in totals],
     )
-    shift = (
-        ranged.groupBy(*keys, "_range")
-        .agg(*[fn(c).alias(c) for c, fn in fns])
-        .select(*keys, "_range", *[fn(c).over(before).alias(f"_pre_{c}") for c, fn in fns])
+    body = ranged.select("*", F.lit(1).alias("_real"), *[F.col(c).alias(f"_w_{c}") for c, _ in fns])
+    # the carry row sorts first in its range, so the window adds it without a join
+    inside = Window.partitionBy(*keys, "_range").orderBy("_real", along).rowsBetween(*rows)
+    done = body.unionByName(carry, allowMissingColumns=True).select(
+        *df.columns, "_real", *[fn(f"_w_{c}").over(inside).alias(f"cum_{c}") for c, fn in fns],
+        *[F.max(f"_t_{c}").over(inside).alias(f"tot_{c}") for c in totals],
     )
-    on = reduce(
-        lambda a, b: a & b,
-        [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_range"]],
-    )
-    joined = body.alias("l").join(shift.alias("r"), on, "left")
-    out = [F.col(f"l.{c}") for c in cols]
-    for c, fn in fns:
-        inner, pre = F.col(f"_in_{c}"), F.col(f"_pre_{c}")
-        total = inner + F.coalesce(pre, F.lit(0)) if fn is F.sum else F.least(inner, pre)
-        out.append(total.alias(f"cum_{c}"))
-    return joined.select(*out)
+    return done.filter(F.col("_real") == 1).drop("_real")
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", spread: bool | None = None) -> DataFrame:
@@ -151,12 +147,7 @@ def quantiles(
     known = df.filter(F.col(value).isNotNull())
     spread = wide(known, keys) if spread is None else spread
     base = tally(known, keys, value, n=F.lit(1))
-    ranked = running(base, keys, value, sums=["n"], spread=spread)
-    total = base.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    if keys:
-        placed = ranked.join(total, keys)
-    else:
-        placed = ranked.withColumn("_total", total.scalar())
+    placed = running(base, keys, value, sums=["n"], spread=spread, totals=["n"]).withColumnRenamed("tot_n", "_total")
     aggs = []
     for name, p in probs.items():
         at = (F.col("_total") - 1) * F.lit(float(p))

@@ -251,10 +251,8 @@ def adjust_fdr(df: DataFrame, p: str = "p", family: Sequence[str] = (), out: str
     known = df.filter(F.col(p).isNotNull())
     spread = wide(known, family)
     base = tally(known, family, p, n=F.lit(1).cast("bigint"))
-    ranked = running(base, family, p, sums=["n"], spread=spread)
-    total = base.groupBy(*family).agg(F.sum("n").alias("_m"))
-    ranked = ranked.join(total, family) if family else ranked.withColumn("_m", total.scalar())
-    raw = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("cum_n"))
+    ranked = running(base, family, p, sums=["n"], spread=spread, totals=["n"])
+    raw = ranked.withColumn("_q", F.col(p) * F.col("tot_n") / F.col("cum_n"))
     stepped = running(raw, family, p, mins=["_q"], descending=True, spread=spread)
     q = stepped.select(*family, p, F.least(F.col("cum__q"), F.lit(1.0)).alias(out))
     return df.join(q, [*family, p], "left")

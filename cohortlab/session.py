@@ -48,11 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when a count proves ``df`` small.
 
-    ``df`` should be cheap to count: a cut table, a dimension, a few rows. A
-    larger side is returned unhinted and the join shuffles on its key.
+    ``df`` should be cheap to count: a cut table, a dimension, a few rows; its rows
+    should be narrow. A larger side is returned unhinted and the join shuffles on
+    its key.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

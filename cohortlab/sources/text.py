@@ -28,8 +28,16 @@ def _fields(c: str, sep: str) -> Column:
 
 
 def _long(lines: DataFrame, header: DataFrame, sep: str, row: str, col: str) -> DataFrame:
-    """Data lines times the header's names. The header is one row and arrives as a scalar subquery."""
-    marked = lines.withColumn("_h", header.scalar()).withColumn("_f", _fields("line", sep))
+    """Data lines times the header's names.
+
+    The header line is looked up once (a take, which stops at the first file part
+    that has it) and arrives as a one-row scalar, so nothing is joined.
+    """
+    found = header.head()
+    if found is None:
+        raise ValueError("no header line found")
+    names = lines.sparkSession.createDataFrame([(list(found[0]),)], "h array<string>")
+    marked = lines.withColumn("_h", names.scalar()).withColumn("_f", _fields("line", sep))
     cells = marked.select(F.get("_f", F.lit(0)).alias(row), "_h", F.posexplode(F.slice("_f", 2, 1 << 30)).alias("_p", "_v"))
     return cells.select(row, F.get("_h", F.col("_p") + 1).alias(col), to_number("_v").alias("value"))
 
@@ -45,7 +53,7 @@ def read_matrix_long(spark: SparkSession, path: str, orientation: str = "feature
         lines = lines.repartition(partitions)
     first = _unquoted(F.substring_index("line", sep, 1))
     marker = first == F.lit(header_key if header_key is not None else "")
-    header = lines.filter(marker).limit(1).select(_fields("line", sep))
+    header = lines.filter(marker).select(_fields("line", sep))
     body = lines.filter(~marker & (F.trim("line") != ""))
     if keys is not None:
         body = body.filter(first.isin(list(keys)))
@@ -105,7 +113,7 @@ def read_table_block(spark: SparkSession, path: str, keys: Sequence[str] | None
     """Embedded table of a series file to (sample_id, feature, value); lines starting with ``!`` are not part of it."""
     lines = spark.read.text(path).withColumnRenamed("value", "line").filter(~F.col("line").startswith("!") & (F.trim("line") != ""))
     first = _unquoted(F.substring_index("line", "\t", 1))
-    header = lines.filter(first == header_key).limit(1).select(_fields("line", "\t"))
+    header = lines.filter(first == header_key).select(_fields("line", "\t"))
     body = lines.filter(first != header_key)
     if keys is not None:
         body = body.filter(first.isin(list(keys)))

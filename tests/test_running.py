@@ -71,3 +71,17 @@ def test_descending_rank_ties_share_smallest(spark):
     df = spark.createDataFrame([(3.0,), (3.0,), (2.0,), (1.0,)], "x double")
     got = {r.x: r["rank"] for r in running.descending_rank(df, [], "x").collect()}
     assert got == {3.0: 1, 2.0: 3, 1.0: 4}
+
+
+@pytest.mark.parametrize("forced", [True, False])
+def test_null_keys_keep_their_group(spark, forced):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "k string, v double")
+    got = {r.k: r.m for r in running.quantiles(df, ["k"], "v", {"m": 0.5}, spread=forced).collect()}
+    assert got == {None: 2.0, "a": 2.0}
+
+
+def test_totals_agree_between_paths(skewed):
+    _, df = skewed
+    base = running.tally(df, ["k"], "v", n=F.lit(1).cast("bigint"))
+    a, b = [running.running(base, ["k"], "v", sums=["n"], totals=["n"], spread=s).orderBy("k", "v").toPandas() for s in (True, False)]
+    pd.testing.assert_frame_equal(a[["k", "v", "cum_n", "tot_n"]], b[["k", "v", "cum_n", "tot_n"]])
