@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlab.operators.running import quantiles, running, tally, wide
+from cohortlab.operators.running import quantiles, ready, running, tally
 from cohortlab.operators.twogroup import mann_whitney
 
 
@@ -23,7 +23,7 @@ def curve(df: DataFrame, keys: Sequence[str], score: str = "score", label: str =
     """One row per distinct threshold (predict 1 at score >= threshold): tp, fp, rates, precision."""
     known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     keys = list(keys)
-    spread = wide(known, keys)
+    known, spread = ready(known, keys, None)
     y = F.col(label).cast("bigint")
     base = tally(known, keys, score, n1=y, n0=1 - y)
     steps = running(base, keys, score, sums=["n1", "n0"], descending=True, spread=spread, totals=["n1", "n0"])

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortlab.session import fixed
+
 SAMPLE_BINS = 4096
 FAN = 16
 WIDE_ROWS = 2_000_000
@@ -26,6 +28,14 @@ def wide(df: DataFrame, keys: Sequence[str]) -> bool:
     return df.groupBy(*keys).count().filter(F.col("count") > WIDE_ROWS).limit(1).count() > 0
 
 
+def ready(df: DataFrame, keys: Sequence[str], spread: bool | None) -> tuple[DataFrame, bool]:
+    """Rows safe to be read twice, and whether keys must be split."""
+    if spread is False:
+        return df, False
+    df = fixed(df)
+    return df, wide(df, keys) if spread is None else spread
+
+
 def tally(df: DataFrame, keys: Sequence[str], order: str, **sums: Column | str) -> DataFrame:
     """Distinct (keys, order) with summed measures; map-side combined before the shuffle."""
     cols = [F.sum(c if isinstance(c, Column) else F.col(c)).alias(n) for n, c in sums.items()]
@@ -84,7 +94,7 @@ def running(
     length is bounded by construction: a single window per key.
     """
     keys = list(keys)
-    spread = wide(df, keys) if spread is None else spread
+    df, spread = ready(df, keys, spread)
     fns = [(c, F.sum) for c in sums] + [(c, F.min) for c in mins]
     along = F.col(order).desc() if descending else F.col(order).asc()
     rows = (Window.unboundedPreceding, Window.currentRow)
@@ -114,8 +124,7 @@ def running(
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", spread: bool | None = None) -> DataFrame:
     """Distinct (keys, value) with its count ``n`` and mid-rank; nulls get no rank."""
-    known = df.filter(F.col(value).isNotNull())
-    spread = wide(known, keys) if spread is None else spread
+    known, spread = ready(df.filter(F.col(value).isNotNull()), keys, spread)
     base = tally(known, keys, value, n=F.lit(1))
     ranked = running(base, keys, value, sums=["n"], spread=spread)
     rank = F.col("cum_n") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)
@@ -124,6 +133,7 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "ran
 
 def with_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, spread: bool | None = None) -> DataFrame:
     """Row-level mid-rank: ranks of distinct values joined back on (keys, value)."""
+    df = fixed(df)
     ranks = average_rank(df, keys, value, out, spread).drop("n")
     return df.join(ranks, [*keys, value], "left")
 
@@ -144,8 +154,7 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles (position (n-1)p), one column per entry of ``probs``."""
     keys = list(keys)
-    known = df.filter(F.col(value).isNotNull())
-    spread = wide(known, keys) if spread is None else spread
+    known, spread = ready(df.filter(F.col(value).isNotNull()), keys, spread)
     base = tally(known, keys, value, n=F.lit(1))
     placed = running(base, keys, value, sums=["n"], spread=spread, totals=["n"]).withColumnRenamed("tot_n", "_total")
     aggs = []
@@ -167,8 +176,13 @@ def quantiles(
 
 def descending_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", spread: bool | None = None) -> DataFrame:
     """Distinct (keys, value) with its rank from the top, ties sharing the smallest rank."""
-    known = df.filter(F.col(value).isNotNull())
-    spread = wide(known, keys) if spread is None else spread
+    known, spread = ready(df.filter(F.col(value).isNotNull()), keys, spread)
     base = tally(known, keys, value, n=F.lit(1).cast("bigint"))
     ranked = running(base, keys, value, sums=["n"], descending=True, spread=spread)
     return ranked.select(*keys, value, (F.col("cum_n") - F.col("n") + 1).alias(out))
+
+
+def with_descending_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", spread: bool | None = None) -> DataFrame:
+    """Rows with their descending rank; a null value has no rank."""
+    df = fixed(df)
+    return df.join(descending_rank(df, keys, value, out, spread), [*keys, value], "left")

@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions import tails
-from cohortlab.operators.running import average_rank, descending_rank, quantiles, running, tally, wide, with_rank
-from cohortlab.session import cut
+from cohortlab.operators.running import average_rank, quantiles, ready, running, tally, with_descending_rank, with_rank
+from cohortlab.session import cut, fixed
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -90,7 +90,7 @@ def rank_sums(df: DataFrame, keys: Sequence[str], value: str = "value", label: s
     """Per key: u1 (wins of class 1 plus half ties), n1, n0 and the tie term sum(t^3 - t)."""
     known = df.filter(F.col(value).isNotNull() & F.col(label).isNotNull())
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
-    spread = wide(known, keys) if spread is None else spread
+    known, spread = ready(known, keys, spread)
     base = tally(known, keys, value, n1=F.when(F.col(label) == 1, w).otherwise(0 * w), n0=F.when(F.col(label) == 0, w).otherwise(0 * w))
     ranked = running(base, keys, value, sums=["n0"], spread=spread)
     t = (F.col("n1") + F.col("n0")).cast("double")
@@ -169,7 +169,7 @@ def exact_permutation(df: DataFrame, keys: Sequence[str], value: str = "value",
 
 def kruskal_wallis(df: DataFrame, keys: Sequence[str], group: str, value: str = "value", with_p: bool = True) -> DataFrame:
     """H with tie correction over any number of groups."""
-    known = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
+    known = fixed(df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()))
     cells = known.groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("m"))
     ranks = average_rank(known, keys, value)
     sums = cells.join(ranks, [*keys, value]).groupBy(*keys, group).agg(
@@ -208,7 +208,7 @@ def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
     earlier in x than each row with a 1 bit. That is n log n rows of ordered
     counting, split by value range like every other running total.
     """
-    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    known = fixed(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
     # dense rank of y = number of distinct smaller values
     ys = running(known.select(F.col(y).alias("_y")).distinct().withColumn("_one", F.lit(1).cast("bigint")), [], "_y", sums=["_one"])
     coded = known.join(ys.select(F.col("_y").alias(y), (F.col("cum__one") - 1).alias("_code")), y)
@@ -248,8 +248,8 @@ def adjust_fdr(df: DataFrame, p: str = "p", family: Sequence[str] = (), out: str
     step-down minimum runs from the largest p.
     """
     family = list(family)
-    known = df.filter(F.col(p).isNotNull())
-    spread = wide(known, family)
+    df = fixed(df)
+    known, spread = ready(df.filter(F.col(p).isNotNull()), family, None)
     base = tally(known, family, p, n=F.lit(1).cast("bigint"))
     ranked = running(base, family, p, sums=["n"], spread=spread, totals=["n"])
     raw = ranked.withColumn("_q", F.col(p) * F.col("tot_n") / F.col("cum_n"))
@@ -376,7 +376,7 @@ def trigamma(x: Column) -> Column:
 def ranked_table(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
     """Mean and sd of the descending ranks over several score columns, and the re-ranked mean."""
     long = df.unpivot([key], list(cols), "measure", "score").filter(F.col("score").isNotNull())
-    ranks = long.join(descending_rank(long, ["measure"], "score"), ["measure", "score"])
+    ranks = with_descending_rank(long, ["measure"], "score")
     mean = ranks.groupBy(key).agg(F.avg("rank").alias("mean_rank"), F.stddev_samp("rank").alias("sd_rank"))
     flipped = mean.withColumn("_neg", -F.col("mean_rank"))
-    return flipped.join(descending_rank(flipped, [], "_neg", "final_rank"), "_neg").drop("_neg")
+    return with_descending_rank(flipped, [], "_neg", "final_rank").drop("_neg")

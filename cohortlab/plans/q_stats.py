@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.scalars import direction, effect_band, fold_change, heterogeneity_band, interpretable_log2_fc, log2_fold_change, rounded, same_sign
 from cohortlab.operators import rollup, tables, twogroup
-from cohortlab.operators.running import average_rank, descending_rank
+from cohortlab.operators.running import average_rank, with_descending_rank
 from cohortlab.plans import views
 from cohortlab.plans.registry import query
 from cohortlab.plans.sqltext import auc_sql, chi2_p, midrank, norm_p, r, shape, t_p
@@ -198,11 +198,10 @@ def avg_rank(spark, sf):
 
 
 @query("effect_rank", "W2", f"""{with_views('effect')}
-SELECT dataset, feature, {r('abs(d)')} AS abs_d, rank() OVER (PARTITION BY dataset ORDER BY abs(d) DESC) AS rank FROM effect""")
+SELECT dataset, feature, {r('abs(d)')} AS abs_d, CASE WHEN d IS NOT NULL THEN rank() OVER (PARTITION BY dataset ORDER BY abs(d) DESC NULLS LAST) END AS rank FROM effect""")
 def effect_rank(spark, sf):
     e = views.effect(spark, sf).withColumn("abs_d", F.abs("d"))
-    ranked = e.join(descending_rank(e, ["dataset"], "abs_d"), ["dataset", "abs_d"])
-    return shape(ranked, ["dataset", "feature", "rank"], ["abs_d"])
+    return shape(with_descending_rank(e, ["dataset"], "abs_d"), ["dataset", "feature", "rank"], ["abs_d"])
 
 
 _WIDE = """wide AS (SELECT feature, max(abs(d)) FILTER (dataset = 'BUILDING') AS building, max(abs(d)) FILTER (dataset = 'MACHINERY') AS machinery,
@@ -210,8 +209,8 @@ _WIDE = """wide AS (SELECT feature, max(abs(d)) FILTER (dataset = 'BUILDING') AS
 
 
 @query("mean_rank", "W3 P2", f"""{then('effect')} {_WIDE},
-rk AS (SELECT feature, rank() OVER (ORDER BY building DESC) AS rank FROM wide UNION ALL SELECT feature, rank() OVER (ORDER BY machinery DESC) FROM wide
- UNION ALL SELECT feature, rank() OVER (ORDER BY household DESC) FROM wide),
+rk AS (SELECT feature, rank() OVER (ORDER BY building DESC) AS rank FROM wide WHERE building IS NOT NULL UNION ALL SELECT feature, rank() OVER (ORDER BY machinery DESC) FROM wide WHERE machinery IS NOT NULL
+ UNION ALL SELECT feature, rank() OVER (ORDER BY household DESC) FROM wide WHERE household IS NOT NULL),
 m AS (SELECT feature, avg(rank) AS m, stddev_samp(rank) AS s FROM rk GROUP BY 1)
 SELECT feature, {r('m')} AS mean_rank, {r('s')} AS sd_rank, rank() OVER (ORDER BY m) AS final_rank FROM m""")
 def mean_rank(spark, sf):

@@ -58,3 +58,14 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Compute a parameter table once, then treat it as ``small`` does."""
     return small(cut(df), max_rows)
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """One materialised copy when ``df`` holds grouped values, else ``df`` itself.
+
+    A floating sum can differ in its last bits when its tasks run in another
+    order, so a value that is read twice (joined on, or compared with limits
+    taken from itself) must not be recomputed. Row-wise values cannot differ.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return cut(df) if "Aggregate" in plan else df

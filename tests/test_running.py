@@ -85,3 +85,18 @@ def test_totals_agree_between_paths(skewed):
     base = running.tally(df, ["k"], "v", n=F.lit(1).cast("bigint"))
     a, b = [running.running(base, ["k"], "v", sums=["n"], totals=["n"], spread=s).orderBy("k", "v").toPandas() for s in (True, False)]
     pd.testing.assert_frame_equal(a[["k", "v", "cum_n", "tot_n"]], b[["k", "v", "cum_n", "tot_n"]])
+
+
+def test_null_value_has_no_rank(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 5.0)], "i int, x double")
+    got = {r.i: r["rank"] for r in running.with_descending_rank(df, [], "x").collect()}
+    assert got == {1: 2, 2: None, 3: 1}
+
+
+def test_grouped_values_are_materialised_before_they_are_read_twice(spark):
+    from cohortlab.session import fixed
+
+    df = spark.range(10).select((F.col("id") % 3).alias("k"), F.rand(1).alias("v"))
+    assert fixed(df) is df
+    plan = fixed(df.groupBy("k").agg(F.avg("v").alias("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
