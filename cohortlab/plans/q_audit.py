@@ -6,14 +6,13 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from cohortlab.functions.scalars import rounded
 from cohortlab.operators import audit, prep, twogroup
 from cohortlab.operators.evaluate import auc
 from cohortlab.plans import views
 from cohortlab.plans.q_prep import QMAP, _COEF, _LIN, _linear, _train, _transfer
 from cohortlab.plans.q_stats import LABELLED, _POOLED
 from cohortlab.plans.registry import query
-from cohortlab.plans.sqltext import auc_sql, midrank, norm_p, r, shape, t_p
+from cohortlab.plans.sqltext import auc_sql, gram_rank_sql, midrank, norm_p, r, shape, t_p
 from cohortlab.plans.views import then, with_views
 from cohortlab.session import cut, settle
 
@@ -57,7 +56,12 @@ def design_rank(spark, sf):
         "batch_variable", "n_samples", "n_columns", F.col("rank").cast("bigint").alias("rank"), "identifiable", "outcome_equals_batch") for src, b, y, name in _NEST])
 
 
-@query("gram_rank", "Q2")
+_COVARIATES = ["y", "age", "CASE WHEN sex = 'male' THEN 1 ELSE 0 END"]
+_MIXED = gram_rank_sql("sample", _COVARIATES + [f"CASE WHEN batch_mixed = 'b{i}' THEN 1 ELSE 0 END" for i in range(1, 5)], "mixed", "gm")
+_NESTED = gram_rank_sql("sample", _COVARIATES + [f"CASE WHEN batch_nested = 'n{i}' THEN 1 ELSE 0 END" for i in range(1, 6)], "nested", "gn")
+
+
+@query("gram_rank", "Q2", f"{then('sample')} {_MIXED[0]}, {_NESTED[0]} {_MIXED[1]} UNION ALL {_NESTED[1]}")
 def gram_rank(spark, sf):
     """Outcome, age, sex and batch indicators together; the nested batches cost one rank."""
     s = views.sample(spark, sf)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlab.functions.hashing import phash_sql
-from cohortlab.functions.scalars import expit, logit, rounded
+from cohortlab.functions.scalars import logit, rounded
 from cohortlab.operators import evaluate, glm, models, prep, rollup, twogroup
+from cohortlab.operators.tables import top_per_group
 from cohortlab.plans import views
 from cohortlab.plans.q_eval import SCORED, scored
 from cohortlab.plans.q_prep import _SCALER, _train, _transfer
@@ -14,7 +15,7 @@ from cohortlab.plans.q_stats import LABELLED
 from cohortlab.plans.registry import query
 from cohortlab.plans.sqltext import auc_sql, chi2_p, logistic_sql, norm_p, r, shape
 from cohortlab.plans.views import then
-from cohortlab.session import cut, settle
+from cohortlab.session import cut
 
 _GD = "gd AS (SELECT doc_id, y, toxic, lang, 'all' AS model, ln(chars) AS lc, chars / words AS aw FROM doc)"
 
@@ -272,8 +273,6 @@ def attribution_stability(spark, sf):
         return models.attribution_ranking(phi).withColumn("fold", F.lit(fold))
 
     per = cut(models.union(models.parallel(one, [0, 1, 2])))
-    from cohortlab.operators.tables import top_per_group
-
     top = top_per_group(per, ["fold"], [F.desc("mean_abs_phi"), F.col("feature")], 3)
     return top.groupBy("feature").agg(F.count(F.lit(1)).alias("n_folds"))
 

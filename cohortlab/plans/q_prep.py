@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlab.functions.hashing import phash_sql
-from cohortlab.functions.scalars import rounded
 from cohortlab.operators import prep
 from cohortlab.plans import views
 from cohortlab.plans.q_stats import LABELLED

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.scalars import direction, effect_band, fold_change, heterogeneity_band, interpretable_log2_fc, log2_fold_change, rounded, same_sign
 from cohortlab.operators import rollup, tables, twogroup
+from cohortlab.operators.prep import adjust_batches
 from cohortlab.operators.running import average_rank, with_descending_rank
 from cohortlab.plans import views
 from cohortlab.plans.registry import query
-from cohortlab.plans.sqltext import auc_sql, chi2_p, midrank, norm_p, r, shape, t_p
+from cohortlab.plans.sqltext import auc_sql, chi2_p, digamma, midrank, norm_p, r, shape, t_p, trigamma
 from cohortlab.plans.views import then, with_views
 
 LABELLED = """lab AS (SELECT m.sample_id, m.feature, m.value, s.y, s.stage, s.sex, s.age, s.batch_mixed, s.batch_nested, s.cohort
@@ -176,10 +177,37 @@ def fisher_exact(spark, sf):
     return shape(twogroup.fisher_exact(d, "flag", "lang", ("en", "fr")), ["a", "b", "c", "d"], ["p"])
 
 
-@query("moderated_t", "T12")
+_EBAYES = f"""lt AS (SELECT l.feature, l.value, b.quality AS y FROM letters l JOIN labels b ON l.sample_id = b.doc_id),
+mo AS (SELECT feature, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0, avg(value) FILTER (y = 1) AS m1, avg(value) FILTER (y = 0) AS m0,
+ var_samp(value) FILTER (y = 1) AS v1, var_samp(value) FILTER (y = 0) AS v0 FROM lt GROUP BY 1),
+sv AS (SELECT *, {_POOLED} AS s2, (n1 + n0 - 2) * 1e0 AS dof FROM mo),
+ev AS (SELECT *, ln(s2) - {digamma('dof / 2e0')} + ln(dof / 2e0) AS e, {trigamma('dof / 2e0')} AS tg FROM sv WHERE s2 > 0),
+pm AS (SELECT avg(e) AS me, var_samp(e) - avg(tg) AS x FROM ev),
+bi AS (SELECT me, x, 1e-8 AS lo, 1e8 AS hi, 0 AS k FROM pm UNION ALL
+ SELECT me, x, CASE WHEN {trigamma('sqrt(lo * hi)')} > x THEN sqrt(lo * hi) ELSE lo END, CASE WHEN {trigamma('sqrt(lo * hi)')} > x THEN hi ELSE sqrt(lo * hi) END, k + 1 FROM bi WHERE k < 90),
+pr AS (SELECT CASE WHEN x > 0 THEN 2e0 * sqrt(lo * hi) END AS d0, CASE WHEN x > 0 THEN exp(me + {digamma('sqrt(lo * hi)')} - ln(sqrt(lo * hi))) ELSE exp(me) END AS s02 FROM bi WHERE k = 90),
+po AS (SELECT ev.*, d0, s02, CASE WHEN d0 IS NULL THEN s02 ELSE (d0 * s02 + dof * s2) / (d0 + dof) END AS sp FROM ev, pr),
+tt AS (SELECT *, (m1 - m0) / sqrt(sp * (1e0 / n1 + 1e0 / n0)) AS t FROM po),
+pp AS (SELECT *, CASE WHEN d0 IS NULL THEN {norm_p('t')} ELSE {t_p('t', '(dof + d0)')} END AS p FROM tt),
+ik AS (SELECT *, count(*) OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM pp)"""
+
+
+@query("moderated_t", "T12 T9", f"""WITH RECURSIVE {views.SQL['letters']}, {_EBAYES} SELECT feature, n1, n0, {r('d0', 4)} AS d0, {r('s02', 4)} AS s02, {r('s2', 4)} AS s2, {r('sp', 4)} AS s2_post,
+ {r('t', 5)} AS t, {r('p', 5)} AS p, {r('least(1e0, min(p * m / i) OVER (ORDER BY p DESC))', 5)} AS fdr FROM ik""")
 def moderated_t(spark, sf):
-    m = twogroup.adjust_fdr(twogroup.moderated_t(views.labelled(spark, sf)))
-    return shape(m.withColumn("significant", F.col("fdr") < 0.05), ["feature", "n1", "n0", "significant"], ["s2", "s2_post", "t", "p", "fdr", "d0", "s02"])
+    l, b = views.letters(spark, sf), views.table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), F.col("quality").alias("y"))
+    m = twogroup.adjust_fdr(twogroup.moderated_t(l.join(b, "sample_id")))
+    return m.select("feature", "n1", "n0", *[rounded(c, 4).alias(c) for c in ("d0", "s02", "s2", "s2_post")], *[rounded(c, 5).alias(c) for c in ("t", "p", "fdr")])
+
+
+@query("significant_after_moderation", "T12")
+def significant_after_moderation(spark, sf):
+    """Features below FDR 0.05 before and after batch adjustment of the same measurements."""
+    s = views.sample(spark, sf).select("sample_id", "y", "batch_mixed")
+    raw = views.labelled(spark, sf)
+    adjusted = adjust_batches(views.measure(spark, sf), s, "batch_mixed").select("sample_id", "feature", F.col("adjusted").alias("value")).join(s, "sample_id")
+    count = lambda df, name: twogroup.adjust_fdr(twogroup.moderated_t(df)).agg(F.count_if(F.col("fdr") < 0.05).alias("n_significant"), F.count(F.lit(1)).alias("n_features")).withColumn("stage", F.lit(name))
+    return count(raw, "before").unionByName(count(adjusted, "after"))
 
 
 @query("describe_groups", "G1", f"""{then('measure', 'sample')} {LABELLED}

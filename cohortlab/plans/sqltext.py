@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from cohortlab.functions.scalars import rounded
 
@@ -50,6 +50,18 @@ def chi2_p(x: str, k: str) -> str:
     return f"(1e0 - {const} * {_simpson(body, f'sqrt({x})')})"
 
 
+def digamma(x: str) -> str:
+    z = f"(({x}) + 30e0)"
+    return (f"(ln({z}) - 1e0 / (2e0 * {z}) - 1e0 / (12e0 * pow({z}, 2)) + 1e0 / (120e0 * pow({z}, 4)) - 1e0 / (252e0 * pow({z}, 6))"
+            f" - list_sum(list_transform(range(0, 30), lambda i: 1e0 / (({x}) + i))))")
+
+
+def trigamma(x: str) -> str:
+    z = f"(({x}) + 30e0)"
+    return (f"(1e0 / {z} + 1e0 / (2e0 * pow({z}, 2)) + 1e0 / (6e0 * pow({z}, 3)) - 1e0 / (30e0 * pow({z}, 5)) + 1e0 / (42e0 * pow({z}, 7))"
+            f" + list_sum(list_transform(range(0, 30), lambda i: 1e0 / pow(({x}) + i, 2))))")
+
+
 def auc_sql(source: str, keys: str, score: str, label: str = "y") -> str:
     """Table expression (keys, n1, n0, u1, auc) by summed mid-ranks."""
     k = f"{keys}, " if keys else ""
@@ -108,3 +120,19 @@ def logistic_sql(source: str, features: Sequence[str], model: str = "model", lab
             diag = ", ".join(f"{inv[i, i]} AS i{i}" for i in range(k))
             out.append(f"{prefix}_fit AS (SELECT model, {bs}, n, log_lik, {diag} FROM {prefix}a{s})")
     return ",\n".join(out)
+
+
+def gram_rank_sql(source: str, columns: Sequence[str], name: str, prefix: str) -> tuple[str, str]:
+    """(CTE chain, final select): rank of [1, columns] by eliminating the scaled cross-product matrix pivot by pivot."""
+    cols = ["1e0", *columns]
+    k = len(cols)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    g = lambda i, j: f"g{min(i, j)}_{max(i, j)}"
+    chain = [f"{prefix}b AS (SELECT count(*) AS n, {', '.join(f'sum(CAST({cols[i]} AS DOUBLE) * CAST({cols[j]} AS DOUBLE)) AS {g(i, j)}' for i, j in pairs)} FROM {source})",
+             f"{prefix}0 AS (SELECT n, 0 AS rank, {', '.join(f'{g(i, j)} / sqrt({g(i, i)} * {g(j, j)}) AS {g(i, j)}' for i, j in pairs)} FROM {prefix}b)"]
+    for p in range(k):
+        rest = [(i, j) for i, j in pairs if i > p]
+        step = "".join(f", CASE WHEN {g(p, p)} > 1e-8 THEN {g(i, j)} - {g(p, i)} * {g(p, j)} / {g(p, p)} ELSE {g(i, j)} END AS {g(i, j)}" for i, j in rest)
+        chain.append(f"{prefix}{p + 1} AS (SELECT n, rank + CASE WHEN {g(p, p)} > 1e-8 THEN 1 ELSE 0 END AS rank{step} FROM {prefix}{p})")
+    final = f"SELECT '{name}' AS design, n AS n_samples, CAST({k} AS INTEGER) AS n_columns, CAST(rank AS INTEGER) AS rank, rank = {k} AS identifiable FROM {prefix}{k}"
+    return ", ".join(chain), final

@@ -1,7 +1,6 @@
 import gzip
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortlab.functions import scalars as sc
 from cohortlab.operators import network, tables
