@@ -37,7 +37,8 @@ WINDOW = 13
 CELLS_PER_WINDOW = 2.0
 MAX_CELLS = 1 << 30
 BLOCK = 1 << 16
-RANGE_WINDOWS = 1 << 21
+RANGE_WINDOWS = 1 << 20
+SLICE_BYTES = 4 << 20
 SEED = 3
 
 
@@ -64,7 +65,7 @@ def sketch_parts(docs: DataFrame, blocks: int, window: int) -> DataFrame:
             parts = [x.tobytes() for x in np.split(low, cuts[1:])]
             return pa.RecordBatch.from_arrays([pa.array(block[cuts], pa.int64()), pa.array(parts, pa.binary())], ["block", "part"])
 
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE_BYTES):
             words, rows = hasher(batch.column("text"))
             found = windows(words, window, SEED)
             ends = np.repeat(rows[1:], np.diff(rows))[: len(found)]
@@ -72,7 +73,7 @@ def sketch_parts(docs: DataFrame, blocks: int, window: int) -> DataFrame:
             if len(found):
                 held.append(found)
                 size += len(found)
-            if size >= 4_000_000:
+            if size >= 2_000_000:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -102,9 +103,9 @@ def candidates(docs: DataFrame, sketch, blocks: int, window: int, ranges: int) -
 
     def run(batches):
         hasher = WordHasher()
-        bits = sketch.value
+        bits = np.frombuffer(sketch.value, np.uint8)
         width = BLOCK // 8
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE_BYTES):
             words, rows = hasher(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -221,7 +222,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, cells_per_window: floa
         bits[row["block"] * (BLOCK // 4) : (row["block"] + 1) * (BLOCK // 4)] = np.frombuffer(row["repeated"], np.uint8)
     removed(spark, at)
     ranges = max(1, -(-total // (6 * range_windows)))
-    sent = spark.sparkContext.broadcast(bits)
+    sent = spark.sparkContext.broadcast(bits.tobytes())
     slices, _ = written(candidates(docs, sent, blocks, window, ranges), "slices")
     sent.unpersist()
     packed = slices.select("slice", F.explode(F.arrays_zip("parts", "hashes", "edges")).alias("x")).select("slice", F.col("x.parts").alias("part"), "x.hashes", "x.edges")
@@ -247,7 +248,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_key")).join(partly, ["doc_id", "_key"])
 
     def run(batches):
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE_BYTES):
             texts = [x.as_buffer().to_pybytes() for x in batch.column("text").cast(pa.large_binary())]
             kept = [hashlib.sha256(_without(t, g.as_py())).hexdigest() for t, g in zip(texts, batch.column("gone"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("doc_id", "n_words", "n_removed")] + [pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
