@@ -10,9 +10,11 @@ outside space and 0x09-0x0D; with fewer words the whole sequence is one shingle)
 3. Each band of each class is a bucket key. In a bucket the smallest id is the centre of a star, so a
    bucket of n classes gives n - 1 pairs. Pairs are confirmed on full shingle sets.
 4. Components of confirmed links are formed. A bucket whose members are then in one component has
-   nothing left to find. In the others, members outside the largest component become
-   centres too, four times more in each round, until every pair of the bucket is in one
-   component or has been compared. So every candidate pair is decided, and no bucket is cut.
+   nothing left to find. The others are gathered into clusters of documents tied by shared open buckets, and
+   there every document outside the cluster's largest component is compared with all of the cluster, on full sets and
+   inside tasks: a cluster is cut into blocks of bounded size, such a document goes to every block, and a block returns at most
+   one link for each of them and each other component. A cluster for which that would be too many copies is
+   looked at bucket by bucket instead. So every candidate pair is decided and no bucket is cut, yet pairs are never listed.
 
 A pair is missed only if no band agrees: below 1e-5 at similarity 0.8 with 40 bands of 6 rows.
 
@@ -24,16 +26,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from cohortlab.llm.batches import GOLDEN, WordHasher, extended, mixed, odd_steps, windows
 from cohortlab.llm.components import components
-from cohortlab.llm.store import measured, removed, written
+from cohortlab.llm.store import measured, written
 
 SHINGLE = 2
 PERCENT = 80
 BANDS = 40
 ROWS = 6
+BLOCK_SHINGLES = 200_000
+MOST_COPIES = 64
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -126,26 +131,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
     keys = classes.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket", F.col("c.doc").alias("a"), F.col("c.n").alias("na"))
-    members, path = written(keys.join(shared, "bucket").select("bucket", "doc", "n", "a", "na"), "members")
+    members, _ = written(keys.join(shared, "bucket").select("bucket", "doc", "n", "a", "na"), "members")
     tried, _ = written(members.filter("doc <> a").select("a", F.col("doc").alias("b"), "na", F.col("n").alias("nb")).filter(_close_sizes(percent)).select("a", "b").distinct(), "pairs")
     wanted = measured(members.select(F.col("doc").alias("doc_id")).distinct())
     texts = docs.join(wanted, "doc_id", "left_semi")
     sets, _ = written(shingle_sets(texts, shingle).dropDuplicates(["doc_id"]) if _repeated(signs) else shingle_sets(texts, shingle), "sets")
     links, _ = written(_confirmed(tried, sets, percent), "links")
     found = components(links)
-    centres = 4
-    while True:
-        open_buckets, place = written(_open(members, found), "open")
-        if not open_buckets.take(1):
-            removed(spark, place)
-            break
-        pairs, _ = written(_more_pairs(open_buckets, centres, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(written(_confirmed(pairs, sets, percent), "links")[0])
-        tried = tried.union(pairs)
-        found = components(links)
-        if not open_buckets.filter(f"rank > {centres}").take(1):
-            break
-        centres *= 4
+    more = _second_look(members, found, sets, percent)
+    if more is not None:
+        found = components(links.union(more))
     found, _ = written(found, "components")
     named = classes.select("set_a", "set_b", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("class_component"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
@@ -157,19 +152,55 @@ def _repeated(signs: DataFrame) -> bool:
     return bool(signs.groupBy("doc_id").count().filter("count > 1").take(1))
 
 
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, ranked outside each bucket's largest component (others: rank null)."""
-    rows = members.select("bucket", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
-    split = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "component")).getField("component").alias("largest")).filter("parts > 1")
-    rows = rows.join(split.select("bucket", "largest"), "bucket")
-    outer = rows.filter("component <> largest").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("doc")))
-    return outer.unionByName(rows.filter("component = largest").withColumn("rank", F.lit(None).cast("int")))
-
-
-def _more_pairs(open_buckets: DataFrame, centres: int, percent: int) -> DataFrame:
-    """Pairs of the first ``centres`` ranked members of each open bucket with its members in other components."""
-    hub = open_buckets.filter(f"rank <= {centres}").select("bucket", F.col("doc").alias("x"), F.col("n").alias("na"), F.col("component").alias("cx"))
-    rim = open_buckets.select("bucket", F.col("doc").alias("y"), F.col("n").alias("nb"), F.col("component").alias("cy"))
-    pairs = hub.join(rim, "bucket").filter("cx <> cy").filter(_close_sizes(percent))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (group, doc, n, component) with each group's number of blocks, and ``outside`` for documents that are not in its largest component."""
+    parts = rows.groupBy("group", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    stats = parts.groupBy("group").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("docs"), F.sum("n").alias("n"))
+    stats = stats.select("group", F.col("top.component").alias("largest"), F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), "docs", (F.col("docs") - F.col("top.m")).alias("n_outside"))
+    return rows.join(stats, "group").withColumn("outside", F.col("component") != F.col("largest"))
+
+
+def _second_look(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between different components of ``found`` whose documents share a bucket; None if no bucket is open."""
+    rows = members.select("bucket", "a", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    split = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    rows, _ = written(rows.join(split.select("bucket"), "bucket"), "open")
+    if not rows.take(1):
+        return None
+    tied = components(rows.select("a", F.col("doc").alias("b"))).select(F.col("node").alias("doc"), F.col("component").alias("group"))
+    clusters, _ = written(_placed(rows.select("doc", "n", "component").distinct().join(tied, "doc")), "clusters")
+    heavy = F.col("n_outside") * F.col("blocks") > MOST_COPIES * F.col("docs")
+    by_bucket = _placed(rows.join(clusters.filter(heavy).select("doc"), "doc", "left_semi").select(F.col("bucket").alias("group"), "doc", "n", "component"))
+    columns = ["group", "doc", "component", "blocks", "outside"]
+    groups = clusters.filter(~heavy).select(F.lit(0).alias("kind"), *columns).unionByName(by_bucket.select(F.lit(1).alias("kind"), *columns))
+    home = F.struct(F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("guest"))
+    guests = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("guest")))
+    filed = groups.join(sets.withColumnRenamed("doc_id", "doc"), "doc").withColumn("at", F.explode(F.when(F.col("outside"), F.concat(F.array(home), guests)).otherwise(F.array(home))))
+
+    def compare(table: pa.Table) -> pa.Table:
+        guest = table.column("guest").to_numpy()
+        docs, parts = table.column("doc").to_numpy(), table.column("component").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        values = pc.list_flatten(lists).to_numpy()
+        shingles = np.split(values, ends[:-1])
+        own = np.flatnonzero(~guest)
+        pairs: list[tuple[int, int]] = []
+        if len(own):
+            sizes = np.array([len(shingles[i]) for i in own])
+            every, owner = np.concatenate([shingles[i] for i in own]), np.repeat(np.arange(len(own)), sizes)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            for g in np.flatnonzero(guest):
+                mine = shingles[g]
+                low, high = np.searchsorted(every, mine, "left"), np.searchsorted(every, mine, "right")
+                count = high - low
+                hits = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                both = np.bincount(owner[hits], minlength=len(own))
+                close = (100 * both >= percent * (len(mine) + sizes - both)) & (parts[own] != parts[g])
+                first = {int(parts[own[i]]): int(docs[own[i]]) for i in np.flatnonzero(close)[::-1]}
+                pairs += [(int(docs[g]), other) for other in first.values()]
+        return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
+
+    blocks = filed.select("kind", "group", F.col("at.block").alias("block"), "doc", "component", F.col("at.guest").alias("guest"), "shingles")
+    return written(blocks.groupBy("kind", "group", "block").applyInArrow(compare, "a bigint, b bigint").distinct(), "links")[0]
