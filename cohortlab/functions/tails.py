@@ -93,27 +93,57 @@ def _log_choose(n: float, k: float) -> float:
 
 def hypergeom_upper(k: float, total: float, marked: float, drawn: float) -> float:
     """P(X >= k) when ``drawn`` items leave a pool of ``total`` with ``marked`` marked."""
-    top = int(min(marked, drawn))
-    base = _log_choose(total, drawn)
-    low = int(max(k, drawn + marked - total, 0))
-    mass = (
-        math.exp(_log_choose(marked, i) + _log_choose(total - marked, drawn - i) - base)
-        for i in range(low, top + 1)
-    )
-    return min(1.0, math.fsum(mass))
+    low, high = int(max(0, drawn + marked - total)), int(min(marked, drawn))
+    start = max(int(k), low)
+    if start > high:
+        return 0.0
+    mode = min(max(int((marked + 1) * (drawn + 1) / (total + 2)), low), high)
+    if start > mode:
+        return min(1.0, _tail(start, high, total, marked, drawn))
+    return min(1.0, _tail(mode, high, total, marked, drawn) + (_tail(mode - 1, start, total, marked, drawn) if start < mode else 0.0))
+
+
+def _log_mass(i: float, total: float, marked: float, drawn: float) -> float:
+    return _log_choose(marked, i) + _log_choose(total - marked, drawn - i) - _log_choose(total, drawn)
+
+
+def _tail(start: int, stop: int, total: float, marked: float, drawn: float) -> float:
+    """Mass from ``start`` through ``stop``, away from the mode, by the ratio of neighbours; ends when terms no longer count."""
+    term = math.exp(_log_mass(start, total, marked, drawn))
+    terms, reached, i = [term], term, start
+    while i != stop and term > reached * 1e-18:
+        if stop > start:
+            term *= (marked - i) * (drawn - i) / ((i + 1.0) * (total - marked - drawn + i + 1.0))
+            i += 1
+        else:
+            term *= i * (total - marked - drawn + i) / ((marked - i + 1.0) * (drawn - i + 1.0))
+            i -= 1
+        terms.append(term)
+        reached += term
+    return math.fsum(terms)
 
 
 def fisher_two_sided(a: float, b: float, c: float, d: float) -> float:
     """Sum of table probabilities not above the observed one (relative slack 1e-7)."""
     total, marked, drawn = a + b + c + d, a + b, a + c
-    base = _log_choose(total, drawn)
-
-    def prob(i: float) -> float:
-        return math.exp(_log_choose(marked, i) + _log_choose(total - marked, drawn - i) - base)
-
-    limit = prob(a) * (1 + 1e-7)
     low, high = int(max(0, drawn + marked - total)), int(min(marked, drawn))
-    return min(1.0, math.fsum(p for p in map(prob, range(low, high + 1)) if p <= limit))
+    mode = min(max(int((marked + 1) * (drawn + 1) / (total + 2)), low), high)
+    limit = _log_mass(a, total, marked, drawn) + math.log1p(1e-7)
+    over = lambda i: _log_mass(i, total, marked, drawn) > limit
+    if not over(mode):
+        return 1.0
+    # either side of the mode falls away from it: halve the distance to the first table that counts
+    left, right = low - 1, mode
+    while right - left > 1:
+        middle = (left + right) // 2
+        left, right = (left, middle) if over(middle) else (middle, right)
+    below = left
+    left, right = mode, high + 1
+    while right - left > 1:
+        middle = (left + right) // 2
+        left, right = (middle, right) if over(middle) else (left, middle)
+    mass = (_tail(below, low, total, marked, drawn) if below >= low else 0.0) + (_tail(right, high, total, marked, drawn) if right <= high else 0.0)
+    return min(1.0, mass)
 
 
 def trigamma_inverse(y: float) -> float:

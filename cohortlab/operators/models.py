@@ -39,14 +39,28 @@ def union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def feature_arrays(long: DataFrame, keys: Sequence[str], value: str = "z", feature: str = "feature") -> DataFrame:
-    """One row per sample with an array of values in feature order; its length is the feature count."""
-    packed = long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(feature).alias("f"), F.coalesce(F.col(value), F.lit(0.0)).alias("v")))).alias("_p"))
-    return packed.select(*keys, F.transform("_p", lambda s: s["v"]).alias("x"))
+def feature_arrays(long: DataFrame, keys: Sequence[str], value: str = "z", feature: str = "feature", names: Sequence[str] | None = None, fill: float = 0.0) -> DataFrame:
+    """One row per sample with an array of values in the order of ``names`` (all features of ``long`` if not given).
+
+    A null or absent cell takes ``fill``, by default 0: the training mean of a standardised feature.
+    """
+    x = in_feature_order(long, feature, F.coalesce(F.col(value), F.lit(fill)), F.lit(fill), names)
+    return long.filter(F.col(feature).isNotNull()).groupBy(*keys).agg(x.alias("x"))
+
+
+def in_feature_order(long: DataFrame, feature: str, value: Column, missing: Column, names: Sequence[str] | None = None) -> Column:
+    """Aggregate of a sample's rows: its values in feature order, ``missing`` where it has no row. One cell for each feature is expected."""
+    names = feature_names(long, feature) if names is None else list(names)
+    cells = F.array_sort(F.collect_list(F.when(F.col(feature).isin(names) if len(names) < 100 else F.lit(True), F.struct(F.col(feature).alias("f"), value.alias("v")))))
+    wanted = F.lit(names) if names else F.array().cast("array<string>")
+    # a complete sample is already in order; only others are looked up by name
+    complete = F.transform(cells, lambda s: s["f"]) == wanted
+    by_name = F.map_from_entries(F.array_distinct(cells))
+    return F.when(complete, F.transform(cells, lambda s: s["v"])).otherwise(F.transform(wanted, lambda n: F.coalesce(F.element_at(by_name, n), missing)))
 
 
 def feature_names(long: DataFrame, feature: str = "feature") -> list[str]:
-    return [r[0] for r in long.select(feature).distinct().orderBy(feature).collect()]
+    return [r[0] for r in long.filter(F.col(feature).isNotNull()).select(feature).distinct().orderBy(feature).collect()]
 
 
 def _vec(df: DataFrame) -> DataFrame:

@@ -175,7 +175,9 @@ def fit_batch_adjustment(df: DataFrame, batch: str, feature: str = "feature", va
     """Location and scale per (feature, batch), shrunk over features within a batch.
 
     Moments come from one aggregation; the shrinkage is fixed-step arithmetic on
-    the (feature, batch) rows, so no measurement is revisited.
+    the (feature, batch) rows, so no measurement is revisited. A batch of one sample
+    has no variance: only its location is adjusted (scale 1). Equal variances over all
+    features leave nothing to shrink: they are the scale.
     """
     per = df.groupBy(feature, batch).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
     grand = per.groupBy(feature).agg(
@@ -191,9 +193,9 @@ def fit_batch_adjustment(df: DataFrame, batch: str, feature: str = "feature", va
     prior = std.groupBy(batch).agg(
         F.avg("g_hat").alias("g_bar"), F.var_samp("g_hat").alias("t2"), F.avg("d_hat").alias("dm"), F.var_samp("d_hat").alias("dv")
     ).select(
-        batch, "g_bar", "t2",
-        ((2.0 * F.col("dv") + F.col("dm") * F.col("dm")) / F.col("dv")).alias("a"),
-        ((F.col("dm") * F.col("dv") + F.pow("dm", 3)) / F.col("dv")).alias("b"),
+        batch, "g_bar", F.coalesce("t2", F.lit(0.0)).alias("t2"),
+        ((2.0 * F.col("dv") + F.col("dm") * F.col("dm")) / F.nullif(F.col("dv"), F.lit(0.0))).alias("a"),
+        ((F.col("dm") * F.col("dv") + F.pow("dm", 3)) / F.nullif(F.col("dv"), F.lit(0.0))).alias("b"), "dm",
     )
     joined = std.join(prior, batch)
     n = F.col("n").cast("double")
@@ -201,10 +203,10 @@ def fit_batch_adjustment(df: DataFrame, batch: str, feature: str = "feature", va
     def step(state: Column, _: Column) -> Column:
         g = (F.col("t2") * n * F.col("g_hat") + state["d"] * F.col("g_bar")) / (F.col("t2") * n + state["d"])
         ss = (n - 1.0) * F.col("d_hat") + n * (F.col("g_hat") - g) * (F.col("g_hat") - g)
-        d = (0.5 * ss + F.col("b")) / (n / 2.0 + F.col("a") - 1.0)
+        d = F.when(F.col("d_hat").isNull(), F.lit(1.0)).when(F.col("a").isNull(), F.col("dm")).otherwise((0.5 * ss + F.col("b")) / (n / 2.0 + F.col("a") - 1.0))
         return F.struct(g.alias("g"), d.alias("d"))
 
-    start = F.struct(F.col("g_hat").alias("g"), F.col("d_hat").alias("d"))
+    start = F.struct(F.col("g_hat").alias("g"), F.coalesce("d_hat", F.lit(1.0)).alias("d"))
     done = joined.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step))
     return settle(done.select(feature, batch, "grand", "scale", F.col("_s.g").alias("shift"), F.col("_s.d").alias("spread")))
 

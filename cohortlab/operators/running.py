@@ -12,15 +12,17 @@ third of the ranges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlab.session import fixed
 
-SAMPLE_BINS = 4096
+SAMPLE_FACTOR = 16
 FAN = 16
 WIDE_ROWS = 2_000_000
+RANGE_ROWS = 1_000_000
 
 
 def wide(df: DataFrame, keys: Sequence[str]) -> bool:
@@ -42,37 +44,42 @@ def tally(df: DataFrame, keys: Sequence[str], order: str, **sums: Column | str)
     return df.groupBy(*keys, order).agg(*cols)
 
 
-def _limits(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row: FAN*FAN-way range limits as an array of arrays."""
+def fan_of(n: int) -> int:
+    """Square root of the number of ranges for ``n`` rows: about RANGE_ROWS rows a range, however many rows there are."""
+    return max(FAN, math.isqrt(n // RANGE_ROWS) + 1)
+
+
+def _limits(df: DataFrame, keys: Sequence[str], order: str, fan: int) -> DataFrame:
+    """One row: fan*fan-way range limits as an array of arrays, from a sample that grows with the number of ranges."""
     mark = F.xxhash64(*keys, order)
     picked = (
         df.select(mark.alias("_h"), F.col(order).alias("_v"))
-        .groupBy(F.pmod("_h", F.lit(SAMPLE_BINS)).alias("_bin"))
+        .groupBy(F.pmod("_h", F.lit(SAMPLE_FACTOR * fan * fan)).alias("_bin"))
         .agg(F.min_by("_v", "_h").alias("_v"))
     )
     ordered = picked.agg(F.sort_array(F.collect_list("_v")).alias("_a"))
     size = F.size("_a")
 
     def point(i: Column) -> Column:
-        at = F.floor(i * size / F.lit(FAN * FAN)).cast("int")
+        at = F.floor(i * size / F.lit(fan * fan)).cast("int")
         return F.get(F.col("_a"), F.least(at, size - 1))
 
     fine = F.transform(
-        F.sequence(F.lit(0), F.lit(FAN - 1)),
-        lambda c: F.transform(F.sequence(F.lit(1), F.lit(FAN - 1)), lambda f: point(c * FAN + f)),
+        F.sequence(F.lit(0), F.lit(fan - 1)),
+        lambda c: F.transform(F.sequence(F.lit(1), F.lit(fan - 1)), lambda f: point(c * fan + f)),
     )
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(FAN - 1)), lambda c: point(c * FAN))
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(fan - 1)), lambda c: point(c * fan))
     return ordered.select(F.struct(coarse.alias("coarse"), fine.alias("fine")).alias("_limits"))
 
 
-def _with_range(df: DataFrame, limits: DataFrame, order: str) -> DataFrame:
+def _with_range(df: DataFrame, limits: DataFrame, order: str, fan: int) -> DataFrame:
     """Add ``_range``; it grows with ``order``. Limits arrive as a scalar subquery."""
     df = df.withColumn("_limits", limits.scalar())
     coarse = F.size(F.filter(F.col("_limits.coarse"), lambda b: b < F.col(order)))
     df = df.withColumn("_coarse", coarse)
     inner = F.get(F.col("_limits.fine"), F.col("_coarse"))
     fine = F.size(F.filter(inner, lambda b: b < F.col(order)))
-    return df.withColumn("_range", F.col("_coarse") * FAN + F.greatest(fine, F.lit(0))).drop(
+    return df.withColumn("_range", F.col("_coarse") * fan + F.greatest(fine, F.lit(0))).drop(
         "_limits", "_coarse"
     )
 
@@ -103,8 +110,9 @@ def running(
         all_of = Window.partitionBy(*keys)
         return df.select("*", *[fn(c).over(w).alias(f"cum_{c}") for c, fn in fns], *[F.sum(c).over(all_of).alias(f"tot_{c}") for c in totals])
 
-    ranged = _with_range(df, _limits(df, keys, order), order)
-    # one carry row per (key, range), at most FAN * FAN per key, holds what the ranges before it add up to
+    fan = fan_of(df.count())
+    ranged = _with_range(df, _limits(df, keys, order, fan), order, fan)
+    # one carry row per (key, range), at most fan * fan per key, holds what the ranges before it add up to
     toward = F.col("_range").desc() if descending else F.col("_range").asc()
     before = Window.partitionBy(*keys).orderBy(toward).rowsBetween(Window.unboundedPreceding, -1)
     per_range = ranged.groupBy(*keys, "_range").agg(*[fn(c).alias(c) for c, fn in fns])

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cohortlab.functions.scalars import to_number
+from cohortlab.session import small
 
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ",", partitions: int | None = None) -> DataFrame:
@@ -24,20 +25,35 @@ def _unquoted(c: Column) -> Column:
 
 
 def _fields(c: str, sep: str) -> Column:
-    return F.transform(F.split(F.col(c), sep), _unquoted)
+    return F.transform(F.split(F.col(c), _literal(sep)), _unquoted)
+
+
+def _literal(text: str) -> str:
+    """A pattern that matches ``text`` itself."""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines and the file each comes from."""
+    return spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("_file"))
 
 
 def _long(lines: DataFrame, header: DataFrame, sep: str, row: str, col: str) -> DataFrame:
-    """Data lines times the header's names.
+    """Data lines times the names in their own file's header (columns ``h``, ``_file``).
 
-    The header line is looked up once (a take, which stops at the first file part
-    that has it) and arrives as a one-row scalar, so nothing is joined.
+    If one file alone has a header, it is that of all: it arrives as a one-row scalar and nothing is
+    joined. Otherwise headers are joined by file, and a file without one is an error.
     """
-    found = header.head()
-    if found is None:
+    found = header.limit(2).collect()
+    if not found:
         raise ValueError("no header line found")
-    names = lines.sparkSession.createDataFrame([(list(found[0]),)], "h array<string>")
-    marked = lines.withColumn("_h", names.scalar()).withColumn("_f", _fields("line", sep))
+    if len(found) == 1:
+        marked = lines.withColumn("_h", lines.sparkSession.createDataFrame([(list(found[0]["h"]),)], "h array<string>").scalar())
+    else:
+        heads = small(header.groupBy("_file").agg(F.first("h").alias("_h")))
+        missing = F.raise_error(F.concat(F.lit("no header line in "), F.col("_file"))).cast("array<string>")
+        marked = lines.join(heads, "_file", "left").withColumn("_h", F.coalesce("_h", missing))
+    marked = marked.withColumn("_f", _fields("line", sep))
     cells = marked.select(F.get("_f", F.lit(0)).alias(row), "_h", F.posexplode(F.slice("_f", 2, 1 << 30)).alias("_p", "_v"))
     return cells.select(row, F.get("_h", F.col("_p") + 1).alias(col), to_number("_v").alias("value"))
 
@@ -48,12 +64,12 @@ def read_matrix_long(spark: SparkSession, path: str, orientation: str = "feature
     The header is the line whose first field is ``header_key``. Cells that are not
     finite numbers become null. With ``keys``, other rows are dropped before splitting.
     """
-    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    lines = _lines(spark, path)
     if partitions:
         lines = lines.repartition(partitions)
     first = _unquoted(F.substring_index("line", sep, 1))
     marker = first == F.lit(header_key if header_key is not None else "")
-    header = lines.filter(marker).select(_fields("line", sep))
+    header = lines.filter(marker).select(_fields("line", sep).alias("h"), "_file")
     body = lines.filter(~marker & (F.trim("line") != ""))
     if keys is not None:
         body = body.filter(first.isin(list(keys)))
@@ -77,7 +93,7 @@ def read_blocks(spark: SparkSession, path: str, block_prefix: str = "^SAMPLE = "
     named = blocks.select(F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1)).alias("sample_id"), F.split("value", r"\r?\n").alias("_l"))
     lines = named.filter(F.exists("_l", lambda x: x.startswith(key_prefix))).select("sample_id", F.posexplode("_l").alias("_p", "line"))
     pairs = lines.filter(F.col("line").startswith(key_prefix)).select(
-        "sample_id", F.trim(F.regexp_extract("line", f"^{key_prefix}([^=]*?) *=", 1)).alias("key"), "_p",
+        "sample_id", F.trim(F.regexp_extract("line", f"^{_literal(key_prefix)}([^=]*?) *=", 1)).alias("key"), "_p",
         F.trim(F.regexp_extract("line", "^[^=]*=(.*)$", 1)).alias("value"),
     )
     grouped = pairs.groupBy("sample_id", "key")
@@ -111,9 +127,9 @@ def header_table(long: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def read_table_block(spark: SparkSession, path: str, keys: Sequence[str] | None = None, header_key: str = "ID_REF") -> DataFrame:
     """Embedded table of a series file to (sample_id, feature, value); lines starting with ``!`` are not part of it."""
-    lines = spark.read.text(path).withColumnRenamed("value", "line").filter(~F.col("line").startswith("!") & (F.trim("line") != ""))
+    lines = _lines(spark, path).filter(~F.col("line").startswith("!") & (F.trim("line") != ""))
     first = _unquoted(F.substring_index("line", "\t", 1))
-    header = lines.filter(first == header_key).select(_fields("line", "\t"))
+    header = lines.filter(first == header_key).select(_fields("line", "\t").alias("h"), "_file")
     body = lines.filter(first != header_key)
     if keys is not None:
         body = body.filter(first.isin(list(keys)))

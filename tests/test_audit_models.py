@@ -152,3 +152,15 @@ def test_selection_summary_and_ladder(spark):
     assert (f.n_selected, f.frequency, f.sign_consistency) == (3, 0.75, pytest.approx(2 / 3))
     ladder = {r.threshold: r.n_features for r in rollup.threshold_ladder(s, [0.2, 0.5, 0.8]).collect()}
     assert ladder == {0.2: 2, 0.5: 1, 0.8: 0}
+
+
+def test_missing_cells_keep_their_place(spark):
+    from cohortlab.operators import audit, models
+
+    long = spark.createDataFrame([("a", "f1", 1.0), ("a", "f3", 3.0), ("b", "f1", 1.0), ("b", "f2", 2.0), ("b", "f3", 3.0), ("c", "f2", None), ("c", "f1", 5.0)], "sample_id string, feature string, z double")
+    assert {r.sample_id: r.x for r in models.feature_arrays(long, ["sample_id"]).collect()} == {"a": [1.0, 0.0, 3.0], "b": [1.0, 2.0, 3.0], "c": [5.0, 0.0, 0.0]}
+    vectors = audit.sample_vectors(long, value="z")
+    got = {r.sample_id: r.raw for r in vectors.collect()}
+    assert got == {"a": [1.0, None, 3.0], "b": [1.0, 2.0, 3.0], "c": [5.0, None, None]}
+    assert audit.nearest_neighbour(vectors).count() == 3
+    assert all(r.mean_rho is not None for r in audit.correlation_outliers(vectors).collect())

@@ -62,7 +62,7 @@ def test_spread_path_splits_the_hot_key(skewed):
     """No (key, range) cell may hold a large part of the hot key."""
     _, df = skewed
     base = running.tally(df, ["k"], "v", n=F.lit(1))
-    ranged = running._with_range(base, running._limits(base, ["k"], "v"), "v")
+    ranged = running._with_range(base, running._limits(base, ["k"], "v", 16), "v", 16)
     cell = ranged.groupBy("k", "_range").count().agg(F.max("count")).first()[0]
     assert cell < base.count() / 30
 
@@ -100,3 +100,8 @@ def test_grouped_values_are_materialised_before_they_are_read_twice(spark):
     assert fixed(df) is df
     plan = fixed(df.groupBy("k").agg(F.avg("v").alias("v")))._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan
+
+
+def test_ranges_grow_with_the_rows():
+    assert running.fan_of(1000) == 16
+    assert running.fan_of(10**12) ** 2 * running.RANGE_ROWS >= 10**12

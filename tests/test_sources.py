@@ -106,3 +106,12 @@ def test_lines_and_replacements(spark):
     out = network.replace_in_order(d, [(r"\d+", "N"), ("N", "M")])
     assert {r.id: r.changed for r in out.collect()} == {1: True, 2: False}
     assert [(r.line_no, r.old_line, r.new_line) for r in network.changed_lines(out, "id", "text", "new_text").orderBy("line_no").collect()] == [(1, "a1", "aM"), (2, "b 22", "b M")]
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    from cohortlab.sources import text
+
+    (tmp_path / "one.csv").write_text("id|s1|s2\nf|1|2\n")
+    (tmp_path / "two.csv").write_text("id|s3|s4\nf|3|4\n")
+    got = {(r.sample_id, r.value) for r in text.read_matrix_long(spark, str(tmp_path), sep="|", header_key="id").collect()}
+    assert got == {("s1", 1.0), ("s2", 2.0), ("s3", 3.0), ("s4", 4.0)}

@@ -30,3 +30,21 @@ def test_trigamma_inverse_round_trip():
     assert tails.trigamma_inverse(math.pi**2 / 6) == pytest.approx(1.0, rel=1e-9)
     assert tails.trigamma_inverse(math.pi**2 / 2) == pytest.approx(0.5, rel=1e-9)
     assert tails.digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-12)
+
+
+def test_discrete_tails_equal_full_sums_and_stay_fast():
+    import math
+    import time
+
+    from cohortlab.functions import tails as t
+
+    choose = math.comb
+    for a, b, c, d in [(3, 1, 2, 6), (0, 5, 7, 1), (10, 12, 9, 30), (1, 0, 0, 0), (4, 4, 4, 4), (0, 3, 0, 9)]:
+        total, marked, drawn = a + b + c + d, a + b, a + c
+        mass = {i: choose(marked, i) * choose(total - marked, drawn - i) / choose(total, drawn) for i in range(max(0, drawn + marked - total), min(marked, drawn) + 1)}
+        assert abs(t.fisher_two_sided(a, b, c, d) - min(1.0, sum(p for p in mass.values() if p <= mass[a] * (1 + 1e-7)))) < 1e-12
+        for k in range(-1, total + 2):
+            assert abs(t.hypergeom_upper(k, total, marked, drawn) - sum(p for i, p in mass.items() if i >= k)) < 1e-12
+    start = time.perf_counter()
+    assert 0 < t.fisher_two_sided(5e7 + 2e4, 5e7, 5e7, 5e7) < 1
+    assert time.perf_counter() - start < 1
