@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+BATCH_ROWS = 2000
 
 # fixed values: the additive and multiplicative constants of the splitmix64 generator
 GOLDEN = 0x9E3779B97F4A7C15
@@ -29,12 +30,19 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start, before = stop, int(ends[stop - 1])
 
 
+def bounded(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to SLICE_BYTES and BATCH_ROWS, so that a task never has many long texts in memory at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def extended(df: DataFrame, column: str, added: str, work: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """``df`` with the columns of the DDL ``added``.
 
     ``work()`` runs once in a task and returns a function from a slice to the new
     values by name. Input columns of the same names are replaced.
     """
+    bounded(df.sparkSession)
     new = T.StructType.fromDDL(added)
     kept = [f for f in df.schema.fields if f.name.lower() not in {x.name.lower() for x in new.fields}]
     names, fields = [f.name for f in kept], [f.name for f in new.fields]

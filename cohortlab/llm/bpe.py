@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlab.llm.batches import extended
 
-REMEMBERED = 700_000
+REMEMBERED = 120_000
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
 #: White space as Unicode defines it, which leaves out 0x1C-0x1F.
 BLANK = "\t\n\v\f\r \x85\xa0  -     　"

@@ -32,7 +32,7 @@ SAMPLE_DOCS = 4000
 ROUNDS = 3
 SMOOTHING = 0.1
 MAX_LANGUAGES = 400
-REMEMBERED = 700_000
+REMEMBERED = 120_000
 LONG = 32
 LETTERS = re.compile(r"[^\W\d_]+")
 
