@@ -180,6 +180,27 @@ def digamma(x: float) -> float:
     return total + math.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
 
 
+def rank_sum_two_sided(ranks: np.ndarray, n1: int, observed: int) -> float:
+    """Share of the splits of whole-number ``ranks`` into n1 and the rest whose sum is at least as far from its mean as ``observed``.
+
+    Cases are drawn rank by rank; the table holds the chance of each (cases so far, sum so far).
+    """
+    n, top = len(ranks), int(ranks.sum())
+    if 2 * n1 > n:
+        n1, observed = n - n1, top - observed
+    ranks = np.sort(ranks)
+    width = int(ranks[n - n1 :].sum()) + 1
+    chance = np.zeros((n1 + 1, width))
+    chance[0, 0] = 1.0
+    left = n1 - np.arange(n1 + 1)
+    for j, rank in enumerate(ranks):
+        taken = chance * (left / (n - j))[:, None]
+        chance -= taken
+        chance[1:, rank:] += taken[:-1, : width - rank]
+    far = np.abs(np.arange(width) * n - n1 * top) >= abs(observed * n - n1 * top)
+    return float(min(1.0, chance[n1][far].sum()))
+
+
 def _column(fn):
     """Vectorised Spark function over scalar tails; null or NaN in, null out."""
 
@@ -202,3 +223,8 @@ hypergeom_p = _column(hypergeom_upper)
 fisher_p = _column(fisher_two_sided)
 trigamma_inv = _column(trigamma_inverse)
 digamma_col = _column(digamma)
+
+
+@F.pandas_udf(T.DoubleType())
+def rank_sum_p(ranks: pd.Series, n1: pd.Series, observed: pd.Series) -> pd.Series:
+    return pd.Series([rank_sum_two_sided(np.asarray(r, dtype=np.int64), int(n), int(s)) for r, n, s in zip(ranks, n1, observed, strict=True)], dtype=float)

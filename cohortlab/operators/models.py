@@ -7,6 +7,7 @@ is a Spark job over the sample table, and independent fits share a thread pool.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import combinations
@@ -113,15 +114,16 @@ def importances(model, names: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame(list(zip(names, [float(v) for v in model.featureImportances.toArray()])), "feature string, importance double")
 
 
-def shapley(model, rows: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Exact Shapley values of the predicted probability against the feature means, for up to 12 features.
+def shapley(model, rows: DataFrame, names: Sequence[str], keys: Sequence[str], draws: int = 16, seed: int = 42) -> DataFrame:
+    """Shapley values of the predicted probability against the feature means.
 
-    A row is scored under every subset of features kept (others at their mean);
-    each subset then adds to or takes from every feature with its fixed weight.
+    Up to 12 features they are exact: a row is scored under every subset of features kept (others at their mean);
+    each subset then adds to or takes from every feature with its fixed weight. With more features they are means over
+    ``draws`` feature orders drawn with ``seed``: see ``sampled_shapley``.
     """
     p = len(names)
     if p > 12:
-        raise ValueError("exact attribution is for at most 12 features")
+        return sampled_shapley(model, rows, names, keys, draws, seed)
     means = rows.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(p)]))
     base = rows.withColumn("_m", means.scalar()).select(*keys, F.col("x").alias("_x"), "_m", F.explode(F.sequence(F.lit(0), F.lit((1 << p) - 1))).alias("_s"))
     masked = base.withColumn("x", F.array(*[F.when(F.getbit(F.col("_s"), F.lit(i)) == 1, F.col("_x")[i]).otherwise(F.col("_m")[i]) for i in range(p)]))
@@ -136,6 +138,31 @@ def shapley(model, rows: DataFrame, names: Sequence[str], keys: Sequence[str]) -
     return scored.groupBy(*keys).agg(*part).unpivot(list(keys), list(names), "feature", "phi")
 
 
+def sampled_shapley(model, rows: DataFrame, names: Sequence[str], keys: Sequence[str], draws: int = 16, seed: int = 42) -> DataFrame:
+    """Shapley values as means over ``draws`` random feature orders, the same orders for every row.
+
+    In each order features change one by one from their mean to the row's value, and a change of the prediction is
+    the feature's. So a row's values add up to its prediction less that at the means, as exact ones do. Work per row is
+    draws * (features + 1) predictions; nothing is shuffled but partial sums.
+    """
+    p = len(names)
+    draw = random.Random(seed)
+    orders = [draw.sample(range(p), p) for _ in range(draws)]
+    places = [[o.index(i) for i in range(p)] for o in orders]
+    means = rows.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(p)]))
+    lists = lambda table: F.array(*[F.array(*[F.lit(v) for v in one]) for one in table])
+    base = rows.withColumn("_m", means.scalar()).select(*keys, F.col("x").alias("_x"), "_m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d"))
+    base = base.withColumn("_at", lists(places)[F.col("_d")]).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(p))))
+    masked = base.withColumn("x", F.transform("_x", lambda v, i: F.when(F.get("_at", i) < F.col("_s"), v).otherwise(F.get("_m", i))))
+    scored = predict(model, masked, [*keys, "_d", "_s"]).withColumn("_o", lists(orders)[F.col("_d")])
+    parts = F.array(
+        F.struct(F.get("_o", F.col("_s") - 1).alias("i"), F.col("probability").alias("v")),
+        F.struct(F.get("_o", F.col("_s")).alias("i"), (-F.col("probability")).alias("v")),
+    )
+    moved = scored.select(*keys, F.inline(parts)).filter("i IS NOT NULL")
+    return moved.groupBy(*keys, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("feature")).agg((F.sum("v") / draws).alias("phi"))
+
+
 def attribution_ranking(phi: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return phi.groupBy(*by, "feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
 
@@ -145,10 +172,10 @@ def permutation_importance(model, rows: DataFrame, names: Sequence[str], key: st
     order = row_numbers(rows.select(key, "x"), [], key, "_pos")
     shuffled = row_numbers(rows.select(key, "x").withColumn("_o", F.struct(phash(key, seed=seed), F.col(key))), [], "_o", "_pos").select("_pos", F.col("x").alias("_other"))
     paired = cut(order.join(shuffled, "_pos").join(rows.select(key, label), key))
-    cases = paired.select(key, label, F.explode(F.array(
-        F.struct(F.lit("").alias("feature"), F.col("x").alias("x")),
-        *[F.struct(F.lit(n).alias("feature"), F.array(*[F.col("_other" if j == i else "x")[j] for j in range(len(names))]).alias("x")) for i, n in enumerate(names)],
-    )).alias("_c")).select(key, label, "_c.feature", "_c.x")
+    # -1 leaves the row as it is
+    swapped = F.transform("x", lambda v, i: F.when(i == F.col("_i"), F.get("_other", i)).otherwise(v))
+    name = F.when(F.col("_i") < 0, "").otherwise(F.get(F.lit(list(names)), F.col("_i")))
+    cases = paired.withColumn("_i", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1)))).select(key, label, name.alias("feature"), swapped.alias("x"))
     a = auc(predict(model, cases, ["feature", label]), ["feature"], "probability", label)
     full = a.filter("feature = ''").select("auc")
     return a.filter("feature <> ''").withColumn("full_auc", full.scalar()).select("feature", (F.col("full_auc") - F.col("auc")).alias("auc_loss"))

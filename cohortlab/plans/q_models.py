@@ -210,11 +210,8 @@ def batch_classifier_shuffles(spark, sf):
 
 # ---- MLlib fits (no SQL counterpart) ------------------------------------
 
-def _arrays(spark, sf, features: int | None = None):
+def _arrays(spark, sf):
     z = _z(spark, sf)
-    if features:
-        top = prep.fit_variance_filter(_train(views.labelled(spark, sf, ["cohort"])), "count", features)
-        z = cut(z.join(top.select("feature"), "feature", "left_semi"))
     names = models.feature_names(z)
     return cut(models.feature_arrays(z, ["sample_id", "cohort", "y"])), names
 
@@ -237,33 +234,33 @@ def lasso_transfer(spark, sf):
 
 @query("forest_importance", "M3")
 def forest_importance(spark, sf):
-    rows, names = _arrays(spark, sf, 12)
-    return shape(models.importances(models.fit_forest(_train(rows), trees=60), names, spark), ["feature"], ["importance"], 4)
+    rows, names = _arrays(spark, sf)
+    return shape(models.importances(models.fit_forest(_train(rows)), names, spark), ["feature"], ["importance"], 4)
 
 
 @query("boosting_importance", "M4")
 def boosting_importance(spark, sf):
-    rows, names = _arrays(spark, sf, 6)
-    return shape(models.importances(models.fit_boosting(_train(rows), rounds=15), names, spark), ["feature"], ["importance"], 4)
+    rows, names = _arrays(spark, sf)
+    return shape(models.importances(models.fit_boosting(_train(rows)), names, spark), ["feature"], ["importance"], 4)
 
 
 @query("shapley_ranking", "M5 W5")
 def shapley_ranking(spark, sf):
-    rows, names = _arrays(spark, sf, 5)
+    rows, names = _arrays(spark, sf)
     phi = models.shapley(models.fit_forest(_train(rows), trees=30), rows, names, ["sample_id", "y"])
     return shape(models.attribution_ranking(phi, ["y"]), ["y", "feature"], ["mean_abs_phi"], 5)
 
 
 @query("permutation_importance", "M5")
 def permutation_importance(spark, sf):
-    rows, names = _arrays(spark, sf, 8)
+    rows, names = _arrays(spark, sf)
     return shape(models.permutation_importance(models.fit_lr(_train(rows), False, 1.0), rows, names, "sample_id"), ["feature"], ["auc_loss"], 4)
 
 
 @query("attribution_stability", "M6")
 def attribution_stability(spark, sf):
-    """How often a feature is among the top three attributions over folds."""
-    rows, names = _arrays(spark, sf, 5)
+    """How often a feature is among the top twenty attributions over folds."""
+    rows, names = _arrays(spark, sf)
     folds = prep.stratified_folds(rows.select("sample_id", "y"), 3, 1)
     data = cut(rows.join(folds.select("sample_id", "fold"), "sample_id"))
 
@@ -273,7 +270,7 @@ def attribution_stability(spark, sf):
         return models.attribution_ranking(phi).withColumn("fold", F.lit(fold))
 
     per = cut(models.union(models.parallel(one, [0, 1, 2])))
-    top = top_per_group(per, ["fold"], [F.desc("mean_abs_phi"), F.col("feature")], 3)
+    top = top_per_group(per, ["fold"], [F.desc("mean_abs_phi"), F.col("feature")], 20)
     return top.groupBy("feature").agg(F.count(F.lit(1)).alias("n_folds"))
 
 

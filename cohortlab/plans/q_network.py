@@ -84,7 +84,7 @@ def module_evidence(spark, sf):
 def _ora_sql() -> str:
     lc = lambda n, k: f"(lgamma({n} + 1e0) - lgamma({k} + 1e0) - lgamma({n} - {k} + 1e0))"
     mass = f"exp({lc('CAST(ts AS DOUBLE)', 'CAST(i AS DOUBLE)')} + {lc('CAST(pool - ts AS DOUBLE)', 'CAST(ss - i AS DOUBLE)')} - {lc('CAST(pool AS DOUBLE)', 'CAST(ss AS DOUBLE)')})"
-    return f"""WITH m AS (SELECT DISTINCT p_name AS term, p_brand AS member FROM part WHERE p_size > 40),
+    return f"""WITH m AS (SELECT DISTINCT p_name AS term, p_brand AS member FROM part),
 w AS (SELECT p_brand AS member FROM part GROUP BY 1 HAVING avg(p_retailprice) > (SELECT avg(p_retailprice) FROM part)), h AS (SELECT DISTINCT member FROM m WHERE member IN (SELECT member FROM w)),
 c AS (SELECT term, count(*) AS ts, count(*) FILTER (member IN (SELECT member FROM h)) AS k, (SELECT count(DISTINCT member) FROM m) AS pool, (SELECT count(*) FROM h) AS ss FROM m GROUP BY 1),
 g AS (SELECT *, unnest(range(greatest(k, ss + ts - pool, 0), least(ts, ss) + 1)) AS i FROM c), p AS (SELECT term, least(1e0, sum({mass})) AS p FROM g GROUP BY 1)
@@ -95,7 +95,7 @@ SELECT c.term, ts AS term_size, k AS overlap, pool AS pool_size, ss AS set_size,
 def over_representation(spark, sf):
     p = views.table(spark, sf, "part")
     mean = p.groupBy(F.col("p_brand").alias("member")).agg(F.avg("p_retailprice").alias("v")).withColumn("_a", p.agg(F.avg("p_retailprice")).scalar())
-    membership = p.filter(F.col("p_size") > 40).select(F.col("p_name").alias("term"), F.col("p_brand").alias("member"))
+    membership = p.select(F.col("p_name").alias("term"), F.col("p_brand").alias("member"))
     o = network.over_representation(mean.filter(F.col("v") > F.col("_a")).select("member"), membership)
     return shape(o, ["term", "term_size", "overlap", "pool_size", "set_size"], ["odds_ratio", "p"])
 

@@ -232,49 +232,50 @@ def effect_rank(spark, sf):
     return shape(with_descending_rank(e, ["dataset"], "abs_d"), ["dataset", "feature", "rank"], ["abs_d"])
 
 
-_WIDE = """wide AS (SELECT feature, max(abs(d)) FILTER (dataset = 'BUILDING') AS building, max(abs(d)) FILTER (dataset = 'MACHINERY') AS machinery,
- max(abs(d)) FILTER (dataset = 'HOUSEHOLD') AS household FROM effect GROUP BY 1)"""
+_DATASETS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-@query("mean_rank", "W3 P2", f"""{then('effect')} {_WIDE},
-rk AS (SELECT feature, rank() OVER (ORDER BY building DESC) AS rank FROM wide WHERE building IS NOT NULL UNION ALL SELECT feature, rank() OVER (ORDER BY machinery DESC) FROM wide WHERE machinery IS NOT NULL
- UNION ALL SELECT feature, rank() OVER (ORDER BY household DESC) FROM wide WHERE household IS NOT NULL),
+@query("mean_rank", "W3 P2", f"""{then('effect')}
+rk AS (SELECT feature, rank() OVER (PARTITION BY dataset ORDER BY abs(d) DESC) AS rank FROM effect WHERE d IS NOT NULL),
 m AS (SELECT feature, avg(rank) AS m, stddev_samp(rank) AS s FROM rk GROUP BY 1)
 SELECT feature, {r('m')} AS mean_rank, {r('s')} AS sd_rank, rank() OVER (ORDER BY m) AS final_rank FROM m""")
 def mean_rank(spark, sf):
     e = views.effect(spark, sf).withColumn("d", F.abs("d"))
-    w = tables.pivot_wide(e, "feature", "dataset", "d", ["BUILDING", "MACHINERY", "HOUSEHOLD"])
-    return shape(twogroup.ranked_table(w, ["BUILDING", "MACHINERY", "HOUSEHOLD"], "feature"), ["feature", "final_rank"], ["mean_rank", "sd_rank"])
+    w = tables.pivot_wide(e, "feature", "dataset", "d", _DATASETS)
+    return shape(twogroup.ranked_table(w, _DATASETS, "feature"), ["feature", "final_rank"], ["mean_rank", "sd_rank"])
 
 
-_BULK = """pb AS (SELECT library, condition, cell_type, avg(gene_a) AS a, avg(gene_b) AS b FROM cells GROUP BY 1, 2, 3)"""
+_BULK = """wp AS (SELECT library, condition, cell_type, avg(gene_a) AS gene_a, avg(gene_b) AS gene_b FROM cells GROUP BY 1, 2, 3),
+pb AS (SELECT library, condition, cell_type || '/' || gene AS test, a FROM (SELECT library, condition, cell_type, 'gene_a' AS gene, gene_a AS a FROM wp UNION ALL SELECT library, condition, cell_type, 'gene_b', gene_b FROM wp))"""
+
+
+def _bulk(spark, sf):
+    wide = views.cells(spark, sf).groupBy("library", "condition", "cell_type").agg(F.avg("gene_a").alias("gene_a"), F.avg("gene_b").alias("gene_b"))
+    long = wide.unpivot(["library", "condition", "cell_type"], ["gene_a", "gene_b"], "gene", "value")
+    return long.withColumn("test", F.concat_ws("/", "cell_type", "gene")).withColumn("y", F.when(F.col("condition") == "case", 1).otherwise(0))
 
 
 @query("exact_permutation", "T10", f"""{then('cells')} {_BULK},
-v AS (SELECT cell_type, a, CASE WHEN condition = 'case' THEN 1 ELSE 0 END AS y, row_number() OVER (PARTITION BY cell_type ORDER BY library) - 1 AS pos FROM pb),
-n AS (SELECT cell_type, count(*) AS n, CAST(sum(y) AS BIGINT) AS n1, avg(a) FILTER (y = 1) - avg(a) FILTER (y = 0) AS obs FROM v GROUP BY 1),
-mask AS (SELECT cell_type, n, n1, obs, unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS k FROM n),
-dif AS (SELECT m.cell_type, m.n, m.n1, m.obs, m.k, avg(a) FILTER ((k >> pos) & 1 = 1) - avg(a) FILTER ((k >> pos) & 1 = 0) AS dd
- FROM mask m JOIN v ON m.cell_type = v.cell_type WHERE bit_count(m.k) = m.n1 GROUP BY 1, 2, 3, 4, 5)
-SELECT cell_type, CAST(max(n1) AS INTEGER) AS n1, CAST(max(n - n1) AS INTEGER) AS n0, count(*) AS n_splits, {r('max(obs)')} AS observed,
+v AS (SELECT test, a, CASE WHEN condition = 'case' THEN 1 ELSE 0 END AS y, row_number() OVER (PARTITION BY test ORDER BY library) - 1 AS pos FROM pb),
+n AS (SELECT test, count(*) AS n, CAST(sum(y) AS BIGINT) AS n1, avg(a) FILTER (y = 1) - avg(a) FILTER (y = 0) AS obs FROM v GROUP BY 1),
+mask AS (SELECT test, n, n1, obs, unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS k FROM n),
+dif AS (SELECT m.test, m.n, m.n1, m.obs, m.k, avg(a) FILTER ((k >> pos) & 1 = 1) - avg(a) FILTER ((k >> pos) & 1 = 0) AS dd
+ FROM mask m JOIN v ON m.test = v.test WHERE bit_count(m.k) = m.n1 GROUP BY 1, 2, 3, 4, 5)
+SELECT test, CAST(max(n1) AS INTEGER) AS n1, CAST(max(n - n1) AS INTEGER) AS n0, count(*) AS n_splits, {r('max(obs)')} AS observed,
  {r('avg(CASE WHEN abs(dd) >= abs(obs) - 1e-12 THEN 1e0 ELSE 0e0 END)')} AS p_exact FROM dif GROUP BY 1""")
 def exact_permutation(spark, sf):
-    pb = views.cells(spark, sf).groupBy("library", "condition", "cell_type").agg(F.avg("gene_a").alias("value"))
-    pb = pb.withColumn("y", F.when(F.col("condition") == "case", 1).otherwise(0))
-    return shape(twogroup.exact_permutation(pb, ["cell_type"]), ["cell_type", "n1", "n0", "n_splits"], ["observed", "p_exact"])
+    return shape(twogroup.exact_permutation(_bulk(spark, sf), ["test"]), ["test", "n1", "n0", "n_splits"], ["observed", "p_exact"])
 
 
 @query("exact_rank_test", "T3", f"""{then('cells')} {_BULK},
-v AS (SELECT cell_type, {midrank('cell_type', 'a')} AS a, CASE WHEN condition = 'case' THEN 1 ELSE 0 END AS y, row_number() OVER (PARTITION BY cell_type ORDER BY library) - 1 AS pos FROM pb),
-n AS (SELECT cell_type, count(*) AS n, sum(y) AS n1, avg(a) FILTER (y = 1) - avg(a) FILTER (y = 0) AS obs FROM v GROUP BY 1),
+v AS (SELECT test, {midrank('test', 'a')} AS a, CASE WHEN condition = 'case' THEN 1 ELSE 0 END AS y, row_number() OVER (PARTITION BY test ORDER BY library) - 1 AS pos FROM pb),
+n AS (SELECT test, count(*) AS n, sum(y) AS n1, avg(a) FILTER (y = 1) - avg(a) FILTER (y = 0) AS obs FROM v GROUP BY 1),
 mask AS (SELECT *, unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS k FROM n),
-dif AS (SELECT m.cell_type, m.obs, m.k, avg(a) FILTER ((k >> pos) & 1 = 1) - avg(a) FILTER ((k >> pos) & 1 = 0) AS dd
- FROM mask m JOIN v ON m.cell_type = v.cell_type WHERE bit_count(m.k) = m.n1 GROUP BY 1, 2, 3)
-SELECT cell_type, {r('avg(CASE WHEN abs(dd) >= abs(obs) - 1e-12 THEN 1e0 ELSE 0e0 END)')} AS p_exact FROM dif GROUP BY 1""")
+dif AS (SELECT m.test, m.obs, m.k, avg(a) FILTER ((k >> pos) & 1 = 1) - avg(a) FILTER ((k >> pos) & 1 = 0) AS dd
+ FROM mask m JOIN v ON m.test = v.test WHERE bit_count(m.k) = m.n1 GROUP BY 1, 2, 3)
+SELECT test, {r('avg(CASE WHEN abs(dd) >= abs(obs) - 1e-12 THEN 1e0 ELSE 0e0 END)')} AS p_exact FROM dif GROUP BY 1""")
 def exact_rank_test(spark, sf):
-    pb = views.cells(spark, sf).groupBy("library", "condition", "cell_type").agg(F.avg("gene_a").alias("value"))
-    pb = pb.withColumn("y", F.when(F.col("condition") == "case", 1).otherwise(0))
-    return shape(twogroup.mann_whitney_exact(pb, ["cell_type"]), ["cell_type"], ["p_exact"])
+    return shape(twogroup.mann_whitney_exact(_bulk(spark, sf), ["test"]), ["test"], ["p_exact"])
 
 
 @query("fold_change", "C19", f"""{then('cells')} g AS (SELECT cell_type, avg(gene_b) FILTER (condition = 'case') AS a, avg(gene_b) FILTER (condition = 'control') AS c FROM cells GROUP BY 1)

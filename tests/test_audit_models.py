@@ -113,6 +113,20 @@ def test_shapley_adds_up_to_prediction_gap(labelled):
     assert gap[0] == pytest.approx(gap[1], abs=1e-9)
 
 
+def test_sampled_attributions_of_many_features_add_up(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, int(v[0] + v[1] > 0), [float(a) for a in v]) for i, v in enumerate(rng.normal(size=(60, 14)))]
+    rows = spark.createDataFrame(data, "sample_id bigint, y int, x array<double>")
+    names = [f"f{i:02d}" for i in range(14)]
+    model = models.fit_lr(rows, False, 1.0)
+    phi = models.shapley(model, rows, names, ["sample_id"], draws=3)
+    got = phi.groupBy("sample_id").agg(F.sum("phi").alias("s"), F.count("*").alias("n")).join(models.predict(model, rows, ["sample_id"]), "sample_id")
+    low, high, n = got.agg(F.min(F.col("probability") - F.col("s")), F.max(F.col("probability") - F.col("s")), F.min("n")).first()
+    assert low == pytest.approx(high, abs=1e-9) and n == 14
+    best = [r["feature"] for r in models.attribution_ranking(phi).orderBy(F.desc("mean_abs_phi")).limit(2).collect()]
+    assert set(best) == {"f00", "f01"}
+
+
 def test_leave_one_out_panels(labelled):
     x, y, df = labelled
     few = df.filter("sample_id < 24")

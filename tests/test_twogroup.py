@@ -1,4 +1,5 @@
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -91,8 +92,28 @@ def test_kendall_matches_pairs(spark, spread):
 def test_exact_rank_test_three_against_three(spark):
     df = spark.createDataFrame([(1, float(i)) for i in (4, 5, 6)] + [(0, float(i)) for i in (1, 2, 3)], "y int, value double")
     assert twogroup.mann_whitney_exact(df, []).first()["p_exact"] == pytest.approx(0.1)
-    with pytest.raises(ValueError):
-        twogroup.mann_whitney_exact(df, [], max_n=5)
+
+
+def test_exact_rank_test_of_many_rows_with_ties(spark):
+    rng = np.random.default_rng(5)
+    for n, n1 in ((23, 4), (24, 20)):
+        x = rng.integers(0, 9, n)
+        y = np.arange(n) < n1
+        got = twogroup.mann_whitney_exact(spark.createDataFrame([(int(b), float(a)) for a, b in zip(x, y)], "y int, value double"), []).first()
+        rank = np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+        few = list(combinations(range(n), min(n1, n - n1)))
+        sums = np.array([rank[list(c)].sum() for c in few])
+        seen = rank[y].sum() if n1 < n - n1 else rank[~y].sum()
+        mean = len(few[0]) * rank.mean()
+        assert got["p_exact"] == pytest.approx((abs(sums - mean) >= abs(seen - mean) - 1e-9).mean(), abs=1e-12)
+
+
+def test_exact_permutation_beyond_twenty_rows(spark):
+    x = np.array([9.0, 8.5, 7.0] + [float(i % 7) for i in range(18)])
+    got = twogroup.exact_permutation(spark.createDataFrame([(int(i < 3), float(v)) for i, v in enumerate(x)], "y int, value double"), []).first()
+    sums = np.array([x[list(c)].sum() for c in combinations(range(21), 3)])
+    gap = sums / 3 - (x.sum() - sums) / 18
+    assert got["n_splits"] == len(sums) and got["p_exact"] == pytest.approx((abs(gap) >= abs(gap[0]) - 1e-12).mean())
 
 
 def test_meta_analysis_by_hand(spark):
