@@ -341,6 +341,13 @@ def fit_specs(df: DataFrame, specs: dict[str, Sequence[str]], columns: Sequence[
     return fits, scored, k
 
 
+def nested_auc(scored: DataFrame, base: str, full: str, label: str = "y") -> DataFrame:
+    """One row: AUC of two nested models (``model``, ``score``) on the same rows, and the gain of the fuller one."""
+    a = auc(scored, ["model"], "score", label)
+    both = a.agg(*[F.max(F.when(F.col("model") == m, F.col("auc"))).alias(n) for m, n in ((base, "base_auc"), (full, "full_auc"))])
+    return both.withColumn("delta_auc", F.col("full_auc") - F.col("base_auc"))
+
+
 def ablation(train: DataFrame, others: dict[str, DataFrame], columns: Sequence[str], label: str = "y", l2: float = 1.0) -> DataFrame:
     """AUC of every non-empty feature subset, refitted on training, in every cohort, with the change against the full set."""
     specs = {"+".join(s): s for s in subset_models(columns)}

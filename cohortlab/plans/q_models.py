@@ -114,6 +114,18 @@ def confounder_adjusted(spark, sf):
     return _spec_auc(d, fits, k, _CONF, ["lc", "aw"], ["lang"])
 
 
+_NESTED = {"base": ["lc"], "full": ["lc", "aw"]}
+
+
+@query("nested_model_auc", "T15 V1", f"""{then('doc')} {_GD}, ev AS (SELECT doc_id, y, lc, aw FROM gd), {_spec_sql('gd', _NESTED)}, rd AS (SELECT spec, y, round(eta, 9) AS eta FROM pd), au AS {auc_sql('rd', 'spec', 'eta')}
+SELECT {r("max(auc) FILTER (spec = 'base')")} AS base_auc, {r("max(auc) FILTER (spec = 'full')")} AS full_auc, {r("max(auc) FILTER (spec = 'full') - max(auc) FILTER (spec = 'base')")} AS delta_auc FROM au""")
+def nested_model_auc(spark, sf):
+    d = cut(_gd(spark, sf))
+    fits, scored, k = models.fit_specs(d, _NESTED, ["lc", "aw"])
+    rows = glm.score_rows(scored, fits, k, ["y"]).withColumn("score", F.round("score", 9))
+    return shape(models.nested_auc(rows, "base", "full"), [], ["base_auc", "full_auc", "delta_auc"])
+
+
 def _ablation_sql() -> str:
     specs = {"lc": ["lc"], "aw": ["aw"], "lc+aw": ["lc", "aw"]}
     chains = ", ".join(logistic_sql("tr", [f"t.{c}" for c in cols], prefix=f"s{i}", l2=1.0) for i, cols in enumerate(specs.values()))
