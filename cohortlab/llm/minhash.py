@@ -13,7 +13,8 @@ outside space and 0x09-0x0D; with fewer words the whole sequence is one shingle)
    nothing left to find. The others are gathered into clusters of documents tied by shared open buckets, and
    there every document outside the cluster's largest component is compared with all of the cluster, on full sets and
    inside tasks: a cluster is cut into blocks of bounded size, such a document goes to every block, and a block returns at most
-   one link for each of them and each other component. A cluster for which that would be too many copies is
+   one link for each of them and each other component. Many such documents are parted into bounded portions, each
+   with its own copy of the blocks. A cluster for which that would be too many copies is
    looked at bucket by bucket instead. So every candidate pair is decided and no bucket is cut, yet pairs are never listed.
 
 A pair is missed only if no band agrees: below 1e-5 at similarity 0.8 with 40 bands of 6 rows.
@@ -38,6 +39,7 @@ PERCENT = 80
 BANDS = 40
 ROWS = 6
 BLOCK_SHINGLES = 200_000
+GUEST_SHINGLES = 3_200_000
 MOST_COPIES = 64
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -153,10 +155,11 @@ def _repeated(signs: DataFrame) -> bool:
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """``rows`` (group, doc, n, component) with each group's number of blocks, and ``outside`` for documents that are not in its largest component."""
+    """``rows`` (group, doc, n, component) with each group's number of blocks and of portions, and ``outside`` for documents that are not in its largest component."""
     parts = rows.groupBy("group", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
-    stats = parts.groupBy("group").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("docs"), F.sum("n").alias("n"))
-    stats = stats.select("group", F.col("top.component").alias("largest"), F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), "docs", (F.col("docs") - F.col("top.m")).alias("n_outside"))
+    stats = parts.groupBy("group").agg(F.max(F.struct("m", "component", "n")).alias("top"), F.sum("m").alias("docs"), F.sum("n").alias("n"))
+    portions = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("top.n")) / GUEST_SHINGLES)).cast("int").alias("portions")
+    stats = stats.select("group", F.col("top.component").alias("largest"), F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), portions, "docs", (F.col("docs") - F.col("top.m")).alias("n_outside"))
     return rows.join(stats, "group").withColumn("outside", F.col("component") != F.col("largest"))
 
 
@@ -171,11 +174,12 @@ def _second_look(members: DataFrame, found: DataFrame, sets: DataFrame, percent:
     clusters, _ = written(_placed(rows.select("doc", "n", "component").distinct().join(tied, "doc")), "clusters")
     heavy = F.col("n_outside") * F.col("blocks") > MOST_COPIES * F.col("docs")
     by_bucket = _placed(rows.join(clusters.filter(heavy).select("doc"), "doc", "left_semi").select(F.col("bucket").alias("group"), "doc", "n", "component"))
-    columns = ["group", "doc", "component", "blocks", "outside"]
+    columns = ["group", "doc", "component", "blocks", "portions", "outside"]
     groups = clusters.filter(~heavy).select(F.lit(0).alias("kind"), *columns).unionByName(by_bucket.select(F.lit(1).alias("kind"), *columns))
-    home = F.struct(F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("guest"))
-    guests = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("guest")))
-    filed = groups.join(sets.withColumnRenamed("doc_id", "doc"), "doc").withColumn("at", F.explode(F.when(F.col("outside"), F.concat(F.array(home), guests)).otherwise(F.array(home))))
+    block, portion = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("portions")).cast("int")
+    home = F.transform(F.sequence(F.lit(0), F.col("portions") - 1), lambda p: F.struct(block.alias("block"), p.alias("portion"), F.lit(False).alias("guest")))
+    guests = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), portion.alias("portion"), F.lit(True).alias("guest")))
+    filed = groups.join(sets.withColumnRenamed("doc_id", "doc"), "doc").withColumn("at", F.explode(F.when(F.col("outside"), F.concat(home, guests)).otherwise(home)))
 
     def compare(table: pa.Table) -> pa.Table:
         guest = table.column("guest").to_numpy()
@@ -202,5 +206,5 @@ def _second_look(members: DataFrame, found: DataFrame, sets: DataFrame, percent:
                 pairs += [(int(docs[g]), other) for other in first.values()]
         return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
 
-    blocks = filed.select("kind", "group", F.col("at.block").alias("block"), "doc", "component", F.col("at.guest").alias("guest"), "shingles")
-    return written(blocks.groupBy("kind", "group", "block").applyInArrow(compare, "a bigint, b bigint").distinct(), "links")[0]
+    blocks = filed.select("kind", "group", F.col("at.block").alias("block"), F.col("at.portion").alias("portion"), "doc", "component", F.col("at.guest").alias("guest"), "shingles")
+    return written(blocks.groupBy("kind", "group", "block", "portion").applyInArrow(compare, "a bigint, b bigint").distinct(), "links")[0]
