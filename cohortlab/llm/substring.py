@@ -128,7 +128,8 @@ def candidates(docs: DataFrame, sketch, blocks: int, window: int, ranges: int) -
             narrow = np.uint32 if len(low) and int(low.max()) - base < 1 << 32 else np.uint64
             off, several = (low - base).astype(narrow), high > low
             part = ((unique >> np.uint64(32)).astype(np.float64) * (ranges / 4294967296.0)).astype(np.int64)
-            cuts = np.concatenate([np.searchsorted(part, np.arange(ranges)), [len(part)]])
+            used, begins = np.unique(part, return_index=True)
+            cuts = np.concatenate([begins, [len(part)]])
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text").cast(pa.large_binary())]
             plain = b"".join(hashlib.sha256(b" ".join(t.split())).digest() for t in texts)
             name = uuid.uuid4().hex
@@ -137,7 +138,7 @@ def candidates(docs: DataFrame, sketch, blocks: int, window: int, ranges: int) -
                     pa.array([name]), pa.array([len(ids)], pa.int64()),
                     *(pa.array([x.tobytes()], pa.binary()) for x in (ids, known, batch.column("_key").to_numpy(zero_copy_only=False), np.diff(rows).astype(np.int32))),
                     pa.array([plain], pa.binary()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([np.packbits(fresh).tobytes()], pa.binary()),
-                    pa.array([list(range(ranges))], pa.list_(pa.int32())),
+                    pa.array([used.tolist()], pa.list_(pa.int32())),
                     pa.array([[unique[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]], pa.list_(pa.binary())),
                     pa.array([[np.int64(base).tobytes() + off[a:b].tobytes() + np.packbits(several[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]], pa.list_(pa.binary())),
                 ],
@@ -226,7 +227,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, cells_per_window: floa
     slices, _ = written(candidates(docs, sent, blocks, window, ranges), "slices")
     sent.unpersist()
     packed = slices.select("slice", F.explode(F.arrays_zip("parts", "hashes", "edges")).alias("x")).select("slice", F.col("x.parts").alias("part"), "x.hashes", "x.edges")
-    back = first_holders(packed.filter("octet_length(hashes) > 0"))
+    back = first_holders(packed)
     own = slices.select("slice", "ids", "known", "keys", "n_words", "plain", "word_at", "fresh", F.lit(window).alias("window"))
     out = own.groupBy("slice").cogroup(back.groupBy("slice")).applyInPandas(_judged, "doc_id bigint, _key bigint, n_words bigint, n_removed bigint, kept_sha256 string, gone binary")
     return written(out, "spans")[0]
