@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SHINGLE = 5
 SCALE = 8
 RANGE_ROWS = 1000
+MOST_RANGES = 5000
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 LOWEST = -(1 << 63)
 
@@ -60,10 +61,13 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def range_limits(ids: DataFrame, column: str, range_rows: int) -> list[int]:
-    """The smallest id of each range: ids that occur, about ``range_rows`` rows apart. One value for each range reaches the driver."""
+    """The smallest id of each range: ids that occur, about ``range_rows`` rows apart, farther where that would be more than MOST_RANGES ranges.
+
+    One value for each range reaches the driver and stands in the plan; a longer range is a longer sort, which may spill.
+    """
     rows = ids.select(F.col(column).cast("bigint").alias("id")).filter("id IS NOT NULL")
     n = rows.count()
-    ranges = max(1, n // range_rows)
+    ranges = min(MOST_RANGES, max(1, n // range_rows))
     if not n:
         return []
     if ranges == 1:
