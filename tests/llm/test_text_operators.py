@@ -131,6 +131,20 @@ def test_near_duplicates_chains_and_mixed_buckets(spark):
     assert near_rows(minhash.near_duplicates(df, bands=120, rows=1)) == want
 
 
+@pytest.mark.parametrize("copies", [0, 10**6])
+def test_near_duplicates_many_blocks_and_portions(spark, monkeypatch, copies):
+    """Clusters cut into several blocks and portions, as wholes and bucket by bucket."""
+    for name, value in (("BLOCK_SHINGLES", 150), ("GUEST_SHINGLES", 200), ("MOST_COPIES", copies)):
+        monkeypatch.setattr(minhash, name, value)
+    docs = corpus(8, 50)
+    words = [f"t{i}" for i in range(60)]
+    for k in range(30):
+        docs.append((1000 + k, " ".join(words)))
+        words = [*words[2:], f"n{k}", f"m{k}"]
+    found = minhash.near_duplicates(spark.createDataFrame(docs, DOCS), bands=120, rows=1)
+    assert near_rows(found) == components_by_force(docs)
+
+
 def test_near_duplicates_edge_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "A B"), (3, None), (4, ""), (None, "a b"), (None, None)], DOCS).withColumn("rep", F.lit("x"))
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in rows(minhash.near_duplicates(docs)))
@@ -274,7 +288,9 @@ def test_language_of_held_out_and_edge_rows(spark):
 # fingerprints
 
 
-def test_fingerprints_against_the_next_document(spark):
+@pytest.mark.parametrize("most", [3, 5000])
+def test_fingerprints_against_the_next_document(spark, monkeypatch, most):
+    monkeypatch.setattr(fingerprints, "MOST_RANGES", most)
     docs = [(d, t) for d, t in corpus(6, 50) if d != 27] + [(10**12, "last one " * 9)]
     draw = list(docs)
     random.Random(0).shuffle(draw)
