@@ -6,7 +6,7 @@ a run of 20 or more token characters with letters and digits and at least ``entr
 character is a candidate when no base span touches it.
 
 Every candidate value and every base value is hashed, and the hashes are counted over the corpus: in how many distinct
-repositories, of how many distinct owners. A candidate of a single owner in at most ``max_repos`` repositories looks
+repositories, of how many distinct owners. A candidate of a single owner, in however many repositories, looks
 live and becomes an ``owned`` span; one that several owners have is a copied example and does not.
 Base spans always stay; ``n_live`` and ``n_copied`` tell how many of all values look live and how many are copied.
 
@@ -35,7 +35,6 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 ENTROPY = 3.5
-MAX_REPOS = 1000
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -92,7 +91,7 @@ def ownership(values: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def secrets(docs: DataFrame, repo: Column, owner: Column, entropy: float = ENTROPY, max_repos: int = MAX_REPOS) -> DataFrame:
+def secrets(docs: DataFrame, repo: Column, owner: Column, entropy: float = ENTROPY) -> DataFrame:
     """One row for each row of ``docs``: doc_id, _key (xxhash64 of the text), n_assign, n_access, n_hex, base_sha256, spans,
     and the numbers n_live and n_copied. ``repo`` and ``owner`` are columns of ``docs``."""
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"))
@@ -100,7 +99,7 @@ def secrets(docs: DataFrame, repo: Column, owner: Column, entropy: float = ENTRO
     rows, _ = written(scanned.withColumn("_row", F.monotonically_increasing_id()), "scanned")
     values = rows.filter("size(hashes) > 0").select("_row", "repo", "owner", F.explode(F.arrays_zip("found", "hashes")).alias("x")).select("_row", "repo", "owner", F.col("x.found").alias("span"), F.col("x.hashes").alias("hash"))
     held = values.join(ownership(values.select("hash", "repo", "owner")), "hash")
-    live = F.expr(f"n_owners = 1 AND n_repos <= {max_repos}")
+    live = F.expr("n_owners = 1")
     judged = held.groupBy("_row").agg(
         F.sum(live.cast("bigint")).alias("n_live"), F.sum(F.expr("n_owners > 1").cast("bigint")).alias("n_copied"),
         F.collect_list(F.when(live & F.col("span").startswith("owned:"), F.col("span"))).alias("more"),

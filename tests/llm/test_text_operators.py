@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -364,6 +365,15 @@ def test_secrets_base_spans_and_ownership(spark):
     assert secretscan.secrets(df.limit(0), repo=F.col("doc_id"), owner=F.col("source")).count() == 0
 
 
+def test_secret_of_one_owner_in_many_documents(spark):
+    token = "Zx9-Qm4_Tr7+Lp2/Vb8Kd"
+    data = [(d, f"new {token} key", "c") for d in range(1501)] + [(d, "copied Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8", "ab"[d % 2]) for d in range(2000, 3200)]
+    df = spark.createDataFrame(data, DOCS + ", source string")
+    found = secretscan.secrets(df, repo=F.col("doc_id"), owner=F.col("source"))
+    assert Counter((r["spans"], r["n_live"], r["n_copied"]) for r in rows(found)) == {("owned:4:25", 1, 0): 1501, ("", 0, 1): 1200}
+    assert {r["text"] for r in rows(secretscan.redacted(df, found)) if r["doc_id"] < 2000} == {"new [owned] key"}
+
+
 def test_secrets_are_redacted(spark):
     df = spark.createDataFrame(SECRETS, DOCS + ", source string").withColumn("n_chars", F.length("text").cast("bigint"))
     got = rows(secretscan.redacted(df, secretscan.secrets(df, repo=F.col("doc_id"), owner=F.col("source"))))
