@@ -1,13 +1,16 @@
 """Quotation linking: conversations in reply order, without their quotes. DataFrame functions only.
 
 A line that starts with one or more ``>`` is quoted at that level. Consecutive quoted lines of one level are a passage.
-Passages, and each message's own text and own paragraphs, are normalised (lower case, single spaces) and
-hashed; a passage belongs to the earliest message that has it as its own, in the same conversation before the quoting turn
-or else in an earlier conversation (smaller conv_id). A message's parent is the message of its shallowest, then first, linked
-passage. Roots and depths follow by pointer doubling over the links.
+A trimmed or inline quote holds only parts of its original, so a passage also stands for its paragraphs (between blank lines), its
+lines and its sentences, whose lines may be wrapped anew. A message owns its own text, the runs of own lines between its quotes, and
+the paragraphs, lines and sentences of both. All these pieces are normalised (lower case, single spaces) and hashed; a
+piece belongs to the earliest message that has it as its own, in the same conversation before the quoting turn
+or else in an earlier conversation (smaller conv_id); in each, text, runs and paragraphs go before lines and sentences. A message's parent comes from the shallowest level with a linked piece; there
+from the coarsest pieces that are linked (passage, paragraph, line, sentence), of these from the first passage, and
+in it the message with most characters. Roots and depths follow by pointer doubling over the links.
 
-Links are found by grouped minima and joins with one match for each passage, so a passage that very many messages have or quote
-makes no pairs. Only messages with quotes are cut into lines, and a window there holds one message.
+Links are found by grouped minima and joins with one match for each piece, so a piece that very many messages have or quote
+makes no pairs. Only messages with quotes have quoted lines cut, and a window there holds one message.
 
 Null or empty texts own nothing and quote nothing. A message without a linked quote is its own root. Rows
 with a null conversation or turn are neither parents nor linked. Repeated rows give repeated results. One row for each message.
@@ -22,6 +25,8 @@ from cohortlab.llm.store import measured, removed, written
 QUOTED = r"(?m)^[ \t]*>"
 QUOTED_LINES = r"(?m)^(?:[^\n>]*\bwrote:[ \t]*\r?\n(?=[ \t]*>))|^[ \t]*>[^\n]*(?:\n|\z)"
 PREFIX = r"^[ \t]*((?:>[ \t]?)+)"
+PARAGRAPHS = r"\n\s*\n"
+SENTENCES = r"(?<=[.!?…][\"'”’)\]]{0,2})\s+|(?<=[。！？])\s*"
 
 
 def normalised(text: Column) -> Column:
@@ -39,37 +44,63 @@ def own_text(text: Column) -> Column:
     return F.when(text.rlike(QUOTED), F.trim(F.regexp_replace(text, QUOTED_LINES, ""))).otherwise(text)
 
 
+def _parts(text: Column) -> tuple[Column, Column, Column]:
+    """The paragraphs, the lines and the sentences of a text."""
+    paragraphs = F.split(text, PARAGRAPHS)
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(F.trim(F.regexp_replace(p, r"\s+", " ")), SENTENCES)))
+    return paragraphs, F.split(text, r"\n"), sentences
+
+
 def passages(messages: DataFrame) -> DataFrame:
-    """mid, conv_id, turn, level, at (first line) and mark of each quoted passage."""
+    """mid, conv_id, turn, level, at (first line) and body of each quoted passage in which anything is quoted."""
     lines = messages.filter(F.col("text").rlike(QUOTED)).select("mid", "conv_id", "turn", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line"))
     level = F.length(F.regexp_replace(F.regexp_extract("line", PREFIX, 1), "[^>]", ""))
     lines = lines.select("mid", "conv_id", "turn", "at", level.alias("level"), F.regexp_replace("line", PREFIX, "").alias("body"))
     order = Window.partitionBy("mid").orderBy("at")
     fresh = F.coalesce((F.lag("level").over(order) != F.col("level")).cast("int"), F.lit(1))
     runs = lines.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order)).filter("level > 0")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]), " ")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("at", "body"))), lambda x: x["body"]), "\n")
     found = runs.groupBy("mid", "conv_id", "turn", "run", "level").agg(F.min("at").alias("at"), joined.alias("body"))
-    return found.select("mid", "conv_id", "turn", "level", "at", mark(F.col("body")).alias("mark")).filter("mark IS NOT NULL")
+    return found.select("mid", "conv_id", "turn", "level", "at", "body").filter(normalised(F.col("body")) != "")
+
+
+def pieces(passages: DataFrame) -> DataFrame:
+    """Each passage (grain 0), its paragraphs (1), lines (2) and sentences (3), with mark, n_chars and pos among those of its grain."""
+    grains = [F.array("body"), *(F.when(F.size(p) > 1, p).otherwise(F.array().cast("array<string>")) for p in _parts(F.col("body")))]
+    piece = lambda n: lambda p, i: F.struct(F.lit(n).alias("grain"), i.alias("pos"), F.length(normalised(p)).alias("n_chars"), mark(p).alias("mark"))
+    every = F.concat(*(F.transform(g, piece(n)) for n, g in enumerate(grains)))
+    return passages.select("mid", "conv_id", "turn", "level", "at", F.inline(every)).filter("mark IS NOT NULL")
 
 
 def owned(messages: DataFrame) -> DataFrame:
-    """mark, conv_id, turn, mid for each message's own text and own paragraphs."""
-    marks = F.array_distinct(F.concat(F.array(mark(F.col("own"))), F.transform(F.split("own", r"\n\s*\n"), mark)))
-    rows = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND own IS NOT NULL").select("conv_id", "turn", "mid", F.explode(marks).alias("mark"))
+    """mark, large, conv_id, turn, mid: large for each message's own text, its runs of own lines and the paragraphs of both, else for its
+    other lines and sentences."""
+    runs = F.when(F.col("text").rlike(QUOTED), F.split("text", QUOTED_LINES)).otherwise(F.array("text"))
+    parts = lambda *which: F.flatten(F.transform(runs, lambda r: F.concat(*(_parts(r)[k] for k in which))))
+    marks = lambda texts: F.array_distinct(F.transform(texts, mark))
+    large = marks(F.concat(F.array("own"), F.split("own", PARAGRAPHS), runs, parts(0)))
+    with_size = lambda array, size: F.transform(array, lambda m: F.struct(m.alias("mark"), F.lit(size).alias("large")))
+    rows = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND own IS NOT NULL").select("conv_id", "turn", "mid", large.alias("large"), marks(parts(1, 2)).alias("small"))
+    rows = rows.select("conv_id", "turn", "mid", F.inline(F.concat(with_size(F.col("large"), True), with_size(F.array_except("small", "large"), False))))
     return rows.filter("mark IS NOT NULL")
 
 
 def parents(messages: DataFrame) -> DataFrame:
     """(child, parent) over message ids: at most one parent for each quoting message."""
-    quoted, _ = written(passages(messages).filter("conv_id IS NOT NULL AND turn IS NOT NULL").dropDuplicates(["mid", "at"]), "passages")
+    quoted, _ = written(pieces(passages(messages).filter("conv_id IS NOT NULL AND turn IS NOT NULL").dropDuplicates(["mid", "at"])), "passages")
     units = owned(messages).join(measured(quoted.select("mark").distinct(), "mark"), "mark", "left_semi")
     units, _ = written(units, "units")
-    here = units.groupBy("conv_id", "mark").agg(F.min(F.struct("turn", "mid")).alias("here"))
-    any_where = units.groupBy("mark").agg(F.min(F.struct("conv_id", "turn", "mid")).alias("there"))
-    joined = quoted.join(here, ["conv_id", "mark"], "left").join(any_where, "mark", "left")
-    target = F.when(F.col("here.turn") < F.col("turn"), F.col("here.mid")).when(F.col("there.conv_id") < F.col("conv_id"), F.col("there.mid"))
-    linked = joined.select("mid", "level", "at", target.alias("parent")).filter("parent IS NOT NULL AND parent <> mid")
-    return linked.groupBy("mid").agg(F.min(F.struct("level", "at", "parent")).alias("p")).select(F.col("mid").alias("child"), F.col("p.parent").alias("parent"))
+    first = lambda *of: (F.min(F.when(F.col("large"), F.struct(*of))).alias("large"), F.min(F.struct(*of)).alias("any"))
+    here = units.groupBy("conv_id", "mark").agg(*first("turn", "mid")).select("conv_id", "mark", F.struct("large", "any").alias("here"))
+    there = units.groupBy("mark").agg(*first("conv_id", "turn", "mid")).select("mark", F.struct("large", "any").alias("there"))
+    joined = quoted.join(here, ["conv_id", "mark"], "left").join(there, "mark", "left")
+    target = F.coalesce(
+        *(F.when(F.col(f"here.{s}.turn") < F.col("turn"), F.col(f"here.{s}.mid")) for s in ("large", "any")),
+        *(F.when(F.col(f"there.{s}.conv_id") < F.col("conv_id"), F.col(f"there.{s}.mid")) for s in ("large", "any")),
+    )
+    linked = joined.select("mid", "level", "grain", "at", "pos", "n_chars", target.alias("parent")).filter("parent IS NOT NULL AND parent <> mid")
+    linked = linked.groupBy("mid", "level", "grain", "at", "parent").agg((-F.sum("n_chars")).alias("fewer"), F.min("pos").alias("pos"))
+    return linked.groupBy("mid").agg(F.min(F.struct("level", "grain", "at", "fewer", "pos", "parent")).alias("p")).select(F.col("mid").alias("child"), F.col("p.parent").alias("parent"))
 
 
 def rooted(links: DataFrame) -> DataFrame:

@@ -433,6 +433,27 @@ def test_quotes_are_linked_and_ordered(spark):
     assert quotes.reply_ordered(df.limit(0)).count() == 0
 
 
+PARTIAL = [
+    (1, 0, "Intro of three.\n\nMiddle part.\n\nClosing words."), (1, 1, "> Intro of three.\n>\n> Closing words.\nTwo of three paragraphs."),
+    (2, 0, "the question"), (2, 1, "first answer\nand more of it\n> the question\nsecond answer"), (2, 2, "> first answer\n> and more of it\nfine\n>> the question\n> second answer\nagreed"),
+    (3, 0, "Hi,\nline two of it\nline three of it"), (3, 1, "Hi,\nalpha beta gamma\ndelta epsilon zeta\nnot quoted"), (3, 2, "> Hi,\n> alpha beta gamma\n> delta epsilon zeta\nThree of four lines."), (3, 3, "> line two of it\nA line."),
+    (4, 0, "One sentence here. A second, rather long sentence! And a third?"), (4, 1, "> A second, rather\n> long sentence!\nA sentence, wrapped anew."), (4, 2, "> nowhere written\n> at all\nNo original."),
+    (5, 0, "> a second, rather long sentence!  And a third?\nFrom another conversation."),
+    (6, 0, "Both lines of\nthe whole"), (6, 1, "the whole"), (6, 2, "> the whole\n\n> both lines of\n> the whole\nCoarse and first."), (6, 2, "> the whole\n\n> both lines of\n> the whole\nCoarse and first."),
+    (6, 3, "> the whole\n> and what nobody wrote\n\n> Both lines of\n> the whole\nA whole passage before a line."),
+    (7, 0, "Top.\r\n\r\nMid one.\r\nMid two.\r\n\r\nEnd."), (7, 1, "Ann wrote:\r\n> Mid two.\r\n> \r\n> End.\r\nok"),
+]
+
+
+def test_trimmed_and_inline_quotes_are_linked(spark):
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in PARTIAL], "conv_id bigint, turn bigint, role string, text string")
+    got = rows(quotes.reply_ordered(df))
+    assert len(got) == len(PARTIAL)
+    parent = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in got if r["parent_conv"] is not None}
+    assert parent == {(1, 1): (1, 0), (2, 1): (2, 0), (2, 2): (2, 1), (3, 2): (3, 1), (3, 3): (3, 0), (4, 1): (4, 0), (5, 0): (4, 0), (6, 2): (6, 1), (6, 3): (6, 0), (7, 1): (7, 0)}
+    assert {r["n_quotes"] for r in got if (r["conv_id"], r["turn"]) == (2, 2)} == {3}
+
+
 def test_reply_order_puts_replies_after_parents(spark):
     chain = [(1, t, "user", (f"> line {t - 1} of it\n" if t else "") + f"line {t} of it") for t in range(40)]
     got = rows(quotes.reply_ordered(spark.createDataFrame(chain, "conv_id bigint, turn bigint, role string, text string")).orderBy("thread_conv", "thread_turn", "conv_id", "turn"))
