@@ -75,6 +75,8 @@ def locked_threshold(spark, sf):
 
 
 B = 100
+# as many as the original analyses draw
+FULL_B = 10000
 
 _DRAW = f"""ps AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM sd), nn AS (SELECT count(*) AS n FROM sd),
 dr AS (SELECT rep, {phash_sql('pos', 'rep')} % n AS hit, count(*) AS m FROM (SELECT pos, unnest(range(0, {B})) AS rep FROM ps), nn GROUP BY 1, 2),
@@ -89,7 +91,16 @@ _BOOT = f"{then('doc')} {SCORED}, {_DRAW}, {_BAUC}"
 @query("bootstrap_auc", "V8", f"""{_BOOT} SELECT model, count(auc) AS n_valid, {r('avg(auc)')} AS mean, {r('stddev_samp(auc)')} AS sd, {r('avg(CASE WHEN auc > 0.5 THEN 1e0 WHEN auc <= 0.5 THEN 0e0 END)')} AS share_above,
  {r('quantile_cont(auc, 0.025)')} AS low, {r('median(auc)')} AS median, {r('quantile_cont(auc, 0.975)')} AS high FROM au GROUP BY 1""")
 def bootstrap_auc(spark, sf):
-    a = resample.bootstrap_auc(scored(spark, sf), "doc_id", ["score", "score_b"], B)
+    return _bootstrap_auc(spark, sf, B)
+
+
+@query("bootstrap_auc_full", "V8")
+def bootstrap_auc_full(spark, sf):
+    return _bootstrap_auc(spark, sf, FULL_B)
+
+
+def _bootstrap_auc(spark, sf, replicates):
+    a = resample.bootstrap_auc(scored(spark, sf), "doc_id", ["score", "score_b"], replicates)
     return shape(resample.interval(a, ["model"], "auc", 0.5), ["model", "n_valid"], ["mean", "sd", "share_above", "low", "median", "high"])
 
 
@@ -97,21 +108,48 @@ def bootstrap_auc(spark, sf):
 lg AS (SELECT rep, 'score' AS model, y, score AS s, CASE {' '.join(f'WHEN u < {c!r} THEN {k}' for k, c in enumerate(resample.POISSON_CUTS))} ELSE {len(resample.POISSON_CUTS)} END AS m FROM u), {_BAUC}
 SELECT rep, model, {r('auc')} AS auc FROM au""")
 def bootstrap_auc_poisson(spark, sf):
-    a = resample.bootstrap_auc(scored(spark, sf), "doc_id", ["score"], B, method="poisson")
+    return _bootstrap_auc_poisson(spark, sf, B)
+
+
+@query("bootstrap_auc_poisson_full", "V8")
+def bootstrap_auc_poisson_full(spark, sf):
+    return _bootstrap_auc_poisson(spark, sf, FULL_B)
+
+
+def _bootstrap_auc_poisson(spark, sf, replicates):
+    a = resample.bootstrap_auc(scored(spark, sf), "doc_id", ["score"], replicates, method="poisson")
     return a.select(F.col("rep").cast("bigint").alias("rep"), "model", rounded("auc").alias("auc"))
 
 
 @query("paired_delta_auc", "V9", f"""{_BOOT}, de AS (SELECT a.rep, a.auc - b.auc AS delta FROM au a JOIN au b ON a.rep = b.rep WHERE a.model = 'score' AND b.model = 'score_b')
 SELECT count(delta) AS n_valid, {r('avg(delta)')} AS mean, {r('avg(CASE WHEN delta > 0 THEN 1e0 ELSE 0e0 END)')} AS share_above, {r('quantile_cont(delta, 0.025)')} AS low, {r('quantile_cont(delta, 0.975)')} AS high FROM de WHERE delta IS NOT NULL""")
 def paired_delta(spark, sf):
-    a = resample.bootstrap_auc(scored(spark, sf), "doc_id", ["score", "score_b"], B)
+    return _paired_delta(spark, sf, B)
+
+
+@query("paired_delta_auc_full", "V9")
+def paired_delta_full(spark, sf):
+    return _paired_delta(spark, sf, FULL_B)
+
+
+def _paired_delta(spark, sf, replicates):
+    a = resample.bootstrap_auc(scored(spark, sf), "doc_id", ["score", "score_b"], replicates)
     return shape(resample.interval(resample.paired_delta(a, "score", "score_b"), [], "delta", 0.0), ["n_valid"], ["mean", "share_above", "low", "high"])
 
 
 @query("winner_share", "V9", f"""{_BOOT}, w AS (SELECT rep, model, row_number() OVER (PARTITION BY rep ORDER BY auc DESC, model) AS rn FROM au WHERE auc IS NOT NULL)
 SELECT model, count(*) AS wins, {r('count(*) * 1e0 / sum(count(*)) OVER ()')} AS share FROM w WHERE rn = 1 GROUP BY 1""")
 def winner_share(spark, sf):
-    a = resample.bootstrap_auc(scored(spark, sf), "doc_id", ["score", "score_b"], B)
+    return _winner_share(spark, sf, B)
+
+
+@query("winner_share_full", "V9")
+def winner_share_full(spark, sf):
+    return _winner_share(spark, sf, FULL_B)
+
+
+def _winner_share(spark, sf, replicates):
+    a = resample.bootstrap_auc(scored(spark, sf), "doc_id", ["score", "score_b"], replicates)
     return shape(resample.winner_share(a), ["model", "wins"], ["share"])
 
 
@@ -122,8 +160,17 @@ nl AS (SELECT rep, (sum(rk) - max(n1) * (max(n1) + 1) / 2e0) / (max(n1) * 1e0 *
 SELECT {r('max(obs)')} AS observed, count(*) AS replicates, {r('avg(auc)')} AS null_mean, count(*) FILTER (abs(auc - 0.5e0) >= abs(obs - 0.5e0) - 1e-12) AS n_extreme,
  {r('(count(*) FILTER (abs(auc - 0.5e0) >= abs(obs - 0.5e0) - 1e-12) + 1) / (count(*) + 1e0)')} AS p FROM nl, ob""")
 def permutation_null(spark, sf):
+    return _permutation_null(spark, sf, 2 * B)
+
+
+@query("permutation_null_full", "V10")
+def permutation_null_full(spark, sf):
+    return _permutation_null(spark, sf, FULL_B)
+
+
+def _permutation_null(spark, sf, replicates):
     s = scored(spark, sf)
-    null = resample.permutation_auc(s, "doc_id", 2 * B)
+    null = resample.permutation_auc(s, "doc_id", replicates)
     return shape(resample.permutation_p(null, evaluate.auc(s, [])), ["replicates", "n_extreme"], ["observed", "null_mean", "p"])
 
 
@@ -134,8 +181,17 @@ mo AS (SELECT rep, y, sum(m) AS s, sum(m * v) AS x, sum(m * v * v) AS q FROM bs
 d AS (SELECT a.rep, (a.x / a.s - b.x / b.s) / sqrt(((a.q - a.x * a.x / a.s) / (a.s - 1) + (b.q - b.x * b.x / b.s) / (b.s - 1)) / 2e0) AS d FROM mo a JOIN mo b ON a.rep = b.rep WHERE a.y = 1 AND b.y = 0)
 SELECT count(d) AS n_valid, {r('avg(d)')} AS mean, {r('quantile_cont(d, 0.025)')} AS low, {r('quantile_cont(d, 0.975)')} AS high FROM d""")
 def bootstrap_effect_size(spark, sf):
+    return _bootstrap_effect_size(spark, sf, B)
+
+
+@query("bootstrap_effect_size_full", "T2 V8")
+def bootstrap_effect_size_full(spark, sf):
+    return _bootstrap_effect_size(spark, sf, FULL_B)
+
+
+def _bootstrap_effect_size(spark, sf, replicates):
     d = views.doc(spark, sf).select("doc_id", "y", F.ln("chars").alias("value"))
-    return shape(resample.interval(resample.bootstrap_effect(d, "doc_id", B), [], "d"), ["n_valid"], ["mean", "low", "high"])
+    return shape(resample.interval(resample.bootstrap_effect(d, "doc_id", replicates), [], "d"), ["n_valid"], ["mean", "low", "high"])
 
 
 @query("fold_quality", "V11 L13", f"""{then('doc')} {SCORED}, rp AS (SELECT *, CAST(unnest(range(0, 4)) AS INTEGER) AS rep FROM sd),

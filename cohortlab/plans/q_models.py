@@ -172,6 +172,8 @@ def flagged_removal(spark, sf):
 # ---- random panels -------------------------------------------------------
 
 PANELS, SIZE = 12, 2
+# as many as the original analyses draw
+FULL_PANELS, FULL_SIZE = 1000, 3
 _PANEL = f"""fn AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS f FROM (SELECT DISTINCT feature FROM measure)),
 dw AS (SELECT feature, f, panel, {phash_sql('f', 'panel')} AS h FROM (SELECT *, unnest(range(0, {PANELS})) AS panel FROM fn)),
 pn AS (SELECT panel, feature, rn - 1 AS slot FROM (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY h, f) AS rn FROM dw) WHERE rn <= {SIZE}),
@@ -187,9 +189,18 @@ def _z(spark, sf, cols=("cohort", "y")):
 @query("panel_transfer_null", "M12", f"""{then('measure', 'sample')} {LABELLED}, {_SCALER}, {_PANEL}, tr AS (SELECT *, panel AS model FROM pr WHERE cohort = 'train'), {logistic_sql('tr', ['t.x1', 't.x2'], l2=1.0)},
 pd AS (SELECT panel, y, b0 + b1 * x1 + b2 * x2 AS eta FROM pr JOIN nt_fit ON panel = model WHERE cohort = 'transfer') SELECT CAST(panel AS INTEGER) AS panel, {r('auc')} AS auc FROM {auc_sql('pd', 'panel', 'eta')}""")
 def panel_transfer_null(spark, sf):
+    return _panel_transfer(spark, sf, PANELS, SIZE)
+
+
+@query("panel_transfer_null_full", "M12")
+def panel_transfer_null_full(spark, sf):
+    return _panel_transfer(spark, sf, FULL_PANELS, FULL_SIZE)
+
+
+def _panel_transfer(spark, sf, n, size):
     z = _z(spark, sf)
-    panels = cut(models.random_panels(z, PANELS, SIZE))
-    return shape(models.panel_transfer(_train(z), _transfer(z), panels, SIZE), ["panel"], ["auc"])
+    panels = cut(models.random_panels(z, n, size))
+    return shape(models.panel_transfer(_train(z), _transfer(z), panels, size), ["panel"], ["auc"])
 
 
 @query("panel_within_null", "M12 L13", f"""{then('measure', 'sample')} {LABELLED}, {_SCALER}, {_PANEL},
@@ -198,9 +209,18 @@ pf AS (SELECT pr.*, fold FROM pr JOIN fo ON pr.sample_id = fo.sample_id), tr AS
 pd AS (SELECT panel, y, round(1e0 / (1e0 + exp(-(b0 + b1 * x1 + b2 * x2))), 12) AS p FROM pf JOIN nt_fit ON panel * 10 + fold = model), au AS {auc_sql('pd', 'panel', 'p')}
 SELECT count(auc) AS n_panels, {r('avg(auc)', 5)} AS mean_auc, {r('stddev_samp(auc)', 5)} AS sd_auc, {r('avg(CASE WHEN auc >= 0.5 THEN 1e0 ELSE 0e0 END)')} AS share_at_least, {r('avg(CASE WHEN auc < 0.5 THEN 1e0 ELSE 0e0 END)')} AS percentile FROM au""")
 def panel_within_null(spark, sf):
+    return _panel_within(spark, sf, PANELS, SIZE)
+
+
+@query("panel_within_null_full", "M12 L13")
+def panel_within_null_full(spark, sf):
+    return _panel_within(spark, sf, FULL_PANELS, FULL_SIZE)
+
+
+def _panel_within(spark, sf, n, size):
     z = _z(spark, sf)
     folds = prep.stratified_folds(views.sample(spark, sf).select("sample_id", "y"), 5, 1)
-    within = models.panel_within(z, folds, models.random_panels(z, PANELS, SIZE), SIZE)
+    within = models.panel_within(z, folds, models.random_panels(z, n, size), size)
     s = models.panel_summary(within, 0.5)
     return s.select("n_panels", rounded("mean_auc", 5).alias("mean_auc"), rounded("sd_auc", 5).alias("sd_auc"), rounded("share_at_least").alias("share_at_least"), rounded("percentile").alias("percentile"))
 
@@ -220,6 +240,19 @@ def batch_classifier_shuffles(spark, sf):
     return shape(models.batch_classifier(b, "y", ["x1", "x2"], folds, 6), ["rep"], ["auc"])
 
 
+@query("batch_classifier_shuffles_full", "M15 V10")
+def batch_classifier_shuffles_full(spark, sf):
+    """Batch labels predicted from the first five component scores, and 5000 shuffles as in the original analysis."""
+    z = cut(prep.apply_scaler(views.labelled(spark, sf, ["batch_mixed"]), prep.fit_scaler(views.labelled(spark, sf, ["batch_mixed"]))).drop("value"))
+    rows = cut(models.feature_arrays(z, ["sample_id", "batch_mixed"]))
+    pcs = [f"PC{i}" for i in range(1, 6)]
+    scores, _ = models.pca_scores(rows, ["sample_id", "batch_mixed"], len(pcs))
+    b = scores.groupBy("sample_id", "batch_mixed").agg(*(F.max(F.when(F.col("pc") == pc, F.col("score"))).alias(pc) for pc in pcs))
+    b = cut(b.withColumn("y", F.col("batch_mixed").isin("b0", "b1").cast("int")).drop("batch_mixed"))
+    folds = cut(prep.stratified_folds(b.select("sample_id", "y"), 5, 1))
+    return shape(models.batch_classifier(b, "y", pcs, folds, 5000), ["rep"], ["auc"])
+
+
 # ---- MLlib fits (no SQL counterpart) ------------------------------------
 
 def _arrays(spark, sf):
@@ -316,11 +349,14 @@ def nested_cv(spark, sf):
     return shape(metrics, ["rep", "fold", "c", "n_selected"], ["auc", "average_precision"], 4)
 
 
+RESAMPLES = 2000
+
+
 @query("selection_stability", "M10 G9")
 def selection_stability(spark, sf):
     rows, names = _arrays(spark, sf)
-    coefs = models.lasso_stability(cut(_train(rows)), names, 6)
-    return shape(rollup.selection_summary(coefs, 6), ["feature", "n_selected", "n_positive", "n_negative"], ["frequency", "sign_consistency", "mean_coefficient", "mean_abs_coefficient"], 4)
+    coefs = models.lasso_stability(cut(_train(rows)), names, RESAMPLES)
+    return shape(rollup.selection_summary(coefs, RESAMPLES), ["feature", "n_selected", "n_positive", "n_negative"], ["frequency", "sign_consistency", "mean_coefficient", "mean_abs_coefficient"], 4)
 
 
 @query("fold_selection_ladder", "M10 G9 G10")

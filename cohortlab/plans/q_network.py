@@ -54,6 +54,13 @@ def common_neighbours(spark, sf):
     return network.common_neighbours(network.seed_edges(views.edge(spark, sf), pair, 0.1), pair.count())
 
 
+@query("common_neighbours_full", "N3")
+def common_neighbours_full(spark, sf):
+    """Neighbours of every seed."""
+    seeds = _seeds(spark, sf)
+    return network.common_neighbours(network.seed_edges(views.edge(spark, sf), seeds, 0.1), seeds.count())
+
+
 # terms tested by region: seed = region name, term = market segment, p from a balance difference
 _TERMS = f"""mo AS (SELECT r_name AS seed, c_mktsegment AS term, count(*) FILTER (c_acctbal > 4500) AS n1, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
 pv AS (SELECT *, {norm_p('(n1 - n / 2e0) / sqrt(n / 4e0)')} AS p FROM mo),

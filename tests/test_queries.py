@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from cohortlab.plans import q_models, q_network
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
@@ -43,3 +44,39 @@ def test_flagship_has_one_row_per_feature(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_full_counts_are_registered(spark):
+    q = entry.queries()
+    got = {r["model"]: r["n_valid"] for r in q["bootstrap_auc_full"](spark, DATA).collect()}
+    assert got == {"score": 10000, "score_b": 10000}
+    null = q["permutation_null_full"](spark, DATA).first()
+    assert null["replicates"] == 10000 and abs(null["p"] - (null["n_extreme"] + 1) / 10001) < 1e-6
+    seeds = {r["n_name"] for r in spark.read.parquet(f"{DATA}/nation.parquet").filter("n_regionkey = 2").collect()}
+    near = {}
+    for r in q_network.views.edge(spark, DATA).collect():
+        for seed, other in ((r["a"], r["b"]), (r["b"], r["a"])):
+            if seed in seeds and r["score"] >= 0.1 and other != seed:
+                near.setdefault(other, set()).add(seed)
+    assert {r["neighbour"] for r in q["common_neighbours_full"](spark, DATA).collect()} == {n for n, of in near.items() if of == seeds}
+
+
+def test_full_panels_equal_brute_force(spark):
+    np = pytest.importorskip("numpy")
+    got = {r["panel"]: r["auc"] for r in entry.queries()["panel_transfer_null_full"](spark, DATA).collect()}
+    assert sorted(got) == list(range(1000))
+    z = q_models._z(spark, DATA)
+    panels = q_models.models.random_panels(z, 1000, 3).filter("panel IN (0, 500, 999)").collect()
+    wide = z.toPandas().pivot(index=["sample_id", "cohort", "y"], columns="feature", values="z").reset_index()
+    train, other = wide[wide.cohort == "train"], wide[wide.cohort == "transfer"]
+    for k in (0, 500, 999):
+        names = [p["feature"] for p in panels if p["panel"] == k]
+        assert len(set(names)) == 3
+        x, y, b = np.c_[np.ones(len(train)), train[names].to_numpy()], train.y.to_numpy(), np.zeros(4)
+        ridge = np.diag([0.0, 1.0, 1.0, 1.0])
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-x @ b))
+            b = b + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ b)
+        s = other[names].to_numpy() @ b[1:]
+        d = s[other.y.to_numpy() == 1][:, None] - s[other.y.to_numpy() == 0]
+        assert abs(got[k] - (np.mean(d > 0) + np.mean(d == 0) / 2)) < 2e-6
