@@ -28,3 +28,15 @@ def measured(df: DataFrame, *wide: str, limit: int = BROADCAST_BYTES) -> DataFra
     extra = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(0))
     size = df.agg(F.sum(F.lit(64) + extra)).first()[0] or 0
     return F.broadcast(df) if size <= limit else df
+
+
+def salted_join(rows: DataFrame, side: DataFrame, on: list[str], *wide: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has each key once: by broadcast if ``side`` is measured small, else with every key
+    spread over ``salts`` tasks, so that a key holding a third of ``rows`` is no single task."""
+    small = measured(side, *wide)
+    if small is not side:
+        return rows.join(small, on, how)
+    others = [c for c in rows.columns if c not in on]
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0))
+    copies = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
