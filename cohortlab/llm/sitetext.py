@@ -311,32 +311,32 @@ def main_text(page: str | None, host: str | None = None, templates: frozenset[in
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(_page, templates): for each page, by the hash of its url and html, the hashes of its subtrees that are templates of its host. ``pages`` needs _host, _page, _copy, html."""
+    """(__page, __templates): for each page, by the hash of its url and html, the hashes of its subtrees that are templates of its host. ``pages`` needs __host, __page, __copy, html."""
 
     def work():
-        return lambda batch: {"keys": [subtrees(h, s) for h, s in zip(batch.column("html").to_pylist(), batch.column("_host").to_pylist(), strict=True)]}
+        return lambda batch: {"keys": [subtrees(h, s) for h, s in zip(batch.column("html").to_pylist(), batch.column("__host").to_pylist(), strict=True)]}
 
-    shapes = extended(pages.select("_page", "_host", "_copy", F.coalesce("html", F.lit("")).alias("html")), "html", "keys array<bigint>", work).drop("html")
-    shapes, _ = written(shapes.withColumn("_site", F.xxhash64("_host")).drop("_host"), "subtrees")
-    sizes = shapes.select("_site", "_copy").distinct().groupBy("_site").agg(F.count("*").alias("pages"))
-    seen = shapes.select("_site", "_copy", F.explode("keys").alias("key")).distinct().groupBy("_site", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    found, _ = written(salted_join(seen, sizes, ["_site"]).filter(F.col("n") >= share * F.col("pages")).select("key"), "templates")
-    hits = salted_join(shapes.select("_page", F.explode("keys").alias("key")).distinct(), found, ["key"])
-    return hits.groupBy("_page").agg(F.collect_list("key").alias("templates"))
+    shapes = extended(pages.select("__page", "__host", "__copy", F.coalesce("html", F.lit("")).alias("html")), "html", "keys array<bigint>", work).drop("html")
+    shapes, _ = written(shapes.withColumn("__site", F.xxhash64("__host")).drop("__host"), "subtrees")
+    sizes = shapes.select("__site", "__copy").distinct().groupBy("__site").agg(F.count("*").alias("pages"))
+    seen = shapes.select("__site", "__copy", F.explode("keys").alias("key")).distinct().groupBy("__site", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    found, _ = written(salted_join(seen, sizes, ["__site"]).filter(F.col("n") >= share * F.col("pages")).select("key"), "templates")
+    hits = salted_join(shapes.select("__page", F.explode("keys").alias("key")).distinct(), found, ["key"])
+    return hits.groupBy("__page").agg(F.collect_list("key").alias("__templates"))
 
 
 def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """``pages`` (url, html) with text, the main text, and n_chars, its code points."""
     own = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
-    rows = pages.select(*own).withColumn("_host", host_of(F.col("url"))).withColumn("_copy", F.xxhash64(F.coalesce("html", F.lit("")))).withColumn("_page", F.xxhash64("_host", F.lit("\n"), "_copy"))
+    rows = pages.select(*own).withColumn("__host", host_of(F.col("url"))).withColumn("__copy", F.xxhash64(F.coalesce("html", F.lit("")))).withColumn("__page", F.xxhash64("__host", F.lit("\n"), "__copy"))
     known, _ = written(site_templates(rows, min_pages, share), "marked")
-    rows = salted_join(rows, known, ["_page"], "templates", how="left")
+    rows = salted_join(rows, known, ["__page"], 8 * F.size("__templates"), how="left")
 
     def work():
         def step(batch):
             texts = [
                 main_text(h, s, frozenset(t or ()))
-                for h, s, t in zip(batch.column("html").to_pylist(), batch.column("_host").to_pylist(), batch.column("templates").to_pylist(), strict=True)
+                for h, s, t in zip(batch.column("html").to_pylist(), batch.column("__host").to_pylist(), batch.column("__templates").to_pylist(), strict=True)
             ]
             return {"text": texts, "n_chars": [len(t) for t in texts]}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortlab.session import scratch_path
 
@@ -23,14 +23,14 @@ def removed(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def measured(df: DataFrame, *wide: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint when its rows, 64 bytes each plus the columns ``wide``, are proven to fit ``limit``."""
-    extra = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(0))
+def measured(df: DataFrame, *wide: Column | str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when its rows, 64 bytes each plus ``wide``, are proven to fit ``limit``. ``wide`` names text columns, or gives bytes."""
+    extra = sum((F.coalesce(F.octet_length(c) if isinstance(c, str) else c, F.lit(0)) for c in wide), F.lit(0))
     size = df.agg(F.sum(F.lit(64) + extra)).first()[0] or 0
     return F.broadcast(df) if size <= limit else df
 
 
-def salted_join(rows: DataFrame, side: DataFrame, on: list[str], *wide: str, salts: int = 16, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, side: DataFrame, on: list[str], *wide: Column | str, salts: int = 16, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``side``, which has each key once: by broadcast if ``side`` is measured small, else with every key
     spread over ``salts`` tasks, so that a key holding a third of ``rows`` is no single task."""
     small = measured(side, *wide)
