@@ -21,8 +21,8 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions.hashing import phash
-from cohortlab.operators import glm, prep, resample
-from cohortlab.operators.evaluate import auc, average_precision
+from cohortlab.operators import glm
+from cohortlab.operators.evaluate import auc
 from cohortlab.operators.running import row_numbers
 from cohortlab.operators.tables import top_per_group
 from cohortlab.session import cut, settle, small
@@ -211,113 +211,6 @@ def pca_few_samples(long: DataFrame, k: int = 5, sample: str = "sample_id", feat
     return long.sparkSession.createDataFrame(out, f"{sample} {kind}, pc string, score double")
 
 
-# ---- cross-validation and stability -------------------------------------
-
-def tune_penalty(rows: DataFrame, folds: DataFrame, grid: Sequence[float], key: str = "sample_id", label: str = "y") -> DataFrame:
-    """Mean and sd of AUC, accuracy and selected features per penalty over (rep, fold)."""
-    data = cut(rows.join(folds.select(key, "rep", "fold"), key))
-    parts = [(r["rep"], r["fold"]) for r in data.select("rep", "fold").distinct().orderBy("rep", "fold").collect()]
-    jobs = [(c, rep, fold) for c in grid for rep, fold in parts]
-
-    def one(job):
-        c, rep, fold = job
-        mine = data.filter(F.col("rep") == rep)
-        model = fit_lr(mine.filter(F.col("fold") != fold), True, c, label)
-        n = int((abs(model.coefficients.toArray()) > 1e-10).sum())
-        held = predict(model, mine.filter(F.col("fold") == fold), [label])
-        return held.select(F.lit(c).alias("c"), F.lit(rep).alias("rep"), F.lit(fold).alias("fold"), F.lit(n).alias("n_selected"), label, "probability")
-
-    scored = cut(union(parallel(one, jobs)))
-    a = auc(scored, ["c", "rep", "fold", "n_selected"], "probability", label)
-    acc = scored.groupBy("c", "rep", "fold").agg(F.avg(((F.col("probability") >= 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"))
-    per = a.join(acc, ["c", "rep", "fold"])
-    return per.groupBy("c").agg(
-        F.count("auc").alias("n_folds"), F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("sd_auc"),
-        F.avg("accuracy").alias("mean_accuracy"), F.avg("n_selected").alias("mean_selected"),
-    )
-
-
-def lasso_stability(rows: DataFrame, names: Sequence[str], replicates: int, c: float = 0.3, key: str = "sample_id", label: str = "y", seed: int = 42) -> DataFrame:
-    """(rep, feature, coefficient) over bootstrap resamples; multiplicities are row weights. Single-class resamples are left out."""
-    weights = resample.bootstrap_weights(rows.select(key, label), key, replicates, seed=seed)
-    data = cut(rows.join(weights.select(key, "rep", "weight"), key))
-    both = data.groupBy("rep").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).filter("lo <> hi").orderBy("rep").collect()
-
-    def one(rep):
-        model = fit_lr(data.filter(F.col("rep") == rep), True, c, label, weight="weight")
-        return [(rep, n, float(v)) for n, v in zip(names, model.coefficients.toArray())]
-
-    found = [row for part in parallel(one, [r["rep"] for r in both]) for row in part]
-    return rows.sparkSession.createDataFrame(found, "rep int, feature string, coefficient double")
-
-
-def fold_stability(rows: DataFrame, folds: DataFrame, names: Sequence[str], c: float = 0.3, key: str = "sample_id", label: str = "y") -> DataFrame:
-    """(rep, fold, feature, coefficient) from the training part of every fold."""
-    data = cut(rows.join(folds.select(key, "rep", "fold"), key))
-    parts = [(r["rep"], r["fold"]) for r in data.select("rep", "fold").distinct().orderBy("rep", "fold").collect()]
-
-    def one(part):
-        rep, fold = part
-        model = fit_lr(data.filter((F.col("rep") == rep) & (F.col("fold") != fold)), True, c, label)
-        return [(rep, fold, n, float(v)) for n, v in zip(names, model.coefficients.toArray())]
-
-    found = [row for rows_ in parallel(one, parts) for row in rows_]
-    return rows.sparkSession.createDataFrame(found, "rep int, fold int, feature string, coefficient double")
-
-
-def nested_cv(measure: DataFrame, sample: DataFrame, grid: Sequence[float], outer: int = 5, inner: int = 5, repeats: int = 1, share: float = 0.25, covariate: str | None = "age", fallback: Sequence[str] | None = None, key: str = "sample_id", label: str = "y", seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Outer-fold (rep, fold, auc, average_precision, c, n_selected) and the features selected per outer fold.
-
-    Within each outer training part: residualise on controls, keep the top
-    variance share, scale, choose the penalty by inner folds, select by L1, refit
-    without penalty on the selected features. An empty selection falls back to
-    ``fallback`` or, without it, to the feature of largest variance.
-    """
-    folds = prep.stratified_folds(sample, outer, repeats, key, label, seed)
-    extra = [label] + ([covariate] if covariate else [])
-    long = cut(measure.join(small(sample.select(key, *extra)), key).join(folds.select(key, "rep", "fold"), key))
-    parts = [(r["rep"], r["fold"]) for r in long.select("rep", "fold").distinct().orderBy("rep", "fold").collect()]
-    spark = measure.sparkSession
-
-    def one(part):
-        rep, fold = part
-        mine = long.filter(F.col("rep") == rep).drop("rep")
-        train = F.col("fold") != fold
-        if covariate:
-            line = prep.fit_line(mine.filter(train & (F.col(label) == 0)), covariate)
-            mine = prep.apply_residual(mine, line, covariate, out="value2").drop("value").withColumnRenamed("value2", "value")
-        kept = settle(prep.fit_variance_filter(mine.filter(train), "share", share))
-        mine = mine.join(kept.select("feature"), "feature", "left_semi")
-        z = prep.apply_scaler(mine, prep.fit_scaler(mine.filter(train), ddof=0))
-        names = feature_names(kept)
-        rows = cut(feature_arrays(z, [key, label, "fold"]))
-        fit_rows = rows.filter(train)
-        inner_folds = prep.stratified_folds(fit_rows.select(key, label), inner, 1, key, label, seed + 1)
-        if len(grid) > 1:
-            tuned = tune_penalty(fit_rows.drop("fold"), inner_folds, grid, key, label)
-            c = tuned.orderBy(F.desc("mean_auc"), "c").first()["c"]
-        else:
-            c = grid[0]
-        coef = fit_lr(fit_rows, True, c, label).coefficients.toArray()
-        chosen = [i for i, v in enumerate(coef) if abs(v) > 1e-10]
-        if not chosen:
-            wanted = fallback or [kept.orderBy(F.desc("variance"), "feature").first()["feature"]]
-            chosen = [i for i, n in enumerate(names) if n in wanted]
-        narrow = rows.withColumn("x", F.array(*[F.col("x")[i] for i in chosen]))
-        model = fit_lr(narrow.filter(train), False, None, label)
-        held = predict(model, narrow.filter(~train), [label]).select(
-            F.lit(rep).alias("rep"), F.lit(fold).alias("fold"), F.lit(float(c)).alias("c"), F.lit(len(chosen)).alias("n_selected"), label, "probability"
-        )
-        return held, [(rep, fold, names[i], float(coef[i])) for i in chosen]
-
-    done = parallel(one, parts)
-    scored = cut(union([d[0] for d in done]))
-    ids = ["rep", "fold", "c", "n_selected"]
-    metrics = auc(scored, ids, "probability", label).join(average_precision(scored, ids, "probability", label), ids)
-    picked = spark.createDataFrame([row for d in done for row in d[1]], "rep int, fold int, feature string, coefficient double")
-    return metrics, picked
-
-
 # ---- batched small models ------------------------------------------------
 
 def subset_models(columns: Sequence[str]) -> list[tuple[str, ...]]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from cohortlab.functions.hashing import phash_sql
 from cohortlab.functions.scalars import logit, rounded
-from cohortlab.operators import evaluate, glm, models, prep, rollup, twogroup
+from cohortlab.operators import blockfit, evaluate, glm, models, prep, rollup, selection, twogroup
 from cohortlab.operators.tables import top_per_group
 from cohortlab.plans import views
 from cohortlab.plans.q_eval import SCORED, scored
@@ -194,7 +196,10 @@ def panel_transfer_null(spark, sf):
 
 @query("panel_transfer_null_full", "M12")
 def panel_transfer_null_full(spark, sf):
-    return _panel_transfer(spark, sf, FULL_PANELS, FULL_SIZE)
+    """1000 panels of three features: L1 fits (c = 0.3) on the training cohort, scored on the other."""
+    rows, names = _raw_arrays(spark, sf)
+    panels = selection.numbered_panels(models.random_panels(views.measure(spark, sf), FULL_PANELS, FULL_SIZE), names, FULL_SIZE)
+    return shape(selection.panel_transfer(_train(rows), _transfer(rows), names, panels), ["panel"], ["auc"])
 
 
 def _panel_transfer(spark, sf, n, size):
@@ -261,20 +266,34 @@ def _arrays(spark, sf):
     return cut(models.feature_arrays(z, ["sample_id", "cohort", "y"])), names
 
 
+def _raw_arrays(spark, sf, *cols):
+    """Unscaled values by sample; what is scaled is scaled inside each model."""
+    m = views.labelled(spark, sf, ["cohort", "y", *cols])
+    names = models.feature_names(m)
+    return cut(models.feature_arrays(m, ["sample_id", "cohort", "y", *cols], "value", names=names, fill=float("nan"))), names
+
+
+def _one_lasso(spark, sf):
+    rows, names = _raw_arrays(spark, sf)
+    blocks = blockfit.pack(_train(rows), names)
+    one = blockfit.Models.of(1, c=0.3)
+    return rows, names, blocks, one, blockfit.fit(blocks, one)
+
+
 @query("lasso_fit", "M1")
 def lasso_fit(spark, sf):
-    rows, names = _arrays(spark, sf)
-    model = models.fit_lr(_train(rows), True, 0.3)
-    c = models.coefficients(model, names, spark).withColumn("selected", F.abs("coefficient") > 1e-10)
-    return shape(c, ["feature", "selected"], ["coefficient"], 4)
+    _, names, _, _, fits = _one_lasso(spark, sf)
+    c = blockfit.coefficients(spark, fits, names).withColumn("selected", F.abs("coefficient") > 1e-10)
+    return shape(c, ["feature", "selected"], ["coefficient"])
 
 
 @query("lasso_transfer", "M1 V1 V2")
 def lasso_transfer(spark, sf):
-    rows, _ = _arrays(spark, sf)
-    p = models.predict(models.fit_lr(_train(rows), True, 0.3), rows, ["cohort", "y"])
+    rows, names, blocks, one, fits = _one_lasso(spark, sf)
+    every = replace(blockfit.pack(rows, names), centre=blocks.centre)
+    p = blockfit.scored(every, one, fits, "all").join(rows.select("sample_id", "cohort"), "sample_id")
     out = evaluate.auc(p, ["cohort"], "probability").join(evaluate.probability_metrics(p, ["cohort"]), "cohort")
-    return shape(out, ["cohort", "n1", "n0"], ["auc", "brier", "accuracy"], 4)
+    return shape(out, ["cohort", "n1", "n0"], ["auc", "brier", "accuracy"])
 
 
 @query("forest_importance", "M3")
@@ -335,36 +354,42 @@ def pc_association(spark, sf):
     return shape(out, ["pc", "n1", "n0"], ["auc", "p", "spearman"], 4)
 
 
+# penalties and counts of the original analyses
+GRID = [0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0]
+RESAMPLES = 2000
+
+
 @query("penalty_tuning", "M8")
 def penalty_tuning(spark, sf):
-    rows, _ = _arrays(spark, sf)
+    """Eight penalties over five folds, ten times."""
+    rows, names = _raw_arrays(spark, sf)
     train = cut(_train(rows))
-    folds = prep.stratified_folds(train.select("sample_id", "y"), 3, 1)
-    return shape(models.tune_penalty(train, folds, [0.1, 0.3]), ["c", "n_folds"], ["mean_auc", "sd_auc", "mean_accuracy", "mean_selected"], 4)
+    folds = prep.stratified_folds(train.select("sample_id", "y"), 5, 10)
+    return shape(selection.tune_penalty(train, names, folds, GRID, 5, 10), ["c", "n_folds"], ["mean_auc", "sd_auc", "mean_accuracy", "mean_selected"])
 
 
 @query("nested_cv", "M9 L1 L6")
 def nested_cv(spark, sf):
-    metrics, _ = models.nested_cv(views.measure(spark, sf), views.sample(spark, sf), [0.1, 0.3], outer=3, inner=2)
-    return shape(metrics, ["rep", "fold", "c", "n_selected"], ["auc", "average_precision"], 4)
-
-
-RESAMPLES = 2000
+    """Five outer and five inner folds, fifty times, three penalties; residuals on age, top quarter by variance."""
+    rows, names = _raw_arrays(spark, sf, "age")
+    metrics, _ = selection.nested_cv(rows, names, [0.1, 0.3, 1.0], 5, 5, 50)
+    return shape(metrics, ["rep", "fold", "c", "n_selected"], ["auc", "average_precision"])
 
 
 @query("selection_stability", "M10 G9")
 def selection_stability(spark, sf):
-    rows, names = _arrays(spark, sf)
-    coefs = models.lasso_stability(cut(_train(rows)), names, RESAMPLES)
-    return shape(rollup.selection_summary(coefs, RESAMPLES), ["feature", "n_selected", "n_positive", "n_negative"], ["frequency", "sign_consistency", "mean_coefficient", "mean_abs_coefficient"], 4)
+    rows, names = _raw_arrays(spark, sf)
+    coefs = selection.lasso_stability(_train(rows), names, RESAMPLES)
+    return shape(rollup.selection_summary(coefs, RESAMPLES), ["feature", "n_selected", "n_positive", "n_negative"], ["frequency", "sign_consistency", "mean_coefficient", "mean_abs_coefficient"])
 
 
 @query("fold_selection_ladder", "M10 G9 G10")
 def fold_selection_ladder(spark, sf):
-    rows, names = _arrays(spark, sf)
+    """Five folds ten times."""
+    rows, names = _raw_arrays(spark, sf)
     train = cut(_train(rows))
-    folds = prep.stratified_folds(train.select("sample_id", "y"), 5, 1)
-    summary = rollup.selection_summary(models.fold_stability(train, folds, names), 5)
+    folds = prep.stratified_folds(train.select("sample_id", "y"), 5, 10)
+    summary = rollup.selection_summary(selection.fold_stability(train, folds, names, 5, 10), 50)
     return rollup.threshold_ladder(summary, [0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 
 

@@ -62,21 +62,43 @@ def test_full_counts_are_registered(spark):
 
 
 def test_full_panels_equal_brute_force(spark):
+    """1000 panels of three; some again by coordinate descent in numpy, scaled on training values."""
     np = pytest.importorskip("numpy")
     got = {r["panel"]: r["auc"] for r in entry.queries()["panel_transfer_null_full"](spark, DATA).collect()}
     assert sorted(got) == list(range(1000))
-    z = q_models._z(spark, DATA)
-    panels = q_models.models.random_panels(z, 1000, 3).filter("panel IN (0, 500, 999)").collect()
-    wide = z.toPandas().pivot(index=["sample_id", "cohort", "y"], columns="feature", values="z").reset_index()
+    m = q_models.views.labelled(spark, DATA, ["cohort", "y"])
+    panels = q_models.models.random_panels(m, 1000, 3).filter("panel IN (0, 500, 999)").collect()
+    wide = m.toPandas().pivot(index=["sample_id", "cohort", "y"], columns="feature", values="value").reset_index()
     train, other = wide[wide.cohort == "train"], wide[wide.cohort == "transfer"]
     for k in (0, 500, 999):
         names = [p["feature"] for p in panels if p["panel"] == k]
         assert len(set(names)) == 3
-        x, y, b = np.c_[np.ones(len(train)), train[names].to_numpy()], train.y.to_numpy(), np.zeros(4)
-        ridge = np.diag([0.0, 1.0, 1.0, 1.0])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-x @ b))
-            b = b + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ b)
-        s = other[names].to_numpy() @ b[1:]
+        mean, sd = train[names].mean(), train[names].std(ddof=0)
+        x, y, b = np.c_[np.ones(len(train)), ((train[names] - mean) / sd).to_numpy()], train.y.to_numpy(), np.zeros(4)
+        step = 4 / np.linalg.eigvalsh(x.T @ x)[-1]
+        for _ in range(4000):
+            b = b - step * x.T @ (1 / (1 + np.exp(-x @ b)) - y)
+            b = np.sign(b) * np.maximum(np.abs(b) - step / 0.3, 0)
+        s = ((other[names] - mean) / sd).to_numpy() @ b[1:]
         d = s[other.y.to_numpy() == 1][:, None] - s[other.y.to_numpy() == 0]
         assert abs(got[k] - (np.mean(d > 0) + np.mean(d == 0) / 2)) < 2e-6
+
+
+def test_registered_lasso_is_optimal(spark):
+    """The registered fit meets the conditions of the L1 minimum on scaled training values, intercept included."""
+    np = pytest.importorskip("numpy")
+    got = {r["feature"]: r["coefficient"] for r in entry.queries()["lasso_fit"](spark, DATA).collect()}
+    wide = q_models.views.labelled(spark, DATA, ["cohort", "y"]).filter("cohort = 'train'").toPandas().pivot(index=["sample_id", "y"], columns="feature", values="value").reset_index()
+    names = sorted(got)
+    x, y = wide[names].to_numpy(), wide.y.to_numpy()
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    b = np.array([got[n] for n in names])
+    lo, hi = -5.0, 5.0
+    for _ in range(80):  # the intercept that fits these coefficients
+        mid = (lo + hi) / 2
+        g = (1 / (1 + np.exp(-(mid + z @ b))) - y).sum() + np.sign(mid) / 0.3
+        lo, hi = (lo, mid) if g > 0 else (mid, hi)
+    slope = z.T @ (1 / (1 + np.exp(-(mid + z @ b))) - y)
+    on = np.abs(b) > 1e-9
+    assert 0 < on.sum() < 64
+    assert np.allclose(slope[on], -np.sign(b[on]) / 0.3, atol=2e-2) and np.all(np.abs(slope[~on]) <= 1 / 0.3 + 2e-2)
