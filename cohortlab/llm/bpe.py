@@ -7,26 +7,31 @@ word's end. A priority queue holds (rank, place) of adjacent pairs that can merg
 whose symbols have changed since are skipped, and the two new pairs around the merged symbol are pushed.
 Decoding joins the vocabulary strings of the ids, with a space between them as the file names no decoder.
 
-A part between white space is encoded once in a worker and remembered, in a table that is emptied when it is full.
-Null texts are empty. Every input row gives one row.
+A worker remembers the ids of a word in two generations of at most ``REMEMBERED`` words: a word found in the older one moves to the
+younger, and when that is full it becomes the older one, so words in use stay.
+
+Null texts are empty. Every input row gives one row, repeated rows equal ones. Texts and words of any length are read whole: a word of n
+bytes takes n steps of the queue. Equal ranks are merged from left to right. An empty table gives no rows. Columns of the input
+named as an added one are replaced, others are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 import sys
 import unicodedata
 from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlab.llm.batches import extended
 
-REMEMBERED = 120_000
+REMEMBERED = 150_000
+SHIFT = 32
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
 #: White space as Unicode defines it, which leaves out 0x1C-0x1F.
 BLANK = "\t\n\v\f\r \x85\xa0  -     　"
@@ -77,15 +82,21 @@ def read_vocabulary(path: str) -> dict:
     }
 
 
-class Parts(dict):
-    """Ids by part, found when first asked for."""
+class Remembered(dict):
+    """Ids by word, found when first asked for."""
 
-    def __init__(self, find):
+    def __init__(self, find, size: int = REMEMBERED):
         super().__init__()
-        self.find = find
-
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        ids = self[part] = self.find(part)
+        self.find, self.size, self.older = find, size, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.find(word)
+        self[word] = ids
         return ids
 
 
@@ -95,9 +106,8 @@ class Coder:
     def __init__(self, content: dict):
         vocab, self.end = content["vocab"], content["end"]
         self.made = [vocab[a + b] for a, b in content["merges"]]
-        self.ranks: dict[int, dict[int, int]] = {}
-        for rank, (a, b) in enumerate(content["merges"]):
-            self.ranks.setdefault(vocab[a], {})[vocab[b]] = rank
+        # ranks by pair, the first id shifted by SHIFT bits
+        self.ranks = {vocab[a] << SHIFT | vocab[b]: rank for rank, (a, b) in enumerate(content["merges"])}
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + self.end] for s in symbols]
@@ -107,61 +117,62 @@ class Coder:
         self.digits = {i: str(i) for i in self.strings}
         letters, numbers = character_class("L"), character_class("N")
         self.words = re.compile(f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{BLANK}{letters}{numbers}]+")
+        self.plain_words = re.compile(f"{CONTRACTIONS}|[a-z]+|[0-9]|[^\\t-\\r a-z0-9]+")  # the same for lower-case ASCII
         self.lower = {c: c + step for first, last, step in LOWER for c in range(first, last + 1)}
-        self.blanks = re.compile(f"[{BLANK}]+")
-        self.parts = Parts(self.part)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.rare = re.compile("[" + "".join(map(chr, self.lower)) + "]")
+        self.known = Remembered(self.merged)
 
     def merged(self, word: str) -> tuple[int, ...]:
         """Ids of one word, by the queue of merge ranks over linked symbols."""
         data = word.encode()
-        ids = [self.inner[b] for b in data]
+        n = len(data)
+        inner, rank_of, made = self.inner, self.ranks.get, self.made
+        ids = [inner[b] for b in data]
         ids[-1] = self.last[data[-1]]
-        n, ranks, made, none = len(ids), self.ranks, self.made, {}
+        # the rank of the pair that starts at each place, -1 where none does; an entry of the queue is rank and place in one number
+        ranks = [rank_of(a << SHIFT | b, -1) for a, b in zip(ids, ids[1:], strict=False)]
+        ranks.append(-1)
+        bits = n.bit_length()
+        place = (1 << bits) - 1
+        queue = [r << bits | i for i, r in enumerate(ranks) if r >= 0]
+        heapify(queue)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        # an entry is rank * n + place, so that entries compare as (rank, place)
-        queue = [rank * n + i for i in range(n - 1) if (rank := ranks.get(ids[i], none).get(ids[i + 1])) is not None]
-        heapq.heapify(queue)
         while queue:
-            rank, i = divmod(heapq.heappop(queue), n)
-            j = right[i]
-            if j == n or ids[i] < 0 or ranks.get(ids[i], none).get(ids[j]) != rank:
+            entry = heappop(queue)
+            i = entry & place
+            rank = entry >> bits
+            if ranks[i] != rank:
                 continue  # stale: one of the two symbols has been merged since
+            j = right[i]
             ids[i] = whole = made[rank]
-            ids[j] = -1
+            ids[j] = ranks[j] = -1
             right[i] = k = right[j]
-            after = ranks.get(whole, none)
+            ranks[i] = -1
             if k < n:
                 left[k] = i
-                if (rank := after.get(ids[k])) is not None:
-                    heapq.heappush(queue, rank * n + i)
+                if (rank := rank_of(whole << SHIFT | ids[k])) is not None:
+                    ranks[i] = rank
+                    heappush(queue, rank << bits | i)
             h = left[i]
-            if h >= 0 and (rank := ranks.get(ids[h], none).get(whole)) is not None:
-                heapq.heappush(queue, rank * n + h)
+            if h >= 0:
+                if (rank := rank_of(ids[h] << SHIFT | whole)) is not None:
+                    ranks[h] = rank
+                    heappush(queue, rank << bits | h)
+                else:
+                    ranks[h] = -1
         return tuple([i for i in ids if i >= 0])
 
-    def part(self, text: str) -> tuple[int, ...]:
-        """Ids of a text without white space and added tokens."""
+    def plain(self, text: str) -> Iterable[int]:
+        """Ids of a text without added tokens."""
         if text.isascii():
-            text = text.lower()
+            words = self.plain_words.findall(text.lower())
         else:
-            text = unicodedata.normalize("NFC", text).translate(self.lower)
+            text = unicodedata.normalize("NFC", text)
+            if self.rare.search(text):
+                text = text.translate(self.lower)
             text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # no final form of sigma
-        out = []
-        for word in self.words.findall(text):
-            ids = self.known.get(word)
-            if ids is None:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                ids = self.known[word] = self.merged(word)
-            out += ids
-        return tuple(out)
-
-    def plain(self, text: str) -> Iterable[int]:
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-        return chain.from_iterable(map(self.parts.__getitem__, self.blanks.split(text) if odd else text.split()))
+            words = self.words.findall(text)
+        return chain.from_iterable(map(self.known.__getitem__, words))
 
     def encode(self, text: str) -> list[int]:
         if self.cut is None or not any(t in text for t in self.added):
