@@ -3,7 +3,7 @@
 Each language has a probability for each piece of a fixed public vocabulary. The likelihood of a word is the
 sum over all its segmentations into pieces of the product of their probabilities, by the forward
 algorithm; pieces do not cross words, so a text's likelihood is the product over its words. Words are
-letter runs, lower-cased, with the vocabulary's word mark in front. A single character
+letter runs, lower-cased, with the vocabulary's word mark in front: a letter (Unicode category L) and the letters and combining marks after it. A single character
 outside the vocabulary is a piece of its own with the smoothing probability.
 
 Training takes expected piece counts over all segmentations (forward and backward sums) of the counted
@@ -12,12 +12,18 @@ and starts from equal probabilities. Gathered: at most pieces times languages nu
 
 The score is the posterior of the predicted language under equal priors. A text without a letter, or null, is ``und`` with
 score 0, as is every text if nothing could be learned. Rows with a null id are predicted but never learned from.
-Every input row gives one row.
+Every input row gives one row, repeated rows equal ones. Words and texts of any length count whole. Of languages with equal likelihood the
+first by name wins. An empty table gives no rows. Columns of the input named as an added one are replaced.
+
+A worker remembers the likelihoods of words in two generations of at most ``REMEMBERED`` words, of which the older is dropped when the younger is full.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -34,7 +40,25 @@ SMOOTHING = 0.1
 MAX_LANGUAGES = 400
 REMEMBERED = 120_000
 LONG = 32
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def category(kind: str) -> str:
+    """Ranges of all characters whose Unicode category begins with ``kind``, for use inside brackets."""
+    inside = [unicodedata.category(chr(c))[0] == kind for c in range(sys.maxunicode + 1)] + [False]
+    limits = [c for c in range(sys.maxunicode + 2) if inside[c] != (c > 0 and inside[c - 1])] if not inside[0] else []
+    return "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(limits[::2], limits[1::2], strict=True))
+
+
+@functools.cache
+def _runs() -> tuple[re.Pattern, re.Pattern]:
+    letters = category("L")
+    return re.compile("[a-z]+"), re.compile(f"[{letters}][{letters}{category('M')}]*")
+
+
+def letter_runs(text: str) -> list[str]:
+    """The letter runs of a text, lower-cased."""
+    ascii_runs, runs = _runs()
+    return (ascii_runs if text.isascii() else runs).findall(text.lower())
 
 
 def read_pieces(path: str) -> list[str]:
@@ -128,11 +152,41 @@ class Lattice:
             alpha = [a / total for a in [*alpha, total][-self.longest :]]
         return log
 
+    def long_expected(self, word: str, count: float, p: np.ndarray, out: np.ndarray) -> None:
+        """Add to ``out`` what ``expected`` counts in one word of any length.
+
+        Only ratios of neighbouring forward sums are kept, and going back the probability that a segmentation is cut at a place.
+        """
+        n, longest, ids = len(word), self.longest, self.ids
+        ratio = np.ones(n + 1)
+        spans: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
+        for j in range(1, n + 1):
+            back, total = 1.0, 0.0
+            for i in range(j - 1, max(-1, j - longest - 1), -1):
+                if i < j - 1:
+                    back /= ratio[i + 1]
+                piece = ids.get(word[i:j], self.single if i == j - 1 else None)
+                if piece is not None:
+                    spans[j].append((i, piece, p[piece] * back))
+                    total += p[piece] * back
+            ratio[j] = total
+        cut = np.zeros(n + 1)
+        cut[n] = count
+        for j in range(n, 0, -1):
+            for i, piece, share in spans[j]:
+                flow = share / ratio[j] * cut[j]
+                out[piece] += flow
+                cut[i] += flow
+
     def expected(self, words: list[str], counts: np.ndarray, language: int) -> np.ndarray:
         """Expected number of each piece in the counted words of one language."""
         out = np.zeros(len(self.p))
-        words, p = [w[:LONG] for w in words], self.p[:, language]
+        p = self.p[:, language]
         for n, part in self.groups(words):
+            if n > LONG:
+                for k in part:
+                    self.long_expected(words[k], float(counts[k]), p, out)
+                continue
             some = [words[k] for k in part]
             found = self.found(some, n)
             alpha = self.forward(found, p, len(some), n)
@@ -145,10 +199,6 @@ class Lattice:
         return out
 
 
-def letter_runs(part: str) -> list[str]:
-    return [MARK + w for w in LETTERS.findall(part.lower())]
-
-
 def _equal(pieces: int, languages: int) -> np.ndarray:
     return np.full((pieces + 1, languages), 1.0 / (pieces + 1))
 
@@ -157,7 +207,7 @@ def learned(docs: DataFrame, pieces: list[str], usable: Column, sample_docs: int
     """Languages and piece probabilities from the rows of ``docs`` (doc_id, text, lang) where ``usable`` holds.
 
     ``sample_docs`` bounds the fit: of n labelled documents of a language a fraction sample_docs / n is taken,
-    by a hash of the id. Piece counts come from every word of every document taken, in training of up to 32 characters of a word.
+    by a hash of the id. Piece counts come from every word of every document taken.
     """
     spark = docs.sparkSession
     labelled = docs.select("doc_id", "text", "lang").filter(usable).filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
@@ -175,7 +225,7 @@ def learned(docs: DataFrame, pieces: list[str], usable: Column, sample_docs: int
         for frame in frames:
             found: dict[str, Counter] = {}
             for text, lang in zip(frame["text"], frame["lang"], strict=True):
-                found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                found.setdefault(lang, Counter()).update(letter_runs(text))
             rows = [(lang, MARK + w, n) for lang, words in found.items() for w, n in words.items()]
             yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 
@@ -210,68 +260,58 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
     def work():
         held = sent.value
         if "lattice" not in held:  # a worker keeps it, with the words it remembers, for its later tasks
-            held |= {"lattice": Lattice(held["pieces"], held["p"]), "row": Places(), "matrix": np.zeros((0, len(held["languages"]) + 1)), "used": 0}
+            held |= {"lattice": Lattice(held["pieces"], held["p"]), "younger": Places(len(held["languages"])), "older": Places(len(held["languages"]))}
         return lambda batch: dict(zip(("lang_pred", "score"), _judged(batch.column("text").to_pylist(), held), strict=True))
 
     return extended(docs, "text", "lang_pred string, score double", work)
 
 
 class Places(dict):
-    """The matrix row of each part; a part not seen yet gets the next one and is noted in ``fresh``."""
+    """The matrix row of each word; a word not seen yet gets the next one and is noted in ``fresh``."""
 
-    def __init__(self):
+    def __init__(self, languages: int):
         super().__init__()
         self.fresh: list[str] = []
+        self.matrix = np.zeros((0, languages))
 
-    def __missing__(self, part: str) -> int:
-        place = self[part] = len(self)
-        self.fresh.append(part)
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.fresh.append(word)
         return place
 
 
 def _judged(texts: list[str | None], held: dict) -> tuple[list[str], list[float]]:
     languages = held["languages"]
-    row: Places = held["row"]
-    if len(row) > REMEMBERED:
-        row.clear()
-        held["used"] = 0
-    parts = [np.array(list(map(row.__getitem__, (t or "").split())), np.int64) for t in texts]
+    if len(held["younger"]) > REMEMBERED:
+        held["older"], held["younger"] = held["younger"], Places(len(languages))
+    row: Places = held["younger"]
+    words = [np.array(list(map(row.__getitem__, letter_runs(t or ""))), np.int64) for t in texts]
     if row.fresh:
-        _remember(row.fresh, held)
-        row.fresh = []
-    matrix, names, scores = held["matrix"], [], []
-    for words in parts:
-        total = matrix[words].sum(axis=0) if len(words) else None
-        if total is None or not languages or total[-1] == 0:
+        _remember(row, held["older"], held["lattice"])
+    matrix, names, scores = row.matrix, [], []
+    for places in words:
+        if not len(places) or not languages:
             names.append("und")
             scores.append(0.0)
             continue
-        logs = total[:-1]
+        logs = matrix[places].sum(axis=0)
         k = int(np.argmax(logs))
         names.append(languages[k])
         scores.append(min(1.0, 1.0 / float(np.exp(np.maximum(logs - logs[k], -700)).sum())))
     return names, scores
 
 
-def _remember(fresh: list[str], held: dict) -> None:
-    """Score the parts not seen yet; the last column counts their letter runs."""
-    runs = [letter_runs(p) for p in fresh]
-    flat = [w for r in runs for w in r]
-    distinct = list(dict.fromkeys(flat))
-    place = {w: i for i, w in enumerate(distinct)}
-    logs = held["lattice"].scores(distinct)
-    counts = np.array([len(r) for r in runs])
-    values = np.zeros((len(fresh), len(held["languages"]) + 1))
-    if flat:
-        owner = np.repeat(np.arange(len(fresh)), counts)
-        index = np.fromiter((place[w] for w in flat), np.int64, len(flat))
-        for k in range(logs.shape[1]):
-            values[:, k] = np.bincount(owner, logs[index, k], len(fresh))
-    values[:, -1] = counts
-    used, matrix = held["used"], held["matrix"]
-    if used + len(fresh) > len(matrix):
-        grown = np.zeros((max(2 * len(matrix), used + len(fresh), 1 << 16), values.shape[1]))
-        grown[:used] = matrix[:used]
-        held["matrix"] = matrix = grown
-    matrix[used : used + len(fresh)] = values
-    held["used"] = used + len(fresh)
+def _remember(row: Places, older: Places, lattice: Lattice) -> None:
+    """Likelihoods of the fresh words: those of the older generation, or new ones."""
+    fresh, used = row.fresh, len(row) - len(row.fresh)
+    row.fresh = []
+    values = np.zeros((len(fresh), row.matrix.shape[1]))
+    at = np.array([older.get(w, -1) for w in fresh])
+    values[at >= 0] = older.matrix[at[at >= 0]]
+    new = np.flatnonzero(at < 0)
+    values[new] = lattice.scores([MARK + fresh[k] for k in new.tolist()])
+    if len(row) > len(row.matrix):
+        grown = np.zeros((max(2 * len(row.matrix), len(row), 1 << 16), values.shape[1]))
+        grown[:used] = row.matrix[:used]
+        row.matrix = grown
+    row.matrix[used : used + len(fresh)] = values
