@@ -24,8 +24,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlab.functions.hashing import ID_STEP, MODULUS, REP_STEP, SEED_STEP, SHIFT
 from cohortlab.operators.evaluate import auc, average_precision
+from cohortlab.operators.resample import drawn_counts
 from cohortlab.operators.running import row_numbers
 from cohortlab.session import cut, scratch_path, small
 
@@ -105,15 +105,6 @@ class Fits:
         return np.column_stack([self.beta[:, 0] - (a * self.shift).sum(axis=1), a, -(a * self.slope).sum(axis=1)])
 
 
-def drawn_counts(n: int, rep: int, seed: int) -> np.ndarray:
-    """How often each of ``n`` positions is drawn in a replicate: the draws of ``resample.bootstrap_weights``."""
-    key = np.arange(n, dtype=np.int64) % MODULUS
-    h = (key * ID_STEP + rep * REP_STEP + seed * SEED_STEP + 12345) % MODULUS
-    for shift in (SHIFT, SHIFT + seed + 1):
-        h = (h * h + shift) % MODULUS
-    return np.bincount(h % n, minlength=n)
-
-
 def _counts(spark: SparkSession, n: int, replicates: int, seed: int, block_rows: int) -> DataFrame:
     """(block, counts): bootstrap counts of all replicates for the samples of a block, as 16-bit rows by sample."""
     if n > DRAWN:

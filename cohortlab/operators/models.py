@@ -21,8 +21,8 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions.hashing import phash
-from cohortlab.operators import glm
-from cohortlab.operators.evaluate import auc
+from cohortlab.operators import glm, prep
+from cohortlab.operators.evaluate import auc, average_precision
 from cohortlab.operators.running import row_numbers
 from cohortlab.operators.tables import top_per_group
 from cohortlab.session import cut, settle, small
@@ -257,6 +257,56 @@ def ablation(train: DataFrame, others: dict[str, DataFrame], columns: Sequence[s
     return a.join(full, "cohort").select("model", "cohort", "auc", (F.col("auc") - F.col("full_auc")).alias("delta_auc"))
 
 
+def fixed_score_ablation(long: DataFrame, columns: Sequence[str], cohort: str = "cohort", key: str = "sample_id", label: str = "y") -> DataFrame:
+    """AUC and average precision of the mean of z over every non-empty subset of ``columns``, in every cohort, with the change against all of them.
+
+    Nothing is fitted: values (cohort, key, label, feature, value) are scaled within their cohort and a subset's score is a plain mean.
+    """
+    z = prep.cohort_zscore(long.filter(F.col("feature").isin(list(columns))), cohort)
+    wide = z.groupBy(cohort, key, label).agg(*[F.max(F.when(F.col("feature") == c, F.col("z"))).alias(f"z_{i}") for i, c in enumerate(columns)])
+    at = {c: f"z_{i}" for i, c in enumerate(columns)}
+    scores = [F.struct(F.lit("+".join(s)).alias("model"), F.lit(len(s)).alias("n_features"), (sum((F.col(at[c]) for c in s), F.lit(0.0)) / len(s)).alias("score")) for s in subset_models(columns)]
+    rows = wide.select(cohort, label, F.inline(F.array(*scores)))
+    keys = [cohort, "model", "n_features"]
+    out = cut(auc(rows, keys, "score", label).select(*keys, "auc").join(average_precision(rows, keys, "score", label).select(*keys, "average_precision"), keys))
+    full = out.filter(F.col("model") == "+".join(columns)).select(cohort, F.col("auc").alias("_a"), F.col("average_precision").alias("_p"))
+    return out.join(small(full), cohort).select(*keys, "auc", "average_precision", (F.col("auc") - F.col("_a")).alias("delta_auc"), (F.col("average_precision") - F.col("_p")).alias("delta_average_precision"))
+
+
+def frozen_on_schemes(train: DataFrame, other: DataFrame, columns: Sequence[str], schemes: Sequence[str], key: str = "sample_id", label: str = "y", l2: float = 1.0) -> DataFrame:
+    """AUC of one frozen model, and of each of its features, on several preprocessings of another cohort.
+
+    ``train`` is (key, label, feature, value), ``other`` has one value column for each of ``schemes``. The model is fitted on the scaled training values and
+    applied, with the training scaling, to every scheme. One row for ``model`` and each feature: an AUC by scheme, and each one's change from the first.
+    """
+    pick = F.col("feature").isin(list(columns))
+    train, other = train.filter(pick), other.filter(pick)
+    scaler = settle(prep.fit_scaler(train, ddof=0))
+    x = lambda v: [F.max(F.when(F.col("feature") == c, F.col(v))).alias(f"x_{i}") for i, c in enumerate(columns)]
+    names = [f"x_{i}" for i in range(len(columns))]
+    wide = prep.apply_scaler(train, scaler).groupBy(key, label).agg(*x("z"))
+    fits = glm.fit_logistic(glm.design(wide, names, F.lit("m"), label), len(columns) + 1, l2)
+    long = other.unpivot([key, label, "feature"], list(schemes), "scheme", "value")
+    z = prep.apply_scaler(long, scaler).groupBy("scheme", key, label).agg(*x("z"))
+    scored = glm.score_rows(z.withColumn("x", F.array(F.lit(1.0), *names)).withColumn("model", F.lit("m")), fits, len(columns) + 1, ["scheme", label])
+    scores = scored.select("scheme", label, F.lit("model").alias("analysis"), F.round("score", 9).alias("score"))
+    scores = scores.unionByName(long.select("scheme", label, F.col("feature").alias("analysis"), F.col("value").alias("score")))
+    areas = auc(scores, ["analysis", "scheme"], "score", label)
+    wide = areas.groupBy("analysis").agg(*[F.max(F.when(F.col("scheme") == s, F.col("auc"))).alias(f"auc_{s}") for s in schemes])
+    return wide.select("*", *[(F.col(f"auc_{s}") - F.col(f"auc_{schemes[0]}")).alias(f"delta_{s}") for s in schemes[1:]])
+
+
+def covariate_fold_auc(sample: DataFrame, covariate: str, folds: DataFrame, key: str = "sample_id", label: str = "y", l2: float = 1.0) -> DataFrame:
+    """Cross-validated AUC of a model of the covariate alone: (rep, fold, n1, n0, auc). ``folds`` is (key, rep, fold); all fits advance together."""
+    rows = cut(sample.select(key, label, covariate).join(folds.select(key, "rep", "fold"), key))
+    number = rows.agg(F.max("fold")).first()[0]
+    held = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(number))))
+    fits = glm.fit_logistic(glm.design(held.filter("fold <> held"), [covariate], F.struct("rep", F.col("held").cast("int").alias("fold")), label), 2, l2)
+    x = rows.select(label, F.struct("rep", F.col("fold").cast("int").alias("fold")).alias("model"), F.array(F.lit(1.0), F.col(covariate).cast("double")).alias("x"))
+    scored = glm.score_rows(x, fits, 2, [label]).select(label, "model.rep", "model.fold", F.round("score", 9).alias("score"))
+    return auc(scored, ["rep", "fold"], "score", label)
+
+
 def random_panels(features: DataFrame, n_panels: int, size: int = 3, feature: str = "feature", seed: int = 42) -> DataFrame:
     """(panel, slot, feature): ``size`` features per panel, the smallest hashes of (feature number, panel)."""
     numbered = row_numbers(features.select(feature).distinct(), [], feature, "_f")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortlab.functions import tails
 from cohortlab.functions.scalars import keyword_category
 from cohortlab.operators.tables import top_per_group
+from cohortlab.operators.twogroup import adjust_fdr
 from cohortlab.session import small
 
 
@@ -80,6 +81,24 @@ def over_representation(wanted: DataFrame, membership: DataFrame, term: str = "t
     return per.withColumn("p", tails.hypergeom_p("overlap", "pool_size", "term_size", "set_size"))
 
 
+def neighbourhood_terms(touching: DataFrame, membership: DataFrame, seed: str = "seed", term: str = "term", member: str = "member", limit: float = 0.05) -> DataFrame:
+    """The term tables of all seeds united: over-representation of each seed's neighbourhood (the seed and its neighbours), FDR within the seed.
+
+    One row for each (seed, term) with an overlap: neighbourhood_size (members asked for), set_size (those the terms know), term_size, pool_size,
+    overlap, p, fdr and ``significant``. A seed without neighbours is its own neighbourhood; unknown members count in neighbourhood_size only.
+    """
+    asked = touching.select(seed, F.col("neighbour").alias(member)).unionByName(touching.select(seed, F.col(seed).alias(member))).distinct()
+    pairs = membership.select(term, member).distinct()
+    pool = pairs.select(member).distinct()
+    known = asked.join(pool.withColumn("_in", F.lit(1)), member, "left")
+    sizes = known.groupBy(seed).agg(F.count(F.lit(1)).alias("neighbourhood_size"), F.count("_in").alias("set_size"))
+    terms = pairs.groupBy(term).agg(F.count(F.lit(1)).alias("term_size"))
+    hits = asked.join(pairs, member).groupBy(seed, term).agg(F.count(F.lit(1)).alias("overlap"))
+    rows = hits.join(small(sizes), seed).join(small(terms), term).withColumn("pool_size", pool.agg(F.count(F.lit(1))).scalar())
+    rows = rows.withColumn("p", tails.hypergeom_p("overlap", "pool_size", "term_size", "set_size"))
+    return adjust_fdr(rows, family=[seed]).withColumn("significant", F.col("fdr") < limit)
+
+
 def pattern_lines(docs: DataFrame, patterns: dict[str, str], key: str, text: str = "text") -> DataFrame:
     """(key, line_no, line, pattern) for every line matching a named regular expression; lines count from 1."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("_p", "line"))

@@ -1,9 +1,12 @@
 """Bootstrap and permutation with replayable draws.
 
-A draw is a hash of (slot, replicate), so any engine can repeat it. Replicates
-are exploded from the rows themselves; work is rows times replicates and is
-spread over (replicate, ...) keys. ``poisson`` weights need no exchange at all
-and suit tables too large for exact draws.
+A draw is a hash of (slot, replicate), so any engine can repeat it. ``poisson`` weights need no exchange at all and suit tables too large
+for exact draws.
+
+AUC and average precision of replicates come from one global order of the scores: up to ``ORDERED_BYTES`` the scored rows are
+packed once (sorted order, ties and labels of every model), broadcast, and each task runs through its own replicates with an array
+of row weights and running totals over the order; nothing is exploded, sorted or shuffled per replicate. Beyond that size replicates
+are exploded from the rows, rows times replicates spread over (replicate, ...) keys.
 """
 
 from __future__ import annotations
@@ -11,14 +14,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlab.functions.hashing import MODULUS, phash
+from cohortlab.functions.hashing import ID_STEP, MODULUS, REP_STEP, SEED_STEP, SHIFT, phash
 from cohortlab.operators import running as run
 from cohortlab.operators.running import quantiles, row_numbers, with_rank
 from cohortlab.operators.twogroup import rank_sums
 from cohortlab.session import cut, small
 
+ORDERED_BYTES = 64 << 20
+MOST_ATTEMPTS = 1000
 POISSON_CUTS = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12))
 
 
@@ -52,8 +59,138 @@ def bootstrap_weights(df: DataFrame, key: str, replicates: int, by: Sequence[str
     return placed.join(weights, [*by, "_pos"]).drop("_pos")
 
 
+def hashes(keys: np.ndarray, rep: int, seed: int = 42) -> np.ndarray:
+    """``phash`` of whole-number keys in numpy."""
+    h = (np.fmod(keys, MODULUS) * ID_STEP + rep * REP_STEP + seed * SEED_STEP + 12345) % MODULUS
+    for shift in (SHIFT, SHIFT + seed + 1):
+        h = (h * h + shift) % MODULUS
+    return h
+
+
+def drawn_counts(n: int, rep: int, seed: int = 42) -> np.ndarray:
+    """How often each of ``n`` positions is drawn in a replicate."""
+    return np.bincount(hashes(np.arange(n, dtype=np.int64), rep, seed) % n, minlength=n)
+
+
+class _Order:
+    """Labels and scores of rows in key order, and for every model the order of its scores, descending, with the ends of ties."""
+
+    def __init__(self, label: np.ndarray, scores: np.ndarray):
+        self.label = label.astype(float)
+        self.order = [np.argsort(-s, kind="stable") for s in scores]
+        self.last = [np.flatnonzero(np.append(s[o][1:] != s[o][:-1], True)) for s, o in zip(scores, self.order, strict=True)]
+
+    def metrics(self, model: int, weight: np.ndarray) -> tuple[float | None, float | None]:
+        """AUC and average precision under row weights, by running totals over the order; null for a single class."""
+        order, last = self.order[model], self.last[model]
+        w = weight[order]
+        pos = w * self.label[order]
+        tp, total = np.cumsum(pos)[last], np.cumsum(w)[last]
+        fp = total - tp
+        n1, n0 = tp[-1], fp[-1]
+        if n1 == 0 or n0 == 0:
+            return None, None
+        before, behind = np.append(0.0, tp[:-1]), np.append(0.0, fp[:-1])
+        area = ((fp - behind) * (tp + before)).sum() / (2 * n1 * n0)
+        precision = np.divide(tp, total, out=np.zeros_like(tp), where=total > 0)
+        return float(area), float(((tp - before) * precision).sum() / n1)
+
+
+def _ordered(df: DataFrame, key: str, scores: Sequence[str], label: str) -> tuple[np.ndarray, _Order] | None:
+    """The packed rows in key order, or None beyond ``ORDERED_BYTES``."""
+    n = df.count()
+    if n * 8 * (3 * len(scores) + 2) > ORDERED_BYTES:
+        return None
+    rows = df.select(key, F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double") for c in scores]).toPandas().sort_values(key, kind="stable")
+    return rows[key].to_numpy(), _Order(rows["_y"].to_numpy(), rows[list(scores)].to_numpy().T)
+
+
+def _by_replicate(df: DataFrame, replicates: int, shape: str, work) -> DataFrame:
+    """One row for each that ``work(rep)`` returns, replicates spread over tasks."""
+    names = [c.split()[0] for c in shape.split(", ")]
+    kinds = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]] for c in shape.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            found = [row for rep in batch.column(0).to_pylist() for row in work(rep)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names)
+
+    spark = df.sparkSession
+    tasks = max(1, min(replicates, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, replicates, 1, tasks).mapInArrow(run, shape)
+
+
+def bootstrap_metrics(df: DataFrame, key: str, scores: Sequence[str], replicates: int, label: str = "y", seed: int = 42, redraw: bool = False) -> DataFrame:
+    """(rep, model, auc, average_precision, attempts): the same draw for every score. Rows with a null score or label are left out.
+
+    A replicate that drew a single class has null metrics; with ``redraw`` it is drawn again, attempt k of replicate r being draw r + k * replicates,
+    until both classes are in it (null after ``MOST_ATTEMPTS``, as when the rows hold a single class).
+    """
+    known = df.filter(F.col(label).isNotNull())
+    for c in scores:
+        known = known.filter(F.col(c).isNotNull())
+    names = list(scores)
+    packed = _ordered(known, key, names, label)
+    if packed is None:
+        if redraw:
+            return _redrawn_rows(known, key, names, replicates, label, seed)
+        return _row_metrics(known, key, names, range(replicates), label, seed).withColumn("attempts", F.lit(1))
+    sent = df.sparkSession.sparkContext.broadcast(packed[1])
+    n = len(packed[0])
+
+    def work(rep):
+        order: _Order = sent.value
+        attempts, weight = 0, np.zeros(n)
+        while n and attempts < (MOST_ATTEMPTS if redraw else 1):
+            weight = drawn_counts(n, rep + attempts * replicates, seed).astype(float)
+            attempts += 1
+            cases = (weight * order.label).sum()
+            if 0 < cases < n:
+                break
+        return [(rep, name, *(order.metrics(k, weight) if n else (None, None)), attempts) for k, name in enumerate(names)]
+
+    return _by_replicate(df, replicates, "rep int, model string, auc double, average_precision double, attempts int", work)
+
+
+def _row_metrics(rows: DataFrame, key: str, scores: Sequence[str], reps: Sequence[int], label: str, seed: int) -> DataFrame:
+    """The same from rows exploded by replicate, for tables of any size."""
+    from cohortlab.operators.evaluate import average_precision
+
+    placed = cut(row_numbers(rows.select(key, F.col(label).alias("y"), *scores), [], key, "_pos"))
+    n = placed.count()
+    drawn = placed.select("_pos").withColumn("rep", F.explode(F.lit(list(reps)))).select("rep", (phash("_pos", "rep", seed) % n).alias("_pos"))
+    weights = drawn.groupBy("rep", "_pos").agg(F.count(F.lit(1)).alias("weight"))
+    long = cut(placed.join(weights, "_pos").unpivot(["rep", "y", "weight"], list(scores), "model", "score"))
+    r = rank_sums(long, ["rep", "model"], "score", "y", weight="weight", spread=n > run.WIDE_ROWS)
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    area = r.select("rep", "model", F.when(n1 * n0 > 0, F.col("u1") / (n1 * n0)).alias("auc"))
+    every = long.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
+    precise = average_precision(every, ["rep", "model"], "score", "y").select("rep", "model", "average_precision")
+    out = area.join(precise, ["rep", "model"], "left")
+    return out.select(F.col("rep").cast("int").alias("rep"), "model", "auc", F.when(F.col("auc").isNotNull(), F.col("average_precision")).alias("average_precision"))
+
+
+def _redrawn_rows(rows: DataFrame, key: str, scores: Sequence[str], replicates: int, label: str, seed: int) -> DataFrame:
+    """Redraws by rounds: replicates that have both classes are done, the others are drawn again."""
+    todo, done = list(range(replicates)), []
+    for attempt in range(MOST_ATTEMPTS):
+        found = cut(_row_metrics(rows, key, scores, [r + attempt * replicates for r in todo], label, seed).withColumn("rep", (F.col("rep") - attempt * replicates).cast("int")).withColumn("attempts", F.lit(attempt + 1)))
+        good = found.filter("auc IS NOT NULL")
+        left = sorted(set(todo) - {r["rep"] for r in good.select("rep").distinct().collect()})
+        done.append(good if left and attempt + 1 < MOST_ATTEMPTS else found)
+        todo = left
+        if not todo:
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def bootstrap_auc(df: DataFrame, key: str, scores: Sequence[str], replicates: int, label: str = "y", seed: int = 42, method: str = "draws") -> DataFrame:
     """AUC per (rep, model); replicates that drew a single class have a null AUC. The same draw serves every score."""
+    if method == "draws":
+        return bootstrap_metrics(df, key, scores, replicates, label, seed).select("rep", "model", "auc")
     rows = df.select(key, label, *scores)
     weights = bootstrap_weights(rows, key, replicates, seed=seed, method=method)
     long = weights.unpivot(["rep", label, "weight"], list(scores), "model", "score")
@@ -94,6 +231,23 @@ def winner_share(replicate_auc: DataFrame) -> DataFrame:
 def permutation_auc(df: DataFrame, key: str, replicates: int, score: str = "score", label: str = "y", seed: int = 42) -> DataFrame:
     """Null AUC per replicate: scores stay, the first n1 rows in hash order become cases. Ranks are computed once."""
     rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(key, score, label)
+    packed = _ordered(rows, key, [score], label) if dict(rows.dtypes)[key] in ("bigint", "int", "smallint", "tinyint") else None
+    if packed is not None and len(packed[0]):
+        keys, order = packed
+        rank = np.empty(len(keys))
+        at, ends = order.order[0], order.last[0]
+        begins = np.append(0, ends[:-1] + 1)
+        rank[at] = len(keys) - np.repeat((begins + ends) / 2.0, ends - begins + 1)  # from 1, ties at their mean
+        n1 = int(order.label.sum())
+        sent = df.sparkSession.sparkContext.broadcast((keys.astype(np.int64), rank))
+
+        def work(rep):
+            keys, rank = sent.value
+            cases = np.lexsort((keys, hashes(keys, rep, seed)))[:n1]
+            n0 = len(keys) - n1
+            return [(rep, float((rank[cases].sum() - n1 * (n1 + 1) / 2.0) / (n1 * n0)) if n1 * n0 else None)]
+
+        return _by_replicate(df, replicates, "rep int, auc double", work)
     ranked = cut(with_rank(rows, [], score, "_rank"))
     sizes = ranked.agg(F.struct(F.sum(F.col(label).cast("bigint")).alias("n1"), F.count(F.lit(1)).alias("n")))
     order = _reps(ranked, replicates).withColumn("_o", F.struct(phash(key, "rep", seed), F.col(key)))

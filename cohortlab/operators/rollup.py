@@ -34,6 +34,22 @@ def best_probe(df: DataFrame, gene: str = "gene", probe: str = "probe", value: s
     return best.select(gene, F.col("b.p").alias(probe), (-F.col("b.m")).alias("mean_value"))
 
 
+def probe_agreement(df: DataFrame, cohort: str, gene: str = "gene", probe: str = "probe", value: str = "value") -> DataFrame:
+    """Whether cohorts choose the same probe for a gene: one row for each pair of cohorts (first < second by name) and gene both have.
+
+    Each cohort's choice is its probe of largest mean, the smaller id on ties, by one grouped pass over all cohorts.
+    """
+    best = best_probe(df.withColumn("_g", F.struct(F.col(cohort).alias("c"), F.col(gene).alias("g"))), "_g", probe, value)
+    best = best.select(F.col("_g.g").alias(gene), F.col("_g.c").alias("c"), F.col(probe).alias("p"), F.col("mean_value").alias("m"))
+    # a gene has at most one row for each cohort, so its pairs are few
+    cohorts = best.groupBy(gene).agg(F.array_sort(F.collect_list(F.struct("c", "p", "m"))).alias("a"))
+    pairs = cohorts.select(gene, F.posexplode("a").alias("_i", "x"), "a").select(gene, "x", F.explode(F.slice("a", F.col("_i") + 2, F.size("a"))).alias("y"))
+    return pairs.select(
+        gene, F.col("x.c").alias("first"), F.col("y.c").alias("second"), F.col("x.p").alias("first_probe"), F.col("y.p").alias("second_probe"),
+        (F.col("x.p") == F.col("y.p")).alias("same_probe"), F.col("x.m").alias("first_mean"), F.col("y.m").alias("second_mean"),
+    )
+
+
 def selection_summary(coefs: DataFrame, n_iterations: int, feature: str = "feature", coefficient: str = "coefficient", eps: float = 1e-10) -> DataFrame:
     """How often a feature was selected, its sign consistency and coefficient moments over selected iterations."""
     chosen = coefs.filter(F.abs(coefficient) > eps)

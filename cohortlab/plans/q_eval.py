@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortlab.functions.hashing import MODULUS, phash_sql
 from cohortlab.functions.scalars import expit, rounded
 from cohortlab.operators import evaluate, prep, resample, twogroup
+from cohortlab.operators.models import union
 from cohortlab.operators.tables import merge_left
 from cohortlab.plans import views
 from cohortlab.plans.q_prep import QMAP, _train, _transfer
@@ -14,6 +15,7 @@ from cohortlab.plans.q_stats import LABELLED, MOMENTS, _MWU
 from cohortlab.plans.registry import query
 from cohortlab.plans.sqltext import auc_sql, midrank, r, shape
 from cohortlab.plans.views import then
+from cohortlab.session import cut
 
 SCORED = """sd AS (SELECT doc_id, y, toxic, lang, source, 1e0 / (1e0 + exp(-(ln(chars) - 6e0))) AS score, 1e0 / (1e0 + exp(-(ln(words) - 4e0))) AS score_b FROM doc)"""
 
@@ -94,6 +96,29 @@ def bootstrap_auc(spark, sf):
     return _bootstrap_auc(spark, sf, B)
 
 
+_BAP = """cd AS (SELECT rep, model, s, sum(m * y) AS n1, sum(m) AS al FROM lg GROUP BY 1, 2, 3), ce AS (SELECT *, sum(n1) OVER w AS tp, sum(al) OVER w AS seen, sum(n1) OVER (PARTITION BY rep, model) AS pp, sum(al) OVER (PARTITION BY rep, model) AS nn FROM cd WINDOW w AS (PARTITION BY rep, model ORDER BY s DESC)),
+ap AS (SELECT rep, model, sum(n1 * tp / (pp * 1e0 * seen)) AS ap FROM ce WHERE pp > 0 AND pp < nn GROUP BY 1, 2)"""
+
+
+@query("bootstrap_precision", "V8 V2", f"""{_BOOT}, {_BAP} SELECT model, count(ap) AS n_valid, {r('avg(ap)')} AS mean, {r('stddev_samp(ap)')} AS sd, {r('quantile_cont(ap, 0.025)')} AS low, {r('median(ap)')} AS median, {r('quantile_cont(ap, 0.975)')} AS high FROM ap GROUP BY 1""")
+def bootstrap_precision(spark, sf):
+    """Limits of the average precision, beside those of the AUC."""
+    a = resample.bootstrap_metrics(scored(spark, sf), "doc_id", ["score", "score_b"], B)
+    return shape(resample.interval(a, ["model"], "average_precision"), ["model", "n_valid"], ["mean", "sd", "low", "median", "high"])
+
+
+@query("bootstrap_redrawn_full", "V8 V2")
+def bootstrap_redrawn_full(spark, sf):
+    """10000 replicates, each drawn until both classes are in it: limits of AUC and average precision by language and model."""
+    parts = []
+    s = cut(scored(spark, sf))
+    for lang in sorted(r["lang"] for r in s.select("lang").distinct().collect()):  # one name for each language
+        a = resample.bootstrap_metrics(s.filter(F.col("lang") == lang), "doc_id", ["score", "score_b"], FULL_B, redraw=True)
+        long = a.unpivot(["rep", "model"], ["auc", "average_precision"], "metric", "v")
+        parts.append(resample.interval(long, ["model", "metric"], "v").withColumn("lang", F.lit(lang)))
+    return shape(union(parts), ["lang", "model", "metric", "n_valid"], ["mean", "low", "high"])
+
+
 @query("bootstrap_auc_full", "V8")
 def bootstrap_auc_full(spark, sf):
     return _bootstrap_auc(spark, sf, FULL_B)

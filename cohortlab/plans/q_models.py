@@ -12,7 +12,7 @@ from cohortlab.operators import blockfit, evaluate, glm, models, prep, rollup, s
 from cohortlab.operators.tables import top_per_group
 from cohortlab.plans import views
 from cohortlab.plans.q_eval import SCORED, scored
-from cohortlab.plans.q_prep import _SCALER, _train, _transfer
+from cohortlab.plans.q_prep import _SCALER, QMAP, _train, _transfer
 from cohortlab.plans.q_stats import LABELLED
 from cohortlab.plans.registry import query
 from cohortlab.plans.sqltext import auc_sql, chi2_p, logistic_sql, norm_p, r, shape
@@ -144,6 +144,45 @@ def subset_ablation(spark, sf):
     return shape(a, ["model", "cohort"], ["auc", "delta_auc"])
 
 
+_SUBSETS = ["f00", "f01", "f02", "f00+f01", "f00+f02", "f01+f02", "f00+f01+f02"]
+_FIXED = f"""{then('measure', 'sample')} {LABELLED}, cz AS (SELECT cohort, feature, avg(value) AS mu, stddev_samp(value) AS sd FROM lab WHERE feature IN ('f00', 'f01', 'f02') GROUP BY 1, 2),
+zz AS (SELECT lab.cohort, lab.sample_id, y, lab.feature, (value - mu) / sd AS z FROM lab JOIN cz ON lab.cohort = cz.cohort AND lab.feature = cz.feature),
+fs AS ({' UNION ALL '.join(f"SELECT cohort, sample_id, y, '{s}' AS model, {s.count('+') + 1} AS n_features, (" + ' + '.join(f"max(z) FILTER (feature = '{f}')" for f in s.split('+')) + f") / {s.count('+') + 1} AS score FROM zz GROUP BY 1, 2, 3" for s in _SUBSETS)}),
+fa AS (SELECT * FROM {auc_sql('fs', 'cohort, model, n_features', 'score')}),
+fc AS (SELECT cohort, model, score, sum(y) AS p, count(*) AS m FROM fs GROUP BY 1, 2, 3), fr AS (SELECT *, sum(p) OVER w AS tp, sum(m) OVER w AS al, sum(p) OVER (PARTITION BY cohort, model) AS pp FROM fc WINDOW w AS (PARTITION BY cohort, model ORDER BY score DESC)),
+fp AS (SELECT cohort, model, sum(p * tp / (pp * 1e0 * al)) AS ap FROM fr GROUP BY 1, 2), ff AS (SELECT fa.*, ap FROM fa JOIN fp ON fa.cohort = fp.cohort AND fa.model = fp.model)
+SELECT a.cohort, a.model, CAST(a.n_features AS INTEGER) AS n_features, {r('a.auc')} AS auc, {r('a.ap')} AS average_precision, {r('a.auc - b.auc')} AS delta_auc, {r('a.ap - b.ap')} AS delta_average_precision FROM ff a JOIN ff b ON a.cohort = b.cohort WHERE b.model = 'f00+f01+f02'"""
+
+
+@query("fixed_score_ablation", "M11 L3", _FIXED)
+def fixed_score_ablation(spark, sf):
+    a = models.fixed_score_ablation(views.labelled(spark, sf, ["cohort", "y"]), ["f00", "f01", "f02"])
+    return shape(a, ["cohort", "model", "n_features"], ["auc", "average_precision", "delta_auc", "delta_average_precision"])
+
+
+@query("frozen_robustness", "V12 L8", f"""{then('measure', 'sample')} {LABELLED}, {_SCALER}, {QMAP}, tr AS (SELECT sample_id, y, 'm' AS model, max((value - mu) / sd0) FILTER (lab.feature = 'f00') AS x1, max((value - mu) / sd0) FILTER (lab.feature = 'f01') AS x2
+ FROM lab JOIN sc ON lab.feature = sc.feature WHERE cohort = 'train' AND lab.feature IN ('f00', 'f01') GROUP BY 1, 2), {logistic_sql('tr', ['t.x1', 't.x2'], l2=1.0)},
+ss AS (SELECT sample_id, y, feature, 'raw' AS scheme, value AS v FROM qm WHERE feature IN ('f00', 'f01') UNION ALL SELECT sample_id, y, feature, 'mapped', mapped FROM qm WHERE feature IN ('f00', 'f01')),
+sx AS (SELECT scheme, sample_id, y, max((v - mu) / sd0) FILTER (ss.feature = 'f00') AS x1, max((v - mu) / sd0) FILTER (ss.feature = 'f01') AS x2 FROM ss JOIN sc ON ss.feature = sc.feature GROUP BY 1, 2, 3),
+al AS (SELECT 'model' AS analysis, scheme, y, round(b0 + b1 * x1 + b2 * x2, 9) AS s FROM sx, nt_fit UNION ALL SELECT feature, scheme, y, v FROM ss), au AS {auc_sql('al', 'analysis, scheme', 's')}
+SELECT analysis, {r("max(auc) FILTER (scheme = 'raw')")} AS auc_raw, {r("max(auc) FILTER (scheme = 'mapped')")} AS auc_mapped, {r("max(auc) FILTER (scheme = 'mapped') - max(auc) FILTER (scheme = 'raw')")} AS delta_mapped FROM au GROUP BY 1""")
+def frozen_robustness(spark, sf):
+    """One model frozen on training values, scored on raw and on mapped values of the other cohort."""
+    lab = views.labelled(spark, sf, ["cohort", "y"])
+    mapped = prep.quantile_map(_transfer(lab).drop("cohort"), _train(lab)).withColumnRenamed("value", "raw")
+    out = models.frozen_on_schemes(_train(lab).drop("cohort"), mapped, ["f00", "f01"], ["raw", "mapped"])
+    return shape(out, ["analysis"], ["auc_raw", "auc_mapped", "delta_mapped"])
+
+
+@query("covariate_fold_auc", "Q18 M13", f"""{then('sample')} fo AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY {phash_sql('sample_id', '0')}, sample_id) - 1) % 5 AS fold FROM sample),
+tr AS (SELECT h AS model, y, age FROM (SELECT *, unnest(range(0, 5)) AS h FROM fo) WHERE fold <> h), {logistic_sql('tr', ['t.age'], l2=1.0)},
+pd AS (SELECT fold, y, round(b0 + b1 * age, 9) AS s FROM fo JOIN nt_fit ON fold = model) SELECT 0 AS rep, CAST(fold AS INTEGER) AS fold, n1, n0, {r('auc')} AS auc, {r('avg(auc) OVER ()')} AS mean_auc FROM {auc_sql('pd', 'fold', 's')}""")
+def covariate_fold_auc(spark, sf):
+    s = views.sample(spark, sf)
+    a = cut(models.covariate_fold_auc(s, "age", prep.stratified_folds(s.select("sample_id", "y"), 5, 1)))
+    return shape(a.withColumn("mean_auc", a.agg(F.avg("auc")).scalar()), ["rep", "fold", "n1", "n0"], ["auc", "mean_auc"])
+
+
 @query("flagged_removal", "Q17 L13", f"""{then('doc')} first AS (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn FROM documents),
 g0 AS (SELECT doc.doc_id, y, ln(chars) AS lc, chars / words AS aw, rn FROM doc JOIN first ON doc.doc_id = first.doc_id),
 gs AS (SELECT 'as_given' AS scheme, * FROM g0 UNION ALL SELECT 'flagged_removed', * FROM g0 WHERE rn = 1),

@@ -107,6 +107,29 @@ def over_representation(spark, sf):
     return shape(o, ["term", "term_size", "overlap", "pool_size", "set_size"], ["odds_ratio", "p"])
 
 
+def _united_sql() -> str:
+    lc = lambda n, k: f"(lgamma({n} + 1e0) - lgamma({k} + 1e0) - lgamma({n} - {k} + 1e0))"
+    mass = f"exp({lc('CAST(ts AS DOUBLE)', 'CAST(i AS DOUBLE)')} + {lc('CAST(pool - ts AS DOUBLE)', 'CAST(ss - i AS DOUBLE)')} - {lc('CAST(pool AS DOUBLE)', 'CAST(ss AS DOUBLE)')})"
+    return f"""{then('edge')} {_SEED_SQL}, na AS (SELECT n_name AS member, c_mktsegment AS term, avg(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+mb AS (SELECT DISTINCT term, member FROM na WHERE v > (SELECT avg(c_acctbal) FROM customer)), pl AS (SELECT DISTINCT member FROM mb),
+qs AS (SELECT seed, neighbour AS member FROM tch UNION SELECT seed, seed FROM tch), sz AS (SELECT seed, count(*) AS ns, count(pl.member) AS ss FROM qs LEFT JOIN pl ON qs.member = pl.member GROUP BY 1),
+c AS (SELECT seed, term, count(*) AS k FROM qs JOIN mb ON qs.member = mb.member GROUP BY 1, 2),
+f AS (SELECT c.*, ns, ss, (SELECT count(*) FROM pl) AS pool, (SELECT count(*) FROM mb x WHERE x.term = c.term) AS ts FROM c JOIN sz ON c.seed = sz.seed),
+g AS (SELECT *, unnest(range(greatest(k, ss + ts - pool, 0), least(ts, ss) + 1)) AS i FROM f), pv AS (SELECT seed, term, k, ns, ss, ts, pool, least(1e0, sum({mass})) AS p FROM g GROUP BY ALL),
+ik AS (SELECT *, count(*) OVER (PARTITION BY seed ORDER BY p) AS i, count(*) OVER (PARTITION BY seed) AS m FROM (SELECT * REPLACE (round(p, 9) AS p) FROM pv)), tm AS (SELECT *, least(1e0, min(p * m / i) OVER (PARTITION BY seed ORDER BY p DESC)) AS fdr FROM ik)
+SELECT seed, term, ns AS neighbourhood_size, ss AS set_size, ts AS term_size, pool AS pool_size, k AS overlap, {r('p')} AS p, {r('fdr')} AS fdr, fdr < 0.05 AS significant FROM tm"""
+
+
+@query("neighbourhood_terms", "N4 N6 T9", _united_sql())
+def neighbourhood_terms(spark, sf):
+    """Terms (market segments) over-represented among each seed's neighbours; a nation belongs to a segment where its balance is above the mean."""
+    c, n = views.table(spark, sf, "customer"), views.table(spark, sf, "nation")
+    balance = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("member"), F.col("c_mktsegment").alias("term")).agg(F.avg("c_acctbal").alias("v"))
+    membership = balance.withColumn("_m", c.agg(F.avg("c_acctbal")).scalar()).filter("v > _m").select("term", "member")
+    out = network.neighbourhood_terms(_touching(spark, sf), membership)
+    return shape(out, ["seed", "term", "neighbourhood_size", "set_size", "term_size", "pool_size", "overlap", "significant"], ["p", "fdr"])
+
+
 PATTERNS = {"email": r"[a-z0-9._]+@[a-z0-9.]+", "number_run": r"[0-9]{4,}", "licence": r"(?i)licen[cs]e"}
 
 

@@ -319,6 +319,14 @@ def best_probe(spark, sf):
     return shape(rollup.best_probe(views.probe(spark, sf)), ["gene", "probe"], ["mean_value"])
 
 
+@query("probe_agreement", "W1", f"""{then('probe')} c AS (SELECT *, 'c' || CAST(sample_id % 3 AS VARCHAR) AS cohort FROM probe), m AS (SELECT cohort, gene, probe, avg(value) AS mv FROM c GROUP BY 1, 2, 3),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cohort, gene ORDER BY mv DESC, probe) AS rn FROM m) WHERE rn = 1)
+SELECT x.gene, x.cohort AS first, y.cohort AS second, x.probe AS first_probe, y.probe AS second_probe, x.probe = y.probe AS same_probe, {r('x.mv')} AS first_mean, {r('y.mv')} AS second_mean FROM b x JOIN b y ON x.gene = y.gene AND x.cohort < y.cohort""")
+def probe_agreement(spark, sf):
+    p = views.probe(spark, sf).withColumn("cohort", F.concat(F.lit("c"), (F.col("sample_id") % 3).cast("string")))
+    return shape(rollup.probe_agreement(p, "cohort"), ["gene", "first", "second", "first_probe", "second_probe", "same_probe"], ["first_mean", "second_mean"])
+
+
 @query("collapsed_matrix", "W1 G6 J3", f"""{then('probe')} m AS (SELECT gene, probe, avg(value) AS mv FROM probe GROUP BY 1, 2),
 b AS (SELECT gene, probe FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY mv DESC, probe) AS rn FROM m) WHERE rn = 1)
 SELECT p.gene, p.sample_id, {r('avg(value)')} AS value FROM probe p JOIN b ON p.gene = b.gene AND p.probe = b.probe GROUP BY 1, 2""")
