@@ -16,8 +16,10 @@ objective is halved. A model is done when its optimality conditions hold to ``TO
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlab.operators.evaluate import auc, average_precision
-from cohortlab.operators.resample import drawn_counts
+from cohortlab.operators.resample import drawn_counts, hashes
 from cohortlab.operators.running import row_numbers
 from cohortlab.session import cut, scratch_path, small
 
@@ -35,6 +37,7 @@ BATCH_BYTES = 64 << 20
 TOLERANCE = 1e-10
 MAX_PASSES = 200
 DRAWN = 50_000_000
+ALONE = -2
 PACKED = 4_000_000
 
 
@@ -58,7 +61,8 @@ class Blocks:
 class Models:
     """One entry for each model of a batch. ``boot``, ``part`` are columns of the counts and fold sets (-1: none), ``held`` the fold left out.
 
-    A sample whose fold number in the set is negative is in none of its folds. Features: all, those ``allowed`` (models, features), or a few
+    A sample whose fold number in the set is negative is in none of its folds. ``part`` ALONE leaves out the one sample at position ``held``.
+    ``label`` is the number of a label shuffle (-1: the true labels; None: all true). Features: all, those ``allowed`` (models, features), or a few
     ``columns`` (models, size) by number; with columns, coefficients and scalings have their order.
     """
 
@@ -68,17 +72,18 @@ class Models:
     held: np.ndarray
     allowed: np.ndarray | None = None
     columns: np.ndarray | None = None
+    label: np.ndarray | None = None
 
     @classmethod
-    def of(cls, n: int = 1, c: float | Sequence[float] = np.inf, boot=-1, part=-1, held=-1, allowed: np.ndarray | None = None, columns: np.ndarray | None = None) -> Models:
+    def of(cls, n: int = 1, c: float | Sequence[float] = np.inf, boot=-1, part=-1, held=-1, allowed: np.ndarray | None = None, columns: np.ndarray | None = None, label=None) -> Models:
         whole = lambda v, kind: np.broadcast_to(np.asarray(v, kind), (n,)).copy()
-        return cls(whole(c, float), whole(boot, np.int64), whole(part, np.int64), whole(held, np.int64), allowed, columns)
+        return cls(whole(c, float), whole(boot, np.int64), whole(part, np.int64), whole(held, np.int64), allowed, columns, None if label is None else whole(label, np.int64))
 
     def __len__(self) -> int:
         return len(self.c)
 
     def some(self, at) -> Models:
-        own = [None if v is None else v[at] for v in (self.allowed, self.columns)]
+        own = [None if v is None else v[at] for v in (self.allowed, self.columns, self.label)]
         return Models(self.c[at], self.boot[at], self.part[at], self.held[at], *own)
 
     def size(self, features: int) -> int:
@@ -126,9 +131,39 @@ def _counts(spark: SparkSession, n: int, replicates: int, seed: int, block_rows:
     return spark.range(0, replicates, 1, parts).mapInArrow(draw, "block bigint, rep bigint, c binary").groupBy("block").applyInArrow(stack, "block bigint, counts binary")
 
 
-def pack(rows: DataFrame, names: Sequence[str], key: str = "sample_id", label: str = "y", covariate: str | None = None, folds: DataFrame | None = None, replicates: int = 0, seed: int = 42, block_rows: int = BLOCK_ROWS) -> Blocks:
+def _shuffled(placed: DataFrame, key: str, n: int, shuffles: int, seed: int, block_rows: int) -> DataFrame:
+    """(block, labels): for each sample of a block one bit for each shuffle."""
+    if n > DRAWN:
+        raise ValueError(f"a label shuffle is one array of all samples; {n} exceed {DRAWN}")
+    rows = placed.select("_pos", F.col(key).cast("bigint").alias("k"), "_y").toPandas().sort_values("_pos")
+    sent = placed.sparkSession.sparkContext.broadcast((rows["k"].to_numpy(), int(rows["_y"].sum())))
+
+    def draw(batches):
+        keys, cases = sent.value
+        for batch in batches:
+            for eight in batch.column(0).to_pylist():  # eight shuffles are one byte of every sample
+                bits = np.zeros((n, 8), np.uint8)
+                for k in range(min(8, shuffles - 8 * eight)):
+                    bits[np.lexsort((keys, hashes(keys, 8 * eight + k, seed)))[:cases], k] = 1
+                packed = np.packbits(bits, axis=1)[:, 0]
+                at = range(0, n, block_rows)
+                yield pa.RecordBatch.from_arrays([pa.array([i // block_rows for i in at], pa.int64()), pa.array([eight] * len(at), pa.int64()), pa.array([packed[i : i + block_rows].tobytes() for i in at], pa.binary())], ["block", "rep", "c"])
+
+    def stack(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("rep").to_numpy())
+        rows = [np.frombuffer(table.column("c")[int(i)].as_buffer(), np.uint8) for i in order]
+        return pa.table({"block": table.column("block")[:1], "labels": pa.array([np.stack(rows, axis=1).tobytes()], pa.binary())})
+
+    eights = -(-shuffles // 8)
+    made = placed.sparkSession.range(0, eights, 1, max(1, min(eights, 2000))).mapInArrow(draw, "block bigint, rep bigint, c binary")
+    return made.groupBy("block").applyInArrow(stack, "block bigint, labels binary")
+
+
+def pack(rows: DataFrame, names: Sequence[str], key: str = "sample_id", label: str = "y", covariate: str | None = None, folds: DataFrame | None = None, replicates: int = 0, shuffles: int = 0, seed: int = 42, block_rows: int = BLOCK_ROWS) -> Blocks:
     """Blocks from (key, label, x array, covariate). ``folds`` is (key, rep, fold) with one fold for each sample and repetition.
 
+    ``shuffles`` label shuffles keep the number of cases: the first samples in the hash order of (whole-number key, shuffle) are cases.
+
     A null or missing value counts as the feature's mean over all rows. Rows with a null label are left out.
     """
     spark = rows.sparkSession
@@ -146,18 +181,22 @@ def pack(rows: DataFrame, names: Sequence[str], key: str = "sample_id", label: s
         rows = table.num_rows
         flat = lambda c, kind: np.array(table.column(c).to_pylist(), kind).reshape(rows, -1)
         made = {
-            "block": table.column("block")[:1], "rows": pa.array([rows], pa.int64()), "keys": pa.array([table.column(key).to_pylist()], pa.list_(table.schema.field(key).type)),
+            "block": table.column("block")[:1], "first": table.column("_pos")[:1], "rows": pa.array([rows], pa.int64()), "keys": pa.array([table.column(key).to_pylist()], pa.list_(table.schema.field(key).type)),
             "x": pa.array([flat("x", float).tobytes()], pa.binary()), "y": pa.array([flat("_y", float).tobytes()], pa.binary()),
             "a": pa.array([flat("_a", float).tobytes()], pa.binary()), "f": pa.array([b"" if table.column("_f").null_count else flat("_f", np.int32).tobytes()], pa.binary()),
         }
         return pa.table(made)
 
     kind = dict(rows.dtypes)[key]
-    packed = placed.withColumn("block", F.floor(F.col("_pos") / block_rows)).groupBy("block").applyInArrow(stack, f"block bigint, rows bigint, keys array<{kind}>, x binary, y binary, a binary, f binary")
+    packed = placed.withColumn("block", F.floor(F.col("_pos") / block_rows)).groupBy("block").applyInArrow(stack, f"block bigint, first bigint, rows bigint, keys array<{kind}>, x binary, y binary, a binary, f binary")
     if replicates and n:
         packed = packed.join(_counts(spark, n, replicates, seed, block_rows), "block")
     else:
         packed = packed.withColumn("counts", F.lit(None).cast("binary"))
+    if shuffles and n:
+        packed = packed.join(_shuffled(placed, key, n, shuffles, seed, block_rows), "block")
+    else:
+        packed = packed.withColumn("labels", F.lit(None).cast("binary"))
     path = scratch_path(spark, "blocks")
     packed.write.parquet(path)
     blocks = Blocks(spark.read.schema(packed.schema).parquet(path), tuple(names), n, np.zeros(len(names) + 1), covariate is not None, block_rows)
@@ -183,6 +222,31 @@ class _Block:
     counts: np.ndarray | None
     keys: pa.Array
     slice: int = 0
+    first: int = 0
+    shuffled: np.ndarray | None = None
+
+    def labels(self, models: Models) -> np.ndarray:
+        """(samples, models), or (samples, 1) where all models have the true labels."""
+        if models.label is None:
+            return self.y[:, None]
+        out = np.repeat(self.y[:, None], len(models), axis=1)
+        at = np.flatnonzero(models.label >= 0)
+        if len(at):
+            k = models.label[at]
+            out[:, at] = self.shuffled[:, k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1
+        return out
+
+    def left_out(self, models: Models) -> np.ndarray:
+        """(samples, models): whether the model leaves the sample out to be scored."""
+        mask = np.zeros((len(self.y), len(models)), bool)
+        split = models.part >= 0
+        if split.any():
+            mask[:, split] = self.folds[:, models.part[split]] == models.held[split]
+        alone = np.flatnonzero(models.part == ALONE)
+        at = models.held[alone] - self.first
+        inside = (at >= 0) & (at < len(self.y))
+        mask[at[inside], alone[inside]] = True
+        return mask
 
     def weights(self, models: Models) -> np.ndarray:
         """Sample weights (rows, models): bootstrap counts, zero in the fold left out."""
@@ -190,6 +254,11 @@ class _Block:
         if self.counts is not None:
             drawn = models.boot >= 0
             w[:, drawn] = self.counts[:, models.boot[drawn]]
+        alone = np.flatnonzero(models.part == ALONE)
+        if len(alone):
+            at = models.held[alone] - self.first
+            inside = (at >= 0) & (at < len(self.y))
+            w[at[inside], alone[inside]] = 0.0
         split = models.part >= 0
         if split.any():
             folds = self.folds[:, models.part[split]]
@@ -207,7 +276,7 @@ def _read(batches, centre: np.ndarray) -> Iterator[_Block]:
             if not np.isnan(centre).all():
                 x = np.nan_to_num(x - centre)
             folds = get("f", np.int32) if len(value["f"].as_buffer()) else np.empty((n, 0), np.int32)
-            yield _Block(x, get("y", float)[:, 0], folds, get("counts", np.uint16), value["keys"].values, value["slice"].as_py() if "slice" in value else 0)
+            yield _Block(x, get("y", float)[:, 0], folds, get("counts", np.uint16), value["keys"].values, value["slice"].as_py() if "slice" in value else 0, value["first"].as_py(), get("labels", np.uint8))
 
 
 def _gathered(x: np.ndarray, models: Models) -> np.ndarray:
@@ -293,11 +362,11 @@ def scaled(blocks: Blocks, models: Models, standardise: bool = True, slope: np.n
 
     def work(b: _Block, some: Models, _):
         w = b.weights(some)
-        parts = [w.sum(axis=0)[:, None], (w * b.y[:, None]).sum(axis=0)[:, None], _dot(w, b.x, some), _dot(w, b.x**2, some)]
+        parts = [w.sum(axis=0)[:, None], (w * b.labels(some)).sum(axis=0)[:, None], _dot(w, b.x, some), _dot(w, b.x**2, some)]
         if covariate:
             crossed = b.x * b.x[:, -1:]
             parts.append(_dot(w, crossed, some))
-            w = w * (b.y == 0)[:, None]
+            w = w * (b.labels(some) == 0)
             parts += [w.sum(axis=0)[:, None], _dot(w, b.x, some), _dot(w, crossed, some)]
         return np.concatenate(parts, axis=1)
 
@@ -394,7 +463,7 @@ def fit(blocks: Blocks, models: Models, penalty: str = "l1", penalise_first: boo
             eta = _eta(b.x, own, raw)
             tail = np.exp(-np.abs(eta))
             prob = np.where(eta >= 0, 1.0, tail) / (1.0 + tail)
-            y = b.y[:, None]
+            y = b.labels(own)
             r = w * (y - prob)
             loss = (w * (np.log1p(tail) + np.maximum(eta, 0.0) - y * eta)).sum(axis=0)
             parts = [loss[:, None], r.sum(axis=0)[:, None], _dot(r, b.x, own)]
@@ -494,14 +563,227 @@ def scored(blocks: Blocks, models: Models, fits: Fits, which: str = "held", key:
                 own = np.arange(at, min(len(models), at + CHUNK))
                 some = models.some(own)
                 eta = _eta(b.x, some, raw[own])
-                mask = (b.folds[:, some.part] == some.held) & (some.part >= 0) if which == "held" else np.ones(eta.shape, bool)
+                mask = b.left_out(some) if which == "held" else np.ones(eta.shape, bool)
                 i, j = np.nonzero(mask)
                 prob = 1.0 / (1.0 + np.exp(-np.clip(eta[i, j], -700, 700)))
-                yield pa.RecordBatch.from_arrays([pa.array(own[j], pa.int64()), b.keys.take(pa.array(i)), pa.array(b.y[i].astype(np.int32)), pa.array(prob)], ["model", key, "y", "probability"])
+                label = np.broadcast_to(b.labels(some), eta.shape)[i, j]
+                yield pa.RecordBatch.from_arrays([pa.array(own[j], pa.int64()), b.keys.take(pa.array(i)), pa.array(label.astype(np.int32)), pa.array(prob)], ["model", key, "y", "probability"])
 
     return blocks.table.mapInArrow(run, f"model bigint, {key} {kind}, y int, probability double")
 
 
+LEFT_TOLERANCE = 2e-9
+LEFT_ROWS = 64
+
+
+def _powers(q: int) -> list[list[tuple[int, ...]]]:
+    """Places of the factors of all products of 2, 3, 4 and 5 of ``q`` numbers."""
+    return [list(combinations_with_replacement(range(q), k)) for k in (2, 3, 4, 5)]
+
+
+def _products(d: np.ndarray, places: list[tuple[int, ...]]) -> dict[tuple[int, ...], np.ndarray]:
+    """The products of columns at ``places``, which begin with all shorter ones."""
+    made: dict[tuple[int, ...], np.ndarray] = {}
+    for at in places:
+        made[at] = d[..., at[0]] if len(at) == 1 else made[at[:-1]] * d[..., at[-1]]
+    return made
+
+
+def leave_one_out(blocks: Blocks, models: Models, penalty: str = "l1", penalise_first: bool = True) -> DataFrame:
+    """(grp, n1, n0, auc, average_precision, accuracy) of each model over the scores of ``left_scores``."""
+    return left_scores(blocks, models, penalty, penalise_first).groupBy("grp").applyInPandas(_judged, JUDGED)
+
+
+def left_scores(blocks: Blocks, models: Models, penalty: str = "l1", penalise_first: bool = True) -> DataFrame:
+    """Packed held-out scores and labels of each model, every sample left out once and scaled without it.
+
+    The fit of all samples is moved by what one sample takes with it. With u the sample's scaled row, the gradient without it is that of all
+    samples, written out to fifth order around the full fit (sums of products of the scaled columns, one pass), less the sample's own
+    term and with the penalty in the scaling without it; the second derivatives are downdated by the one row. A step count brings this to zero for all samples of a block at
+    once, so a model costs one pass, not one for each sample. A sample is refitted from scratch in blocks where that is not good enough: where the bound on
+    the rest beyond, for the coefficients relative to their size, exceeds ``LEFT_TOLERANCE``, where under L1 a coefficient changes sign, enters or leaves, or where one class is left. Models take few columns.
+    """
+    spark = blocks.table.sparkSession
+    fits = fit(blocks, models, penalty, penalise_first)
+    q, m = models.size(blocks.p) + 1, len(models)
+    two, three, four, five = _powers(q)
+    shorter = [*((i,) for i in range(q)), *two, *three, *four]
+    wanted = models.columns if models.columns is not None else np.broadcast_to(np.arange(blocks.p), (m, blocks.p))
+    centre = blocks.centre
+    scaling = spark.sparkContext.broadcast((fits.beta, fits.shift, fits.scale, fits.variance > 0, wanted))
+
+    def design(b, at):
+        beta, shift, scale, spread_out, columns = (v[at] for v in scaling.value)
+        z = np.where(spread_out, (b.x[:, columns] - shift) / scale, 0.0)
+        return beta, np.concatenate([np.ones((*z.shape[:2], 1)), z], axis=2)
+
+    def work(b, some, at):
+        beta, d = design(b, at)
+        p = 1.0 / (1.0 + np.exp(-np.clip(np.einsum("nmq,mq->nm", d, beta), -700, 700)))
+        v = p * (1.0 - p)
+        grad = np.einsum("nm,nmq->mq", p - b.labels(some), d)
+        weights = {2: v, 3: v * (1 - 2 * p), 4: v * (1 - 6 * p + 6 * p * p), 5: v * (1 - 2 * p) * (1 - 12 * p + 12 * p * p)}
+        sums = np.zeros((len(at), len(two) + len(three) + len(four) + len(five)))
+        for low in range(0, len(d), LEFT_ROWS):
+            some_rows = slice(low, low + LEFT_ROWS)
+            made = _products(d[some_rows], [*shorter, *five])
+            for k, places in enumerate([*two, *three, *four, *five]):
+                sums[:, k] += np.einsum("nm,nm->m", weights[len(places)][some_rows], made[places])
+        size = (np.einsum("nmq,nmq->nm", d, d) ** 3).sum(axis=0)[:, None]
+        return np.concatenate([grad, sums, size], axis=1)
+
+    sums = _collected(_summed(blocks, models, work, lambda k, s, _: (s, None)), m)
+    cuts = np.cumsum([q, len(two), len(three), len(four), len(five)])
+    grad, h2, h3, h4, h5, size = np.split(sums, cuts, axis=1)
+    lam = np.where(np.isinf(models.c), 0.0, 1.0 / models.c)
+    first = lam * (1.0 if penalise_first else 0.0)
+    active = fits.beta != 0 if penalty == "l1" else np.concatenate([np.ones((m, 1), bool), fits.variance > 0], axis=1)
+    second = np.zeros((m, q, q))
+    for k, (i, j) in enumerate(two):
+        second[:, i, j] = second[:, j, i] = h2[:, k]
+    if penalty == "l2":
+        second[:, np.arange(q), np.arange(q)] += np.column_stack([first, np.repeat(lam[:, None], q - 1, axis=1)])
+    kept = second * (active[:, :, None] & active[:, None, :]) + np.eye(q) * ~active[:, :, None]
+    inverse = np.linalg.pinv(kept) * (active[:, :, None] & active[:, None, :])
+    norm = np.linalg.norm(inverse, 2, axis=(1, 2))
+    # coefficients of the gradient's expansion by the products of a step: (models, products, q)
+    expansion = _expansion([h2, h3, h4, h5], q)
+    sent = spark.sparkContext.broadcast((grad, expansion, inverse, norm, size[:, 0], lam, first, active, fits.n, fits.cases))
+
+    def moved(b, some, at):
+        """Held-out scores (samples, models), where they are good enough, and labels."""
+        beta, d = design(b, at)
+        y = np.broadcast_to(b.labels(some), d.shape[:2])
+        parts = [_moved_rows(beta, d[i : i + LEFT_ROWS], y[i : i + LEFT_ROWS], at) for i in range(0, len(d), LEFT_ROWS)]
+        return *(np.concatenate(p) for p in zip(*parts, strict=True)), y
+
+    def _moved_rows(beta, d, y, at):
+        grad, expansion, inverse, norm, size, lam, first, active, n, cases = (v[at] for v in sent.value)
+        z = d[:, :, 1:]
+        less = -z / (n - 1.0)[:, None]  # the mean without the sample, in units of the scaling with it
+        ratio = np.sqrt(np.maximum((n[:, None] - z * z) / (n - 1.0)[:, None] - less * less, 1e-12))
+        sign = np.sign(beta)
+        step = np.zeros(d.shape)
+        p = 1.0 / (1.0 + np.exp(-np.clip(np.einsum("nmq,mq->nm", d, beta), -700, 700)))
+        v = p * (1.0 - p)
+        down = np.einsum("mij,nmj->nmi", inverse, d * active)
+        left = 1.0 - v * np.einsum("nmi,nmi->nm", d, down)
+        # an intercept held at zero by L1 is zero in the scaling without the sample
+        pinned = (penalty == "l1") & (beta[:, 0] == 0) & (first > 0)
+        for _ in range(12):
+            now = beta + step
+            if np.any(pinned):
+                now[:, pinned, 0] = -(less * now[:, :, 1:]).sum(axis=2)[:, pinned]
+                step = now - beta
+            made = _products(step, shorter)
+            smooth = np.broadcast_to(grad, step.shape).copy()
+            for k, places in enumerate(shorter):
+                smooth += made[places][:, :, None] * expansion[:, k]
+            own = 1.0 / (1.0 + np.exp(-np.clip(np.einsum("nmq,nmq->nm", d, now), -700, 700))) - y
+            smooth = smooth - own[:, :, None] * d
+            if penalty == "l1":
+                level = np.where(pinned, -smooth[:, :, 0], first * sign[:, 0])[:, :, None]
+                extra = np.concatenate([level, level * less + lam[:, None] * sign[:, 1:] * ratio], axis=2)
+            else:
+                level = first * (now[:, :, 0] + (less * now[:, :, 1:]).sum(axis=2))
+                extra = np.concatenate([level[:, :, None], level[:, :, None] * less + lam[:, None] * ratio**2 * now[:, :, 1:]], axis=2)
+            f = (smooth + extra) * active
+            if not f.size or np.abs(f).max() <= 1e-13 * n.max():
+                break
+            back = np.einsum("mij,nmj->nmi", inverse, f)
+            step = step - back - down * (v * np.einsum("nmi,nmi->nm", d, back) / np.maximum(left, 1e-6))[:, :, None]
+        now = beta + step
+        rest = 0.25 / 120 * size * np.linalg.norm(step, axis=2) ** 5 + np.abs(f).max(axis=2)  # the fifth derivative of the logistic is at most 1 / 4
+        good = (rest * norm / np.maximum(left, 1e-6) <= LEFT_TOLERANCE * np.maximum(1.0, np.linalg.norm(beta, axis=1))) & (left > 0.05)
+        rest_cases = cases - y
+        good &= (rest_cases > 0) & (rest_cases < n - 1)
+        if penalty == "l1":
+            level = now[:, :, 0] + (less * now[:, :, 1:]).sum(axis=2)
+            same = np.where(pinned, np.abs(smooth[:, :, 0]) <= first * (1 - 1e-9), np.sign(level) == sign[:, 0])
+            good &= same | (first == 0)
+            good &= np.where(active[:, 1:], np.sign(now[:, :, 1:]) == sign[:, 1:], True).all(axis=2)
+            outside = np.abs(smooth[:, :, 1:] - less * smooth[:, :, :1]) / ratio
+            good &= np.where(active[:, 1:] | (z == 0), True, outside <= lam[:, None] * (1 - 1e-9)).all(axis=2)
+        return np.einsum("nmq,nmq->nm", d, now), good
+
+    table, slices = spread(blocks, -(-m // CHUNK))
+
+    def judged(batches, wants: bool):
+        for b in _read(batches, centre):
+            for at in range(b.slice * CHUNK, m, slices * CHUNK):
+                own = np.arange(at, min(m, at + CHUNK))
+                eta, good, y = moved(b, models.some(own), own)
+                if wants:
+                    j, i = np.nonzero(good.T)
+                    if len(i):
+                        yield _packed_scores(own[j], eta[i, j], y[i, j])
+                else:
+                    j, i = np.nonzero(~good.T)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[j], pa.int64()), pa.array(i + b.first, pa.int64())], ["model", "position"])
+
+    again = cut(table.mapInArrow(lambda batches: judged(batches, False), "model bigint, position bigint"))
+    parts = table.mapInArrow(lambda batches: judged(batches, True), PACKED_SCORES)
+    left = again.count()
+    # refits in bounded rounds, so the driver holds the coefficients of one round at a time
+    at_once = max(1, int(BATCH_BYTES // (8 * (12 * q))))
+    rounds = -(-left // at_once)
+    for k in range(rounds):
+        rows = again.filter(F.pmod(F.xxhash64("model", "position"), F.lit(rounds)) == k).orderBy("model", "position").toPandas()
+        of = rows["model"].to_numpy()
+        one = models.some(of)
+        refits = Models(one.c, one.boot, np.full(len(of), ALONE), rows["position"].to_numpy(), one.allowed, one.columns, one.label)
+        start = scaled(blocks, refits)
+        start.beta = fits.beta[of].copy()
+        done = fit(blocks, refits, penalty, penalise_first, start=start)
+        path = scratch_path(spark, "left")
+        _held_scores(blocks, refits, done, of).write.parquet(path)
+        parts = parts.unionByName(spark.read.schema(PACKED_SCORES).parquet(path))
+    return parts
+
+
+def _expansion(sums: list[np.ndarray], q: int) -> np.ndarray:
+    """(models, products of 1 to 4 of a step, q): the Taylor series of the gradient from the sums of products of 2 to 5 columns."""
+    powers = _powers(q)
+    number = [{at: k for k, at in enumerate(places)} for places in powers]
+    terms = [(i,) for i in range(q)] + powers[0] + powers[1] + powers[2]
+    out = np.zeros((len(sums[0]), len(terms), q))
+    for k, at in enumerate(terms):
+        order = len(at) - 1
+        ways = 1.0 / np.prod([math.factorial(at.count(i)) for i in set(at)])  # of the 1 / order! orderings of the factors
+        for j in range(q):
+            out[:, k, j] = ways * sums[order][:, number[order][tuple(sorted((*at, j)))]]
+    return out
+
+
+PACKED_SCORES = "grp bigint, s binary, l binary"
+JUDGED = "grp bigint, n1 bigint, n0 bigint, auc double, average_precision double, accuracy double"
+
+
+def _packed_scores(of: np.ndarray, score: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """One row for each group: its scores and labels as bytes."""
+    order = np.argsort(of, kind="stable")
+    used, begin = np.unique(of[order], return_index=True)
+    cuts = [order[a:z] for a, z in zip(begin, [*begin[1:], len(order)], strict=True)]
+    label = label.astype(np.uint8)
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([score[c].tobytes() for c in cuts], pa.binary()), pa.array([label[c].tobytes() for c in cuts], pa.binary())], ["grp", "s", "l"])
+
+
+def _judged(frame: pd.DataFrame) -> pd.DataFrame:
+    """Metrics of the packed scores of one group."""
+    score, label = np.frombuffer(b"".join(frame["s"])), np.frombuffer(b"".join(frame["l"]), np.uint8).astype(bool)
+    # as probabilities, so that scores that saturate tie
+    prob = 1.0 / (1.0 + np.exp(-np.clip(score, -700, 700)))
+    order = np.argsort(-prob, kind="stable")
+    prob, label = prob[order], label[order]
+    last = np.flatnonzero(np.append(prob[1:] != prob[:-1], True))
+    tp, fp = np.cumsum(label)[last].astype(float), np.cumsum(~label)[last].astype(float)
+    n1, n0 = tp[-1], fp[-1]
+    p, f = np.append(0, tp[:-1]), np.append(0, fp[:-1])
+    area = float(((fp - f) * (tp + p)).sum() / (2 * n1 * n0)) if n1 * n0 else None
+    precision = float(((tp - p) * tp / (tp + fp)).sum() / n1) if n1 else None
+    return pd.DataFrame({"grp": [frame["grp"].iloc[0]], "n1": [int(n1)], "n0": [int(n0)], "auc": [area], "average_precision": [precision], "accuracy": [float(((prob >= 0.5) == label).mean())]})
+
+
 def areas(blocks: Blocks, models: Models, fits: Fits, group: np.ndarray | None = None, which: str = "held", key: str = "sample_id") -> DataFrame:
     """(grp, n1, n0, auc, average_precision, accuracy) over the scores of ``scored``, pooled over the models of a group (by default each its own).
 
@@ -515,7 +797,12 @@ def areas(blocks: Blocks, models: Models, fits: Fits, group: np.ndarray | None =
         hit = rows.groupBy("grp").agg(F.avg(((F.col("probability") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy"))
         out = auc(rows, ["grp"], "probability", "y").join(average_precision(rows, ["grp"], "probability", "y"), "grp").join(hit, "grp")
         return out.select("grp", "n1", "n0", "auc", "average_precision", "accuracy")
-    sent = spark.sparkContext.broadcast(fits.raw())
+    return _held_scores(blocks, models, fits, group, which).groupBy("grp").applyInPandas(_judged, JUDGED)
+
+
+def _held_scores(blocks: Blocks, models: Models, fits: Fits, group: np.ndarray, which: str = "held") -> DataFrame:
+    """Packed scores and labels by block and group."""
+    sent = blocks.table.sparkSession.sparkContext.broadcast(fits.raw())
     centre = blocks.centre
     table, slices = spread(blocks, -(-len(models) // CHUNK))
 
@@ -526,31 +813,13 @@ def areas(blocks: Blocks, models: Models, fits: Fits, group: np.ndarray | None =
                 own = np.arange(at, min(len(models), at + CHUNK))
                 some = models.some(own)
                 eta = _eta(b.x, some, raw[own])
-                mask = (b.folds[:, some.part] == some.held) & (some.part >= 0) if which == "held" else np.ones(eta.shape, bool)
+                mask = b.left_out(some) if which == "held" else np.ones(eta.shape, bool)
                 j, i = np.nonzero(mask.T)
-                score, label, of = eta[i, j], b.y[i].astype(np.uint8), group[own[j]]
-                order = np.argsort(of, kind="stable")
-                used, begin = np.unique(of[order], return_index=True)
-                cuts = [order[a:z] for a, z in zip(begin, [*begin[1:], len(order)], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int64()), pa.array([score[c].tobytes() for c in cuts], pa.binary()), pa.array([label[c].tobytes() for c in cuts], pa.binary())], ["grp", "s", "l"]
-                )
-
-    def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        score, label = np.frombuffer(b"".join(frame["s"])), np.frombuffer(b"".join(frame["l"]), np.uint8).astype(bool)
-        # as probabilities, so that scores that saturate tie
-        prob = 1.0 / (1.0 + np.exp(-np.clip(score, -700, 700)))
-        order = np.argsort(-prob, kind="stable")
-        prob, label = prob[order], label[order]
-        last = np.flatnonzero(np.append(prob[1:] != prob[:-1], True))
-        tp, fp = np.cumsum(label)[last].astype(float), np.cumsum(~label)[last].astype(float)
-        n1, n0 = tp[-1], fp[-1]
-        p, f = np.append(0, tp[:-1]), np.append(0, fp[:-1])
-        area = float(((fp - f) * (tp + p)).sum() / (2 * n1 * n0)) if n1 * n0 else None
-        precision = float(((tp - p) * tp / (tp + fp)).sum() / n1) if n1 else None
-        return pd.DataFrame({"grp": [frame["grp"].iloc[0]], "n1": [int(n1)], "n0": [int(n0)], "auc": [area], "average_precision": [precision], "accuracy": [float(((prob >= 0.5) == label).mean())]})
-
-    return table.mapInArrow(run, "grp bigint, s binary, l binary").groupBy("grp").applyInPandas(judge, "grp bigint, n1 bigint, n0 bigint, auc double, average_precision double, accuracy double")
+                if len(i):
+                    label = np.broadcast_to(b.labels(some), eta.shape)[i, j]
+                    yield _packed_scores(group[own[j]], eta[i, j], label)
+
+    return table.mapInArrow(run, PACKED_SCORES)
 
 
 def tagged(spark: SparkSession, models: int, **tags: tuple[str, Sequence]) -> DataFrame:

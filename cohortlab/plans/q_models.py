@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cohortlab.functions.hashing import phash_sql
@@ -258,7 +259,11 @@ def panel_within_null(spark, sf):
 
 @query("panel_within_null_full", "M12 L13")
 def panel_within_null_full(spark, sf):
-    return _panel_within(spark, sf, FULL_PANELS, FULL_SIZE)
+    """1000 panels of three features inside the transfer cohort: L1 fits (c = 0.3), every sample left out once."""
+    rows, names = _raw_arrays(spark, sf)
+    panels = selection.numbered_panels(models.random_panels(views.measure(spark, sf), FULL_PANELS, FULL_SIZE), names, FULL_SIZE)
+    within = blockfit.leave_one_out(blockfit.pack(_transfer(rows), names), blockfit.Models.of(FULL_PANELS, c=0.3, columns=panels))
+    return shape(models.panel_summary(cut(within.select("auc")), 0.5), ["n_panels"], ["mean_auc", "sd_auc", "share_at_least", "percentile"], 5)
 
 
 def _panel_within(spark, sf, n, size):
@@ -284,17 +289,22 @@ def batch_classifier_shuffles(spark, sf):
     return shape(models.batch_classifier(b, "y", ["x1", "x2"], folds, 6), ["rep"], ["auc"])
 
 
+SHUFFLES = 5000
+
+
 @query("batch_classifier_shuffles_full", "M15 V10")
 def batch_classifier_shuffles_full(spark, sf):
-    """Batch labels predicted from the first five component scores, and 5000 shuffles as in the original analysis."""
+    """Batch labels predicted from the first five component scores with every sample left out once, and 5000 shuffles, as in the original analysis."""
     z = cut(prep.apply_scaler(views.labelled(spark, sf, ["batch_mixed"]), prep.fit_scaler(views.labelled(spark, sf, ["batch_mixed"]))).drop("value"))
     rows = cut(models.feature_arrays(z, ["sample_id", "batch_mixed"]))
     pcs = [f"PC{i}" for i in range(1, 6)]
     scores, _ = models.pca_scores(rows, ["sample_id", "batch_mixed"], len(pcs))
     b = scores.groupBy("sample_id", "batch_mixed").agg(*(F.max(F.when(F.col("pc") == pc, F.col("score"))).alias(pc) for pc in pcs))
-    b = cut(b.withColumn("y", F.col("batch_mixed").isin("b0", "b1").cast("int")).drop("batch_mixed"))
-    folds = cut(prep.stratified_folds(b.select("sample_id", "y"), 5, 1))
-    return shape(models.batch_classifier(b, "y", pcs, folds, 5000), ["rep"], ["auc"])
+    b = b.select("sample_id", F.col("batch_mixed").isin("b0", "b1").cast("int").alias("y"), F.array(*pcs).alias("x"))
+    blocks = blockfit.pack(b, pcs, shuffles=SHUFFLES)
+    every = blockfit.Models.of(SHUFFLES + 1, c=1.0, label=np.arange(-1, SHUFFLES))
+    out = blockfit.leave_one_out(blocks, every, "l2")
+    return shape(out.withColumn("rep", (F.col("grp") - 1).cast("int")), ["rep"], ["auc"])
 
 
 # ---- MLlib fits (no SQL counterpart) ------------------------------------

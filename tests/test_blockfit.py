@@ -243,3 +243,79 @@ def test_panels_by_force(spark, study):
         s = fits.beta[m, 0] + z[~keep] @ fits.beta[m, 1:]
         d = s[y[~keep] == 1][:, None] - s[y[~keep] == 0]
         assert got[m] == pytest.approx(np.mean((d > 0) + 0.5 * (d == 0)))
+
+
+def refitted(x, y, pick, c, penalty, i):
+    """Held-out score of sample i by a fit without it: damped Newton for L2, proximal Newton steps by coordinate descent for L1."""
+    keep = np.arange(len(y)) != i
+    v = x[:, pick]
+    z = (v - v[keep].mean(axis=0)) / v[keep].std(axis=0)
+    d, yy = np.column_stack([np.ones(keep.sum()), z[keep]]), y[keep]
+    b = np.zeros(d.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-d @ b))
+        g, h = d.T @ (p - yy), d.T @ (d * (p * (1 - p))[:, None])
+        if penalty == "l2":
+            b = b - np.linalg.solve(h + np.eye(len(b)) / c, g + b / c)
+            continue
+        new = b.copy()
+        for _ in range(2000):
+            before = new.copy()
+            for j in range(len(b)):
+                at = new[j] - (g[j] + h[j] @ (new - b)) / h[j, j]
+                new[j] = np.sign(at) * max(abs(at) - 1 / c / h[j, j], 0)
+            if np.abs(new - before).max() < 1e-15:
+                break
+        b = new
+    return b[0] + z[i] @ b[1:]
+
+
+@pytest.mark.parametrize("penalty, tolerance", [("l1", 1e-2), ("l1", 0.0), ("l2", 1e-2), ("l2", 0.0)])
+def test_leave_one_out_equals_refits(spark, study, monkeypatch, penalty, tolerance):
+    """By moved coefficients (as far as the tolerance lets them) and by refits."""
+    monkeypatch.setattr(blockfit, "LEFT_TOLERANCE", tolerance)
+    x, y, _, df, names = study
+    panels = np.array([[0, 1, 2], [3, 4, 2]])
+    got = {r["grp"]: r for r in blockfit.leave_one_out(blockfit.pack(df, names, block_rows=64), Models.of(2, c=0.3, columns=panels), penalty).collect()}
+    for m, pick in enumerate(panels.tolist()):
+        s = np.array([refitted(x, y, pick, 0.3, penalty, i) for i in range(N)])
+        d = s[y == 1][:, None] - s[y == 0]
+        assert got[m]["auc"] == pytest.approx(np.mean((d > 1e-10) + 0.5 * (np.abs(d) <= 1e-10)), abs=1e-9 if tolerance == 0 else 2e-4)
+        assert (got[m]["n1"], got[m]["n0"]) == (y.sum(), N - y.sum())
+
+
+def test_moved_scores_to_nine_digits(spark, monkeypatch):
+    """With enough samples the bound lets nearly all pass without a refit, and every score equals its refit."""
+    rng = np.random.default_rng(5)
+    n = 700
+    x = rng.normal(size=(n, 3)) * [1, 3, 0.5] + [0, 10, 1]
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] - 0.5 * (x[:, 1] - 10))))).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), [float(v) for v in x[i]]) for i in range(n)], "sample_id bigint, y int, x array<double>")
+    blocks = blockfit.pack(df, ["a", "b", "c"], block_rows=256)
+    scaled, refits = blockfit.scaled, []
+    monkeypatch.setattr(blockfit, "scaled", lambda b, m, *a, **k: refits.append(len(m)) or scaled(b, m, *a, **k))
+    for penalty in ("l1", "l2"):
+        refits.clear()
+        rows = blockfit.left_scores(blocks, Models.of(1, c=0.3, columns=np.array([[0, 1, 2]])), penalty).collect()
+        got = sorted((int(label), score) for r in rows for score, label in zip(np.frombuffer(r["s"]), np.frombuffer(r["l"], np.uint8)))
+        assert sum(refits[1:]) < n // 4, refits
+        want = sorted((int(y[i]), refitted(x, y, [0, 1, 2], 0.3, penalty, i)) for i in range(n))
+        assert [label for label, _ in got] == [label for label, _ in want]
+        assert np.abs(np.array([s for _, s in got]) - np.array([s for _, s in want])).max() < 1e-9
+
+
+def test_shuffled_labels(spark, study):
+    x, y, _, df, names = study
+    blocks = blockfit.pack(df, names, shuffles=11, block_rows=64)
+    models = Models.of(12, c=1.0, label=np.arange(-1, 11), columns=np.tile([[0, 1]], (12, 1)))
+    fits = blockfit.fit(blocks, models, "l2")
+    keys = np.arange(N) * 7
+    for m, rep in ((0, -1), (1, 0), (11, 10)):
+        labels = y if rep < 0 else np.isin(np.arange(N), np.lexsort((keys, resample.hashes(keys, rep)))[: y.sum()]).astype(int)
+        z, b = zscored(x, np.ones(N))[:, [0, 1]], np.zeros(3)
+        for _ in range(40):
+            g, d = gradient(z, labels, np.ones(N), b)
+            p = 1 / (1 + np.exp(-d @ b))
+            b = b - np.linalg.solve(d.T @ (d * (p * (1 - p))[:, None]) + np.eye(3), g + b)
+        assert np.allclose(fits.beta[m], b, atol=1e-8)
+    assert (fits.cases == y.sum()).all()
