@@ -20,7 +20,9 @@ outside space and 0x09-0x0D; with fewer words the whole sequence is one shingle)
 A pair is missed only if no band agrees: below 1e-5 at similarity 0.8 with 40 bands of 6 rows.
 
 Null, empty and blank texts have empty sets and link with nothing. Rows with a null id are returned
-with a null component and kept. Repeated rows give repeated results.
+with a null component and kept. Texts of any length are read whole. Every row is a document of its own, also where several share an id:
+then rows are numbered and linked by number, and a component is named by the smallest id in it. Repeated rows give repeated
+results; an empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlab.llm.batches import GOLDEN, WordHasher, extended, mixed, odd_steps, windows
 from cohortlab.llm.components import components
-from cohortlab.llm.store import measured, written
+from cohortlab.llm.store import measured, salted_join, written
 
 SHINGLE = 2
 PERCENT = 80
@@ -82,7 +84,7 @@ class _Sketcher:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (together the identity of the set) and bands for each row."""
+    """``docs`` without its text, with n_shingles, set_a, set_b (together the identity of the set) and bands."""
 
     def work():
         hasher, sketch = WordHasher(lower=True), _Sketcher(bands, rows)
@@ -98,7 +100,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
 
         return step
 
-    return extended(docs.select("doc_id", "text"), "text", "n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>", work).drop("text")
+    return extended(docs, "text", "n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>", work).drop("text")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -124,9 +126,25 @@ def _close_sizes(percent: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
+    """doc_id, text_key, n_shingles, component_id, kept, group for each row of ``docs`` (doc_id, text).
+
+    text_key is xxhash64 of the text; ``group`` tells components apart also where two of them have the same smallest id.
+    """
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    if not _repeated(docs):
+        found = _grouped(docs.select("doc_id", "text", "text_key"), shingle, percent, bands, rows)
+        return found.select("doc_id", "text_key", "n_shingles", F.col("group").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("group")).alias("kept"), "group")
+    numbered, _ = written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    own = numbered.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text", "text_key", F.col("doc_id").alias("named"))
+    found, _ = written(_grouped(own, shingle, percent, bands, rows), "rows")
+    least = found.filter("group IS NOT NULL").groupBy("group").agg(F.min("named").alias("component_id"))
+    found = salted_join(found, least, ["group"], how="left")
+    return found.select(F.col("named").alias("doc_id"), "text_key", "n_shingles", "component_id", F.col("named").eqNullSafe(F.col("component_id")).alias("kept"), "group")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``docs`` (doc_id, text, others), whose ids are unique or null, without the text, with n_shingles and group: the smallest id of the component."""
+    carried = [c for c in docs.columns if c != "text"]
     signs, _ = written(signatures(docs, shingle, bands, rows), "signs")
     classes, _ = written(
         signs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands")), "classes"
@@ -137,7 +155,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     tried, _ = written(members.filter("doc <> a").select("a", F.col("doc").alias("b"), "na", F.col("n").alias("nb")).filter(_close_sizes(percent)).select("a", "b").distinct(), "pairs")
     wanted = measured(members.select(F.col("doc").alias("doc_id")).distinct())
     texts = docs.join(wanted, "doc_id", "left_semi")
-    sets, _ = written(shingle_sets(texts, shingle).dropDuplicates(["doc_id"]) if _repeated(signs) else shingle_sets(texts, shingle), "sets")
+    sets, _ = written(shingle_sets(texts, shingle), "sets")
     links, _ = written(_confirmed(tried, sets, percent), "links")
     found = components(links)
     more = _second_look(members, found, sets, percent)
@@ -146,12 +164,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     found, _ = written(found, "components")
     named = classes.select("set_a", "set_b", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("class_component"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
-    return signs.join(named, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return signs.join(named, ["set_a", "set_b", "n_shingles"], "left").select(*carried, "n_shingles", own.alias("group"))
 
 
-def _repeated(signs: DataFrame) -> bool:
+def _repeated(docs: DataFrame) -> bool:
     """True when an id occurs on several rows."""
-    return bool(signs.groupBy("doc_id").count().filter("count > 1").take(1))
+    return bool(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").take(1))
 
 
 def _placed(rows: DataFrame) -> DataFrame:

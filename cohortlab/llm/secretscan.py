@@ -8,11 +8,13 @@ character is a candidate when no base span touches it.
 Every candidate value and every base value is hashed, and the hashes are counted over the corpus: in how many distinct
 repositories, of how many distinct owners. A candidate of a single owner, in however many repositories, looks
 live and becomes an ``owned`` span; one that several owners have is a copied example and does not.
-Base spans always stay; ``n_live`` and ``n_copied`` tell how many of all values look live and how many are copied.
+Base spans always stay; ``n_live`` and ``n_copied`` tell how many of all values look live and how many are copied, ``most_repos`` in how many
+repositories the most spread value of a document is.
 
 Counts are three grouped aggregations with map-side combine, so a value pasted into a third of all
-documents is one row per task, not one group. Null texts are empty. A null repository or owner is one of its own.
-Every input row gives one row.
+documents is one row per task, not one group; they go back to the occurrences by a measured broadcast, else with every value spread over
+several tasks. Null texts are empty. A null repository or owner is one of its own. Texts of any length are scanned whole. Spans that start at
+one place are ordered by kind as listed above. Every input row gives one row, repeated rows equal ones; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.llm.batches import extended
-from cohortlab.llm.store import measured, written
+from cohortlab.llm.store import measured, salted_join, written
 
 # fixed values: the patterns of the base kinds, and the words of which "assign" needs one
 ASSIGN = r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -55,12 +59,14 @@ def bits(value: str) -> float:
 
 
 def candidate_spans(text: str, base: list, entropy: float) -> list[tuple[str, int, int, str]]:
-    """High-entropy runs that no base span touches."""
-    out = []
+    """High-entropy runs that no base span touches. ``base`` is in order of its starts."""
+    out, starts, furthest = [], [s[1] for s in base], list(accumulate((s[2] for s in base), max))
     for m in re.finditer(CANDIDATE, text):
         value = m[0]
-        if re.search("[0-9]", value) and re.search("[A-Za-z]", value) and bits(value) >= entropy and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
-            out.append(("owned", m.start(), m.end(), value))
+        if re.search("[0-9]", value) and re.search("[A-Za-z]", value) and bits(value) >= entropy:
+            before = bisect_left(starts, m.end())  # spans that begin before the run ends
+            if not before or furthest[before - 1] <= m.start():
+                out.append(("owned", m.start(), m.end(), value))
     return out
 
 
@@ -93,15 +99,16 @@ def ownership(values: DataFrame) -> DataFrame:
 
 def secrets(docs: DataFrame, repo: Column, owner: Column, entropy: float = ENTROPY) -> DataFrame:
     """One row for each row of ``docs``: doc_id, _key (xxhash64 of the text), n_assign, n_access, n_hex, base_sha256, spans,
-    and the numbers n_live and n_copied. ``repo`` and ``owner`` are columns of ``docs``."""
+    and the numbers n_live, n_copied and most_repos. ``repo`` and ``owner`` are columns of ``docs``."""
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"))
     scanned = _scanned(narrow.withColumn("_key", F.xxhash64("text")), entropy).drop("text")
     rows, _ = written(scanned.withColumn("_row", F.monotonically_increasing_id()), "scanned")
     values = rows.filter("size(hashes) > 0").select("_row", "repo", "owner", F.explode(F.arrays_zip("found", "hashes")).alias("x")).select("_row", "repo", "owner", F.col("x.found").alias("span"), F.col("x.hashes").alias("hash"))
-    held = values.join(ownership(values.select("hash", "repo", "owner")), "hash")
+    counts, _ = written(ownership(values.select("hash", "repo", "owner")), "ownership")
+    held = salted_join(values, counts, ["hash"], "hash")
     live = F.expr("n_owners = 1")
     judged = held.groupBy("_row").agg(
-        F.sum(live.cast("bigint")).alias("n_live"), F.sum(F.expr("n_owners > 1").cast("bigint")).alias("n_copied"),
+        F.max("n_repos").alias("most_repos"), F.sum(live.cast("bigint")).alias("n_live"), F.sum(F.expr("n_owners > 1").cast("bigint")).alias("n_copied"),
         F.collect_list(F.when(live & F.col("span").startswith("owned:"), F.col("span"))).alias("more"),
     )
     at, kind = (lambda s: F.split(s, ":")[1].cast("int")), (lambda s: F.array_position(F.array(*map(F.lit, KINDS)), F.split(s, ":")[0]))
@@ -110,7 +117,7 @@ def secrets(docs: DataFrame, repo: Column, owner: Column, entropy: float = ENTRO
     zero = F.lit(0).cast("bigint")
     return rows.join(judged, "_row", "left").select(
         "doc_id", "_key", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), F.array_join(F.transform(ordered, lambda s: s.getField("span")), ",").alias("spans"),
-        F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"),
+        F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"), F.coalesce("most_repos", zero).alias("most_repos"),
     )
 
 
@@ -119,17 +126,17 @@ def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Rows are matched by id and text, so repeated rows are all redacted. A null text stays null; n_chars, where it exists, follows.
     """
-    hits = found.filter("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_text"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_text"])
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
-    joined = docs.join(measured(hits, "_spans"), match, "left").drop("_id", "_text")
+    hits = found.filter("spans <> ''").select(F.col("doc_id").alias("__id"), F.col("_key").alias("__of"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__of"])
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__of"))
+    joined = docs.join(measured(hits, "__spans"), match, "left").drop("__id", "__of")
 
     def work():
         def step(batch):
-            return {"text": [t if not s else _marked(t, s) for t, s in zip(batch.column("__text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]}
+            return {"text": [t if not s else _marked(t, s) for t, s in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]}
 
         return step
 
-    changed = extended(joined.withColumnRenamed("text", "__text"), "__text", "text string", work).drop("__text", "_spans")
+    changed = extended(joined.withColumnRenamed("text", "__text"), "__text", "text string", work).drop("__text", "__spans")
     changed = changed.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))) if "n_chars" in docs.columns else changed
     return changed.select(*docs.columns)
 

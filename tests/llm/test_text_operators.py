@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,20 @@ def test_near_duplicates_edge_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_different_texts_under_one_id(spark):
+    """Rows are documents: no text is dropped because another has its id."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    data = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (5, "one two three"), (5, "four five six"), (6, "four five six"), (None, a), (None, a), (7, None), (7, "")]
+    found = rows(minhash.near_duplicates(spark.createDataFrame(data, DOCS)))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found)
+    assert got == Counter([(1, 39, 1, True)] * 2 + [(2, 40, 1, False), (3, 40, 1, False), (5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False), (None, 39, None, True), (None, 39, None, True), (7, 0, 7, True), (7, 0, 7, True)])
+    groups = {}
+    for r in found:
+        groups.setdefault((r["doc_id"], r["text_key"]), set()).add(r["group"])
+    by_text = {t: next(iter(groups[d, spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0]])) for d, t in data if d in (1, 2, 3)}
+    assert by_text[a] == by_text[a + " x"] != by_text[b] == by_text[b + " y"]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, k) for k in range(501, 540)] + [(7, 7), (None, 3), (8, None)]
     got = {r["node"]: r["component"] for r in rows(components.components(spark.createDataFrame(edges, "a bigint, b bigint")))}
@@ -195,6 +210,37 @@ def test_contamination_equals_brute_force(spark, block_bytes):
     assert got == contaminated_by_force(docs, ITEMS)
 
 
+def test_large_benchmark_in_little_memory():
+    """Tables of one block: some 40 bytes for each byte of benchmark text, measured as what is sent to a process."""
+    import pickle
+    import tracemalloc
+
+    draw = random.Random(4)
+    vocabulary = [f"word{i}".encode() for i in range(20_000)]
+    items = [(str(k), b" ".join(draw.choices(vocabulary, k=2000))) for k in range(40)]
+    size = sum(len(t) for _, t in items)
+    sent = pickle.dumps(decontamination.Strings(items, 13))
+    tracemalloc.start()
+    strings = pickle.loads(sent)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 60 * size
+    words = strings.numbered(decontamination.words_of(b"x " + items[7][1] + b" y"))
+    hits = [(a, {strings.names[k] for k in strings.tables[0].owners(s)}) for a, s in strings.tables[0].occurrences(words, strings.flat)]
+    assert [a for a, _ in hits] == list(range(1, 1989)) and all(n == {"7"} for _, n in hits)
+
+
+def test_repeated_benchmark_rows_and_blocks(spark):
+    """A benchmark of many equal rows is one item; of many items, several blocks give the same rows as one."""
+    docs = corpus(6, n=40)
+    items = [(5, docs[4][1])] * 300 + [(k, t) for k, t in corpus(7, n=30) if t]
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")
+    want = contaminated_by_force(docs, items)
+    for block_bytes in (1 << 20, 20_000):
+        found = decontamination.contamination(df, bench, block_bytes=block_bytes)
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows(found)} == want
+
+
 def test_contamination_empty_sides(spark):
     docs, none = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], DOCS), spark.createDataFrame([], "item_id bigint, text string")
     assert [(r["n_words"], r["contaminated"]) for r in rows(decontamination.contamination(docs, none).orderBy(F.col("doc_id").desc()))] == [(1, False), (1, False), (0, False)]
@@ -258,14 +304,54 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(lattice.scores([word])[0], want) and np.allclose(lattice.long(word), want)
 
 
-def test_expected_counts_add_up():
-    import numpy as np
+def test_long_words_count_whole():
+    """A word of 40 characters whose tail decides: expected counts equal those of the short form, and the tail is learned."""
+    pieces = [langid.MARK, "a", "b", "c", "ab", "bc", "abc"]
+    draw = random.Random(2)
+    p = np.array([[draw.random() for _ in range(2)] for _ in range(len(pieces) + 1)])
+    lattice = langid.Lattice(pieces, p / p.sum(axis=0))
+    for word in ("abcab", "abx" * 3, "c"):
+        whole, other = lattice.expected([langid.MARK + word], np.array([2.0]), 1), np.zeros(len(pieces) + 1)
+        lattice.long_expected(langid.MARK + word, 2.0, lattice.p[:, 1], other)
+        assert np.allclose(whole, other)
+    long = langid.MARK + "a" * 40 + "bc"
+    counts = lattice.expected([long], np.array([1.0]), 0)
+    assert counts[pieces.index("a")] > 0 and counts[pieces.index("c")] + counts[pieces.index("bc")] + counts[pieces.index("abc")] == pytest.approx(1.0)
+    assert np.allclose(lattice.scores([long, langid.MARK + "ab"])[0], lattice.long(long))
+
+
+def test_letters_are_of_category_l_with_their_marks():
+    assert langid.letter_runs("½ ② Ⅷ 12 _ क्षि Été日本 don't x́y") == ["क्षि", "été日本", "don", "t", "x́y"]
+    assert langid.letter_runs("½ ² ①") == []
+
+
+def test_words_in_use_stay_remembered(monkeypatch):
+    """Texts are judged alike whatever a worker still remembers."""
+    pieces = [langid.MARK, *"abcdefgh"]
+    p = np.array([[random.Random(k).random(), random.Random(k + 99).random()] for k in range(len(pieces) + 1)])
+    model = {"languages": ["u", "v"], "pieces": pieces, "p": p / p.sum(axis=0)}
+    draw = random.Random(8)
+    batches = [[" ".join("".join(draw.choices("abcdefgh", k=3)) for _ in range(30)) for _ in range(5)] for _ in range(12)]
+
+    def judged(size):
+        monkeypatch.setattr(langid, "REMEMBERED", size)
+        held = dict(model, lattice=langid.Lattice(pieces, model["p"]), younger=langid.Places(2), older=langid.Places(2))
+        return [langid._judged(b, held) for b in batches]
+
+    names = [n for n, _ in judged(10**6)]
+    assert names == [n for n, _ in judged(40)]
+    coder = bpe.Coder(bpe.read_vocabulary(WORD_BPE))
+    want = [coder.encode(t) for b in batches for t in b]
+    coder.known = bpe.Remembered(coder.merged, 20)
+    assert [coder.encode(t) for b in batches for t in b] == want and len(coder.known) <= 20
+
 
+def test_expected_counts_add_up():
     pieces = ["▁", "a", "b", "ab"]
     lattice = langid.Lattice(pieces, np.full((5, 1), 0.2))
     found = lattice.expected(["▁ab", "▁xb"], np.array([3.0, 1.0]), 0)
     assert found[0] == pytest.approx(4) and found[4] == pytest.approx(1)  # each word starts with the mark; one unknown character
-    assert found[1] + 2 * found[3] + found[2] + found[3] * 0 == pytest.approx(found[1] + found[2] + 2 * found[3])
+    assert found[2] + found[3] == pytest.approx(4)  # both words end in b, alone or in ab
     assert found[1] + found[3] == pytest.approx(3)
 
 
@@ -374,6 +460,32 @@ def test_secret_of_one_owner_in_many_documents(spark):
     assert {r["text"] for r in rows(secretscan.redacted(df, found)) if r["doc_id"] < 2000} == {"new [owned] key"}
 
 
+def test_many_spans_in_one_text():
+    """A text of very many base spans and candidates takes time in proportion, and only runs that no span touches are candidates."""
+    import time
+
+    piece = "password=abcdefgh12 Zx81kQ92mWp03LsT47vB " + "0123456789abcdef" * 2 + " "
+    start = time.time()
+    text = piece * 20_000
+    base = secretscan.base_spans(text)
+    found = secretscan.candidate_spans(text, base, secretscan.ENTROPY)
+    assert time.time() - start < 20 and len(base) == 40_000 and len(found) == 20_000
+    small = piece * 5
+    base = secretscan.base_spans(small)
+    runs = [(m.start(), m.end()) for m in re.finditer(secretscan.CANDIDATE, small)]
+    want = [r for r in runs if secretscan.bits(small[slice(*r)]) >= secretscan.ENTROPY and not any(s < r[1] and r[0] < e for _, s, e, _ in base)]
+    assert [(a, b) for _, a, b, _ in secretscan.candidate_spans(small, base, secretscan.ENTROPY)] == want
+
+
+def test_values_are_counted_by_repository_and_owner(spark):
+    """most_repos: in how many distinct repositories the most spread value of a document is; equal either way of joining."""
+    value = "Zx81kQ92mWp03LsT47vB"
+    data = [(i, f"see {value}", "a" if i < 4 else "b") for i in range(6)] + [(3, f"see {value}", "a"), (9, "nothing", "a"), (10, None, None)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    found = rows(secretscan.secrets(df, repo=F.col("doc_id"), owner=F.col("source")))
+    assert {(r["doc_id"], r["most_repos"], r["n_copied"]) for r in found} == {(i, 6, 1) for i in range(6)} | {(9, 0, 0), (10, 0, 0)}
+
+
 def test_secrets_are_redacted(spark):
     df = spark.createDataFrame(SECRETS, DOCS + ", source string").withColumn("n_chars", F.length("text").cast("bigint"))
     got = rows(secretscan.redacted(df, secretscan.secrets(df, repo=F.col("doc_id"), owner=F.col("source"))))
