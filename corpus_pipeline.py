@@ -20,6 +20,9 @@ from cohortlab.llm import bpe, decontamination, langid, minhash, secretscan
 from cohortlab.llm.queries import PIECES, WORD_BPE, held_out
 from cohortlab.llm.store import measured, written
 
+#: Near duplicates share four in five of their shingles of five words.
+SHINGLE, PERCENT = 5, 80
+
 #: SQL cannot express the first and the last stage.
 ORACLE_SQL = None
 
@@ -39,13 +42,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, and one row of it if its id repeats."""
-    found, _ = written(minhash.near_duplicates(docs), "groups")
-    kept = docs.join(measured(found.filter("NOT kept").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
-    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").take(1):
-        named = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.filter("doc_id IS NULL"))
-    return kept
+    """One document of each group of near duplicates: the one with the smallest id (of different texts under one id, the one with the
+    smallest hash; of equal rows, one). Documents are told apart by id and text. Rows without an id stay."""
+    found, _ = written(minhash.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT), "groups")
+    key = F.xxhash64("text").alias("_key")
+    if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").take(1):
+        return docs.join(measured(found.filter("NOT kept").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    first = found.filter("doc_id IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.text_key").alias("_text")).distinct()
+    rows, back = _aside(docs, "_id", "_text", "_key")
+    named = rows.filter("doc_id IS NOT NULL").withColumn("_key", key)
+    kept = named.join(measured(first), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(rows.filter("doc_id IS NULL")).select(*back)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
