@@ -178,3 +178,32 @@ def test_missing_cells_keep_their_place(spark):
     assert got == {"a": [1.0, None, 3.0], "b": [1.0, 2.0, 3.0], "c": [5.0, None, None]}
     assert audit.nearest_neighbour(vectors).count() == 3
     assert all(r.mean_rho is not None for r in audit.correlation_outliers(vectors).collect())
+
+
+def test_metric_index_prunes_long_vectors_with_a_common_profile(spark):
+    """5000 features, all samples alike in their profile, thirty groups: exact results from a small part of all pairs."""
+    rng = np.random.default_rng(12)
+    profile = rng.normal(8, 2, 5000)
+    centres = profile + rng.normal(0, 1.0, (30, 5000))
+    x = centres[rng.integers(0, 30, 900)] + rng.normal(0, 0.05, (900, 5000))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    v = spark.createDataFrame(rows, "sample_id bigint, raw array<double>").withColumn("vec", audit._unit_values("raw")).cache()
+    c = np.corrcoef(x)
+    np.fill_diagonal(c, -2)
+    assert c[c > -2].min() > 0.5
+    got = audit.near_duplicates(v, 0.99, block_rows=40).collect()
+    assert {r.sample_id: r.n_near for r in got} == {i: int((c[i] > 0.99).sum()) for i in range(900) if (c[i] > 0.99).any()}
+    assert all(r.rho == pytest.approx(c[r.sample_id].max()) for r in got)
+    assert sum(r.compared for r in got) < 0.12 * 900 * 899
+    near = audit.nearest_neighbour(v, block_rows=40).collect()
+    assert {r.sample_id: r.nearest for r in near} == {i: int(j) for i, j in enumerate(np.round(c, 12).argmax(axis=1))}
+    assert sum(r.compared for r in near) < 0.2 * 900 * 899
+
+
+def test_constant_vectors_and_single_samples(spark):
+    """A constant vector correlates with nothing (0); ties go to the smaller id."""
+    data = [(1, [1.0, 1.0, 1.0]), (2, [1.0, 2.0, 3.0]), (3, [3.0, 2.0, 1.0]), (4, [2.0, 2.0, 2.0])]
+    v = spark.createDataFrame(data, "sample_id bigint, raw array<double>").withColumn("vec", audit._unit_values("raw"))
+    got = {r.sample_id: (r.nearest, round(r.rho, 9)) for r in audit.nearest_neighbour(v, block_rows=2).collect()}
+    assert got == {1: (2, 0.0), 2: (1, 0.0), 3: (1, 0.0), 4: (1, 0.0)}
+    assert audit.nearest_neighbour(v.limit(1)).count() == 0 and audit.near_duplicates(v.limit(0)).count() == 0
