@@ -13,11 +13,11 @@ from functools import reduce
 from itertools import combinations
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions.hashing import phash
@@ -183,32 +183,94 @@ def permutation_importance(model, rows: DataFrame, names: Sequence[str], key: st
 
 # ---- principal components ------------------------------------------------
 
-def pca_scores(rows: DataFrame, keys: Sequence[str], k: int = 5) -> tuple[DataFrame, list[float]]:
-    """(keys, pc, score) and explained variance shares from standardised arrays; for up to about ten thousand features."""
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(_vec(rows))
-    signs = [1.0 if col[abs(col).argmax()] > 0 else -1.0 for col in model.pc.toArray().T]
-    out = model.transform(_vec(rows)).select(*keys, F.posexplode(vector_to_array("_pc")).alias("_i", "score"))
-    flip = F.element_at(F.array(*[F.lit(s) for s in signs]), F.col("_i") + 1)
-    return out.select(*keys, F.concat(F.lit("PC"), (F.col("_i") + 1).cast("string")).alias("pc"), (F.col("score") * flip).alias("score")), [float(v) for v in model.explainedVariance.toArray()]
+PCA_TOLERANCE = 1e-9
+PCA_BYTES = 256 << 20
+
+
+def _summed_blocks(rows: DataFrame, width: int, work: Callable[[np.ndarray], np.ndarray], features: int) -> np.ndarray:
+    """The sum over all rows of ``work(x)`` (features, width): one partial sum a task, cut into runs of features that are added up on Spark."""
+    run_of = max(1, (4 << 20) // (8 * width))
+
+    def partial(batches):
+        total = np.zeros((features, width))
+        for batch in batches:
+            if batch.num_rows:
+                total += work(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[:, :features])
+        cuts = range(0, features, run_of)
+        yield pa.RecordBatch.from_arrays([pa.array([i // run_of for i in cuts], pa.int64()), pa.array([total[i : i + run_of].tobytes() for i in cuts], pa.binary())], ["run", "s"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(s.as_buffer()) for s in table.column("s"))
+        return pa.table({"run": table.column("run")[:1], "s": pa.array([total.tobytes()], pa.binary())})
+
+    found = rows.select("x").mapInArrow(partial, "run bigint, s binary").groupBy("run").applyInArrow(add, "run bigint, s binary").collect()
+    return np.concatenate([np.frombuffer(r["s"]) for r in sorted(found, key=lambda r: r["run"])] or [np.zeros(0)]).reshape(-1, width)
 
 
-def pca_few_samples(long: DataFrame, k: int = 5, sample: str = "sample_id", feature: str = "feature", value: str = "z", max_samples: int = 5000) -> DataFrame:
-    """Sample scores when features far outnumber samples.
+def principal_components(rows: DataFrame, k: int = 5, oversample: int = 8, seed: int = 7, max_passes: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, components as columns, shares of variance) of array column ``x``, for any number of rows and tens of thousands of features.
 
-    Features are the rows of a distributed matrix, so only an n by n matrix of
-    the few samples reaches the driver; raises beyond ``max_samples``.
+    Block Krylov iteration: a pass multiplies the last block of basis vectors, a thin matrix, by the centred rows and back, summed over blocks of rows. The
+    basis is kept orthonormal by thin QR and the components are read off its small projected matrix, until their residuals are below ``PCA_TOLERANCE`` of the largest
+    variance. A basis above ``PCA_BYTES`` is restarted from its best vectors. No features-by-features or rows-by-rows matrix is formed.
     """
-    ids = long.select(sample).distinct().orderBy(sample).limit(max_samples + 1).collect()
-    if len(ids) > max_samples:
-        raise ValueError(f"more than {max_samples} samples; use pca_scores")
-    packed = long.groupBy(feature).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("s"), F.col(value).alias("v")))).alias("_p"))
-    rows = packed.select(F.transform("_p", lambda s: s["v"]).alias("x")).rdd.map(lambda r: Vectors.dense(r[0]))
-    svd = RowMatrix(rows).computeSVD(k)
-    v, s = svd.V.toArray(), svd.s.toArray()
-    signs = [1.0 if col[abs(col).argmax()] > 0 else -1.0 for col in v.T]
-    out = [(ids[i][0], f"PC{j + 1}", float(v[i, j] * s[j] * signs[j])) for i in range(len(ids)) for j in range(len(s))]
-    kind = dict(long.dtypes)[sample]
-    return long.sparkSession.createDataFrame(out, f"{sample} {kind}, pc string, score double")
+    rows = cut(rows.select("x").filter(F.col("x").isNotNull()))
+    shape = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    n, p = shape[0], shape[1] or 0
+    if not n or not p:
+        return np.zeros(p), np.zeros((p, 0)), np.zeros(0)
+    mean = _summed_blocks(rows, 1, lambda x: x.sum(axis=0)[:, None], p)[:, 0] / n
+    total = _summed_blocks(rows, 1, lambda x: ((x - mean) ** 2).sum(axis=0)[:, None], p).sum()
+    k = min(k, p, n)
+    width = min(p, k + oversample)
+    most = max(3 * width, int(PCA_BYTES // (16 * p)) // width * width)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((p, width)))[0]
+    image, last = np.zeros((p, 0)), basis
+    for _ in range(max_passes):
+        sent = rows.sparkSession.sparkContext.broadcast((mean, last))
+
+        def times(x, sent=sent):
+            mean, v = sent.value
+            c = x - mean
+            return c.T @ (c @ v)
+
+        image = np.hstack([image, _summed_blocks(rows, last.shape[1], times, p)])
+        sent.unpersist()
+        small_matrix = basis.T @ image
+        values, turns = np.linalg.eigh((small_matrix + small_matrix.T) / 2)
+        values, turns = values[::-1], turns[:, ::-1]
+        vectors = basis @ turns[:, :k]
+        residual = np.linalg.norm(image @ turns[:, :k] - vectors * values[:k], axis=0)
+        if basis.shape[1] >= p or residual.max() <= PCA_TOLERANCE * max(values[0], 1e-300):
+            break
+        fresh = image[:, -last.shape[1] :]
+        if basis.shape[1] + width > most:
+            keep = turns[:, : 2 * width]
+            basis, image = basis @ keep, image @ keep
+            fresh = image[:, :width]
+        for _ in range(2):
+            fresh = fresh - basis @ (basis.T @ fresh)
+        q, r = np.linalg.qr(fresh)
+        last = q[:, np.abs(np.diag(r)) > 1e-10 * max(values[0], 1e-300)][:, : p - basis.shape[1]]
+        if not last.shape[1]:  # the basis spans all that the rows span
+            break
+        basis = np.hstack([basis, last])
+    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)] > 0, 1.0, -1.0)
+    return mean, vectors, np.maximum(values[:k], 0.0) / total if total > 0 else np.zeros(k)
+
+
+def pca_scores(rows: DataFrame, keys: Sequence[str], k: int = 5) -> tuple[DataFrame, list[float]]:
+    """(keys, pc, score) and explained variance shares of arrays ``x``; the largest loading of a component is positive. Scores are of centred values."""
+    mean, vectors, share = principal_components(rows, k)
+    sent = rows.sparkSession.sparkContext.broadcast((mean, vectors))
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        mean, vectors = sent.value
+        return pd.Series(list((np.stack(x.to_numpy()) - mean) @ vectors) if len(x) else [], dtype=object)
+
+    out = rows.filter(F.col("x").isNotNull()).select(*keys, F.posexplode(project("x")).alias("_i", "score"))
+    return out.select(*keys, F.concat(F.lit("PC"), (F.col("_i") + 1).cast("string")).alias("pc"), "score"), [float(v) for v in share]
 
 
 # ---- batched small models ------------------------------------------------

@@ -148,15 +148,29 @@ def test_leave_one_out_panels(labelled):
         assert got[panel] == pytest.approx(np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg]))
 
 
-def test_pca_for_few_samples_matches_gram(spark):
-    rng = np.random.default_rng(0)
-    z = rng.normal(size=(6, 50))
-    z = (z - z.mean(axis=0)) / z.std(axis=0)
-    rows = [(i, f"f{j:02d}", float(z[i, j])) for i in range(6) for j in range(50)]
-    got = models.pca_few_samples(spark.createDataFrame(rows, "sample_id int, feature string, z double"), 2).toPandas()
-    want = np.linalg.svd(z, full_matrices=False)
-    pc1 = got[got.pc == "PC1"].sort_values("sample_id").score.to_numpy()
-    assert np.allclose(np.abs(pc1), np.abs(want[0][:, 0] * want[1][0]), atol=1e-6)
+@pytest.mark.parametrize("n, p, k, bytes_", [(6, 50, 2, 1 << 28), (40, 20_000, 5, 1 << 28), (300, 64, 5, 1 << 28), (200, 120, 3, 60_000), (5, 3, 5, 1 << 28)])
+def test_components_match_a_singular_value_decomposition(spark, monkeypatch, n, p, k, bytes_):
+    """Wide, long and restarted: shares of variance and scores up to sign against numpy."""
+    monkeypatch.setattr(models, "PCA_BYTES", bytes_)
+    rng = np.random.default_rng(n)
+    z = rng.normal(size=(n, 4)) @ rng.normal(size=(4, p)) * 0.5 + rng.normal(size=(n, p)) + 3
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(z)] + [(1000, None)], "sample_id bigint, x array<double>").repartition(3)
+    scores, share = models.pca_scores(rows, ["sample_id"], k)
+    got = scores.toPandas()
+    c = z - z.mean(axis=0)
+    u, s, v = np.linalg.svd(c, full_matrices=False)
+    k = min(k, n, p)
+    found = min(k, int((s > 1e-9 * s[0]).sum()))
+    assert len(share) == k and np.allclose(share[:found], (s**2 / (s**2).sum())[:found], atol=1e-8)
+    for j in range(found):
+        one = got[got.pc == f"PC{j + 1}"].sort_values("sample_id").score.to_numpy()
+        assert len(one) == n and np.allclose(np.abs(one), np.abs(u[:, j] * s[j]), atol=1e-5 * s[0])
+
+
+def test_components_of_nothing(spark):
+    none = spark.createDataFrame([], "sample_id bigint, x array<double>")
+    scores, share = models.pca_scores(none, ["sample_id"], 2)
+    assert scores.count() == 0 and share == []
 
 
 def test_selection_summary_and_ladder(spark):
