@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortlab.functions import tails
 from cohortlab.functions.scalars import logit
-from cohortlab.session import BROADCAST_ROWS, cut, small
+from cohortlab.session import BROADCAST_BYTES, bytes_of, cut, small
 
 
 def design(df: DataFrame, columns: Sequence[str], model: Column | str, y: str = "y", weight: Column | str | None = None, offset: Column | str | None = None, intercept: bool = True) -> DataFrame:
@@ -89,7 +89,7 @@ def fit_logistic(rows: DataFrame, k: int, l2: float = 0.0, penalise_first: bool
     advance = F.expr(f"zip_with(beta, _r.step, (b, s) -> b + s * {shorten}) AS beta")
 
     models = cut(rows.select("model").distinct().withColumn("beta", F.array(*[F.lit(0.0)] * k)))
-    hint = F.broadcast if models.count() <= BROADCAST_ROWS else (lambda t: t)
+    hint = F.broadcast if bytes_of(models) <= BROADCAST_BYTES else (lambda t: t)
     beta = models
     for it in range(1, max_iter + 1):
         seen = rows.join(hint(beta), "model").withColumn("_eta", eta).withColumn("_p", prob)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions.hashing import phash
 from cohortlab.functions.scalars import expit
-from cohortlab.operators.running import quantiles, row_numbers
+from cohortlab.operators.running import looked_up, quantiles, row_numbers
 from cohortlab.session import settle, small
 
 
@@ -144,7 +144,9 @@ def quantile_map(target: DataFrame, reference: DataFrame, feature: str = "featur
     pair = both.groupBy(feature, F.col("_s._at_lo").alias("_lo")).agg(
         F.max(F.when(F.col("_s._is_lo"), F.col("_ref"))).alias("_a"), F.max(F.when(~F.col("_s._is_lo"), F.col("_ref"))).alias("_b")
     )
-    mixed = t.join(pair, [feature, "_lo"])
+    # a short reference has few places, each met by many target rows
+    met = t.groupBy(feature, "_lo").agg(F.count(F.lit(1)).alias("_met"))
+    mixed = looked_up(t, pair.join(met, [feature, "_lo"]), [feature, "_lo"], "_met", inner=True)
     w = F.col("_at") - F.col("_lo")
     mapped = F.col("_a") + w * (F.coalesce(F.col("_b"), F.col("_a")) - F.col("_a"))
     return mixed.withColumn(out, mapped).select(*target.columns, out)

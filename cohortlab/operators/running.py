@@ -17,12 +17,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlab.session import fixed
+from cohortlab.session import bytes_of, fixed
 
 SAMPLE_FACTOR = 16
 FAN = 16
 WIDE_ROWS = 2_000_000
 RANGE_ROWS = 1_000_000
+HUBS = 1000
+LOOKUP_BYTES = 32 << 20
 
 
 def wide(df: DataFrame, keys: Sequence[str]) -> bool:
@@ -130,6 +132,28 @@ def running(
     return done.filter(F.col("_real") == 1).drop("_real")
 
 
+def looked_up(df: DataFrame, table: DataFrame, keys: Sequence[str], size: str, inner: bool = False) -> DataFrame:
+    """``df`` with the columns of ``table``, which has each of ``keys`` once, and with the number of rows of ``df`` that have it as ``size``.
+
+    By broadcast where the table is measured small. Else keys that more than one in ``HUBS`` rows have are looked up by broadcast (there are fewer
+    than ``HUBS`` of them whatever the data) and the others by a shuffle, so no key is a large part of one task. A null key finds nothing.
+    """
+    keys = list(keys)
+    how = "inner" if inner else "left"
+    found = table.drop(size)
+    if bytes_of(found) <= LOOKUP_BYTES:
+        return df.join(F.broadcast(found), keys, how)
+    total = table.agg(F.sum(size).alias("t"))
+    sized = table.withColumn("_hot", F.col(size).cast("double") * HUBS > total.scalar())
+    hot, cold = sized.filter("_hot").drop(size), sized.filter("NOT _hot").drop(size, "_hot")
+    marked = df.join(F.broadcast(hot), keys, "left")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    parts = marked.filter("_hot").drop("_hot").unionByName(marked.filter(F.col("_hot").isNull() & known).select(*df.columns).join(cold, keys, how))
+    return parts if inner else parts.unionByName(marked.filter(~known).drop("_hot"))
+
+
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", spread: bool | None = None) -> DataFrame:
     """Distinct (keys, value) with its count ``n`` and mid-rank; nulls get no rank."""
     known, spread = ready(df.filter(F.col(value).isNotNull()), keys, spread)
@@ -140,10 +164,9 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "ran
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, spread: bool | None = None) -> DataFrame:
-    """Row-level mid-rank: ranks of distinct values joined back on (keys, value)."""
+    """Row-level mid-rank: ranks of distinct values looked up by (keys, value), also where one value is most of the rows."""
     df = fixed(df)
-    ranks = average_rank(df, keys, value, out, spread).drop("n")
-    return df.join(ranks, [*keys, value], "left")
+    return looked_up(df, average_rank(df, keys, value, out, spread), [*keys, value], "n")
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: str, out: str = "pos", descending: bool = False, spread: bool | None = None) -> DataFrame:
@@ -183,14 +206,14 @@ def quantiles(
 
 
 def descending_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", spread: bool | None = None) -> DataFrame:
-    """Distinct (keys, value) with its rank from the top, ties sharing the smallest rank."""
+    """Distinct (keys, value) with its count ``n`` and its rank from the top, ties sharing the smallest rank."""
     known, spread = ready(df.filter(F.col(value).isNotNull()), keys, spread)
     base = tally(known, keys, value, n=F.lit(1).cast("bigint"))
     ranked = running(base, keys, value, sums=["n"], descending=True, spread=spread)
-    return ranked.select(*keys, value, (F.col("cum_n") - F.col("n") + 1).alias(out))
+    return ranked.select(*keys, value, "n", (F.col("cum_n") - F.col("n") + 1).alias(out))
 
 
 def with_descending_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", spread: bool | None = None) -> DataFrame:
     """Rows with their descending rank; a null value has no rank."""
     df = fixed(df)
-    return df.join(descending_rank(df, keys, value, out, spread), [*keys, value], "left")
+    return looked_up(df, descending_rank(df, keys, value, out, spread), [*keys, value], "n")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions import tails
-from cohortlab.operators.running import average_rank, quantiles, ready, running, tally, with_descending_rank, with_rank
+from cohortlab.operators.running import average_rank, looked_up, quantiles, ready, running, tally, with_descending_rank, with_rank
 from cohortlab.session import cut, fixed
 
 
@@ -218,8 +218,8 @@ def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
     """
     known = fixed(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
     # dense rank of y = number of distinct smaller values
-    ys = running(known.select(F.col(y).alias("_y")).distinct().withColumn("_one", F.lit(1).cast("bigint")), [], "_y", sums=["_one"])
-    coded = known.join(ys.select(F.col("_y").alias(y), (F.col("cum__one") - 1).alias("_code")), y)
+    ys = running(known.groupBy(F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"), F.lit(1).cast("bigint").alias("_one")), [], "_y", sums=["_one"])
+    coded = looked_up(known, ys.select(F.col("_y").alias(y), "_n", (F.col("cum__one") - 1).alias("_code")), [y], "_n", inner=True)
     cells = cut(coded.groupBy(x, "_code").agg(F.count(F.lit(1)).alias("_m")))
     top = cells.agg(F.max("_code")).first()[0] or 0
     levels = max(int(top).bit_length(), 1)
@@ -262,8 +262,8 @@ def adjust_fdr(df: DataFrame, p: str = "p", family: Sequence[str] = (), out: str
     ranked = running(base, family, p, sums=["n"], spread=spread, totals=["n"])
     raw = ranked.withColumn("_q", F.col(p) * F.col("tot_n") / F.col("cum_n"))
     stepped = running(raw, family, p, mins=["_q"], descending=True, spread=spread)
-    q = stepped.select(*family, p, F.least(F.col("cum__q"), F.lit(1.0)).alias(out))
-    return df.join(q, [*family, p], "left")
+    q = stepped.select(*family, p, "n", F.least(F.col("cum__q"), F.lit(1.0)).alias(out))
+    return looked_up(df, q.withColumnRenamed("n", "_n"), [*family, p], "_n")
 
 
 def slopes(df: DataFrame, keys: Sequence[str], x: str, y: str = "value") -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,19 +45,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a count proves ``df`` small.
+def _width(field: T.StructField, of: Column) -> Column:
+    """Bytes of one value, about."""
+    kind = field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        own = F.octet_length(of)
+    elif isinstance(kind, T.ArrayType):
+        own = F.size(of) * (8 if isinstance(kind.elementType, T.NumericType) else 64)
+    elif isinstance(kind, T.MapType):
+        own = F.size(of) * 64
+    elif isinstance(kind, T.StructType):
+        own = sum((_width(f, of[f.name]) for f in kind.fields), F.lit(8))
+    else:
+        own = F.lit(8)
+    return F.greatest(F.coalesce(own, F.lit(0)), F.lit(0)).cast("bigint")
 
-    ``df`` should be cheap to count: a cut table, a dimension, a few rows; its rows
-    should be narrow. A larger side is returned unhinted and the join shuffles on
-    its key.
+
+def bytes_of(df: DataFrame) -> int:
+    """About how many bytes ``df`` takes as a broadcast: its values and 32 for each row, by one aggregate."""
+    row = sum((_width(f, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(32).cast("bigint"))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when ``df`` is measured to fit ``limit`` bytes.
+
+    ``df`` should be cheap to read: a cut table, a dimension, a few rows. A larger side is returned unhinted and the join shuffles on its key.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if bytes_of(df) <= limit else df
 
 
-def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def settle(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Compute a parameter table once, then treat it as ``small`` does."""
-    return small(cut(df), max_rows)
+    return small(cut(df), limit)
 
 
 def fixed(df: DataFrame) -> DataFrame:

@@ -105,3 +105,42 @@ def test_grouped_values_are_materialised_before_they_are_read_twice(spark):
 def test_ranges_grow_with_the_rows():
     assert running.fan_of(1000) == 16
     assert running.fan_of(10**12) ** 2 * running.RANGE_ROWS >= 10**12
+
+
+@pytest.mark.parametrize("lookup_bytes", [1 << 25, 0])
+def test_one_value_on_nine_rows_of_ten(spark, monkeypatch, lookup_bytes):
+    """Ranks, FDR, tau and quantile maps of tied and null values, by broadcast of the table or of its hot keys only."""
+    from cohortlab.operators import prep, running, twogroup
+
+    monkeypatch.setattr(running, "LOOKUP_BYTES", lookup_bytes)
+    rng = np.random.default_rng(8)
+    v = np.where(rng.random(400) < 0.9, 1.0, rng.integers(0, 9, 400).astype(float))
+    w = rng.integers(0, 30, 400).astype(float)
+    rows = [(i, "a" if i % 2 else "b", float(v[i]) if i % 17 else None, float(w[i])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, k string, v double, w double")
+    got = {r["id"]: r for r in running.with_rank(running.with_descending_rank(df, ["k"], "v", "down"), ["k"], "v", "mid").collect()}
+    assert len(got) == 400
+    for k in "ab":
+        part = pd.Series({r[0]: r[2] for r in rows if r[1] == k}, dtype=float)
+        mid, down = part.rank(), part.rank(method="min", ascending=False)
+        for i in part.index:
+            assert (got[i]["mid"], got[i]["down"]) == ((None, None) if np.isnan(part[i]) else (mid[i], down[i]))
+    p = spark.createDataFrame([(i, 1.0 if i < 180 else float(i) / 400 - 0.4) for i in range(200)] + [(999, None)], "id bigint, p double")
+    fdr = {r["id"]: r["fdr"] for r in twogroup.adjust_fdr(p).collect()}
+    ps = np.array([1.0 if i < 180 else i / 400 - 0.4 for i in range(200)])
+    order = np.argsort(ps)
+    want = np.empty(200)
+    want[order] = np.minimum(np.minimum.accumulate((ps[order] * 200 / np.arange(1, 201))[::-1])[::-1], 1)
+    assert fdr.pop(999) is None and all(fdr[i] == pytest.approx(want[i]) for i in range(200))
+    known = [r for r in rows if r[2] is not None]
+    con = sum((a[2] - b[2]) * (a[3] - b[3]) > 0 for i, a in enumerate(known) for b in known[:i])
+    dis = sum((a[2] - b[2]) * (a[3] - b[3]) < 0 for i, a in enumerate(known) for b in known[:i])
+    tau = twogroup.kendall_tau(df, "v", "w").first()
+    assert (tau["concordant"], tau["discordant"]) == (con, dis)
+    target = spark.createDataFrame([(i, "f", float(v[i])) for i in range(400)], "sample_id bigint, feature string, value double")
+    short = spark.createDataFrame([(i, "f", float(10 * i)) for i in range(3)], "sample_id bigint, feature string, value double")
+    mapped = {r["sample_id"]: r["mapped"] for r in prep.quantile_map(target, short).collect()}
+    place = np.empty(400)
+    place[np.lexsort((np.arange(400), v))] = np.arange(400)
+    at = np.clip((place + 0.5) / 400 * 3 - 0.5, 0, 2)
+    assert len(mapped) == 400 and all(mapped[i] == pytest.approx(10 * at[i]) for i in range(400))
