@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions import tails
 from cohortlab.operators.running import average_rank, looked_up, quantiles, ready, running, tally, with_descending_rank, with_rank
-from cohortlab.session import cut, fixed
+from cohortlab.session import cut, fixed, small
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -119,28 +119,43 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str = "value", label
     return out.withColumn("p", F.when(F.col("z") <= 0, 1.0).otherwise(tails.norm_p("z")))
 
 
-def mann_whitney_exact(df: DataFrame, keys: Sequence[str], value: str = "value", label: str = "y") -> DataFrame:
-    """n1, n0, observed mean rank difference and exact two-sided p.
+def mann_whitney_exact(df: DataFrame, keys: Sequence[str], value: str = "value", label: str = "y", max_rows: int = 300) -> DataFrame:
+    """n1, n0, observed mean rank difference, exact two-sided p, and whether it is exact.
 
     With ties the null distribution is that of the observed mid-ranks. Splits are not listed: the distribution of
-    the rank sum is built rank by rank, in time that grows with the fourth power of a key's rows.
+    the rank sum is built rank by rank, in time that grows with the fourth power of a key's rows. A key of more than ``max_rows`` rows, where
+    the normal form differs in the fourth digit at most, gets the p of ``mann_whitney`` and is marked as not exact; its rows are never gathered.
     """
+    keys = list(keys)
+    if not keys:
+        return mann_whitney_exact(df.withColumn("_g", F.lit(0)), ["_g"], value, label, max_rows).drop("_g")
     ranked = with_rank(df.filter(F.col(value).isNotNull()), keys, value, "_rank")
     is_case = F.col(label) == 1
-    sums = ranked.groupBy(*keys).agg(
+    sizes = ranked.groupBy(*keys).agg(
         F.count_if(is_case).cast("int").alias("n1"), F.count_if(~is_case).cast("int").alias("n0"),
         (F.avg(F.when(is_case, F.col("_rank"))) - F.avg(F.when(~is_case, F.col("_rank")))).alias("observed"),
-        F.sum(F.when(is_case, (F.col("_rank") * 2).cast("bigint"))).alias("_s"), F.collect_list((F.col("_rank") * 2).cast("bigint")).alias("_r"),
+        F.sum(F.when(is_case, (F.col("_rank") * 2).cast("bigint"))).alias("_s"),
     ).filter((F.col("n1") > 0) & (F.col("n0") > 0))
-    return sums.select(*keys, "n1", "n0", "observed", tails.rank_sum_p("_r", "n1", "_s").alias("p_exact"))
-
-
-def exact_permutation(df: DataFrame, keys: Sequence[str], value: str = "value", label: str = "y", max_n: int = 32, tol: float = 1e-12) -> DataFrame:
-    """All C(n, n1) splits of a key's rows; p is the share with |difference| at least the observed.
-
-    The values of a key travel as one array of at most ``max_n`` numbers (the number of splits is exponential in
-    it), and the splits as bit masks that are generated in two steps, so no list of all of them is held.
+    sizes = cut(sizes.withColumn("exact", F.col("n1") + F.col("n0") <= max_rows))
+    short = ranked.join(small(sizes.filter("exact").select(*keys, "n1", "_s")), keys)
+    packed = short.groupBy(*keys, "n1", "_s").agg(F.collect_list((F.col("_rank") * 2).cast("bigint")).alias("_r"))
+    out = sizes.join(packed.select(*keys, tails.rank_sum_p("_r", "n1", "_s").alias("p_exact")), keys, "left").withColumn("_p", F.lit(None).cast("double"))
+    if sizes.filter("NOT exact").take(1):
+        out = out.drop("_p").join(mann_whitney(df.filter(F.col(value).isNotNull()), keys, value, label).select(*keys, F.col("p").alias("_p")), keys, "left")
+    return out.select(*keys, "n1", "n0", "observed", F.coalesce("p_exact", "_p").alias("p_exact"), "exact")
+
+
+def exact_permutation(df: DataFrame, keys: Sequence[str], value: str = "value", label: str = "y", max_n: int = 60, tol: float = 1e-12) -> DataFrame:
+    """All C(n, n1) splits of a key's rows, counted; p is the share with |difference| at least the observed.
+
+    Splits meet in the middle: the sums of all subsets of either half of a key's rows, at most 2^(n / 2) each, are tallied by number of
+    cases and sum. A split is a subset of either half with n1 cases together, and is extreme if its sum is at most one limit or
+    at least another. So each sum of one half asks how many sums of the other lie beyond limit less sum, by one running total over
+    both, split by ranges like every other. The values of a key travel as one array of at most ``max_n`` numbers.
     """
+    keys = list(keys)
+    if not keys:
+        return exact_permutation(df.withColumn("_g", F.lit(0)), ["_g"], value, label, max_n, tol).drop("_g")
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value, label)
     longest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if longest > max_n:
@@ -154,25 +169,37 @@ def exact_permutation(df: DataFrame, keys: Sequence[str], value: str = "value",
         F.size("_v").alias("_n"),
     )
     packed = packed.withColumn("n0", F.col("_n") - F.col("n1")).filter((F.col("n1") > 0) & (F.col("n0") > 0))
-    total = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x)
-
-    def diff(case_sum: Column) -> Column:
-        return case_sum / F.col("n1") - (total - case_sum) / F.col("n0")
-
-    packed = packed.withColumn(
-        "observed", diff(F.aggregate(F.slice("_x", F.col("n0") + 1, F.col("n1")), F.lit(0.0), lambda a, x: a + x))
-    )
-    splits = packed.withColumn("_high", F.explode(F.expr("sequence(0L, shiftleft(1L, greatest(_n - 16, 0)) - 1)"))).filter(F.bit_count("_high") <= F.col("n1"))
-    splits = splits.withColumn("_low", F.explode(F.expr("sequence(0L, shiftleft(1L, least(_n, 16)) - 1)")))
-    splits = splits.withColumn("_mask", F.expr("shiftleft(_high, 16) | _low")).drop("_high", "_low").filter(F.bit_count("_mask") == F.col("n1"))
-    picked = F.aggregate(
-        F.zip_with("_x", F.sequence(F.lit(0), F.col("_n") - 1), lambda x, i: F.when(F.getbit(F.col("_mask"), i) == 1, x).otherwise(0.0)),
-        F.lit(0.0), lambda a, x: a + x,
-    )
-    hit = F.abs(diff(picked)) >= F.abs("observed") - tol
-    return splits.groupBy(*keys, "n1", "n0", "observed").agg(
-        F.count(F.lit(1)).alias("n_splits"), F.avg(hit.cast("double")).alias("p_exact")
+    plus = lambda array: F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+    total, cases = plus(F.col("_x")), plus(F.slice("_x", F.col("n0") + 1, F.col("n1")))
+    observed = cases / F.col("n1") - (total - cases) / F.col("n0")
+    # |S / n1 - (T - S) / n0| >= limit
+    limit, slope = F.abs("observed") - tol, 1.0 / F.col("n1") + 1.0 / F.col("n0")
+    packed = packed.withColumn("observed", observed).withColumn("_high", (limit + total / F.col("n0")) / slope).withColumn("_low", (total / F.col("n0") - limit) / slope)
+    packed = cut(packed.withColumn("_all", limit <= 0))
+    middle = F.floor(F.col("_n") / 2).cast("int")
+    halves = F.inline(F.array(F.struct(F.lit(0).alias("_half"), F.slice("_x", F.lit(1), middle).alias("_v")), F.struct(F.lit(1).alias("_half"), F.slice("_x", middle + 1, F.col("_n") - middle).alias("_v"))))
+    masks = packed.select(*keys, "n1", "_high", "_low", halves)
+    masks = masks.withColumn("_h", F.explode(F.expr("sequence(0L, shiftleft(1L, greatest(size(_v) - 12, 0)) - 1)")))
+    masks = masks.withColumn("_l", F.explode(F.expr("sequence(0L, shiftleft(1L, least(size(_v), 12)) - 1)"))).withColumn("_mask", F.expr("shiftleft(_h, 12) | _l"))
+    picked = plus(F.zip_with("_v", F.sequence(F.lit(0), F.size("_v") - 1), lambda x, i: F.when(F.getbit(F.col("_mask"), i) == 1, x).otherwise(0.0)))
+    picked = F.when(F.size("_v") > 0, picked).otherwise(0.0)
+    chosen = masks.select(*keys, "n1", "_high", "_low", "_half", F.bit_count("_mask").alias("_k"), picked.alias("_s")).filter(F.col("_k") <= F.col("n1"))
+    sums = chosen.groupBy(*keys, "n1", "_high", "_low", "_half", "_k", "_s").agg(F.count(F.lit(1)).alias("_c"))
+    # a sum of the second half counts; one of the first asks below its high and up to its low limit
+    ask = lambda at, tie: F.struct((F.col(at) - F.col("_s")).alias("v"), F.lit(tie).alias("tie"))
+    zero = F.lit(0).cast("bigint")
+    events = F.when(F.col("_half") == 1, F.array(F.struct(F.struct(F.col("_s").alias("v"), F.lit(1).alias("tie")).alias("_o"), F.col("_c").alias("w"), zero.alias("q")))).otherwise(
+        F.array(F.struct(ask("_high", 0).alias("_o"), zero.alias("w"), F.col("_c").alias("q")), F.struct(ask("_low", 2).alias("_o"), zero.alias("w"), F.col("_c").alias("q")))
     )
+    wanted = F.when(F.col("_half") == 1, F.col("_k")).otherwise(F.col("n1") - F.col("_k"))
+    placed = tally(sums.select(*keys, wanted.alias("_k"), F.inline(events)), [*keys, "_k"], "_o", w="w", q="q")
+    counted = running(placed, [*keys, "_k"], "_o", sums=["w"], totals=["w"])
+    above, below = F.col("_o.tie") == 0, F.col("_o.tie") == 2
+    hits = F.sum(F.when(above, F.col("q") * (F.col("tot_w") - F.col("cum_w"))).when(below, F.col("q") * F.col("cum_w")))
+    found = counted.groupBy(*keys).agg(F.sum(F.when(above, F.col("q") * F.col("tot_w"))).alias("n_splits"), hits.alias("_hits"))
+    both = packed.select(*keys, "n1", "n0", "observed", "_all").join(found, keys)
+    # every split is as extreme as a difference of zero
+    return both.select(*keys, "n1", "n0", "observed", "n_splits", F.when(F.col("_all"), 1.0).otherwise(F.col("_hits") / F.col("n_splits")).alias("p_exact"))
 
 
 def kruskal_wallis(df: DataFrame, keys: Sequence[str], group: str, value: str = "value", with_p: bool = True) -> DataFrame:

@@ -149,3 +149,44 @@ def test_curve_tables_and_youden(spark):
     c = evaluate.curve(df, []).orderBy(F.desc("threshold")).collect()
     assert [(r.tp, r.fp) for r in c] == [(1, 0), (2, 1), (2, 2)]
     assert evaluate.youden(df, []).first()["threshold"] == 0.9  # J ties go to the higher threshold
+
+
+def test_splits_are_counted_from_both_halves(spark):
+    """Equal to listing all splits at small sizes, with ties and a difference of zero; no error up to sixty rows."""
+    from itertools import combinations
+    from math import comb
+
+    rng = np.random.default_rng(9)
+    data = {"a": (rng.normal(size=11), 4), "b": (rng.integers(0, 3, 10).astype(float), 5), "c": (np.array([1.0, 2.0, 2.0, 1.0]), 2), "d": (rng.normal(size=2), 1), "e": (rng.normal(size=14) * 1e6, 1)}
+    rows = [(k, int(i < n1), float(x)) for k, (v, n1) in data.items() for i, x in enumerate(v)] + [("f", 1, 1.0), ("f", 1, 2.0), ("a", 1, None)]
+    got = {r["k"]: r for r in twogroup.exact_permutation(spark.createDataFrame(rows, "k string, y int, value double"), ["k"]).collect()}
+    assert set(got) == set(data)
+    for k, (v, n1) in data.items():
+        n = len(v)
+        seen = abs(v[:n1].mean() - v[n1:].mean())
+        hits = sum(abs(v[list(p)].mean() - np.delete(v, list(p)).mean()) >= seen - 1e-12 for p in combinations(range(n), n1))
+        assert got[k]["n_splits"] == comb(n, n1) and got[k]["p_exact"] == pytest.approx(hits / comb(n, n1))
+    big = [("x", int(i % 13 == 0), float(i % 5)) for i in range(40)]
+    one = twogroup.exact_permutation(spark.createDataFrame(big, "k string, y int, value double"), ["k"]).first()
+    values = np.array([r[2] for r in big])
+    cases = [r[2] for r in big if r[1]]
+    seen = abs(np.mean(cases) - (values.sum() - sum(cases)) / 36)
+    counts = np.bincount(values.astype(int), minlength=5)
+    ways = sum(
+        comb(counts[0], a) * comb(counts[1], b) * comb(counts[2], c) * comb(counts[3], d) * comb(counts[4], 4 - a - b - c - d)
+        for a in range(5) for b in range(5 - a) for c in range(5 - a - b) for d in range(5 - a - b - c)
+        if abs((b + 2 * c + 3 * d + 4 * (4 - a - b - c - d)) / 4 - (values.sum() - (b + 2 * c + 3 * d + 4 * (4 - a - b - c - d))) / 36) >= seen - 1e-12
+    )
+    assert one["n_splits"] == comb(40, 4) and one["p_exact"] == pytest.approx(ways / comb(40, 4))
+
+
+def test_long_keys_take_the_normal_form(spark):
+    rng = np.random.default_rng(10)
+    rows = [("long", int(i % 2), float(v)) for i, v in enumerate(rng.normal(size=80))] + [("short", int(i % 2), float(v)) for i, v in enumerate(rng.normal(size=12))]
+    df = spark.createDataFrame(rows, "k string, y int, value double")
+    got = {r["k"]: r for r in twogroup.mann_whitney_exact(df, ["k"], max_rows=40).collect()}
+    normal = {r["k"]: r["p"] for r in twogroup.mann_whitney(df, ["k"]).collect()}
+    every = {r["k"]: r["p_exact"] for r in twogroup.mann_whitney_exact(df, ["k"]).collect()}
+    assert not got["long"]["exact"] and got["long"]["p_exact"] == normal["long"] and got["long"]["p_exact"] == pytest.approx(every["long"], abs=0.01)
+    assert got["short"]["exact"] and got["short"]["p_exact"] == every["short"]
+    assert twogroup.mann_whitney_exact(df.filter("k = 'short'"), []).first()["p_exact"] == pytest.approx(every["short"])
