@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlab.llm.store import measured, removed, written
+from cohortlab.llm.store import measured, removed, salted_join, written
 
 QUOTED = r"(?m)^[ \t]*>"
 QUOTED_LINES = r"(?m)^(?:[^\n>]*\bwrote:[ \t]*\r?\n(?=[ \t]*>))|^[ \t]*>[^\n]*(?:\n|\z)"
@@ -93,7 +93,8 @@ def parents(messages: DataFrame) -> DataFrame:
     first = lambda *of: (F.min(F.when(F.col("large"), F.struct(*of))).alias("large"), F.min(F.struct(*of)).alias("any"))
     here = units.groupBy("conv_id", "mark").agg(*first("turn", "mid")).select("conv_id", "mark", F.struct("large", "any").alias("here"))
     there = units.groupBy("mark").agg(*first("conv_id", "turn", "mid")).select("mark", F.struct("large", "any").alias("there"))
-    joined = quoted.join(here, ["conv_id", "mark"], "left").join(there, "mark", "left")
+    # a mark may be in a share of all passages
+    joined = salted_join(salted_join(quoted, here, ["conv_id", "mark"], "mark", how="left"), there, ["mark"], "mark", how="left")
     target = F.coalesce(
         *(F.when(F.col(f"here.{s}.turn") < F.col("turn"), F.col(f"here.{s}.mid")) for s in ("large", "any")),
         *(F.when(F.col(f"there.{s}.conv_id") < F.col("conv_id"), F.col(f"there.{s}.mid")) for s in ("large", "any")),
@@ -109,7 +110,7 @@ def rooted(links: DataFrame) -> DataFrame:
     state, path = written(links.select("child", "parent", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth")), "roots")
     while True:
         up = state.select(F.col("child").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        stepped = state.join(up, "root", "left").select("child", "parent", F.coalesce("next", "root").alias("root"), F.expr("depth + coalesce(more, 0)").alias("depth"), F.col("next").isNotNull().alias("moved"))
+        stepped = salted_join(state, up, ["root"], "root", "next", how="left").select("child", "parent", F.coalesce("next", "root").alias("root"), F.expr("depth + coalesce(more, 0)").alias("depth"), F.col("next").isNotNull().alias("moved"))
         fresh, after = written(stepped, "roots")
         moved = bool(fresh.filter("moved").take(1))
         removed(spark, path)
