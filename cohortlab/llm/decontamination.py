@@ -60,6 +60,20 @@ class Strings:
         flat = np.frombuffer(self.flat, np.int32) if self.flat else np.empty(0, np.int32)
         self.tables = [Tables(flat, m, np.concatenate(places[m]), np.concatenate(owners[m])) for m in sorted(places)]
 
+    def packed(self) -> tuple[dict, list[dict]]:
+        """Plain values, to be sent to tasks."""
+        own = dict(vars(self))
+        return own, [vars(t) for t in own.pop("tables")]
+
+    @classmethod
+    def unpacked(cls, packed: tuple[dict, list[dict]]) -> Strings:
+        out = cls.__new__(cls)
+        vars(out).update(packed[0])
+        out.tables = [Tables.__new__(Tables) for _ in packed[1]]
+        for table, values in zip(out.tables, packed[1], strict=True):
+            vars(table).update(values)
+        return out
+
     def numbered(self, words: list[bytes]) -> array:
         return array("i", map(self.numbers.get, words, repeat(-1)))
 
@@ -128,10 +142,10 @@ class Tables:
 
 def _searched(docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
     """``docs`` with n_words, spans (merged word limits, flat) and items (ids with an occurring window)."""
-    sent = docs.sparkSession.sparkContext.broadcast(Strings(items, window))
+    sent = docs.sparkSession.sparkContext.broadcast(Strings(items, window).packed())
 
     def work():
-        strings = sent.value
+        strings = Strings.unpacked(sent.value)
 
         def step(batch):
             out = {"n_words": [], "spans": [], "items": []}

@@ -219,9 +219,9 @@ def test_large_benchmark_in_little_memory():
     vocabulary = [f"word{i}".encode() for i in range(20_000)]
     items = [(str(k), b" ".join(draw.choices(vocabulary, k=2000))) for k in range(40)]
     size = sum(len(t) for _, t in items)
-    sent = pickle.dumps(decontamination.Strings(items, 13))
+    sent = pickle.dumps(decontamination.Strings(items, 13).packed())
     tracemalloc.start()
-    strings = pickle.loads(sent)
+    strings = decontamination.Strings.unpacked(pickle.loads(sent))
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert held < 60 * size
