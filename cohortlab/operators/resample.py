@@ -72,37 +72,33 @@ def drawn_counts(n: int, rep: int, seed: int = 42) -> np.ndarray:
     return np.bincount(hashes(np.arange(n, dtype=np.int64), rep, seed) % n, minlength=n)
 
 
-class _Order:
-    """Labels and scores of rows in key order, and for every model the order of its scores, descending, with the ends of ties."""
-
-    def __init__(self, label: np.ndarray, scores: np.ndarray):
-        self.label = label.astype(float)
-        self.order = [np.argsort(-s, kind="stable") for s in scores]
-        self.last = [np.flatnonzero(np.append(s[o][1:] != s[o][:-1], True)) for s, o in zip(scores, self.order, strict=True)]
-
-    def metrics(self, model: int, weight: np.ndarray) -> tuple[float | None, float | None]:
-        """AUC and average precision under row weights, by running totals over the order; null for a single class."""
-        order, last = self.order[model], self.last[model]
-        w = weight[order]
-        pos = w * self.label[order]
-        tp, total = np.cumsum(pos)[last], np.cumsum(w)[last]
-        fp = total - tp
-        n1, n0 = tp[-1], fp[-1]
-        if n1 == 0 or n0 == 0:
-            return None, None
-        before, behind = np.append(0.0, tp[:-1]), np.append(0.0, fp[:-1])
-        area = ((fp - behind) * (tp + before)).sum() / (2 * n1 * n0)
-        precision = np.divide(tp, total, out=np.zeros_like(tp), where=total > 0)
-        return float(area), float(((tp - before) * precision).sum() / n1)
-
-
-def _ordered(df: DataFrame, key: str, scores: Sequence[str], label: str) -> tuple[np.ndarray, _Order] | None:
+def _sorted_scores(label: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Labels in key order, and for every model the order of its scores, descending, with the ends of ties. Plain arrays, to be sent to tasks."""
+    order = [np.argsort(-s, kind="stable") for s in scores]
+    return label.astype(float), order, [np.flatnonzero(np.append(s[o][1:] != s[o][:-1], True)) for s, o in zip(scores, order, strict=True)]
+
+
+def _metrics(label: np.ndarray, order: np.ndarray, last: np.ndarray, weight: np.ndarray) -> tuple[float | None, float | None]:
+    """AUC and average precision under row weights, by running totals over the order; null for a single class."""
+    w = weight[order]
+    tp, total = np.cumsum(w * label[order])[last], np.cumsum(w)[last]
+    fp = total - tp
+    n1, n0 = tp[-1], fp[-1]
+    if n1 == 0 or n0 == 0:
+        return None, None
+    before, behind = np.append(0.0, tp[:-1]), np.append(0.0, fp[:-1])
+    area = ((fp - behind) * (tp + before)).sum() / (2 * n1 * n0)
+    precision = np.divide(tp, total, out=np.zeros_like(tp), where=total > 0)
+    return float(area), float(((tp - before) * precision).sum() / n1)
+
+
+def _ordered(df: DataFrame, key: str, scores: Sequence[str], label: str) -> tuple[np.ndarray, tuple] | None:
     """The packed rows in key order, or None beyond ``ORDERED_BYTES``."""
     n = df.count()
     if n * 8 * (3 * len(scores) + 2) > ORDERED_BYTES:
         return None
     rows = df.select(key, F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double") for c in scores]).toPandas().sort_values(key, kind="stable")
-    return rows[key].to_numpy(), _Order(rows["_y"].to_numpy(), rows[list(scores)].to_numpy().T)
+    return rows[key].to_numpy(), _sorted_scores(rows["_y"].to_numpy(), rows[list(scores)].to_numpy().T)
 
 
 def _by_replicate(df: DataFrame, replicates: int, shape: str, work) -> DataFrame:
@@ -139,15 +135,15 @@ def bootstrap_metrics(df: DataFrame, key: str, scores: Sequence[str], replicates
     n = len(packed[0])
 
     def work(rep):
-        order: _Order = sent.value
+        label, order, last = sent.value
         attempts, weight = 0, np.zeros(n)
         while n and attempts < (MOST_ATTEMPTS if redraw else 1):
             weight = drawn_counts(n, rep + attempts * replicates, seed).astype(float)
             attempts += 1
-            cases = (weight * order.label).sum()
+            cases = (weight * label).sum()
             if 0 < cases < n:
                 break
-        return [(rep, name, *(order.metrics(k, weight) if n else (None, None)), attempts) for k, name in enumerate(names)]
+        return [(rep, name, *(_metrics(label, order[k], last[k], weight) if n else (None, None)), attempts) for k, name in enumerate(names)]
 
     return _by_replicate(df, replicates, "rep int, model string, auc double, average_precision double, attempts int", work)
 
@@ -233,12 +229,12 @@ def permutation_auc(df: DataFrame, key: str, replicates: int, score: str = "scor
     rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(key, score, label)
     packed = _ordered(rows, key, [score], label) if dict(rows.dtypes)[key] in ("bigint", "int", "smallint", "tinyint") else None
     if packed is not None and len(packed[0]):
-        keys, order = packed
+        keys, (labels, order, last) = packed
         rank = np.empty(len(keys))
-        at, ends = order.order[0], order.last[0]
+        at, ends = order[0], last[0]
         begins = np.append(0, ends[:-1] + 1)
         rank[at] = len(keys) - np.repeat((begins + ends) / 2.0, ends - begins + 1)  # from 1, ties at their mean
-        n1 = int(order.label.sum())
+        n1 = int(labels.sum())
         sent = df.sparkSession.sparkContext.broadcast((keys.astype(np.int64), rank))
 
         def work(rep):

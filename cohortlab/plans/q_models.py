@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.hashing import phash_sql
 from cohortlab.functions.scalars import logit, rounded
-from cohortlab.operators import blockfit, evaluate, glm, models, prep, rollup, selection, twogroup
+from cohortlab.operators import blockfit, evaluate, glm, models, prep, rollup, selection, treepaths, twogroup
 from cohortlab.operators.tables import top_per_group
 from cohortlab.plans import views
 from cohortlab.plans.q_eval import SCORED, scored
@@ -359,8 +359,9 @@ def boosting_importance(spark, sf):
 
 @query("shapley_ranking", "M5 W5")
 def shapley_ranking(spark, sf):
+    """Path attributions of a forest of 500 trees, by class."""
     rows, names = _arrays(spark, sf)
-    phi = models.shapley(models.fit_forest(_train(rows), trees=30), rows, names, ["sample_id", "y"])
+    phi = treepaths.attributions(models.fit_forest(_train(rows)), rows, names, ["sample_id", "y"])
     return shape(models.attribution_ranking(phi, ["y"]), ["y", "feature"], ["mean_abs_phi"], 5)
 
 
@@ -372,17 +373,16 @@ def permutation_importance(spark, sf):
 
 @query("attribution_stability", "M6")
 def attribution_stability(spark, sf):
-    """How often a feature is among the top twenty attributions over folds."""
+    """How often a feature is among the top twenty path attributions over five folds, a forest of 300 trees of depth five each."""
     rows, names = _arrays(spark, sf)
-    folds = prep.stratified_folds(rows.select("sample_id", "y"), 3, 1)
+    folds = prep.stratified_folds(rows.select("sample_id", "y"), 5, 1)
     data = cut(rows.join(folds.select("sample_id", "fold"), "sample_id"))
 
     def one(fold):
-        model = models.fit_forest(data.filter(F.col("fold") != fold), trees=20)
-        phi = models.shapley(model, data.filter(F.col("fold") == fold), names, ["sample_id"])
+        phi = treepaths.attributions(models.fit_forest(data.filter(F.col("fold") != fold), trees=300, depth=5), data.filter(F.col("fold") == fold), names, ["sample_id"])
         return models.attribution_ranking(phi).withColumn("fold", F.lit(fold))
 
-    per = cut(models.union(models.parallel(one, [0, 1, 2])))
+    per = cut(models.union(models.parallel(one, range(5))))
     top = top_per_group(per, ["fold"], [F.desc("mean_abs_phi"), F.col("feature")], 20)
     return top.groupBy("feature").agg(F.count(F.lit(1)).alias("n_folds"))
 
