@@ -40,6 +40,7 @@ SMOOTHING = 0.1
 MAX_LANGUAGES = 400
 REMEMBERED = 120_000
 LONG = 32
+ASCII_RUNS = re.compile("[a-z]+")
 
 
 def category(kind: str) -> str:
@@ -50,15 +51,15 @@ def category(kind: str) -> str:
 
 
 @functools.cache
-def _runs() -> tuple[re.Pattern, re.Pattern]:
+def run_pattern() -> str:
+    """The pattern of a lower-cased letter run. Made on the driver and sent to tasks as text."""
     letters = category("L")
-    return re.compile("[a-z]+"), re.compile(f"[{letters}][{letters}{category('M')}]*")
+    return f"[{letters}][{letters}{category('M')}]*"
 
 
-def letter_runs(text: str) -> list[str]:
-    """The letter runs of a text, lower-cased."""
-    ascii_runs, runs = _runs()
-    return (ascii_runs if text.isascii() else runs).findall(text.lower())
+def letter_runs(text: str, runs: re.Pattern) -> list[str]:
+    """The letter runs of a text, lower-cased; ``runs`` is the compiled ``run_pattern``."""
+    return (ASCII_RUNS if text.isascii() else runs).findall(text.lower())
 
 
 def read_pieces(path: str) -> list[str]:
@@ -215,17 +216,19 @@ def learned(docs: DataFrame, pieces: list[str], usable: Column, sample_docs: int
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
-    content = {"languages": languages, "pieces": pieces, "p": _equal(len(pieces), len(languages))}
+    pattern = run_pattern()
+    content = {"languages": languages, "pieces": pieces, "p": _equal(len(pieces), len(languages)), "runs": pattern}
     if not languages:
         return content
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])
     drawn = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
 
     def count(frames):
+        runs = re.compile(pattern)
         for frame in frames:
             found: dict[str, Counter] = {}
             for text, lang in zip(frame["text"], frame["lang"], strict=True):
-                found.setdefault(lang, Counter()).update(letter_runs(text))
+                found.setdefault(lang, Counter()).update(letter_runs(text, runs))
             rows = [(lang, MARK + w, n) for lang, words in found.items() for w, n in words.items()]
             yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 
@@ -260,7 +263,7 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
     def work():
         held = sent.value
         if "lattice" not in held:  # a worker keeps it, with the words it remembers, for its later tasks
-            held |= {"lattice": Lattice(held["pieces"], held["p"]), "younger": Places(len(held["languages"])), "older": Places(len(held["languages"]))}
+            held |= {"lattice": Lattice(held["pieces"], held["p"]), "compiled": re.compile(held["runs"]), "younger": Places(len(held["languages"])), "older": Places(len(held["languages"]))}
         return lambda batch: dict(zip(("lang_pred", "score"), _judged(batch.column("text").to_pylist(), held), strict=True))
 
     return extended(docs, "text", "lang_pred string, score double", work)
@@ -285,7 +288,7 @@ def _judged(texts: list[str | None], held: dict) -> tuple[list[str], list[float]
     if len(held["younger"]) > REMEMBERED:
         held["older"], held["younger"] = held["younger"], Places(len(languages))
     row: Places = held["younger"]
-    words = [np.array(list(map(row.__getitem__, letter_runs(t or ""))), np.int64) for t in texts]
+    words = [np.array(list(map(row.__getitem__, letter_runs(t or "", held["compiled"]))), np.int64) for t in texts]
     if row.fresh:
         _remember(row, held["older"], held["lattice"])
     matrix, names, scores = row.matrix, [], []
