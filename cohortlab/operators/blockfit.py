@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortlab.operators.evaluate import auc, average_precision
 from cohortlab.operators.resample import drawn_counts, hashes
 from cohortlab.operators.running import row_numbers
-from cohortlab.session import cut, scratch_path, small
+from cohortlab.session import cut, discard, scratch_path, small
 
 BLOCK_ROWS = 1024
 CHUNK = 128
 BATCH_BYTES = 64 << 20
-TOLERANCE = 1e-10
+TOLERANCE = 1e-11
 MAX_PASSES = 200
 DRAWN = 50_000_000
 ALONE = -2
@@ -436,6 +436,13 @@ def fit(blocks: Blocks, models: Models, penalty: str = "l1", penalise_first: boo
     spark = blocks.table.sparkSession
     fits = scaled(blocks, models, standardise) if start is None else start
     m = len(models)
+    if models.columns is None and models.label is None and not fits.beta.any():
+        # replicates and folds of one penalty start from the fit of all samples: few second derivatives are needed from there
+        penalties, which = np.unique(models.c, return_inverse=True)
+        if m >= 4 * len(penalties):
+            whole = fit(blocks, Models.of(len(penalties), c=penalties), penalty, penalise_first, standardise)
+            fits.beta = np.where((fits.cases > 0) & (fits.cases < fits.n), 1.0, 0.0)[:, None] * whole.beta[which]
+            fits.beta[:, 1:] *= (fits.variance > 0) & (models.allowed if models.allowed is not None else True)
     free = np.concatenate([np.ones((m, 1), bool), (fits.variance > 0) & (models.allowed if models.allowed is not None else True)], axis=1)
     lam = np.broadcast_to(np.where(np.isinf(models.c), 0.0, 1.0 / models.c)[:, None], (m, q)).copy()
     if not penalise_first:
@@ -445,7 +452,7 @@ def fit(blocks: Blocks, models: Models, penalty: str = "l1", penalise_first: boo
         "beta": fits.beta.copy(), "before": fits.beta.copy(), "objective": np.full(m, np.inf), "kkt": np.full(m, np.inf), "done": (fits.cases == 0) | (fits.cases == fits.n),
         # a single class has no finite fit; its coefficients stay at zero
     }
-    old, fresh, used = None, True, 0
+    old, old_path, fresh, used = None, None, True, 0
     for passes in range(1, max_passes + 1):
         used = passes
         now = replace(fits, beta=state["beta"])
@@ -487,15 +494,21 @@ def fit(blocks: Blocks, models: Models, penalty: str = "l1", penalise_first: boo
         table.write.parquet(path)
         table = spark.read.schema("chunk bigint, numbers binary, kept binary").parquet(path)
         if fresh:
-            old = table
+            if old_path:
+                discard(spark, old_path)
+            old, old_path = table, path
         numbers = _collected(table, m)
         before = state["kkt"]
         state = {"beta": numbers[:, :q], "before": numbers[:, q : 2 * q], "objective": numbers[:, 2 * q], "kkt": numbers[:, 2 * q + 1], "done": numbers[:, 2 * q + 2] > 0}
         sent.unpersist()
+        if path != old_path:
+            discard(spark, path)
         if state["done"].all():
             break
         live = ~state["done"]
         fresh = bool((state["kkt"][live] > 0.2 * before[live]).any()) and passes > 1 if not fresh else False
+    if old_path:
+        discard(spark, old_path)
     fits.beta, fits.kkt, fits.passes = state["beta"], state["kkt"], used
     return fits
 
@@ -572,7 +585,7 @@ def scored(blocks: Blocks, models: Models, fits: Fits, which: str = "held", key:
     return blocks.table.mapInArrow(run, f"model bigint, {key} {kind}, y int, probability double")
 
 
-LEFT_TOLERANCE = 2e-9
+LEFT_TOLERANCE = 1e-9
 LEFT_ROWS = 64
 
 
@@ -601,7 +614,7 @@ def left_scores(blocks: Blocks, models: Models, penalty: str = "l1", penalise_fi
     samples, written out to fifth order around the full fit (sums of products of the scaled columns, one pass), less the sample's own
     term and with the penalty in the scaling without it; the second derivatives are downdated by the one row. A step count brings this to zero for all samples of a block at
     once, so a model costs one pass, not one for each sample. A sample is refitted from scratch in blocks where that is not good enough: where the bound on
-    the rest beyond, for the coefficients relative to their size, exceeds ``LEFT_TOLERANCE``, where under L1 a coefficient changes sign, enters or leaves, or where one class is left. Models take few columns.
+    the rest beyond, carried to the held-out score, exceeds ``LEFT_TOLERANCE``, where under L1 a coefficient changes sign, enters or leaves, or where one class is left. Models take few columns.
     """
     spark = blocks.table.sparkSession
     fits = fit(blocks, models, penalty, penalise_first)
@@ -694,7 +707,7 @@ def left_scores(blocks: Blocks, models: Models, penalty: str = "l1", penalise_fi
             step = step - back - down * (v * np.einsum("nmi,nmi->nm", d, back) / np.maximum(left, 1e-6))[:, :, None]
         now = beta + step
         rest = 0.25 / 120 * size * np.linalg.norm(step, axis=2) ** 5 + np.abs(f).max(axis=2)  # the fifth derivative of the logistic is at most 1 / 4
-        good = (rest * norm / np.maximum(left, 1e-6) <= LEFT_TOLERANCE * np.maximum(1.0, np.linalg.norm(beta, axis=1))) & (left > 0.05)
+        good = (rest * norm / np.maximum(left, 1e-6) * np.linalg.norm(d, axis=2) <= LEFT_TOLERANCE) & (left > 0.05)
         rest_cases = cases - y
         good &= (rest_cases > 0) & (rest_cases < n - 1)
         if penalty == "l1":
