@@ -190,11 +190,12 @@ def pack(rows: DataFrame, names: Sequence[str], key: str = "sample_id", label: s
     kind = dict(rows.dtypes)[key]
     packed = placed.withColumn("block", F.floor(F.col("_pos") / block_rows)).groupBy("block").applyInArrow(stack, f"block bigint, first bigint, rows bigint, keys array<{kind}>, x binary, y binary, a binary, f binary")
     if replicates and n:
-        packed = packed.join(_counts(spark, n, replicates, seed, block_rows), "block")
+        # counts compress so well that their size on disk would suggest a broadcast
+        packed = packed.join(_counts(spark, n, replicates, seed, block_rows).hint("merge"), "block")
     else:
         packed = packed.withColumn("counts", F.lit(None).cast("binary"))
     if shuffles and n:
-        packed = packed.join(_shuffled(placed, key, n, shuffles, seed, block_rows), "block")
+        packed = packed.join(_shuffled(placed, key, n, shuffles, seed, block_rows).hint("merge"), "block")
     else:
         packed = packed.withColumn("labels", F.lit(None).cast("binary"))
     path = scratch_path(spark, "blocks")
