@@ -1,7 +1,7 @@
-"""MLlib fits, cross-validation, selection stability, attributions and panel nulls.
+"""Single fits, components, substituted-row attributions, ablations and panel nulls.
 
-Loops run over folds, grid values and replicates only; every step inside them
-is a Spark job over the sample table, and independent fits share a thread pool.
+Loops run over folds and specifications only; every step inside them is a Spark job over the sample table, and independent fits
+share a thread pool. Batches of penalised fits are in ``blockfit`` and ``selection``.
 """
 
 from __future__ import annotations
