@@ -111,20 +111,23 @@ class Fits:
 
 
 def _counts(spark: SparkSession, n: int, replicates: int, seed: int, block_rows: int) -> DataFrame:
-    """(block, counts): bootstrap counts of all replicates for the samples of a block, as 16-bit rows by sample."""
+    """(block, counts): bootstrap counts of all replicates for the samples of a block, one byte each, by sample."""
     if n > DRAWN:
         raise ValueError(f"a replicate of exact draws is one array of all samples; {n} exceed {DRAWN}")
 
     def draw(batches):
         for batch in batches:
             for rep in batch.column(0).to_pylist():
-                counts = np.minimum(drawn_counts(n, rep, seed), 65535).astype(np.uint16)
+                counts = drawn_counts(n, rep, seed)
+                if counts.max(initial=0) > 255:
+                    raise OverflowError("a sample was drawn more than 255 times")
+                counts = counts.astype(np.uint8)
                 at = range(0, n, block_rows)
                 yield pa.RecordBatch.from_arrays([pa.array([i // block_rows for i in at], pa.int64()), pa.array([rep] * len(at), pa.int64()), pa.array([counts[i : i + block_rows].tobytes() for i in at], pa.binary())], ["block", "rep", "c"])
 
     def stack(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("rep").to_numpy())
-        rows = [np.frombuffer(table.column("c")[int(i)].as_buffer(), np.uint16) for i in order]
+        rows = [np.frombuffer(table.column("c")[int(i)].as_buffer(), np.uint8) for i in order]
         return pa.table({"block": table.column("block")[:1], "counts": pa.array([np.stack(rows, axis=1).tobytes()], pa.binary())})
 
     parts = max(1, min(replicates // 8, 2000))
@@ -277,7 +280,7 @@ def _read(batches, centre: np.ndarray) -> Iterator[_Block]:
             if not np.isnan(centre).all():
                 x = np.nan_to_num(x - centre)
             folds = get("f", np.int32) if len(value["f"].as_buffer()) else np.empty((n, 0), np.int32)
-            yield _Block(x, get("y", float)[:, 0], folds, get("counts", np.uint16), value["keys"].values, value["slice"].as_py() if "slice" in value else 0, value["first"].as_py(), get("labels", np.uint8))
+            yield _Block(x, get("y", float)[:, 0], folds, get("counts", np.uint8), value["keys"].values, value["slice"].as_py() if "slice" in value else 0, value["first"].as_py(), get("labels", np.uint8))
 
 
 def _gathered(x: np.ndarray, models: Models) -> np.ndarray:
