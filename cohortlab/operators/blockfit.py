@@ -33,6 +33,7 @@ from cohortlab.session import cut, discard, scratch_path, small
 
 BLOCK_ROWS = 1024
 CHUNK = 128
+TASKS = 4
 BATCH_BYTES = 64 << 20
 TOLERANCE = 1e-11
 MAX_PASSES = 200
@@ -342,13 +343,13 @@ def _summed(blocks: Blocks, models: Models, work: Callable[[_Block, Models, np.n
 
 
 def spread(blocks: Blocks, chunks: int) -> tuple[DataFrame, int]:
-    """The blocks, repeated for slices of the chunks of models where there are fewer blocks than tasks that can run at once."""
-    held = -(-blocks.n // blocks.rows)
-    slices = min(chunks, -(-blocks.table.sparkSession.sparkContext.defaultParallelism // max(1, held)))
-    if slices <= 1:
-        return blocks.table, 1
+    """The blocks, dealt over at least as many tasks as can run at once, and repeated for slices of the chunks of models where there are fewer blocks than that."""
+    held, at_once = -(-blocks.n // blocks.rows), blocks.table.sparkSession.sparkContext.defaultParallelism
+    slices = max(1, min(chunks, -(-TASKS * at_once // max(1, held))))
+    if slices == 1:
+        return blocks.table.repartition(max(1, min(held, TASKS * at_once)), "block"), 1
     table = blocks.table.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return table.repartition(held * slices, "block", "slice"), slices
+    return table.repartition(min(held * slices, TASKS * at_once), "block", "slice"), slices
 
 
 def _collected(table: DataFrame, models: int) -> np.ndarray:
@@ -591,6 +592,8 @@ def scored(blocks: Blocks, models: Models, fits: Fits, which: str = "held", key:
 
 LEFT_TOLERANCE = 1e-9
 LEFT_ROWS = 64
+#: From so many samples on, the orders of a step to which the gradient is written out, one after the other.
+LEFT_ORDERS = ((20_000, (2, 3)), (2_000, (3, 4)), (0, (4,)))
 
 
 def _powers(q: int) -> list[list[tuple[int, ...]]]:
@@ -607,162 +610,248 @@ def _products(d: np.ndarray, places: list[tuple[int, ...]]) -> dict[tuple[int, .
 
 
 def leave_one_out(blocks: Blocks, models: Models, penalty: str = "l1", penalise_first: bool = True) -> DataFrame:
-    """(grp, n1, n0, auc, average_precision, accuracy) of each model over the scores of ``left_scores``."""
-    return left_scores(blocks, models, penalty, penalise_first).groupBy("grp").applyInPandas(_judged, JUDGED)
+    """(grp, n1, n0, auc, average_precision, accuracy) of each model over the scores of ``left_scores``.
+
+    One pass scores all models; those without a sample to refit are judged by it, only the others are scored again with their refits.
+    """
+    left = _LeftOut(blocks, models, penalty, penalise_first)
+    first = cut(left.scored(np.arange(len(models))).groupBy("grp").applyInPandas(_judged_or_again, f"{JUDGED}, again binary"))
+    done = first.filter("again IS NULL").drop("again")
+    todo = np.array(sorted(r["grp"] for r in first.filter("again IS NOT NULL").select("grp").collect()), np.int64)
+    if not len(todo):
+        return done
+
+    def pairs(batches):
+        for batch in batches:
+            for of, again in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = np.frombuffer(again, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), of), pa.int64()), pa.array(at)], ["model", "position"])
+
+    again = first.filter("again IS NOT NULL").select("grp", "again").mapInArrow(pairs, "model bigint, position bigint")
+    return done.unionByName(left.completed(todo, again).groupBy("grp").applyInPandas(_judged, JUDGED))
 
 
 def left_scores(blocks: Blocks, models: Models, penalty: str = "l1", penalise_first: bool = True) -> DataFrame:
     """Packed held-out scores and labels of each model, every sample left out once and scaled without it.
 
     The fit of all samples is moved by what one sample takes with it. With u the sample's scaled row, the gradient without it is that of all
-    samples, written out to fifth order around the full fit (sums of products of the scaled columns, one pass), less the sample's own
+    samples, written out to up to fifth order around the full fit (sums of products of the scaled columns, one pass), less the sample's own
     term and with the penalty in the scaling without it; the second derivatives are downdated by the one row. A step count brings this to zero for all samples of a block at
-    once, so a model costs one pass, not one for each sample. A sample is refitted from scratch in blocks where that is not good enough: where the bound on
+    once, so a model costs one pass, not one for each sample. With more samples a step is shorter and lower orders will do: rows whose bound is too large at one
+    order are taken to the next (``LEFT_ORDERS``). A sample is refitted from scratch in blocks where that is not good enough: where the bound on
     the rest beyond, carried to the held-out score, exceeds ``LEFT_TOLERANCE``, where under L1 a coefficient changes sign, enters or leaves, or where one class is left. Models take few columns.
     """
-    spark = blocks.table.sparkSession
-    fits = fit(blocks, models, penalty, penalise_first)
-    q, m = models.size(blocks.p) + 1, len(models)
-    two, three, four, five = _powers(q)
-    shorter = [*((i,) for i in range(q)), *two, *three, *four]
-    wanted = models.columns if models.columns is not None else np.broadcast_to(np.arange(blocks.p), (m, blocks.p))
-    centre = blocks.centre
-    scaling = spark.sparkContext.broadcast((fits.beta, fits.shift, fits.scale, fits.variance > 0, wanted))
-
-    def design(b, at):
-        beta, shift, scale, spread_out, columns = (v[at] for v in scaling.value)
-        z = np.where(spread_out, (b.x[:, columns] - shift) / scale, 0.0)
-        return beta, np.concatenate([np.ones((*z.shape[:2], 1)), z], axis=2)
-
-    def work(b, some, at):
-        beta, d = design(b, at)
-        p = 1.0 / (1.0 + np.exp(-np.clip(np.einsum("nmq,mq->nm", d, beta), -700, 700)))
-        v = p * (1.0 - p)
-        grad = np.einsum("nm,nmq->mq", p - b.labels(some), d)
-        weights = {2: v, 3: v * (1 - 2 * p), 4: v * (1 - 6 * p + 6 * p * p), 5: v * (1 - 2 * p) * (1 - 12 * p + 12 * p * p)}
-        sums = np.zeros((len(at), len(two) + len(three) + len(four) + len(five)))
-        for low in range(0, len(d), LEFT_ROWS):
-            some_rows = slice(low, low + LEFT_ROWS)
-            made = _products(d[some_rows], [*shorter, *five])
-            for k, places in enumerate([*two, *three, *four, *five]):
-                sums[:, k] += np.einsum("nm,nm->m", weights[len(places)][some_rows], made[places])
-        size = (np.einsum("nmq,nmq->nm", d, d) ** 3).sum(axis=0)[:, None]
-        return np.concatenate([grad, sums, size], axis=1)
-
-    sums = _collected(_summed(blocks, models, work, lambda k, s, _: (s, None)), m)
-    cuts = np.cumsum([q, len(two), len(three), len(four), len(five)])
-    grad, h2, h3, h4, h5, size = np.split(sums, cuts, axis=1)
-    lam = np.where(np.isinf(models.c), 0.0, 1.0 / models.c)
-    first = lam * (1.0 if penalise_first else 0.0)
-    active = fits.beta != 0 if penalty == "l1" else np.concatenate([np.ones((m, 1), bool), fits.variance > 0], axis=1)
-    second = np.zeros((m, q, q))
-    for k, (i, j) in enumerate(two):
-        second[:, i, j] = second[:, j, i] = h2[:, k]
-    if penalty == "l2":
-        second[:, np.arange(q), np.arange(q)] += np.column_stack([first, np.repeat(lam[:, None], q - 1, axis=1)])
-    kept = second * (active[:, :, None] & active[:, None, :]) + np.eye(q) * ~active[:, :, None]
-    inverse = np.linalg.pinv(kept) * (active[:, :, None] & active[:, None, :])
-    norm = np.linalg.norm(inverse, 2, axis=(1, 2))
-    # coefficients of the gradient's expansion by the products of a step: (models, products, q)
-    expansion = _expansion([h2, h3, h4, h5], q)
-    sent = spark.sparkContext.broadcast((grad, expansion, inverse, norm, size[:, 0], lam, first, active, fits.n, fits.cases))
-
-    def moved(b, some, at):
-        """Held-out scores (samples, models), where they are good enough, and labels."""
-        beta, d = design(b, at)
-        y = np.broadcast_to(b.labels(some), d.shape[:2])
-        parts = [_moved_rows(beta, d[i : i + LEFT_ROWS], y[i : i + LEFT_ROWS], at) for i in range(0, len(d), LEFT_ROWS)]
-        return *(np.concatenate(p) for p in zip(*parts, strict=True)), y
-
-    def _moved_rows(beta, d, y, at):
-        grad, expansion, inverse, norm, size, lam, first, active, n, cases = (v[at] for v in sent.value)
-        z = d[:, :, 1:]
-        less = -z / (n - 1.0)[:, None]  # the mean without the sample, in units of the scaling with it
-        ratio = np.sqrt(np.maximum((n[:, None] - z * z) / (n - 1.0)[:, None] - less * less, 1e-12))
-        sign = np.sign(beta)
-        step = np.zeros(d.shape)
-        p = 1.0 / (1.0 + np.exp(-np.clip(np.einsum("nmq,mq->nm", d, beta), -700, 700)))
+    left, every = _LeftOut(blocks, models, penalty, penalise_first), np.arange(len(models))
+    return left.completed(every, cut(left.scored(every, "pairs")))
+
+
+class _LeftOut:
+    """The expansions of all models of a batch around their fits, with what moves them."""
+
+    def __init__(self, blocks: Blocks, models: Models, penalty: str, penalise_first: bool):
+        self.blocks, self.models, self.penalty, self.penalise_first = blocks, models, penalty, penalise_first
+        spark = blocks.table.sparkSession
+        self.fits = fits = fit(blocks, models, penalty, penalise_first)
+        q, m, shared = models.size(blocks.p) + 1, len(models), models.columns is None
+        self.orders = orders = next(steps for least, steps in LEFT_ORDERS if blocks.n >= least)
+        powers = _powers(q)[: orders[-1]]
+        places = [at for some in powers for at in some]
+        self.terms = terms = [*((i,) for i in range(q)), *(at for some in powers[:-1] for at in some)]
+        wanted = np.arange(blocks.p) if shared else models.columns
+        # with the same columns all models have the same scaling
+        own = (lambda v: v[:1]) if shared else (lambda v: v)
+        scaling = spark.sparkContext.broadcast((fits.beta, own(fits.shift), own(fits.scale), own(fits.variance > 0), wanted))
+
+        def design(b: _Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Coefficients (models, q) and scaled rows (models or 1, q, samples)."""
+            beta, shift, scale, spread_out, columns = scaling.value
+            if not shared:
+                shift, scale, spread_out, columns = shift[at], scale[at], spread_out[at], columns[at]
+            x = b.x[:, columns].T[:, None].swapaxes(0, 1) if shared else np.ascontiguousarray(b.x[:, columns].transpose(1, 2, 0))
+            z = np.where(spread_out[:, :, None], (x - shift[:, :, None]) / scale[:, :, None], 0.0)
+            return beta[at], np.concatenate([np.ones((len(z), 1, z.shape[2])), z], axis=1)
+
+        self.design = design
+
+        def work(b, some, at):
+            beta, d = design(b, at)
+            labels = b.labels(some).T
+            total = np.zeros((len(at), q + len(places) + 2))
+            for low in range(0, d.shape[2], LEFT_ROWS):
+                cols = np.ascontiguousarray(d[:, :, low : low + LEFT_ROWS])
+                p = 1.0 / (1.0 + np.exp(-np.clip((beta[:, None] @ cols)[:, 0], -700, 700)))
+                v = p * (1.0 - p)
+                weights = {2: v, 3: v * (1 - 2 * p), 4: v * (1 - 6 * p + 6 * p * p), 5: v * (1 - 2 * p) * (1 - 12 * p + 12 * p * p)}
+                miss = p - labels[:, low : low + LEFT_ROWS]
+                made = _products(np.moveaxis(cols, 1, 2), [*((i,) for i in range(q)), *places])
+                total[:, :q] += miss @ cols[0].T if shared else np.einsum("mr,mqr->mq", miss, cols)
+                if shared:
+                    begin = q
+                    for some_places in powers:
+                        total[:, begin : begin + len(some_places)] += weights[len(some_places[0])] @ np.stack([made[at][0] for at in some_places], axis=1)
+                        begin += len(some_places)
+                else:
+                    for k, at_places in enumerate(places):
+                        total[:, q + k] += np.einsum("mr,mr->m", weights[len(at_places)], made[at_places])
+                square = np.einsum("mqr,mqr->mr", cols, cols)
+                total[:, -2] += (square**2).sum(axis=1)
+                total[:, -1] += (square**3).sum(axis=1)
+            return total
+
+        sums = _collected(_summed(blocks, models, work, lambda k, s, _: (s, None)), m)
+        grad, *rest, fourth, sixth = np.split(sums, np.cumsum([q, *map(len, powers), 1]), axis=1)
+        lam = np.where(np.isinf(models.c), 0.0, 1.0 / models.c)
+        first = lam * (1.0 if penalise_first else 0.0)
+        active = fits.beta != 0 if penalty == "l1" else np.concatenate([np.ones((m, 1), bool), fits.variance > 0], axis=1)
+        second = np.zeros((m, q, q))
+        for k, (i, j) in enumerate(powers[0]):
+            second[:, i, j] = second[:, j, i] = rest[0][:, k]
+        if penalty == "l2":
+            second[:, np.arange(q), np.arange(q)] += np.column_stack([first, np.repeat(lam[:, None], q - 1, axis=1)])
+        kept = second * (active[:, :, None] & active[:, None, :]) + np.eye(q) * ~active[:, :, None]
+        inverse = np.linalg.pinv(kept) * (active[:, :, None] & active[:, None, :])
+        norm = np.linalg.norm(inverse, 2, axis=(1, 2))
+        # coefficients of the gradient's expansion by the products of a step: (models, q, products)
+        expansion = np.ascontiguousarray(_expansion(rest, q).transpose(0, 2, 1))
+        # what the terms beyond an order can be for a step of length one: derivatives of the logistic are at most 1 / 8, 0.131 and 1 / 4
+        beyond = np.stack([fourth[:, 0] / 48, np.sqrt(fourth * sixth)[:, 0] * 0.131 / 24, sixth[:, 0] / 480], axis=1)
+        self.sent = spark.sparkContext.broadcast((grad, expansion, inverse, norm, beyond, lam, first, active, fits.n, fits.cases))
+
+    def __getstate__(self) -> dict:
+        """What tasks need; the tables and the fits of all models stay in the driver."""
+        return {name: v for name, v in self.__dict__.items() if name not in ("blocks", "fits")}
+
+    def moved(self, b: _Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Held-out scores (models, samples), whether they are good enough, and labels."""
+        beta, d = self.design(b, at)
+        y = np.broadcast_to(b.labels(self.models.some(at)).T, (len(at), d.shape[2]))
+        eta, good = np.empty(y.shape), np.zeros(y.shape, bool)
+        rows = np.arange(y.shape[1])
+        for order in self.orders:
+            found = [self._moved_rows(beta, d[:, :, some], y[:, some], at, order) for some in (rows[i : i + LEFT_ROWS] for i in range(0, len(rows), LEFT_ROWS))]
+            if not found:
+                break
+            eta[:, rows], good[:, rows], close = (np.concatenate(p, axis=1) for p in zip(*found, strict=True))
+            rows = rows[~close.all(axis=0)]
+        return eta, good, y
+
+    def _moved_rows(self, beta: np.ndarray, d: np.ndarray, y: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for some rows with the expansion to an order, and whether the bound on the terms beyond is met."""
+        grad, expansion, inverse, norm, beyond, lam, first, active, n, cases = (v[at] for v in self.sent.value)
+        l1 = self.penalty == "l1"
+        m, q = beta.shape
+        terms = [t for t in self.terms if len(t) <= order]
+        number = {t: k for k, t in enumerate(terms)}
+        expansion = expansion[:, :, : len(terms)]
+        made = np.empty((m, len(terms), d.shape[2]))
+        z = d[:, 1:]
+        count = n[:, None, None]
+        less = -z / (count - 1.0)  # the mean without the sample, in units of the scaling with it
+        ratio = np.sqrt(np.maximum((count - z * z) / (count - 1.0) - less * less, 1e-12))
+        sign = np.sign(beta)[:, :, None]
+        penal, start, on = lam[:, None, None], first[:, None], active[:, :, None]
+        step = np.zeros((m, q, d.shape[2]))
+        p = 1.0 / (1.0 + np.exp(-np.clip((beta[:, None] @ d)[:, 0], -700, 700)))
         v = p * (1.0 - p)
-        down = np.einsum("mij,nmj->nmi", inverse, d * active)
-        left = 1.0 - v * np.einsum("nmi,nmi->nm", d, down)
+        down = inverse @ (d * on)
+        left = 1.0 - v * (d * down).sum(axis=1)
         # an intercept held at zero by L1 is zero in the scaling without the sample
-        pinned = (penalty == "l1") & (beta[:, 0] == 0) & (first > 0)
-        for _ in range(12):
-            now = beta + step
+        pinned = l1 & (beta[:, 0] == 0) & (first > 0)
+        for turn in range(12):
+            now = beta[:, :, None] + step
             if np.any(pinned):
-                now[:, pinned, 0] = -(less * now[:, :, 1:]).sum(axis=2)[:, pinned]
-                step = now - beta
-            made = _products(step, shorter)
-            smooth = np.broadcast_to(grad, step.shape).copy()
-            for k, places in enumerate(shorter):
-                smooth += made[places][:, :, None] * expansion[:, k]
-            own = 1.0 / (1.0 + np.exp(-np.clip(np.einsum("nmq,nmq->nm", d, now), -700, 700))) - y
-            smooth = smooth - own[:, :, None] * d
-            if penalty == "l1":
-                level = np.where(pinned, -smooth[:, :, 0], first * sign[:, 0])[:, :, None]
-                extra = np.concatenate([level, level * less + lam[:, None] * sign[:, 1:] * ratio], axis=2)
+                now[pinned, 0] = -(less * now[:, 1:]).sum(axis=1)[pinned]
+                step = now - beta[:, :, None]
+            if turn or np.any(pinned):
+                made[:, :q] = step
+                for k, t in enumerate(terms[q:], q):
+                    np.multiply(made[:, number[t[:-1]]], step[:, t[-1]], out=made[:, k])
+                smooth = expansion @ made + grad[:, :, None]
+            else:
+                smooth = np.broadcast_to(grad[:, :, None], step.shape)
+            own = 1.0 / (1.0 + np.exp(-np.clip((d * now).sum(axis=1), -700, 700))) - y
+            smooth = smooth - own[:, None] * d
+            if l1:
+                level = np.where(pinned[:, None], -smooth[:, 0], start * sign[:, 0])[:, None]
+                extra = np.concatenate([level, level * less + penal * sign[:, 1:] * ratio], axis=1)
             else:
-                level = first * (now[:, :, 0] + (less * now[:, :, 1:]).sum(axis=2))
-                extra = np.concatenate([level[:, :, None], level[:, :, None] * less + lam[:, None] * ratio**2 * now[:, :, 1:]], axis=2)
-            f = (smooth + extra) * active
+                level = (start * (now[:, 0] + (less * now[:, 1:]).sum(axis=1)))[:, None]
+                extra = np.concatenate([level, level * less + penal * ratio**2 * now[:, 1:]], axis=1)
+            f = (smooth + extra) * on
             if not f.size or np.abs(f).max() <= 1e-13 * n.max():
                 break
-            back = np.einsum("mij,nmj->nmi", inverse, f)
-            step = step - back - down * (v * np.einsum("nmi,nmi->nm", d, back) / np.maximum(left, 1e-6))[:, :, None]
-        now = beta + step
-        rest = 0.25 / 120 * size * np.linalg.norm(step, axis=2) ** 5 + np.abs(f).max(axis=2)  # the fifth derivative of the logistic is at most 1 / 4
-        good = (rest * norm / np.maximum(left, 1e-6) * np.linalg.norm(d, axis=2) <= LEFT_TOLERANCE) & (left > 0.05)
-        rest_cases = cases - y
-        good &= (rest_cases > 0) & (rest_cases < n - 1)
-        if penalty == "l1":
-            level = now[:, :, 0] + (less * now[:, :, 1:]).sum(axis=2)
-            same = np.where(pinned, np.abs(smooth[:, :, 0]) <= first * (1 - 1e-9), np.sign(level) == sign[:, 0])
-            good &= same | (first == 0)
-            good &= np.where(active[:, 1:], np.sign(now[:, :, 1:]) == sign[:, 1:], True).all(axis=2)
-            outside = np.abs(smooth[:, :, 1:] - less * smooth[:, :, :1]) / ratio
-            good &= np.where(active[:, 1:] | (z == 0), True, outside <= lam[:, None] * (1 - 1e-9)).all(axis=2)
-        return np.einsum("nmq,nmq->nm", d, now), good
-
-    table, slices = spread(blocks, -(-m // CHUNK))
-
-    def judged(batches, wants: bool):
-        for b in _read(batches, centre):
-            for at in range(b.slice * CHUNK, m, slices * CHUNK):
-                own = np.arange(at, min(m, at + CHUNK))
-                eta, good, y = moved(b, models.some(own), own)
-                if wants:
-                    j, i = np.nonzero(good.T)
+            back = inverse @ f
+            step = step - back - down * (v * (d * back).sum(axis=1) / np.maximum(left, 1e-6))[:, None]
+        now = beta[:, :, None] + step
+        rest = beyond[:, order - 2, None] * np.linalg.norm(step, axis=1) ** (order + 1) + np.abs(f).max(axis=1)
+        close = rest * norm[:, None] / np.maximum(left, 1e-6) * np.linalg.norm(d, axis=1) <= LEFT_TOLERANCE
+        good = close & (left > 0.05)
+        rest_cases = cases[:, None] - y
+        good &= (rest_cases > 0) & (rest_cases < n[:, None] - 1)
+        if l1:
+            level = now[:, 0] + (less * now[:, 1:]).sum(axis=1)
+            same = np.where(pinned[:, None], np.abs(smooth[:, 0]) <= start * (1 - 1e-9), np.sign(level) == sign[:, 0])
+            good &= same | (start == 0)
+            good &= np.where(on[:, 1:], np.sign(now[:, 1:]) == sign[:, 1:], True).all(axis=1)
+            outside = np.abs(smooth[:, 1:] - less * smooth[:, :1]) / ratio
+            good &= np.where(on[:, 1:] | (z == 0), True, outside <= penal * (1 - 1e-9)).all(axis=1)
+        return (d * now).sum(axis=1), good, close
+
+    def scored(self, chosen: np.ndarray, which: str = "both") -> DataFrame:
+        """Packed scores of the chosen models where they are good enough (``scores``), the (model, position) ``pairs`` to refit, or ``both`` packed by model."""
+        table, slices = spread(self.blocks, -(-len(chosen) // CHUNK))
+        centre = self.blocks.centre
+
+        def run(batches):
+            for b in _read(batches, centre):
+                for at in range(b.slice * CHUNK, len(chosen), slices * CHUNK):
+                    own = chosen[at : at + CHUNK]
+                    eta, good, y = self.moved(b, own)
+                    j, i = np.nonzero(good)
+                    again, place = np.nonzero(~good)
+                    if which == "pairs":
+                        yield pa.RecordBatch.from_arrays([pa.array(own[again], pa.int64()), pa.array(place + b.first, pa.int64())], ["model", "position"])
+                        continue
                     if len(i):
-                        yield _packed_scores(own[j], eta[i, j], y[i, j])
-                else:
-                    j, i = np.nonzero(~good.T)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[j], pa.int64()), pa.array(i + b.first, pa.int64())], ["model", "position"])
-
-    again = cut(table.mapInArrow(lambda batches: judged(batches, False), "model bigint, position bigint"))
-    parts = table.mapInArrow(lambda batches: judged(batches, True), PACKED_SCORES)
-    left = again.count()
-    # refits in bounded rounds, so the driver holds the coefficients of one round at a time
-    at_once = max(1, int(BATCH_BYTES // (8 * (12 * q))))
-    rounds = -(-left // at_once)
-    for k in range(rounds):
-        rows = again.filter(F.pmod(F.xxhash64("model", "position"), F.lit(rounds)) == k).orderBy("model", "position").toPandas()
-        of = rows["model"].to_numpy()
-        one = models.some(of)
-        refits = Models(one.c, one.boot, np.full(len(of), ALONE), rows["position"].to_numpy(), one.allowed, one.columns, one.label)
-        start = scaled(blocks, refits)
-        start.beta = fits.beta[of].copy()
-        done = fit(blocks, refits, penalty, penalise_first, start=start)
-        path = scratch_path(spark, "left")
-        _held_scores(blocks, refits, done, of).write.parquet(path)
-        parts = parts.unionByName(spark.read.schema(PACKED_SCORES).parquet(path))
-    return parts
+                        packed = _packed_scores(own[j], eta[j, i], y[j, i])
+                        yield packed if which == "scores" else packed.append_column("again", pa.nulls(packed.num_rows, pa.binary()))
+                    if which == "both" and len(again):
+                        used, begin = np.unique(again, return_index=True)
+                        places = [(p + b.first).astype(np.int64).tobytes() for p in np.split(place, begin[1:])]
+                        empty = pa.array([b""] * len(used), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(own[used], pa.int64()), empty, empty, pa.array(places, pa.binary())], ["grp", "s", "l", "again"])
+
+        shape = {"scores": PACKED_SCORES, "pairs": "model bigint, position bigint", "both": f"{PACKED_SCORES}, again binary"}[which]
+        return table.mapInArrow(run, shape)
+
+    def completed(self, chosen: np.ndarray, again: DataFrame) -> DataFrame:
+        """Packed scores of the chosen models with those of the (model, position) pairs to refit."""
+        blocks, models, fits = self.blocks, self.models, self.fits
+        spark = blocks.table.sparkSession
+        parts = self.scored(chosen, "scores")
+        left = again.count()
+        # refits in bounded rounds, so the driver holds the coefficients of one round at a time
+        at_once = max(1, int(BATCH_BYTES // (8 * (12 * (models.size(blocks.p) + 1)))))
+        rounds = -(-left // at_once)
+        for k in range(rounds):
+            rows = again.filter(F.pmod(F.xxhash64("model", "position"), F.lit(rounds)) == k).orderBy("model", "position").toPandas()
+            of = rows["model"].to_numpy()
+            one = models.some(of)
+            refits = Models(one.c, one.boot, np.full(len(of), ALONE), rows["position"].to_numpy(), one.allowed, one.columns, one.label)
+            start = scaled(blocks, refits)
+            start.beta = fits.beta[of].copy()
+            done = fit(blocks, refits, self.penalty, self.penalise_first, start=start)
+            path = scratch_path(spark, "left")
+            _held_scores(blocks, refits, done, of).write.parquet(path)
+            parts = parts.unionByName(spark.read.schema(PACKED_SCORES).parquet(path))
+        return parts
 
 
 def _expansion(sums: list[np.ndarray], q: int) -> np.ndarray:
-    """(models, products of 1 to 4 of a step, q): the Taylor series of the gradient from the sums of products of 2 to 5 columns."""
-    powers = _powers(q)
+    """(models, products of 1 to 4 of a step, q): the Taylor series of the gradient from the sums of products of 2 to 5 columns, or fewer of both."""
+    powers = _powers(q)[: len(sums)]
     number = [{at: k for k, at in enumerate(places)} for places in powers]
-    terms = [(i,) for i in range(q)] + powers[0] + powers[1] + powers[2]
+    terms = [(i,) for i in range(q)] + [at for some in powers[:-1] for at in some]
     out = np.zeros((len(sums[0]), len(terms), q))
     for k, at in enumerate(terms):
         order = len(at) - 1
@@ -785,6 +874,14 @@ def _packed_scores(of: np.ndarray, score: np.ndarray, label: np.ndarray) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([score[c].tobytes() for c in cuts], pa.binary()), pa.array([label[c].tobytes() for c in cuts], pa.binary())], ["grp", "s", "l"])
 
 
+def _judged_or_again(frame: pd.DataFrame) -> pd.DataFrame:
+    """Metrics of a group, or the positions of its samples that are to be refitted."""
+    again = b"".join(a for a in frame["again"] if a is not None)
+    if not again:
+        return _judged(frame).assign(again=None)
+    return pd.DataFrame({"grp": [frame["grp"].iloc[0]], "n1": [None], "n0": [None], "auc": [None], "average_precision": [None], "accuracy": [None], "again": [again]})
+
+
 def _judged(frame: pd.DataFrame) -> pd.DataFrame:
     """Metrics of the packed scores of one group."""
     score, label = np.frombuffer(b"".join(frame["s"])), np.frombuffer(b"".join(frame["l"]), np.uint8).astype(bool)

@@ -319,3 +319,40 @@ def test_shuffled_labels(spark, study):
             b = b - np.linalg.solve(d.T @ (d * (p * (1 - p))[:, None]) + np.eye(3), g + b)
         assert np.allclose(fits.beta[m], b, atol=1e-8)
     assert (fits.cases == y.sum()).all()
+
+
+@pytest.mark.parametrize("orders", [(2, 3), (3, 4)])
+def test_moved_scores_by_lower_orders(spark, monkeypatch, orders):
+    """Rows that the first order leaves too far off go on to the next, others to a refit; every score equals its refit."""
+    rng = np.random.default_rng(6)
+    n = 400
+    x = rng.normal(size=(n, 2)) * [1, 2]
+    y = (rng.random(n) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
+    df = spark.createDataFrame([(i * 7, int(y[i]), [float(v) for v in x[i]]) for i in range(n)], "sample_id bigint, y int, x array<double>")
+    monkeypatch.setattr(blockfit, "LEFT_ORDERS", ((0, orders),))
+    monkeypatch.setattr(blockfit, "LEFT_TOLERANCE", 1e-7)
+    for penalty in ("l1", "l2"):
+        rows = blockfit.left_scores(blockfit.pack(df, ["a", "b"], block_rows=128), Models.of(1, c=0.3), penalty).collect()
+        got = sorted((int(label), score) for r in rows for score, label in zip(np.frombuffer(r["s"]), np.frombuffer(r["l"], np.uint8)))
+        want = sorted((int(y[i]), refitted(x, y, [0, 1], 0.3, penalty, i)) for i in range(n))
+        assert len(got) == n and np.abs(np.array([s for _, s in got]) - np.array([s for _, s in want])).max() < 1e-7
+
+
+def test_leave_one_out_scores_once_where_nothing_is_refitted(spark, monkeypatch):
+    """Models without refits are judged by the first pass, the others scored again; blocks are dealt over the tasks."""
+    rng = np.random.default_rng(7)
+    n = 900
+    x = rng.normal(size=(n, 2))
+    y = (rng.random(n) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), [float(v) for v in x[i]]) for i in range(n)], "sample_id bigint, y int, x array<double>")
+    blocks = blockfit.pack(df, ["a", "b"], shuffles=3, block_rows=64)
+    models = Models.of(4, c=1.0, label=np.arange(-1, 3))
+    calls, scored = [], blockfit._LeftOut.scored
+    monkeypatch.setattr(blockfit._LeftOut, "scored", lambda self, chosen, which="both": calls.append((which, len(chosen))) or scored(self, chosen, which))
+    monkeypatch.setattr(blockfit, "LEFT_TOLERANCE", 1e-6)
+    once = {r["grp"]: r["auc"] for r in blockfit.leave_one_out(blocks, models, "l2").collect()}
+    assert calls == [("both", 4)]
+    monkeypatch.setattr(blockfit, "LEFT_TOLERANCE", 0.0)
+    again = {r["grp"]: r["auc"] for r in blockfit.leave_one_out(blocks, models, "l2").collect()}
+    assert calls[1:] == [("both", 4), ("scores", 4)] and once == pytest.approx(again, abs=1e-5)
+    assert blockfit.spread(blocks, 1)[0].rdd.getNumPartitions() >= min(15, spark.sparkContext.defaultParallelism)
