@@ -6,7 +6,9 @@ for exact draws.
 AUC and average precision of replicates come from one global order of the scores: up to ``ORDERED_BYTES`` the scored rows are
 packed once (sorted order, ties and labels of every model), broadcast, and each task runs through its own replicates with an array
 of row weights and running totals over the order; nothing is exploded, sorted or shuffled per replicate. Beyond that size replicates
-are exploded from the rows, rows times replicates spread over (replicate, ...) keys.
+are exploded from the rows, rows times replicates spread over (replicate, ...) keys. Poisson weights hang on the row alone: there the
+rows are cut into blocks in score order, a task works out all replicates of its blocks, and only totals by block and replicate are shuffled.
+Effect sizes add up the values at the drawn places, of both classes in one array.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlab.functions.hashing import ID_STEP, MODULUS, REP_STEP, SEED_STEP, SHIFT, phash
 from cohortlab.operators import running as run
@@ -26,6 +28,7 @@ from cohortlab.session import cut, small
 
 ORDERED_BYTES = 64 << 20
 MOST_ATTEMPTS = 1000
+BLOCK_ROWS = 1 << 15
 POISSON_CUTS = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12))
 
 
@@ -59,6 +62,32 @@ def bootstrap_weights(df: DataFrame, key: str, replicates: int, by: Sequence[str
     return placed.join(weights, [*by, "_pos"]).drop("_pos")
 
 
+def _less(h: np.ndarray, out: np.ndarray) -> None:
+    """Bring values below 2^63 to below about 2^32 in place, equal modulo ``MODULUS`` = 2^31 - 1."""
+    np.right_shift(h, 31, out=out)
+    h &= MODULUS
+    h += out
+
+
+class Hasher:
+    """``hashes`` of the same keys for many replicates, without a division."""
+
+    def __init__(self, keys: np.ndarray, seed: int = 42):
+        self.start, self.seed = np.mod(np.fmod(keys, MODULUS) * ID_STEP, MODULUS), seed
+
+    def __call__(self, rep: int, rows: slice = slice(None)) -> np.ndarray:
+        h = self.start[rows] + (rep * REP_STEP + self.seed * SEED_STEP + 12345) % MODULUS
+        spare = np.empty_like(h)
+        _less(h, spare)
+        for shift in (SHIFT, SHIFT + self.seed + 1):
+            h *= h
+            h += shift
+            _less(h, spare)
+            _less(h, spare)
+        h[h >= MODULUS] -= MODULUS
+        return h
+
+
 def hashes(keys: np.ndarray, rep: int, seed: int = 42) -> np.ndarray:
     """``phash`` of whole-number keys in numpy."""
     h = (np.fmod(keys, MODULUS) * ID_STEP + rep * REP_STEP + seed * SEED_STEP + 12345) % MODULUS
@@ -187,13 +216,111 @@ def bootstrap_auc(df: DataFrame, key: str, scores: Sequence[str], replicates: in
     """AUC per (rep, model); replicates that drew a single class have a null AUC. The same draw serves every score."""
     if method == "draws":
         return bootstrap_metrics(df, key, scores, replicates, label, seed).select("rep", "model", "auc")
-    rows = df.select(key, label, *scores)
-    weights = bootstrap_weights(rows, key, replicates, seed=seed, method=method)
-    long = weights.unpivot(["rep", label, "weight"], list(scores), "model", "score")
-    spread = rows.count() > run.WIDE_ROWS
-    r = rank_sums(long, ["rep", "model"], "score", label, weight="weight", spread=spread)
-    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
-    return r.select("rep", "model", F.when(n1 * n0 > 0, F.col("u1") / (n1 * n0)).alias("auc"))
+    return _poisson_auc(df.select(key, label, *scores), key, scores, replicates, label, seed)
+
+
+def _poisson_limits() -> np.ndarray:
+    """The smallest hash that counts k + 1 times, for every k; compared as ``poisson_weight`` does."""
+    low = [int(c * MODULUS) - 2 for c in POISSON_CUTS]
+    return np.array([next(h for h in range(at, at + 6) if h / float(MODULUS) >= c) for at, c in zip(low, POISSON_CUTS, strict=True)])
+
+
+def _score_blocks(long: DataFrame, parts: int) -> DataFrame:
+    """(model, size, first, between, last, k, known, one, zero, ends): blocks of at most ``BLOCK_ROWS`` rows of a model in descending order of the score, as bytes.
+
+    ``first``, ``between`` and ``last`` are the block's highest score, one between and the lowest, ``ends`` where its ties end.
+    """
+    def made(table: pa.Table) -> pa.RecordBatch:
+        s, k = table.column("s").to_numpy(), table.column("k")
+        y = table.column("y").to_numpy()
+        ends = np.flatnonzero(np.append((s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1])), True))
+        plain = {"model": table.column("model")[0].as_py(), "size": len(s), "first": s[0], "between": s[ends[min(1, len(ends) - 1)]], "last": s[-1]}
+        arrays = {"k": k.fill_null(0).to_numpy(), "known": k.is_valid().to_numpy(), "one": (y == 1).astype(np.uint8), "zero": (y == 0).astype(np.uint8), "ends": ends.astype(np.int64)}
+        return pa.RecordBatch.from_pylist([plain | {n: v.tobytes() for n, v in arrays.items()}])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            table = pa.table(batch) if not held else pa.concat_tables([*held, pa.Table.from_batches([batch])])
+            held = [table]
+            while held:
+                table = held[0]
+                name = table.column("model")
+                same = int(np.argmin(np.append(np.asarray(name.to_numpy(zero_copy_only=False) == name[0].as_py()), False)))
+                if same == table.num_rows and same < BLOCK_ROWS:
+                    break
+                cut_at = min(same, BLOCK_ROWS)
+                yield made(table.slice(0, cut_at))
+                held = [table.slice(cut_at)] if cut_at < table.num_rows else []
+        if held:
+            yield made(held[0])
+
+    shape = "model string, size bigint, first double, between double, last double, k binary, known binary, one binary, zero binary, ends binary"
+    return long.repartitionByRange(parts, "model", F.desc("s"), "k").sortWithinPartitions("model", F.desc("s")).mapInArrow(run, shape)
+
+
+def _poisson_auc(rows: DataFrame, key: str, scores: Sequence[str], replicates: int, label: str, seed: int) -> DataFrame:
+    """AUC under Poisson weights. A block of rows in score order gives for each replicate the weights of its first and last score, which other blocks may
+    share, and the weights and wins of the scores between; summed up by replicate and score these are a replicate's curve.
+    """
+    named = [F.struct(F.lit(c).alias("model"), (F.col(c).cast("double") + 0.0).alias("s")) for c in scores]
+    y = F.when(F.col(label) == 1, 1).when(F.col(label) == 0, 0).otherwise(2)
+    long = rows.filter(F.col(label).isNotNull()).select(F.col(key).cast("bigint").alias("k"), y.alias("y"), F.explode(F.array(*named)).alias("_s")).select("_s.model", "_s.s", "k", "y").filter("s IS NOT NULL")
+    long = cut(long)
+    n, at_once = long.count(), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = cut(_score_blocks(long, max(1, -(-n // (8 * BLOCK_ROWS)))))
+    held = blocks.count()
+    chunks = max(1, min(replicates, -(-4 * at_once // max(1, held))))
+    dealt = blocks.withColumn("_b", F.monotonically_increasing_id()).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    dealt = dealt.repartition(max(1, min(held * chunks, 4 * at_once)), "_b", "chunk").drop("_b")
+    limits = _poisson_limits()
+
+    def curves(batches):
+        for batch in batches:
+            for b in batch.to_pylist():
+                get = lambda c, kind: np.frombuffer(b[c], kind)  # noqa: B023
+                hasher, unknown = Hasher(get("k", np.int64), seed), np.flatnonzero(~get("known", bool))
+                one, zero, ends = get("one", np.uint8), get("zero", np.uint8), get("ends", np.int64)
+                reps = np.arange(b["chunk"], replicates, chunks)
+                found = np.array([_block_curve(_poisson_weights(hasher(int(rep)), limits, unknown), one, zero, ends) for rep in reps])
+                # the first score, those between, the last
+                for i, place in enumerate(("first", "between", "last")):
+                    if len(ends) > (0, 2, 1)[i]:
+                        n1, n0, u, seen = found[:, i].T
+                        yield pa.RecordBatch.from_pydict({
+                            "rep": pa.array(reps, pa.int32()), "model": pa.array([b["model"]] * len(reps)), "s": pa.array(np.full(len(reps), b[place])), "inner": pa.array(np.full(len(reps), i == 1)),
+                            "n1": pa.array(n1), "n0": pa.array(n0), "u": pa.array(u), "seen": pa.array(seen),
+                        })
+
+    parts = dealt.mapInArrow(curves, "rep int, model string, s double, inner boolean, n1 double, n0 double, u double, seen double").repartition("rep", "model")
+    points = parts.groupBy("rep", "model", "s").agg(*(F.sum(c).alias(c) for c in ("n1", "n0", "u", "seen")), F.max("inner").alias("inner"))
+    before = F.coalesce(F.sum("n1").over(Window.partitionBy("rep", "model").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    won = F.col("n0") * before + F.when(F.col("inner"), F.col("u")).otherwise(F.col("n1") * F.col("n0") / 2.0)
+    r = points.withColumn("won", won).groupBy("rep", "model").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum("won").alias("u1"), F.sum("seen").alias("seen")).filter("seen > 0")
+    product = F.col("n1") * F.col("n0")
+    return r.select("rep", "model", F.when(product > 0, F.col("u1") / product).alias("auc"))
+
+
+def _poisson_weights(h: np.ndarray, limits: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+    """``poisson_weight`` of hashes; a row without a key counts most, as there."""
+    h = h.astype(np.int32)
+    w = np.zeros(len(h), np.uint8)
+    for low in limits[:4]:
+        w += h >= low
+    often = np.flatnonzero(w == 4)
+    w[often] += (h[often, None] >= limits[4:]).sum(axis=1).astype(np.uint8)
+    w[unknown] = len(limits)
+    return w
+
+
+def _block_curve(w: np.ndarray, one: np.ndarray, zero: np.ndarray, ends: np.ndarray) -> list[tuple]:
+    """(cases, controls, wins, weight) of the first score of a block, those between and the last."""
+    n1, n0 = (np.diff(np.cumsum(w * c, dtype=np.int64)[ends], prepend=0).astype(float) for c in (one, zero))
+    edge = ends[0] + 1, (ends[-2] + 1 if len(ends) > 1 else len(w))
+    seen = [float(part.sum(dtype=np.int64)) for part in (w[: edge[0]], w[edge[0] : edge[1]], w[edge[1] :])]
+    inner1, inner0 = n1[1:-1], n0[1:-1]
+    wins = float((inner0 * (np.cumsum(inner1) - inner1 / 2.0)).sum())
+    return [(n1[0], n0[0], 0.0, seen[0]), (inner1.sum(), inner0.sum(), wins, seen[1]), (n1[-1], n0[-1], 0.0, seen[2])]
 
 
 def interval(replicates: DataFrame, keys: Sequence[str], value: str, null_value: float | None = None) -> DataFrame:
@@ -265,17 +392,57 @@ def permutation_p(null: DataFrame, observed: DataFrame) -> DataFrame:
 
 def bootstrap_effect(df: DataFrame, key: str, replicates: int, value: str = "value", label: str = "y", seed: int = 42) -> DataFrame:
     """Cohen's d (mean-variance sd) per replicate, resampled within each class."""
-    w = bootstrap_weights(df.select(key, value, label), key, replicates, by=[label], seed=seed)
-    x, m = F.col(value), F.col("weight")
-
-    def part(g: int) -> list[Column]:
-        on = F.col(label) == g
-        return [F.sum(F.when(on, m)).alias(f"s{g}"), F.sum(F.when(on, m * x)).alias(f"x{g}"), F.sum(F.when(on, m * x * x)).alias(f"q{g}")]
-
-    s = w.groupBy("rep").agg(*part(1), *part(0))
+    rows = df.select(key, value, label)
+    s = _effect_rows(rows, key, replicates, value, label, seed) if rows.count() * 8 > ORDERED_BYTES else _effect_sums(rows, key, replicates, value, label, seed)
 
     def var(g: int) -> Column:
         return (F.col(f"q{g}") - F.col(f"x{g}") * F.col(f"x{g}") / F.col(f"s{g}")) / (F.col(f"s{g}") - 1)
 
     d = (F.col("x1") / F.col("s1") - F.col("x0") / F.col("s0")) / F.sqrt((var(1) + var(0)) / 2.0)
     return s.select("rep", d.alias("d"))
+
+
+def _effect_sums(rows: DataFrame, key: str, replicates: int, value: str, label: str, seed: int) -> DataFrame:
+    """(rep, s1, x1, q1, s0, x0, q0): draws, sum and sum of squares of both classes, from their values in key order, packed once."""
+    placed = row_numbers(rows.filter(F.col(label).isNotNull()), [label], key, "_pos")
+    kind = F.when(F.col(label) == 1, 1).when(F.col(label) == 0, 0).otherwise(2).cast("int")
+    held = placed.select(kind.alias("y"), "_pos", F.col(value).isNotNull().alias("known"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")).toPandas()
+    packed = []
+    for g in (1, 0):
+        own = held[held["y"] == g].sort_values("_pos")
+        known = own["known"].to_numpy(bool)
+        packed.append((own["v"].to_numpy(float), None if known.all() else known))
+    if not len(held):
+        replicates = 0
+    sent = rows.sparkSession.sparkContext.broadcast(packed)
+    hashers: list[Hasher] = []
+
+    def work(rep):
+        if not hashers:
+            hashers.extend(Hasher(np.arange(len(v), dtype=np.int64), seed) for v, _ in sent.value)
+        out: list = [rep]
+        for (v, known), hasher in zip(sent.value, hashers, strict=True):
+            n, total, square, valid = len(v), 0.0, 0.0, 0
+            for low in range(0, n, BLOCK_ROWS):
+                h = hasher(rep, slice(low, low + BLOCK_ROWS)).astype(np.uint32)
+                hit = h - h // np.uint32(n) * np.uint32(n)
+                x = v[hit]
+                total += float(x.sum())
+                square += float(x @ x)
+                valid += len(x) if known is None else int(known[hit].sum())
+            out += [n or None, total if valid else None, square if valid else None]
+        return [tuple(out)]
+
+    return _by_replicate(rows, replicates, "rep int, s1 bigint, x1 double, q1 double, s0 bigint, x0 double, q0 double", work)
+
+
+def _effect_rows(rows: DataFrame, key: str, replicates: int, value: str, label: str, seed: int) -> DataFrame:
+    """The same from rows exploded by replicate, for tables of any size."""
+    w = bootstrap_weights(rows, key, replicates, by=[label], seed=seed)
+    x, m = F.col(value), F.col("weight")
+
+    def part(g: int) -> list[Column]:
+        on = F.col(label) == g
+        return [F.sum(F.when(on, m)).alias(f"s{g}"), F.sum(F.when(on, m * x)).alias(f"x{g}"), F.sum(F.when(on, m * x * x)).alias(f"q{g}")]
+
+    return w.groupBy("rep").agg(*part(1), *part(0))

@@ -118,3 +118,27 @@ def test_permutation_null_is_centred(scores, spread):
     p = resample.permutation_p(null, evaluate.auc(scores, [])).first()
     assert p.null_mean == pytest.approx(0.5, abs=0.02)
     assert 1 / 151 <= p.p <= 0.1
+
+
+def test_poisson_blocks_equal_weighted_rows(spark, monkeypatch):
+    """Blocks that end inside ties, null keys and scores, labels beyond the classes: as from rows exploded by replicate."""
+    from cohortlab.operators.twogroup import rank_sums
+
+    monkeypatch.setattr(resample, "BLOCK_ROWS", 30)
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 40 == 0 else i // 2, None if i % 31 == 0 else int(rng.integers(0, 3)), None if i % 17 == 0 else float(round(rng.normal(), 1))) for i in range(150)]
+    df = spark.createDataFrame(rows, "id bigint, y int, score double")
+    got = {r["rep"]: r["auc"] for r in resample.bootstrap_auc(df, "id", ["score"], 6, method="poisson").collect()}
+    w = resample.bootstrap_weights(df, "id", 6, method="poisson")
+    want = {r["rep"]: r["u1"] / (r["n1"] * r["n0"]) for r in rank_sums(w, ["rep"], "score", "y", weight="weight").collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    keys = np.array([0, 1, 2147483646, 2147483647, -3, 10**15])
+    assert all((resample.Hasher(keys)(rep) == resample.hashes(keys, rep)).all() for rep in (0, 9999))
+
+
+def test_effect_sums_equal_exploded_rows(spark, monkeypatch):
+    rows = [(i, i % 7 % 3, None if i % 11 == 0 else float(i * 37 % 101)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, y int, value double")
+    got = {r["rep"]: r["d"] for r in resample.bootstrap_effect(df, "id", 8).collect()}
+    monkeypatch.setattr(resample, "ORDERED_BYTES", 0)
+    assert got == pytest.approx({r["rep"]: r["d"] for r in resample.bootstrap_effect(df, "id", 8).collect()}, abs=1e-10) and len(got) == 8
