@@ -221,3 +221,20 @@ def test_constant_vectors_and_single_samples(spark):
     got = {r.sample_id: (r.nearest, round(r.rho, 9)) for r in audit.nearest_neighbour(v, block_rows=2).collect()}
     assert got == {1: (2, 0.0), 2: (1, 0.0), 3: (1, 0.0), 4: (1, 0.0)}
     assert audit.nearest_neighbour(v.limit(1)).count() == 0 and audit.near_duplicates(v.limit(0)).count() == 0
+
+
+def test_visits_in_bounded_slices(spark, monkeypatch):
+    """Cells that can hold a vector within reach, whatever the number of distances a worker holds at once."""
+    rng = np.random.default_rng(9)
+    x, pivots = rng.normal(size=(50, 4)), rng.normal(size=(12, 4))
+    df = spark.createDataFrame([(i, 0.1 * (i % 5), [float(v) for v in x[i]]) for i in range(50)], "id bigint, reach double, vec array<double>").coalesce(1)
+    held, distances = spark.sparkContext.accumulator(0), audit._distances
+    monkeypatch.setattr(audit, "VISIT_CELLS", 36)
+    monkeypatch.setattr(audit, "_distances", lambda a, b: held.add(len(a) > 3) or distances(a, b))
+    got = {r.id: r for r in audit._visits(df, pivots).collect()}
+    d = distances(x, pivots)
+    for i in range(50):
+        near = d[i].min()
+        assert got[i].home == d[i].argmin() and got[i].dist == pytest.approx(near)
+        assert {v.cell: round(v.dist, 9) for v in got[i].visits} == {int(c): round(float(d[i, c]), 9) for c in np.flatnonzero(d[i] <= near + 0.2 * (i % 5) + 1e-6)}
+    assert len(got) == 50 and held.value == 0
