@@ -22,6 +22,7 @@ from cohortlab.session import scratch_path
 
 ROWS = 256
 CELLS = 1 << 22
+TABLE_BYTES = 32 << 20
 
 
 def node_table(model, spark) -> DataFrame:
@@ -71,23 +72,52 @@ class Paths:
                 self.groups.append((d, feature, low, high, share, np.array([v for v, _ in leaves])))
 
 
-def leaf_values(groups: list[tuple], features: int, x: np.ndarray) -> np.ndarray:
+def _share(i: int, o: np.ndarray, z: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """(rows, leaves): what feature ``i`` of each leaf's path adds, for ranges that hold (1) or not (0) a row's values: ``o`` (rows, leaves or 1, d)."""
+    d = z.shape[1]
+    weights = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+    poly = [np.ones((len(o), len(z)))]
+    for j in range(d):
+        if j != i:
+            a, b = z[:, j], o[:, :, j]
+            poly = [(poly[k] * a if k < len(poly) else 0.0) + (poly[k - 1] * b if k else 0.0) for k in range(len(poly) + 1)]
+    return v * (o[:, :, i] - z[:, i]) * sum(w * e for w, e in zip(weights, poly, strict=True))
+
+
+def pattern_tables(groups: list[tuple]) -> list[np.ndarray | None]:
+    """(d, patterns, leaves) for each group: the shares of every pattern of ranges, or None where the tables would take too much."""
+    made, left = [], TABLE_BYTES
+    for d, feature, _, _, share, value in groups:
+        size = 8 * d * 2**d * len(feature)
+        if size > left:
+            made.append(None)
+            continue
+        left -= size
+        pattern = (np.arange(2**d)[:, None] >> np.arange(d) & 1).astype(float)[:, None, :]
+        made.append(np.stack([_share(i, pattern, share, value) for i in range(d)]))
+    return made
+
+
+def leaf_values(groups: list[tuple], features: int, x: np.ndarray, tables: Sequence[np.ndarray | None] | None = None) -> np.ndarray:
     """(rows, features): what each feature adds to the base value, for the leaves of ``Paths``."""
     out = np.zeros((len(x), features))
-    for d, feature, low, high, share, value in groups:
-        weights = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+    for (d, feature, low, high, share, value), table in zip(groups, tables or [None] * len(groups), strict=True):
         step = max(1, CELLS // (d * max(1, len(x))))
         for at in range(0, len(feature), step):
             f, z, v = feature[at : at + step], share[at : at + step], value[at : at + step]
-            seen = x[:, f]
-            o = ((seen > low[at : at + step]) & (seen <= high[at : at + step])).astype(float)
-            for i in range(d):
-                poly = [np.ones(o.shape[:2])]
+            within = []
+            for j in range(d):
+                seen = x[:, f[:, j]]
+                within.append((seen > low[at : at + step, j]) & (seen <= high[at : at + step, j]))
+            if table is None:
+                o = np.stack(within, axis=2).astype(float)
+            else:
+                place = np.zeros(within[0].shape, np.int64)
                 for j in range(d):
-                    if j != i:
-                        a, b = z[:, j], o[:, :, j]
-                        poly = [(poly[k] * a if k < len(poly) else 0.0) + (poly[k - 1] * b if k else 0.0) for k in range(len(poly) + 1)]
-                part = v * (o[:, :, i] - z[:, i]) * sum(w * e for w, e in zip(weights, poly, strict=True))
+                    place += within[j].astype(np.int64) << j
+                place = place * len(feature) + np.arange(at, at + len(f))
+            for i in range(d):
+                part = _share(i, o, z, v) if table is None else table[i].ravel().take(place)
                 order = np.argsort(f[:, i], kind="stable")
                 names, begin = np.unique(f[order, i], return_index=True)
                 out[:, names] += np.add.reduceat(part[:, order], begin, axis=1)
@@ -98,11 +128,12 @@ def attributions(model, rows: DataFrame, names: Sequence[str], keys: Sequence[st
     """(keys, feature, phi) for array column ``x`` (features in the order of ``names``): a row's phi and the base value add up to its prediction."""
     spark = rows.sparkSession
     paths = Paths(node_table(model, spark).toPandas(), len(names))
-    sent, features = spark.sparkContext.broadcast(paths.groups), len(names)
+    sent, features = spark.sparkContext.broadcast((paths.groups, pattern_tables(paths.groups))), len(names)
 
     @F.pandas_udf("array<double>")
     def phi(x: pd.Series) -> pd.Series:
-        parts = [leaf_values(sent.value, features, np.stack(x.iloc[i : i + ROWS].to_numpy())) for i in range(0, len(x), ROWS)]
+        groups, tables = sent.value
+        parts = [leaf_values(groups, features, np.stack(x.iloc[i : i + ROWS].to_numpy()), tables) for i in range(0, len(x), ROWS)]
         return pd.Series(list(np.concatenate(parts)) if parts else [], dtype=object)
 
     long = rows.filter(F.col("x").isNotNull()).select(*keys, F.posexplode(phi("x")).alias("_i", "phi"))

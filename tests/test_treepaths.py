@@ -62,3 +62,21 @@ def test_values_add_up_to_the_prediction(spark, study, kind):
         p = r["probability"]
         assert base + r["s"] == pytest.approx(p if kind == "forest" else np.log(p / (1 - p)), abs=1e-9)
     assert len(both) == 160 and treepaths.attributions(model, rows.limit(0), names, ["sample_id"]).count() == 0
+
+
+def test_pattern_tables_equal_polynomials(monkeypatch):
+    """Shares looked up by the pattern of a leaf's ranges are those worked out row by row; leaves beyond the byte limit have no table."""
+    rng = np.random.default_rng(8)
+    groups = []
+    for d in (1, 3, 5):
+        feature = np.array([rng.permutation(6)[:d] for _ in range(9)])
+        low = rng.normal(size=(9, d)) - 1
+        groups.append((d, feature, low, low + 1.5, rng.random((9, d)), rng.normal(size=9)))
+    x = rng.normal(size=(20, 6))
+    tables = treepaths.pattern_tables(groups)
+    assert [t.shape for t in tables] == [(1, 2, 9), (3, 8, 9), (5, 32, 9)]
+    want = treepaths.leaf_values(groups, 6, x)
+    assert np.array_equal(treepaths.leaf_values(groups, 6, x, tables), want)
+    monkeypatch.setattr(treepaths, "TABLE_BYTES", 2000)
+    some = treepaths.pattern_tables(groups)
+    assert [t is None for t in some] == [False, False, True] and np.array_equal(treepaths.leaf_values(groups, 6, x, some), want)
