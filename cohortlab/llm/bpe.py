@@ -7,7 +7,7 @@ word's end. A priority queue holds (rank, place) of adjacent pairs that can merg
 whose symbols have changed since are skipped, and the two new pairs around the merged symbol are pushed.
 Decoding joins the vocabulary strings of the ids, with a space between them as the file names no decoder.
 
-A worker remembers the ids of a word in two generations of at most ``REMEMBERED`` words: a word found in the older one moves to the
+A worker remembers the ids of a word (for digests also as text and decoded) in two generations of at most ``REMEMBERED`` words: a word found in the older one moves to the
 younger, and when that is full it becomes the older one, so words in use stay.
 
 Null texts are empty. Every input row gives one row, repeated rows equal ones. Texts and words of any length are read whole: a word of n
@@ -83,13 +83,13 @@ def read_vocabulary(path: str) -> dict:
 
 
 class Remembered(dict):
-    """Ids by word, found when first asked for."""
+    """What is found for a word, its ids for one, when it is first asked for."""
 
     def __init__(self, find, size: int = REMEMBERED):
         super().__init__()
         self.find, self.size, self.older = find, size, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple:
         if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
@@ -120,7 +120,7 @@ class Coder:
         self.plain_words = re.compile(f"{CONTRACTIONS}|[a-z]+|[0-9]|[^\\t-\\r a-z0-9]+")  # the same for lower-case ASCII
         self.lower = {c: c + step for first, last, step in LOWER for c in range(first, last + 1)}
         self.rare = re.compile("[" + "".join(map(chr, self.lower)) + "]")
-        self.known = Remembered(self.merged)
+        self.known, self.said = Remembered(self.merged), Remembered(self.written)
 
     def merged(self, word: str) -> tuple[int, ...]:
         """Ids of one word, by the queue of merge ranks over linked symbols."""
@@ -162,17 +162,41 @@ class Coder:
                     ranks[h] = -1
         return tuple([i for i in ids if i >= 0])
 
+    def split(self, text: str) -> list[str]:
+        """Words of a text without added tokens."""
+        if text.isascii():
+            return self.plain_words.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        if self.rare.search(text):
+            text = text.translate(self.lower)
+        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # no final form of sigma
+        return self.words.findall(text)
+
     def plain(self, text: str) -> Iterable[int]:
         """Ids of a text without added tokens."""
-        if text.isascii():
-            words = self.plain_words.findall(text.lower())
+        return chain.from_iterable(map(self.known.__getitem__, self.split(text)))
+
+    def written(self, word: str) -> tuple[int, str, str]:
+        """How many ids a word has, the ids as text and the word decoded from them."""
+        ids = self.merged(word)
+        return len(ids), " ".join(map(self.digits.__getitem__, ids)), self.decode(ids)
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """How many ids a text has, and digests of its ids and of the text decoded from them: joined by words, as both are joined by spaces."""
+        if self.cut is None or not any(t in text for t in self.added):
+            said = list(map(self.said.__getitem__, self.split(text)))
         else:
-            text = unicodedata.normalize("NFC", text)
-            if self.rare.search(text):
-                text = text.translate(self.lower)
-            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # no final form of sigma
-            words = self.words.findall(text)
-        return chain.from_iterable(map(self.known.__getitem__, words))
+            said = []
+            for part in self.cut.split(text):
+                if part in self.added:
+                    i = self.added[part]
+                    said.append((1, self.digits[i], self.strings[i]))
+                else:
+                    said += map(self.said.__getitem__, self.split(part))
+        return (
+            sum([w[0] for w in said]), hashlib.sha256(" ".join([w[1] for w in said]).encode()).hexdigest(),
+            hashlib.sha256(" ".join([w[2] for w in said]).encode()).hexdigest(),
+        )
 
     def encode(self, text: str) -> list[int]:
         if self.cut is None or not any(t in text for t in self.added):
@@ -209,12 +233,14 @@ def encoded(docs: DataFrame, vocabulary: str, digests: bool = False) -> DataFram
         def step(batch):
             out: dict[str, list] = {"n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
             for text in batch.column("text").to_pylist():
-                ids = coder.encode(text or "")
-                out["n_tokens"].append(len(ids))
                 if digests:
-                    out["ids_sha256"].append(hashlib.sha256(" ".join(map(coder.digits.__getitem__, ids)).encode()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
+                    n, of_ids, of_text = coder.digests(text or "")
+                    out["n_tokens"].append(n)
+                    out["ids_sha256"].append(of_ids)
+                    out["decoded_sha256"].append(of_text)
                 else:
+                    ids = coder.encode(text or "")
+                    out["n_tokens"].append(len(ids))
                     out["ids"].append(ids)
             return out
 
