@@ -639,7 +639,8 @@ def left_scores(blocks: Blocks, models: Models, penalty: str = "l1", penalise_fi
     term and with the penalty in the scaling without it; the second derivatives are downdated by the one row. A step count brings this to zero for all samples of a block at
     once, so a model costs one pass, not one for each sample. With more samples a step is shorter and lower orders will do: rows whose bound is too large at one
     order are taken to the next (``LEFT_ORDERS``). A sample is refitted from scratch in blocks where that is not good enough: where the bound on
-    the rest beyond, carried to the held-out score, exceeds ``LEFT_TOLERANCE``, where under L1 a coefficient changes sign, enters or leaves, or where one class is left. Models take few columns.
+    the rest beyond, carried to the held-out score, exceeds ``LEFT_TOLERANCE``, or where one class is left. Where under L1 a coefficient changes sign, enters or
+    leaves, the same expansion is brought to the L1 conditions by coordinate descent, for that sample alone. Models take few columns.
     """
     left, every = _LeftOut(blocks, models, penalty, penalise_first), np.arange(len(models))
     return left.completed(every, cut(left.scored(every, "pairs")))
@@ -711,11 +712,16 @@ class _LeftOut:
         kept = second * (active[:, :, None] & active[:, None, :]) + np.eye(q) * ~active[:, :, None]
         inverse = np.linalg.pinv(kept) * (active[:, :, None] & active[:, None, :])
         norm = np.linalg.norm(inverse, 2, axis=(1, 2))
+        # the same with every coefficient that can move, for samples whose L1 pattern is another
+        free = np.concatenate([np.ones((m, 1), bool), fits.variance > 0], axis=1)
+        both = free[:, :, None] & free[:, None, :]
+        whole = np.linalg.pinv(second * both + np.eye(q) * ~free[:, :, None]) * both
         # coefficients of the gradient's expansion by the products of a step: (models, q, products)
         expansion = np.ascontiguousarray(_expansion(rest, q).transpose(0, 2, 1))
         # what the terms beyond an order can be for a step of length one: derivatives of the logistic are at most 1 / 8, 0.131 and 1 / 4
         beyond = np.stack([fourth[:, 0] / 48, np.sqrt(fourth * sixth)[:, 0] * 0.131 / 24, sixth[:, 0] / 480], axis=1)
         self.sent = spark.sparkContext.broadcast((grad, expansion, inverse, norm, beyond, lam, first, active, fits.n, fits.cases))
+        self.other = spark.sparkContext.broadcast((second, whole, np.linalg.norm(whole, 2, axis=(1, 2))))
 
     def __getstate__(self) -> dict:
         """What tasks need; the tables and the fits of all models stay in the driver."""
@@ -791,12 +797,65 @@ class _LeftOut:
         if l1:
             level = now[:, 0] + (less * now[:, 1:]).sum(axis=1)
             same = np.where(pinned[:, None], np.abs(smooth[:, 0]) <= start * (1 - 1e-9), np.sign(level) == sign[:, 0])
-            good &= same | (start == 0)
-            good &= np.where(on[:, 1:], np.sign(now[:, 1:]) == sign[:, 1:], True).all(axis=1)
+            same = same | (start == 0)
+            same &= np.where(on[:, 1:], np.sign(now[:, 1:]) == sign[:, 1:], True).all(axis=1)
             outside = np.abs(smooth[:, 1:] - less * smooth[:, :1]) / ratio
-            good &= np.where(on[:, 1:] | (z == 0), True, outside <= penal * (1 - 1e-9)).all(axis=1)
+            same &= np.where(on[:, 1:] | (z == 0), True, outside <= penal * (1 - 1e-9)).all(axis=1)
+            eta = (d * now).sum(axis=1)
+            j, i = np.nonzero(~same & (rest_cases > 0) & (rest_cases < n[:, None] - 1))
+            good &= same
+            if len(j):
+                u = d[j if len(d) == m else np.zeros_like(j), :, i]
+                eta[j, i], good[j, i], close[j, i] = self._other_pattern(beta[j], u, y[j, i], at[j], order)
+            return eta, good, close
         return (d * now).sum(axis=1), good, close
 
+    def _other_pattern(self, beta: np.ndarray, d: np.ndarray, y: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for (model, sample) pairs under L1 where a coefficient changes sign, enters or leaves: coefficients and scaled rows are (pairs, q).
+
+        Coordinate descent, in the scaling without the sample, brings the expansion to the L1 conditions in any pattern. All coefficients that can move
+        count in the bound, so it holds for every pattern: the loss is as convex as its second derivatives without the row.
+        """
+        grad, expansion, _, _, beyond, lam, first, _, n, _ = (v[at] for v in self.sent.value)
+        second, inverse, norm = (v[at] for v in self.other.value)
+        pairs, q = beta.shape
+        terms = [t for t in self.terms if len(t) <= order]
+        number = {t: k for k, t in enumerate(terms)}
+        expansion = expansion[:, :, : len(terms)]
+        made = np.empty((pairs, len(terms)))
+        z, count = d[:, 1:], n[:, None]
+        less = -z / (count - 1.0)
+        ratio = np.sqrt(np.maximum((count - z * z) / (count - 1.0) - less * less, 1e-12))
+        # coefficients in the scaling with the sample by those without it
+        back = np.zeros((pairs, q, q))
+        back[:, 0, 0], back[:, 0, 1:] = 1.0, -less / ratio
+        back[:, np.arange(1, q), np.arange(1, q)] = 1.0 / ratio
+        p = 1.0 / (1.0 + np.exp(-np.clip((beta * d).sum(axis=1), -700, 700)))
+        v = p * (1.0 - p)
+        left = 1.0 - v * np.einsum("pi,pij,pj->p", d, inverse, d)
+        h = back.swapaxes(1, 2) @ (second - v[:, None, None] * d[:, :, None] * d[:, None, :]) @ back
+        levels = np.column_stack([first, np.repeat(lam[:, None], q - 1, axis=1)])
+        own = np.column_stack([np.where((beta[:, 0] == 0) & (first > 0), 0.0, beta[:, 0] + (less * beta[:, 1:]).sum(axis=1)), beta[:, 1:] * ratio])
+        for _ in range(12):
+            now = np.einsum("pij,pj->pi", back, own)
+            made[:, :q] = now - beta
+            for k, t in enumerate(terms[q:], q):
+                np.multiply(made[:, number[t[:-1]]], made[:, t[-1]], out=made[:, k])
+            miss = 1.0 / (1.0 + np.exp(-np.clip((d * now).sum(axis=1), -700, 700))) - y
+            smooth = np.einsum("pij,pj->pi", expansion, made) + grad - miss[:, None] * d
+            g = np.einsum("pij,pi->pj", back, smooth)
+            f = np.where(own != 0, g + levels * np.sign(own), np.sign(g) * np.maximum(np.abs(g) - levels, 0.0))
+            # rows that carry nearly all of a coefficient's curvature stay where they are: they are refitted
+            live = (left > 0.05) & (np.abs(f).max(axis=1) > 1e-13 * n)
+            if not live.any():
+                break
+            own[live] += _descend(g[live], h[live], own[live], levels[live])
+        step = now - beta
+        f = np.column_stack([f[:, 0], ratio * f[:, 1:] + less * f[:, :1]])
+        rest = beyond[:, order - 2] * np.linalg.norm(step, axis=1) ** (order + 1) + np.linalg.norm(f, axis=1)
+        close = rest * norm / np.maximum(left, 1e-6) * np.linalg.norm(d, axis=1) <= LEFT_TOLERANCE
+        return (d * now).sum(axis=1), close & (left > 0.05), close
+
     def scored(self, chosen: np.ndarray, which: str = "both") -> DataFrame:
         """Packed scores of the chosen models where they are good enough (``scores``), the (model, position) ``pairs`` to refit, or ``both`` packed by model."""
         table, slices = spread(self.blocks, -(-len(chosen) // CHUNK))

@@ -356,3 +356,42 @@ def test_leave_one_out_scores_once_where_nothing_is_refitted(spark, monkeypatch)
     again = {r["grp"]: r["auc"] for r in blockfit.leave_one_out(blocks, models, "l2").collect()}
     assert calls[1:] == [("both", 4), ("scores", 4)] and once == pytest.approx(again, abs=1e-5)
     assert blockfit.spread(blocks, 1)[0].rdd.getNumPartitions() >= min(15, spark.sparkContext.defaultParallelism)
+
+
+def test_left_out_samples_that_change_the_l1_pattern(spark, monkeypatch):
+    """At penalties where leaving out one sample lets a coefficient or the intercept in, out, or over zero, no sample is refitted and every score equals its refit."""
+    rng = np.random.default_rng(8)
+    n, picks = 240, [0, 1]
+    x = rng.normal(size=(n, 2)) * [1, 3] + [0, 5]
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.8 * x[:, 0] + 0.05 * (x[:, 1] - 5))))).astype(int)
+    df = spark.createDataFrame([(i * 3, int(y[i]), [float(v) for v in x[i]]) for i in range(n)], "sample_id bigint, y int, x array<double>")
+    blocks = blockfit.pack(df, ["a", "b"], block_rows=100)
+
+    # the penalty at which the weaker coefficient is about to leave, and that at which the intercept is
+    grid = np.geomspace(0.005, 50, 200)
+    beta = blockfit.fit(blocks, Models.of(len(grid), c=grid, columns=np.tile([picks], (len(grid), 1)))).beta
+    edges = [grid[np.flatnonzero((beta[:, k] == 0) & (np.roll(beta[:, k], -1) != 0))[-1]] for k in (0, 2)]
+    c = np.repeat(edges, 2) * np.tile([1.0, grid[1] / grid[0]], 2)
+    models = Models.of(len(c), c=c, columns=np.tile([picks], (len(c), 1)))
+
+    scaled, other, refits, changed = blockfit.scaled, blockfit._LeftOut._other_pattern, [], spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(blockfit, "scaled", lambda b, m, *a, **k: refits.append(int((m.part == blockfit.ALONE).sum())) or scaled(b, m, *a, **k))
+
+    def scores():
+        got = {}
+        for r in blockfit.left_scores(blocks, models).collect():
+            got.setdefault(r["grp"], []).extend(zip(np.frombuffer(r["l"], np.uint8).tolist(), np.frombuffer(r["s"]).tolist()))
+        return np.array([sorted(got[m]) for m in range(len(c))])
+
+    monkeypatch.setattr(blockfit, "LEFT_TOLERANCE", 0.0)
+    want = scores()
+    assert sum(refits) == n * len(c)
+    monkeypatch.setattr(blockfit, "LEFT_TOLERANCE", 1e-6)
+    monkeypatch.setattr(blockfit._LeftOut, "_other_pattern", lambda self, beta, *a: changed.add(len(beta)) or other(self, beta, *a))
+    refits.clear()
+    got = scores()
+    assert sum(refits) == 0 and changed.value > n / 4
+    assert got.shape == (len(c), n, 2) and (got[:, :, 0] == want[:, :, 0]).all() and np.abs(got[:, :, 1] - want[:, :, 1]).max() < 1e-6
+    # one of them by plain numpy
+    plain = sorted((int(y[i]), refitted(x, y, picks, c[1], "l1", i)) for i in range(n))
+    assert np.abs(got[1] - np.array(plain)).max() < 1e-6
