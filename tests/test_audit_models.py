@@ -238,3 +238,32 @@ def test_visits_in_bounded_slices(spark, monkeypatch):
         assert got[i].home == d[i].argmin() and got[i].dist == pytest.approx(near)
         assert {v.cell: round(v.dist, 9) for v in got[i].visits} == {int(c): round(float(d[i, c]), 9) for c in np.flatnonzero(d[i] <= near + 0.2 * (i % 5) + 1e-6)}
     assert len(got) == 50 and held.value == 0
+
+
+def stored(spark):
+    """Bytes in the shared folder."""
+    from pathlib import Path
+
+    from cohortlab.session import shared_dir
+
+    return sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*") if p.is_file())
+
+
+def without_structure(spark, n, dim=8):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(n, dim))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "sample_id bigint, raw array<double>")
+    c = np.corrcoef(x)
+    np.fill_diagonal(c, -2)
+    return df.withColumn("vec", audit._unit_values("raw")).coalesce(2).cache(), c
+
+
+def test_near_duplicates_write_no_pairs(spark, monkeypatch):
+    """Where nearly every block is in reach, what is written stays a few times the vectors, over many chunks as well."""
+    v, c = without_structure(spark, 1500)
+    monkeypatch.setattr(audit, "CHUNK_BYTES", 8 * 8 * 400, raising=False)
+    before = stored(spark)
+    got = {r.sample_id: r for r in audit.near_duplicates(v, 0.3, block_rows=20).collect()}
+    assert stored(spark) - before < 10 * 1500 * 8 * 8
+    assert {i: r.n_near for i, r in got.items()} == {i: int((c[i] > 0.3).sum()) for i in range(1500) if (c[i] > 0.3).any()}
+    assert {i: r.nearest for i, r in got.items()} == {i: int(np.round(c[i], 12).argmax()) for i in got}
