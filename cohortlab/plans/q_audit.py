@@ -138,7 +138,7 @@ def near_duplicates(spark, sf):
 pr AS (SELECT a.sample_id AS a, b.sample_id AS b, sum(a.u * b.u) AS rho FROM un a JOIN un b ON a.feature = b.feature AND a.sample_id <> b.sample_id GROUP BY 1, 2)
 SELECT a AS sample_id, b AS nearest, {r('rho')} AS rho FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(rho, 12) DESC, b) = 1""")
 def nearest_neighbour(spark, sf):
-    return shape(audit.nearest_neighbour(audit.sample_vectors(views.letters(spark, sf))), ["sample_id", "nearest"], ["rho"])
+    return shape(audit.nearest_neighbour(audit.sample_vectors(views.letters(spark, sf), names=views.LETTERS)), ["sample_id", "nearest"], ["rho"])
 
 
 @query("correlation_outliers", "Q12", f"""{then('letters')} {_unit_sql('letters', 'value')},

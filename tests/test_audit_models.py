@@ -267,3 +267,24 @@ def test_near_duplicates_write_no_pairs(spark, monkeypatch):
     assert stored(spark) - before < 10 * 1500 * 8 * 8
     assert {i: r.n_near for i, r in got.items()} == {i: int((c[i] > 0.3).sum()) for i in range(1500) if (c[i] > 0.3).any()}
     assert {i: r.nearest for i, r in got.items()} == {i: int(np.round(c[i], 12).argmax()) for i in got}
+
+
+def test_nearest_neighbour_writes_no_pairs(spark, monkeypatch):
+    """Vectors without structure, copies among them and large ids: exact over many chunks, and little is written."""
+    v, c = without_structure(spark, 1500)
+    twice = v.unionByName(v.filter("sample_id < 300").withColumn("sample_id", F.col("sample_id") + 1500)).withColumn("sample_id", F.col("sample_id") + (1 << 60))
+    monkeypatch.setattr(audit, "CHUNK_BYTES", 8 * 8 * 400, raising=False)
+    before = stored(spark)
+    got = {r.sample_id - (1 << 60): (r.nearest - (1 << 60), r.rho) for r in audit.nearest_neighbour(twice, block_rows=20).collect()}
+    assert stored(spark) - before < 10 * 1800 * 8 * 8
+    assert {i: got[i][0] for i in range(300)} == {i: i + 1500 for i in range(300)} and {i: got[i][0] for i in range(1500, 1800)} == {i: i - 1500 for i in range(1500, 1800)}
+    assert {i: got[i][0] for i in range(300, 1500)} == {i: int(np.round(c[i], 12).argmax()) for i in range(300, 1500)}
+    assert len(got) == 1800 and all(got[i][1] == pytest.approx(c[i].max()) for i in range(300, 1500))
+
+
+def test_pairs_of_text_ids(spark):
+    v, c = without_structure(spark, 60)
+    named = v.select(F.concat(F.lit("é"), F.lpad(F.col("sample_id").cast("string"), 3, "0")).alias("sample_id"), "raw", "vec").unionByName(v.limit(1).select(F.lit(None).cast("string").alias("sample_id"), F.array(F.lit(0.0)).alias("raw"), "vec"))
+    want = {f"é{i:03d}": f"é{int(np.round(c[i], 12).argmax()):03d}" for i in range(60)}
+    assert {r.sample_id: r.nearest for r in audit.nearest_neighbour(named, block_rows=7).collect()} == want
+    assert {r.sample_id: r.nearest for r in audit.near_duplicates(named, -0.9, block_rows=7).collect()} == want
